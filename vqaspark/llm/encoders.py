@@ -7,13 +7,14 @@ text (other scripts, combining marks, special strings, runs of blanks) goes thro
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 from array import array
 
 #: Characters that neither compose, nor change length in lower case, nor count as white space for one library only.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-įĲ-ňŊ-ſ]*")
-CACHE_UNITS = 800_000
+CACHE_UNITS = 500_000
 
 
 def load(path: str):
@@ -23,14 +24,34 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
+#: A word with punctuation after it: two pre-tokens under either vocabulary's rule.
+TAILED = re.compile("([A-Za-zÀ-ÖØ-öø-ſ]+)([.,;:!?]+)")
+
+
+@functools.cache
+def encoder(path: str) -> CachedEncoder:
+    """One per worker process: what a task has learnt serves the next."""
+    return CachedEncoder(path)
+
+
+class _Units(dict):
+    """Looks units up; what is missing is noted and stands as nothing until it is learnt."""
+
+    def __init__(self):
+        self.missing: set[str] = set()
+
+    def __missing__(self, unit: str) -> bytes:
+        self.missing.add(unit)
+        return b""
+
+
 class CachedEncoder:
     """encode(texts) gives each text's ids as little-endian unsigned 16-bit bytes, as the library without added tokens."""
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
         self.by_blank = self.tokenizer.normalizer is None  # byte level: the blank belongs to the word after it
-        self.units: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
+        self.units, self.first, self.tails = _Units(), _Units(), {}
         if self.tokenizer.get_vocab_size(with_added_tokens=True) > 65_536:
             raise ValueError("ids need more than 16 bits")
 
@@ -43,32 +64,37 @@ class CachedEncoder:
             return None
         return text.split(" ")
 
-    def _learn(self, units: list[str], into: dict[str, bytes], lead: str) -> None:
-        found = self.tokenizer.encode_batch_fast([lead + u for u in units], add_special_tokens=False)
-        into.update((u, array("H", e.ids).tobytes()) for u, e in zip(units, found, strict=True))
+    def _learn(self, units: set[str], into: _Units, lead: str) -> None:
+        tailed = {u: m for u in units if (m := TAILED.fullmatch(u))}
+        whole = [u for u in units if u not in tailed]
+        whole += [c for c in {m[1] for m in tailed.values()} if not dict.__contains__(into, c)]
+        found = self.tokenizer.encode_batch_fast([lead + u for u in whole], add_special_tokens=False)
+        into.update((u, array("H", e.ids).tobytes()) for u, e in zip(whole, found, strict=True))
+        for u, m in tailed.items():
+            if m[2] not in self.tails:
+                self.tails[m[2]] = array("H", self.tokenizer.encode(m[2], add_special_tokens=False).ids).tobytes()
+            into[u] = into[m[1]] + self.tails[m[2]]
+
+    def _look(self, split: list, into: _Units, lead: str) -> list:
+        get = into.__getitem__
+        out = [None if p is None else b"".join(map(get, p)) for p in split]
+        if into.missing:
+            new, into.missing = into.missing, set()
+            again = [i for i, p in enumerate(split) if p is not None and not new.isdisjoint(p)]
+            self._learn(new, into, lead)
+            for i in again:
+                out[i] = b"".join(map(get, split[i]))
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.units) > CACHE_UNITS:
-            self.units.clear()
-        if len(self.first) > CACHE_UNITS // 4:
-            self.first.clear()
+        for cache, limit in ((self.units, CACHE_UNITS), (self.first, CACHE_UNITS // 8), (self.tails, 10_000)):
+            if len(cache) > limit:
+                cache.clear()
         split = [self._pieces(t) for t in texts]
-        heads: list[str] = []
         if self.by_blank:
-            heads = [p[0] if p else "" for p in split]
-            split = [p[1:] if p is not None else None for p in split]
-            if new := list({h for h in heads if h not in self.first}):
-                self._learn(new, self.first, "")
-        known, new = self.units.__contains__, set()
-        for p in split:
-            if p:
-                new.update(u for u in set(p) if not known(u))
-        if new:
-            self._learn(list(new), self.units, " " if self.by_blank else "")
-        get, out = self.units.__getitem__, []
-        for i, p in enumerate(split):
-            if p is None:
-                out.append(array("H", self.tokenizer.encode(texts[i], add_special_tokens=False).ids).tobytes())
-            else:
-                out.append((self.first[heads[i]] if self.by_blank else b"") + b"".join(map(get, p)))
-        return out
+            heads = self._look([p and p[:1] for p in split], self.first, "")
+            rest = self._look([p and p[1:] for p in split], self.units, " ")
+            out = [None if r is None else h + r for h, r in zip(heads, rest, strict=True)]
+        else:
+            out = self._look(split, self.units, "")
+        return [array("H", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() if o is None else o for t, o in zip(texts, out, strict=True)]

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from . import common
-from .encoders import CachedEncoder
+from .encoders import encoder as encoder_of
 
 BUCKETS, DIMS, BITS = 256, 4, 12
 END_ID = 1
@@ -73,7 +73,7 @@ def curve_documents(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     """(doc_id, row_key, curve_key, ids): ids as little-endian unsigned 16-bit bytes with the end id; row_key tells repeated rows apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, keys, n = CachedEncoder(vocabulary), CurveKeys(), TaskContext.get().partitionId() << 33
+        encoder, keys, n = encoder_of(vocabulary), CurveKeys(), TaskContext.get().partitionId() << 33
         end = END_ID.to_bytes(2, "little")
         for b in common.slices(batches):
             ids = [x + end for x in encoder.encode(b.column(1).to_pylist())]

@@ -6,29 +6,73 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontamination, html_text, license_scan, near_duplicates, packing, personal_data, quality, secret_scan, token_counts, token_store
 from .common import documents
 
 #: Folder of the vocabulary files; a parameter of the deployment.
 VOCABULARIES = os.environ.get("VQASPARK_TOKENIZERS", "/opt/tokenizers")
 
 
-def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .token_counts import token_counts
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.find_personal_data(documents(spark, sf_dir))
 
-    return token_counts(documents(spark, sf_dir), f"{VOCABULARIES}/word_bpe_49k.json")
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
-def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .packing import pack
 
-    return pack(documents(spark, sf_dir), f"{VOCABULARIES}/word_bpe_49k.json")
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir), f"{VOCABULARIES}/word_bpe_49k.json")
 
 
-def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .token_store import token_store
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(documents(spark, sf_dir))
 
-    return token_store(documents(spark, sf_dir), f"{VOCABULARIES}/byte_bpe_50k.json")
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), f"{VOCABULARIES}/word_bpe_49k.json")
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op5_packing, op7_token_store)}
-ORACLES: dict[str, str] = {}
+
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(documents(spark, sf_dir))
+
+
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.token_store(documents(spark, sf_dir), f"{VOCABULARIES}/byte_bpe_50k.json")
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(documents(spark, sf_dir))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(documents(spark, sf_dir), quality.fit_on(spark, sf_dir))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_personal_data, op2_decontamination, op3_token_counts, op4_license_scan, op5_packing,
+        op6_near_duplicates, op7_token_store, op8_html_text, op9_secret_scan, op10_quality_rules,
+    )
+}
+#: Only shingle sets and their components can be said in SQL.
+ORACLES: dict[str, str] = {
+    "op6_near_duplicates": r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 2 THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) WHEN len(ws) = 1 THEN ws ELSE [] END) AS sh FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM b JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * both >= 80 * (p.n + q.n - both)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, reach) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reach),
+c AS (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id)
+SELECT c.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id, c.doc_id = c.component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+"""
+}

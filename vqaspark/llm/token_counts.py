@@ -8,6 +8,7 @@ so the rounds give what one merge at a time gives.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from collections.abc import Iterator
@@ -150,6 +151,12 @@ class TokenCounter:
         return [self._whole(t) if p is None else sum(map(get, p)) for t, p in zip(texts, split, strict=True)]
 
 
+@functools.cache
+def counter_of(path: str) -> TokenCounter:
+    """One per worker process: what a task has learnt serves the next."""
+    return TokenCounter(path)
+
+
 def token_counts(df: DataFrame, vocabulary: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for every row; a null text counts as empty (0 bytes, 0 tokens).
 
@@ -158,7 +165,7 @@ def token_counts(df: DataFrame, vocabulary: str, limit: int = 2048, id_col: str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TokenCounter(vocabulary)
+        counter = counter_of(vocabulary)
         for b in common.slices(batches):
             found = b.column(1).to_pylist()
             n = counter.count(found)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .encoders import CachedEncoder
+from .encoders import encoder as encoder_of
 
 LEAST, MOST, MASK_BITS = 64, 4096, 9
 SEEN = 500_000
@@ -65,7 +65,7 @@ def address(data: bytes) -> bytes:
 
 def chunk_rows(df: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, key, end, seen = CachedEncoder(vocabulary), TaskContext.get().partitionId() << 33, end_id.to_bytes(2, "little"), set()
+        encoder, key, end, seen = encoder_of(vocabulary), TaskContext.get().partitionId() << 33, end_id.to_bytes(2, "little"), set()
         for b in common.slices(batches):
             docs, keys, seqs, names, sizes, data = [], [], [], [], [], []
             for doc_id, raw in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist()), strict=True):
