@@ -16,6 +16,7 @@ A pair at similarity s shares no bucket with probability (1 - s**4)**32: 5e-8 at
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -46,7 +47,7 @@ class Shingles:
 
     def __call__(self, text: str) -> np.ndarray:
         found = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
-        if len(self.known) > 1_000_000:
+        if len(self.known) > 500_000:
             self.known.clear()
         if not found:
             return np.zeros(0, np.uint64)
@@ -61,6 +62,12 @@ class Shingles:
         return np.unique(_mix(out))
 
 
+@functools.cache
+def shingles_of(words: int = 2) -> Shingles:
+    """One per worker process: the words of a task serve the next."""
+    return Shingles(words)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -71,7 +78,7 @@ def set_digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-_SEEDS = np.random.default_rng(11).integers(1, 1 << 32, (2, REGISTERS), dtype=np.int64).astype(np.uint64) | np.uint64(1)
+_SEEDS = np.random.default_rng(11).integers(0, 1 << 64, (3, REGISTERS), dtype=np.uint64) | np.uint64(1)
 
 
 def registers(shingles: np.ndarray) -> np.ndarray:
@@ -80,7 +87,7 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     low, high = shingles & np.uint64(0xFFFFFFFF), shingles >> np.uint64(32)
     for at in range(0, len(shingles), 4096):  # a bounded block at a time
         a, b = low[at : at + 4096, None], high[at : at + 4096, None]
-        h = (a * _SEEDS[0] + b * _SEEDS[1]) >> np.uint64(32)  # multiply-shift on both halves
+        h = (a * _SEEDS[0] + b * _SEEDS[1] + _SEEDS[2]) >> np.uint64(32)  # multiply-shift on both halves, modulo 2**64
         least = np.minimum(least, h.min(axis=0))
     exponential = -np.log1p(-(least.astype(float) + 0.5) / 2**32) / RATE
     return np.clip(np.floor(1 - np.log(exponential) / np.log(BASE)) + 20_000, 0, LIMIT).astype("<u2")
@@ -109,7 +116,7 @@ def sketches(df: DataFrame) -> DataFrame:
     """(doc_id, cid, n, registers): cid is the class's digest, null for an empty set; a task sends a class's registers once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, seen = Shingles(), set()
+        shingle, seen = shingles_of(), set()
         for b in common.slices(batches):
             cids, sizes, regs = [], [], []
             for text in b.column(1).to_pylist():
@@ -161,7 +168,7 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, name: str)
         wanted[r.word] = np.uint64(r.bits & 0xFFFFFFFFFFFFFFFF)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingles()
+        shingle = shingles_of()
         for b in common.slices(batches):
             slot = b.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
             hit = np.flatnonzero((wanted[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1))
