@@ -25,7 +25,7 @@ def parent_self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.join(up, ["l_orderkey", "p"], "left").groupBy("l_orderkey", "l_linenumber").agg(F.coalesce(F.min("parent"), F.lit(-1)).alias("parent"))
 
 
-@query("""WITH a AS (SELECT l_orderkey, list(l_linenumber ORDER BY l_linenumber) AS x, list(l_partkey ORDER BY l_linenumber) FILTER (WHERE l_quantity > 3) AS y FROM lineitem GROUP BY l_orderkey)
+@query("""WITH a AS (SELECT l_orderkey, list(l_linenumber ORDER BY l_linenumber, l_partkey) AS x, list(l_partkey ORDER BY l_linenumber, l_partkey) FILTER (WHERE l_quantity > 3) AS y FROM lineitem GROUP BY l_orderkey)
 SELECT l_orderkey, CAST(i - 1 AS INTEGER) AS i, x[i] AS line, y[i] AS part FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM a WHERE len(x) = len(y))""")
 def zip_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = table(spark, sf_dir, "lineitem")
@@ -100,7 +100,7 @@ def anti_two_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").withColumn("parity", F.col("l_linenumber") % 2).join(done, ["l_orderkey", "parity"], "left_anti").select("l_orderkey", "l_linenumber")
 
 
-@query("SELECT l_orderkey, CAST(sum(w * i) AS BIGINT) AS total FROM (SELECT l_orderkey, l_linenumber AS i, q[len(q) - l_linenumber + 1] AS w FROM (SELECT l_orderkey, l_linenumber, list(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS q FROM lineitem)) GROUP BY l_orderkey")
+@query("SELECT l_orderkey, CAST(sum(w * i) AS BIGINT) AS total FROM (SELECT l_orderkey, l_linenumber AS i, q[len(q) - l_linenumber + 1] AS w FROM (SELECT l_orderkey, l_linenumber, list(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS q FROM lineitem)) GROUP BY l_orderkey")
 def index_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.arrays import gather
 
