@@ -134,3 +134,19 @@ def normalise(v: Column, low: Column, high: Column) -> Column:
 def back_project(u: Column, v: Column, d: Column, fx: float, fy: float, cx: float, cy: float) -> list[Column]:
     """A pixel with depth as a point of the camera's frame."""
     return [(u - cx) * d / fx, (v - cy) * d / fy, d]
+
+
+def rotation_matrix(v: list[Column]) -> list[list[Column]]:
+    """Rotation vector to matrix by Rodrigues' formula; the zero vector gives the identity."""
+    angle = F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
+    k = [F.coalesce(F.try_divide(x, angle), F.lit(0.0)) for x in v]
+    c, s = F.cos(angle), F.sin(angle)
+    cross = [[None, (-1, 2), (1, 1)], [(1, 2), None, (-1, 0)], [(-1, 1), (1, 0), None]]
+    return [[k[i] * k[j] * (1 - c) + (c if i == j else cross[i][j][0] * k[cross[i][j][1]] * s) for j in range(3)] for i in range(3)]
+
+
+def rotation_vector(r: list[list[Column]]) -> list[Column]:
+    """Matrix to rotation vector for angles below a half turn."""
+    angle = F.acos(clamp((r[0][0] + r[1][1] + r[2][2] - 1) / 2, -1.0, 1.0))
+    scale = F.coalesce(F.try_divide(angle, 2 * F.sin(angle)), F.lit(0.5))
+    return [(r[2][1] - r[1][2]) * scale, (r[0][2] - r[2][0]) * scale, (r[1][0] - r[0][1]) * scale]
