@@ -4,10 +4,10 @@ Texts with the same shingle set form a class, found by a digest of the set; all
 SetSketch holds, for each of 128 registers, the minimum of exponentially distributed hashes on an exponentially spaced,
 truncated scale (mergeable by maximum).  Bands of four registers give buckets.
 
-Within a bucket no pairs are listed: every member is compared with the bucket's pivot only.  The joint likelihood of two
+Within a bucket not all pairs are listed: every member is compared with the bucket's pivots only, one at first.  The joint likelihood of two
 sketches estimates the Jaccard similarity and drops chance meetings far below the threshold; the others are confirmed on full
-sets.  Members linked with the pivot are settled.  Members that are not go on to the next round with a new pivot, until no
-bucket has two of them.  A member just below the threshold may still be linked with a settled one: by the triangle inequality
+sets.  Members linked with a pivot are settled.  Members that are not go on to the next round, where new pivots, twice as many,
+are tried, until no bucket has two of them.  A member just below the threshold may still be linked with a settled one: by the triangle inequality
 of the Jaccard distance only if their distances to the pivot differ by at most 0.2; such pairs are confirmed last, where the
 links so far have not joined them yet.  So every link between members of a bucket counts, while rows grow with the members.
 
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -34,8 +34,8 @@ ROWS = REGISTERS // BANDS
 BASE, RATE, LIMIT = 1.001, 20.0, 62_000
 #: Links: 100 * intersection >= 80 * union; pairs estimated below this are at no distance that matters (see _estimate).
 LINK, GRAY, DROP = 0.8, 0.6, 0.35
-#: Bits of the fixed-size filter that tells which documents' sets are needed.
-SLOTS = 1 << 22
+#: Up to so many documents, the ids whose sets are needed are broadcast; beyond, a filter of a fixed number of bits is sent.
+BROADCAST_ROWS, SLOTS = 100_000, 1 << 22
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -138,10 +138,6 @@ def _bands(classes: DataFrame) -> DataFrame:
     return classes.select("cid", F.explode(F.array(*[key(i) for i in range(BANDS)])).alias("bucket"))
 
 
-def _slot(doc_id: str):
-    return F.pmod(F.xxhash64(F.col(doc_id)), F.lit(SLOTS))
-
-
 def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     """(a, b, j) for pairs (a, b) of classes: the similarity of the full sets, 0 where the estimate is far below the threshold."""
     side = lambda p: classes.select(F.col("cid").alias(p), F.col("doc").alias(f"{p}_doc"), F.col("n").alias(f"{p}_n"), F.col("registers").alias(f"{p}_r"))
@@ -161,23 +157,26 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, name: str)
         pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_doc", "b_doc", "a_n", "b_n", "a_r", "b_r").mapInArrow(guess, "a binary, b binary, a_doc long, b_doc long, near boolean"), f"{name}-near"
     )
     near = guessed.where("near")
-    # a filter of fixed size says which documents' sets may be needed; the joins below are exact
-    bits = near.select(F.explode(F.array("a_doc", "b_doc")).alias("doc")).select(_slot("doc").alias("s")).groupBy((F.col("s") / 64).cast("int").alias("word"))
-    wanted = np.zeros(SLOTS // 64, np.uint64)
-    for r in bits.agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits")).collect():
-        wanted[r.word] = np.uint64(r.bits & 0xFFFFFFFFFFFFFFFF)
+    ids = near.select(F.explode(F.array("a_doc", "b_doc")).alias("doc_id")).distinct()
+    if ids.count() <= BROADCAST_ROWS:
+        wanted, chosen = None, docs.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text", F.lit(0).cast("long").alias("slot"))
+    else:  # a filter of fixed size says which documents' sets may be needed; the joins below are exact
+        wanted, slot = np.zeros(SLOTS // 64, np.uint64), F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
+        bits = ids.select(slot.alias("s")).groupBy((F.col("s") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits"))
+        for r in bits.collect():
+            wanted[r.word] = np.uint64(r.bits & 0xFFFFFFFFFFFFFFFF)
+        chosen = docs.where("doc_id IS NOT NULL").select("doc_id", "text", slot.alias("slot"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = shingles_of()
         for b in common.slices(batches):
-            slot = b.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            hit = np.flatnonzero((wanted[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1))
-            if len(hit):
-                b = b.take(pa.array(hit))
-                found = [shingle(t) for t in b.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_digest(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["doc", "cid", "set"])
-
-    sent = docs.where("doc_id IS NOT NULL").select("doc_id", "text", _slot("doc_id").alias("slot")).mapInArrow(sets, "doc long, cid binary, set binary")
+            if wanted is not None:
+                at = b.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+                b = b.filter(pa.array(((wanted[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)))
+            found = [shingle(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_digest(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["doc", "cid", "set"])
+
+    sent = chosen.mapInArrow(sets, "doc long, cid binary, set binary")
     kept = common.staged(sent, f"{name}-sets")
     first = kept.select(F.col("doc").alias("b_doc"), F.col("cid").alias("b"), F.col("set").alias("b_set"))
     second = kept.select(F.col("doc").alias("a_doc"), F.col("cid").alias("a"), F.col("set").alias("a_set"))
@@ -226,8 +225,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = common.staged(rows.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.max("registers").alias("registers")), "classes")
     alive, linked, gray, step = _bands(classes.where("doc IS NOT NULL")), None, [], 0
     while True:
-        buckets = alive.groupBy("bucket").agg(F.min("cid").alias("a"), F.count("*").alias("size")).where("size > 1").select("bucket", "a")
-        members = common.staged(alive.join(buckets, "bucket").where("cid != a").select("bucket", "a", F.col("cid").alias("b")), f"members-{step}")
+        if step == 0:  # one pivot, found by partial aggregation: first buckets may be very large
+            pivots = alive.groupBy("bucket").agg(F.min("cid").alias("a"), F.count("*").alias("size")).where("size > 1").select("bucket", "a")
+            members = alive.join(pivots, "bucket").where("cid != a").select("bucket", "a", F.col("cid").alias("b"), F.lit(False).alias("pivot"))
+        else:  # then twice as many pivots a round, so the rounds are few
+            placed = alive.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("cid")))
+            pivots = placed.where(F.col("place") <= 1 << step).select("bucket", F.col("cid").alias("a"), F.col("place").alias("a_place"))
+            members = placed.join(pivots, "bucket").where("a_place < place").select("bucket", "a", F.col("cid").alias("b"), (F.col("place") <= 1 << step).alias("pivot"))
+        members = common.staged(members, f"members-{step}")
         if members.isEmpty():
             break
         found = _confirmed(docs, classes, members.select("a", "b").distinct(), f"pairs-{step}")
@@ -235,7 +240,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         linked = links if linked is None else linked.unionByName(links)
         judged = common.staged(members.join(found, ["a", "b"]), f"judged-{step}")
         gray.append(judged.where(F.col("j") >= GRAY))
-        alive = judged.where(F.col("j") < LINK).select("bucket", F.col("b").alias("cid"))
+        alive = judged.where("NOT pivot").groupBy("bucket", F.col("b").alias("cid")).agg(F.max("j").alias("j")).where(F.col("j") < LINK).select("bucket", "cid")
         step += 1
     if linked is None:
         roots = classes.select(F.col("cid").alias("node"), F.col("cid").alias("root")).limit(0)
