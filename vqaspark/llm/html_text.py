@@ -4,7 +4,8 @@ A page becomes a tree of elements; what carries no article text by its element,
 footers, sidebars, notices, adverts, forms, scripts, reader comments) is left out.  Every remaining node has its characters,
 tags, link characters and link tags; the composite density is characters per tag, lowered by the share of links.  The node
 with the greatest sum of its children's densities is the core of the article, the least density on its path to the body is
-the threshold, and the smallest subtree that holds the core and all nodes above the threshold is taken as the article.
+the threshold, and the smallest containing element that holds the core and all nodes above the threshold, or the article or
+main element around it, is taken as the article.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements that are part of a text: the article is what holds them.
+PARTS = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table caption thead tbody tfoot tr td th figure figcaption hr center address".split())
 #: Elements without article text.
 NO_TEXT = frozenset("head script style title nav aside footer form button select option textarea input label noscript template svg math canvas iframe object embed audio video map dialog menu fieldset xmp noembed noframes".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -37,7 +40,6 @@ MARKS = frozenset(
 #: An opening tag of the first kind ends an open element of the second, within the third.
 CLOSES_P = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dt dd tr td th".split())
 SAME = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-SCOPES = frozenset("html body table td th caption object button article section div main aside nav header footer form blockquote ul ol dl figure".split())
 
 
 class Node:
@@ -189,7 +191,10 @@ def article(root: Node) -> Node:
             up = up.parent
         if up is not None:
             highest = max(highest, place[id(up)])
-    return ancestors[highest] if ancestors else body
+    while highest + 1 < len(ancestors) and ancestors[highest].tag in PARTS:
+        highest += 1
+    around = [i for i, n in enumerate(ancestors) if n.tag in ("article", "main")]
+    return ancestors[max([highest, *around])]
 
 
 def blocks(root: Node) -> list[str]:
