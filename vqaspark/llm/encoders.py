@@ -14,7 +14,7 @@ from array import array
 
 #: Characters that neither compose, nor change length in lower case, nor count as white space for one library only.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-įĲ-ňŊ-ſ]*")
-CACHE_UNITS = 500_000
+CACHE_UNITS = 400_000
 
 
 def load(path: str):
@@ -35,14 +35,27 @@ def encoder(path: str) -> CachedEncoder:
 
 
 class _Units(dict):
-    """Looks units up; what is missing is noted and stands as nothing until it is learnt."""
+    """Looks units up; what is missing is noted and stands as nothing until it is learnt.
+
+    At the limit the units become the older generation; those that are met again come back from it.
+    """
 
     def __init__(self):
         self.missing: set[str] = set()
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, unit: str) -> bytes:
-        self.missing.add(unit)
-        return b""
+        found = self.older.get(unit)
+        if found is None:
+            self.missing.add(unit)
+            return b""
+        self[unit] = found
+        return found
+
+    def shrink(self, limit: int) -> None:
+        if len(self) > limit:
+            self.older = dict(self)
+            self.clear()
 
 
 class CachedEncoder:
@@ -67,7 +80,7 @@ class CachedEncoder:
     def _learn(self, units: set[str], into: _Units, lead: str) -> None:
         tailed = {u: m for u in units if (m := TAILED.fullmatch(u))}
         whole = [u for u in units if u not in tailed]
-        whole += [c for c in {m[1] for m in tailed.values()} if not dict.__contains__(into, c)]
+        whole += [c for c in {m[1] for m in tailed.values()} if c not in into and c not in units]
         found = self.tokenizer.encode_batch_fast([lead + u for u in whole], add_special_tokens=False)
         into.update((u, array("H", e.ids).tobytes()) for u, e in zip(whole, found, strict=True))
         for u, m in tailed.items():
@@ -87,9 +100,10 @@ class CachedEncoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        for cache, limit in ((self.units, CACHE_UNITS), (self.first, CACHE_UNITS // 8), (self.tails, 10_000)):
-            if len(cache) > limit:
-                cache.clear()
+        self.units.shrink(CACHE_UNITS)
+        self.first.shrink(CACHE_UNITS // 8)
+        if len(self.tails) > 10_000:
+            self.tails.clear()
         split = [self._pieces(t) for t in texts]
         if self.by_blank:
             heads = self._look([p and p[:1] for p in split], self.first, "")
