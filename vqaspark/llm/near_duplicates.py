@@ -6,7 +6,7 @@ truncated scale (mergeable by maximum).  Bands of four registers give buckets.
 
 Within a bucket not all pairs are listed: every member is compared with the bucket's pivots only, one at first.  The joint likelihood of two
 sketches estimates the Jaccard similarity and drops chance meetings far below the threshold; the others are confirmed on full
-sets.  Members linked with a pivot are settled.  Members that are not go on to the next round, where new pivots, twice as many,
+sets.  Members linked with a pivot are settled.  Members that are not go on to the next round, where eight times as many pivots
 are tried, until no bucket has two of them.  A member just below the threshold may still be linked with a settled one: by the triangle inequality
 of the Jaccard distance only if their distances to the pivot differ by at most 0.2; such pairs are confirmed last, where the
 links so far have not joined them yet.  So every link between members of a bucket counts, while rows grow with the members.
@@ -228,10 +228,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if step == 0:  # one pivot, found by partial aggregation: first buckets may be very large
             pivots = alive.groupBy("bucket").agg(F.min("cid").alias("a"), F.count("*").alias("size")).where("size > 1").select("bucket", "a")
             members = alive.join(pivots, "bucket").where("cid != a").select("bucket", "a", F.col("cid").alias("b"), F.lit(False).alias("pivot"))
-        else:  # then twice as many pivots a round, so the rounds are few
+        else:  # then eight times as many pivots each round, so the rounds are few
             placed = alive.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("cid")))
-            pivots = placed.where(F.col("place") <= 1 << step).select("bucket", F.col("cid").alias("a"), F.col("place").alias("a_place"))
-            members = placed.join(pivots, "bucket").where("a_place < place").select("bucket", "a", F.col("cid").alias("b"), (F.col("place") <= 1 << step).alias("pivot"))
+            pivots = placed.where(F.col("place") <= 8**step).select("bucket", F.col("cid").alias("a"), F.col("place").alias("a_place"))
+            members = placed.join(pivots, "bucket").where("a_place < place").select("bucket", "a", F.col("cid").alias("b"), (F.col("place") <= 8**step).alias("pivot"))
         members = common.staged(members, f"members-{step}")
         if members.isEmpty():
             break
