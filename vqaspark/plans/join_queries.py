@@ -100,7 +100,7 @@ def anti_two_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").withColumn("parity", F.col("l_linenumber") % 2).join(done, ["l_orderkey", "parity"], "left_anti").select("l_orderkey", "l_linenumber")
 
 
-@query("SELECT l_orderkey, CAST(sum(w * i) AS BIGINT) AS total FROM (SELECT l_orderkey, l_linenumber AS i, q[len(q) - l_linenumber + 1] AS w FROM (SELECT l_orderkey, l_linenumber, list(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS q FROM lineitem)) GROUP BY l_orderkey")
+@query("SELECT l_orderkey, CAST(sum(w * i) AS BIGINT) AS total FROM (SELECT l_orderkey, l_linenumber AS i, CASE WHEN len(q) >= l_linenumber THEN q[len(q) - l_linenumber + 1] ELSE 0 END AS w FROM (SELECT l_orderkey, l_linenumber, list(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS q FROM lineitem)) GROUP BY l_orderkey")
 def index_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.arrays import gather
 
