@@ -150,3 +150,16 @@ def rotation_vector(r: list[list[Column]]) -> list[Column]:
     angle = F.acos(clamp((r[0][0] + r[1][1] + r[2][2] - 1) / 2, -1.0, 1.0))
     scale = F.coalesce(F.try_divide(angle, 2 * F.sin(angle)), F.lit(0.5))
     return [(r[2][1] - r[1][2]) * scale, (r[0][2] - r[2][0]) * scale, (r[1][0] - r[0][1]) * scale]
+
+
+def xyxy(box: list[Column], width: float, height: float) -> list[Column]:
+    """x, y, w, h in pixels to the corners' shares of the image."""
+    x, y, w, h = box
+    return [x / width, y / height, (x + w) / width, (y + h) / height]
+
+
+def cut_line(x1: Column, y1: Column, x2: Column, y2: Column, low: list[Column], high: list[Column]) -> tuple[Column, Column]:
+    """Parameters at which the segment from 1 to 2 enters and leaves a 2-D box, within 0..1; null where it misses."""
+    t0, t1, _ = slab([x1, y1], [x2 - x1, y2 - y1], low, high)
+    enter, leave = F.greatest(t0, F.lit(0.0)), F.least(t1, F.lit(1.0))
+    return F.when(enter <= leave, enter), F.when(enter <= leave, leave)

@@ -152,3 +152,32 @@ def cloud_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(BOXES + f" SELECT CAST(floor(cy / 100) AS BIGINT) AS row, CAST(floor(cx / 100) AS BIGINT) AS col, CAST(count(*) AS BIGINT) AS n FROM b GROUP BY 1, 2")
 def grid_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes(spark, sf_dir).groupBy(F.floor(F.col("cy") / 100).alias("row"), F.floor(F.col("cx") / 100).alias("col")).agg(F.count("*").alias("n"))
+
+
+@query(BOXES + f" SELECT {K}, {_ppm('cx / 960')} AS x1, {_ppm('cy / 960')} AS y1, {_ppm('(cx + w) / 960')} AS x2, {_ppm('(cy + h) / 960')} AS y2 FROM b")
+def corner_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = G.xyxy([F.col("cx"), F.col("cy"), F.col("w"), F.col("h")], 960, 960)
+    return boxes(spark, sf_dir).select(*KEYS, *(ppm(v).alias(n) for v, n in zip(c, ("x1", "y1", "x2", "y2"), strict=True)))
+
+
+@query(BOXES + f""", s AS (SELECT {K}, greatest(least((200 - cx) / 700, (500 - cx) / 700), least((100 - cy) / 300, (400 - cy) / 300), 0) AS t0, least(greatest((200 - cx) / 700, (500 - cx) / 700), greatest((100 - cy) / 300, (400 - cy) / 300), 1) AS t1 FROM b)
+SELECT {K}, {_ppm('t0')} AS t0, {_ppm('t1')} AS t1 FROM s WHERE t0 <= t1""")
+def line_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t0, t1 = G.cut_line(F.col("cx"), F.col("cy"), F.col("cx") + 700, F.col("cy") + 300, [F.lit(200.0), F.lit(100.0)], [F.lit(500.0), F.lit(400.0)])
+    return boxes(spark, sf_dir).select(*KEYS, ppm(t0).alias("t0"), ppm(t1).alias("t1")).where("t0 IS NOT NULL")
+
+
+@query(BOXES + f" SELECT {K}, {_ppm('greatest(least(cx / q / 100, 1), 0)')} AS u, {_ppm('greatest(least((q - 1) / 49, 1), 0)')} AS depth, CASE WHEN cx > cy THEN q ELSE h END AS first FROM b")
+def depth_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projection with relative depth within 0..1, the end points swapped where the axis is flipped."""
+    b = boxes(spark, sf_dir)
+    return b.select(*KEYS, ppm(G.clamp(F.col("cx") / F.col("q") / 100)).alias("u"), ppm(G.clamp((F.col("q") - 1) / 49)).alias("depth"), F.when(F.col("cx") > F.col("cy"), F.col("q")).otherwise(F.col("h")).alias("first"))
+
+
+@query(POINTS + " SELECT label, vec_id, CAST(i AS BIGINT) AS i, z AS a, x AS b FROM p WHERE i % 7 = 0")
+def column_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.arrays import pick_columns, zero_nulls
+
+    p = points(spark, sf_dir).where("i % 7 = 0")
+    m = pick_columns(F.array(zero_nulls(F.array("x", "y", "z"))), [2, 0])[0]
+    return p.select("label", "vec_id", F.col("i").cast("long").alias("i"), F.get(m, F.lit(0)).alias("a"), F.get(m, F.lit(1)).alias("b"))

@@ -140,3 +140,76 @@ def stage2_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = a.select("image", "link", "id", "object", F.posexplode(corner_boxes(F.col("answer"))).alias("box", "corners"))
     at = F.concat_ws(",", *(F.round(F.get(F.get("corners", F.lit(0)), F.lit(k)) * 100).cast("long").cast("string") for k in range(3)))
     return boxes.select("image", "link", "id", "object", "box", F.concat(F.lit("Describe the joint of the part at "), at, F.lit(".")).alias("question"))
+
+
+@query(PARTS + SELECT.format(q="'Describe the joint of the part ' || name || ' with its depths.'", a="joint || ' <axis>' || name || '</axis>' || " + _numbers("cx", "cy", "angle", "depth")))
+def task_joint_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    axis = tagged("axis", F.col("name"), numbers("cx", "cy", "angle", "depth"))
+    return record(parts(spark, sf_dir), ask("joint_depth", F.col("name")), F.concat("joint", F.lit(" "), axis))
+
+
+AXIS3 = "'[' || printf('%03d,%03d,%03d', cx, cy, depth) || '],[' || printf('%03d,%03d,%03d', cx + w, cy + h, depth) || ']'"
+
+
+def axis_3d() -> Column:
+    """Two end points of the axis, whole hundredths of three digits."""
+    three = lambda *c: F.concat(F.lit("["), F.concat_ws(",", *(F.lpad(x.cast("string"), 3, "0") for x in c)), F.lit("]"))
+    return F.concat(three(F.col("cx"), F.col("cy"), F.col("depth")), F.lit(","), three(F.col("cx") + F.col("w"), F.col("cy") + F.col("h"), F.col("depth")))
+
+
+@query(PARTS + SELECT.format(q="'Describe the joint of the part ' || name || '.'", a=f"joint || ' <axis>' || name || '</axis>[' || {AXIS3} || ']'"))
+def task_joint_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    axis = tagged("axis", F.col("name"), F.concat(F.lit("["), axis_3d(), F.lit("]")))
+    return record(parts(spark, sf_dir), ask("joint", F.col("name")), F.concat("joint", F.lit(" "), axis))
+
+
+@query(PARTS + SELECT.format(q="'What state is the part ' || name || ' in?'", a=f"CASE WHEN closed THEN 'closed_' ELSE 'opened_' END || name || ' ' || {AXIS3}") + " WHERE joint <> 'continuous'")
+def task_status_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = parts(spark, sf_dir).where("joint != 'continuous'")
+    return record(p, ask("status", F.col("name")), F.concat(F.when(F.col("closed"), "closed_").otherwise("opened_"), "name", F.lit(" "), axis_3d()))
+
+
+@query(PARTS + f""", k AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY CASE WHEN n > 10 THEN -w * h ELSE 0 END, link, id, object) AS r FROM (SELECT *, count(*) OVER (PARTITION BY image) AS n FROM parts)),
+g AS (SELECT image, CAST(least(max(n), 10) AS BIGINT) AS n, string_agg('<box>' || name || '</box>[' || {AXIS3} || ']', ',' ORDER BY r) AS boxes FROM k WHERE r <= 10 GROUP BY image)
+SELECT image, CASE WHEN n = 1 THEN 'There is one part: ' ELSE 'There are ' || ['one','two','three','four','five','six','seven','eight','nine','ten','eleven'][n] || ' parts: ' END || boxes || '.' AS answer FROM g""")
+def task_det_all_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = parts(spark, sf_dir).withColumn("n", F.count("*").over(Window.partitionBy("image")))
+    order = Window.partitionBy("image").orderBy(F.when(F.col("n") > 10, -F.col("w") * F.col("h")).otherwise(F.lit(0)), "link", "id", "object")
+    box = tagged("box", F.col("name"), F.concat(F.lit("["), axis_3d(), F.lit("]")))
+    top = p.withColumn("r", F.row_number().over(order)).where("r <= 10").select("image", "r", box.alias("box"))
+    listed = top.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("r", "box"))).alias("b"))
+    return listed.select("image", enumeration(F.transform("b", lambda b: b["box"])).alias("answer"))
+
+
+@query(PARTS + f" SELECT image, link, id, object, 'How is this done: ' || action || '[' || name || ']?' AS question, action || ' <box>' || name || '</box>[' || {AXIS3} || ']' AS answer FROM parts WHERE length(action || '[' || name || ']') >= 12")
+def task_grounding_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actions too short to say anything are left out."""
+    step = F.concat("action", F.lit("["), "name", F.lit("]"))
+    p = parts(spark, sf_dir).where(F.length(step) >= 12)
+    return record(p, ask("grounding", step), F.concat("action", F.lit(" "), tagged("box", F.col("name"), F.concat(F.lit("["), axis_3d(), F.lit("]")))))
+
+
+@query("SELECT p_partkey, CASE WHEN length(p_brand) >= 8 THEN p_brand WHEN length(p_type) >= 8 THEN p_type END AS choice FROM part")
+def min_length_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of two candidates that is long enough, or nothing."""
+    long = lambda c: F.when(F.length(c) >= 8, F.col(c))
+    return table(spark, sf_dir, "part").select("p_partkey", F.coalesce(long("p_brand"), long("p_type")).alias("choice"))
+
+
+@query("""WITH f AS (SELECT p_partkey, p_type || '_3d_' || p_size || CASE WHEN p_partkey % 4 = 0 THEN '_reg' ELSE '' END || '.json' AS file FROM part)
+SELECT p_partkey, CASE WHEN starts_with(file, 'E') THEN 'detection' WHEN starts_with(file, 'S') THEN 'joint' ELSE 'other' END AS kind FROM f WHERE contains(file, '.json') AND contains(file, '3d') AND NOT contains(file, 'reg')""")
+def task_file_router(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat("p_type", F.lit("_3d_"), "p_size", F.when(F.col("p_partkey") % 4 == 0, "_reg").otherwise(""), F.lit(".json"))
+    f = table(spark, sf_dir, "part").select("p_partkey", name.alias("file")).where(F.col("file").contains(".json") & F.col("file").contains("3d") & ~F.col("file").contains("reg"))
+    return f.select("p_partkey", F.when(F.col("file").startswith("E"), "detection").when(F.col("file").startswith("S"), "joint").otherwise("other").alias("kind"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(l_orderkey * 5 + l_linenumber % 5 AS BIGINT) AS image FROM lineitem")
+def image_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") * 5 + F.col("l_linenumber") % 5).alias("image"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_name ELSE p_brand END AS text FROM part WHERE p_type IN ('ECONOMY', 'STANDARD')")
+def caption_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").where(F.col("p_type").isin("ECONOMY", "STANDARD"))
+    return p.select("p_partkey", F.get(F.array("p_name", "p_brand"), (F.col("p_size") % 2).cast("int")).alias("text"))
