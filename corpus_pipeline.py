@@ -17,14 +17,13 @@ from vqaspark.llm.queries import VOCABULARIES
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    verdicts = quality.quality_rules(docs, quality.fit_on(spark, sf_dir))
-    return docs.join(verdicts.where("kept").select("doc_id"), "doc_id", "left_semi")
+    return quality.kept_rows(docs, quality.fit_on(spark, sf_dir))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    groups = near_duplicates.near_duplicates(docs)
-    return docs.join(groups.where("kept").select("doc_id"), "doc_id", "left_semi")
+    """One document of each group of near duplicates; documents without an id stay if one of them does."""
+    kept = near_duplicates.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id"))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -351,7 +351,7 @@ def test_every_license_line_is_found(spark):
 def test_pipeline(spark):
     import corpus_pipeline as C
 
-    data = "/root/testdata/sf0.01"
+    data = DATA
     docs, kept = common.documents(spark, data), {}
     for name, stage in C.STAGES[:-1]:
         docs = common.staged(stage(spark, docs, data), name)
