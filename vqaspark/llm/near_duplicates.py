@@ -1,17 +1,19 @@
 """Operator 6: near duplicates by SetSketch registers.
 
 Texts with the same shingle set form a class, found by a digest of the set; all later work is on classes.  A class's
-SetSketch holds, for each of 128 registers, the minimum of exponentially distributed hashes on an exponentially spaced,
-truncated scale (mergeable by maximum).  Bands of four registers give buckets.
-
-Within a bucket not all pairs are listed: every member is compared with the bucket's pivots only, one at first.  The joint likelihood of two
-sketches estimates the Jaccard similarity and drops chance meetings far below the threshold; the others are confirmed on full
-sets.  Members linked with a pivot are settled.  Members that are not go on to the next round, where eight times as many pivots
-are tried, until no bucket has two of them.  A member just below the threshold may still be linked with a settled one: by the triangle inequality
-of the Jaccard distance only if their distances to the pivot differ by at most 0.2; such pairs are confirmed last, where the
-links so far have not joined them yet.  So every link between members of a bucket counts, while rows grow with the members.
-
-A pair at similarity s shares no bucket with probability (1 - s**4)**32: 5e-8 at 0.8.
+SetSketch holds, for each of 512 registers, the minimum of exponentially distributed hashes on an exponentially spaced,
+truncated scale of one byte (mergeable by maximum).  Bands of eight registers give buckets.
+
+Pairs within a bucket are never listed.  A bucket's pivot is its least class; each class is confirmed against the pivot with
+which it shares most buckets, and the links give provisional components.  Then every bucket belongs to its pivot's component,
+and what may still be missing are links between members of its buckets that lie in different components.  Those are found
+against a centre c of the component, for any sets x, y: elements that both have are in c, at most min(|x & c|, |y & c|), or
+outside.  So x and y can be linked only if that bound alone allows it, or if they share enough elements outside c, and then
+the first fifth of these in hash order (prefix filtering) already holds a shared one.  Both are equi-joins whose rows grow
+with the members, not with their pairs; the joint likelihood of two sketches drops what is far below the threshold, and the
+rest is confirmed on full sets.
+
+A pair at similarity s shares no bucket with probability (1 - s**8)**64 at most: below 1e-5 at 0.8.
 """
 
 from __future__ import annotations
@@ -28,12 +30,12 @@ from pyspark.sql import functions as F
 
 from . import common
 
-REGISTERS, BANDS = 128, 32
+REGISTERS, BANDS = 512, 64
 ROWS = REGISTERS // BANDS
-#: The sketch's base, rate and limit: registers are floor(1 - log_b(min)) in 0..LIMIT, with minima of rate A per element.
-BASE, RATE, LIMIT = 1.001, 20.0, 62_000
-#: Links: 100 * intersection >= 80 * union; pairs estimated below this are at no distance that matters (see _estimate).
-LINK, GRAY, DROP = 0.8, 0.6, 0.35
+#: The sketch's base and the place of 1 on its scale: registers are floor(1 - log_b(min)) + ZERO in 0..255.
+BASE, ZERO = 1.15, 30
+#: Links: 100 * intersection >= 80 * union; pairs estimated below DROP, ten standard errors away, are not confirmed.
+LINK, DROP = 0.8, 0.6
 #: Up to so many documents, the ids whose sets are needed are broadcast; beyond, a filter of a fixed number of bits is sent.
 BROADCAST_ROWS, SLOTS = 100_000, 1 << 22
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -78,35 +80,46 @@ def set_digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-_SEEDS = np.random.default_rng(11).integers(0, 1 << 64, (3, REGISTERS), dtype=np.uint64) | np.uint64(1)
+def registers_of(sets: list[np.ndarray]) -> np.ndarray:
+    """The sketches of non-empty sets, a row each.
+
+    An element's points on all registers form one Poisson process, so its least points come first: the process is followed
+    up to a level that some point of the set reaches in nearly every register, and further where one has none yet.
+    """
+    out, todo, level = np.full((len(sets), REGISTERS), np.inf), np.arange(len(sets)), np.log(REGISTERS) + 4.5
+    while len(todo):
+        sizes = np.array([len(sets[i]) for i in todo])
+        owner = np.repeat(np.arange(len(todo)), sizes)
+        element, most, place = np.concatenate([sets[i] for i in todo]), (level / sizes)[owner], todo[owner] * REGISTERS
+        at, step, flat = np.zeros(len(owner)), 0, out.reshape(-1)
+        while len(owner):
+            step += 1
+            h = _mix(element + np.uint64(step * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+            at = at - np.log1p(-(h >> np.uint64(11)).astype(float) * 2.0**-53) / REGISTERS
+            on = at <= most
+            owner, element, most, place, at = owner[on], element[on], most[on], place[on], at[on]
+            np.minimum.at(flat, place + (h[on] & np.uint64(REGISTERS - 1)).astype(np.int64), at)
+        todo, level = todo[np.isinf(out[todo]).any(1)], level * 3
+    return np.clip(np.floor(1 - np.log(out) / np.log(BASE)) + ZERO, 0, 255).astype(np.uint8)
 
 
 def registers(shingles: np.ndarray) -> np.ndarray:
     """The sketch of a non-empty set."""
-    least = np.full(REGISTERS, 0xFFFFFFFF, np.uint64)
-    low, high = shingles & np.uint64(0xFFFFFFFF), shingles >> np.uint64(32)
-    for at in range(0, len(shingles), 4096):  # a bounded block at a time
-        a, b = low[at : at + 4096, None], high[at : at + 4096, None]
-        h = (a * _SEEDS[0] + b * _SEEDS[1] + _SEEDS[2]) >> np.uint64(32)  # multiply-shift on both halves, modulo 2**64
-        least = np.minimum(least, h.min(axis=0))
-    exponential = -np.log1p(-(least.astype(float) + 0.5) / 2**32) / RATE
-    return np.clip(np.floor(1 - np.log(exponential) / np.log(BASE)) + 20_000, 0, LIMIT).astype("<u2")
+    return registers_of([shingles])[0]
 
 
 def _estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Jaccard similarity of rows of sketches with known set sizes, at the greatest joint likelihood.
 
-    With shares u = n / (n + m) and v = m / (n + m), register a exceeds b with probability about u - v J and so on, b exceeds
-    a with v - u J, and they are equal with the rest (up to the base's width); the counts' likelihood is largest at a root.
+    With shares u = n / (n + m) and v = m / (n + m), register a exceeds b with probability p(u - v J), b exceeds a with
+    p(v - u J), and they are equal with the rest, where p allows for the width of the base.
     """
     more, less = (a > b).sum(1), (a < b).sum(1)
-    u = n / (n + m)
+    u = (n / (n + m))[:, None]
     v = 1 - u
-    grid = np.linspace(0, 1, 101)[None, :]
-    high = np.minimum(u, v)[:, None] / np.maximum(u, v)[:, None]
-    j = np.minimum(grid, high)
-    p, q = np.maximum(u[:, None] - v[:, None] * j, 1e-9), np.maximum(v[:, None] - u[:, None] * j, 1e-9)
-    # u - vJ and v - uJ are the shares of the union in the first or the second set alone
+    j = np.minimum(np.linspace(0, 1, 101)[None, :], np.minimum(u, v) / np.maximum(u, v))
+    exceeds = lambda x: np.maximum(-np.log1p(-x * (BASE - 1) / BASE) / np.log(BASE), 1e-9)
+    p, q = exceeds(u - v * j), exceeds(v - u * j)
     same = np.maximum(1 - p - q, 1e-9)
     fit = more[:, None] * np.log(p) + less[:, None] * np.log(q) + (REGISTERS - more - less)[:, None] * np.log(same)
     return j[np.arange(len(j)), fit.argmax(1)]
@@ -117,14 +130,26 @@ def sketches(df: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, seen = shingles_of(), set()
-        for b in common.slices(batches):
-            cids, sizes, regs = [], [], []
-            for text in b.column(1).to_pylist():
+        for b in common.slices(batches, 200):
+            cids, sizes, regs, block, held = [], [], [None] * b.num_rows, [], 0
+
+            def sketch(block: list[tuple[int, np.ndarray]], regs: list) -> None:
+                for (i, _), r in zip(block, registers_of([s for _, s in block]), strict=True):
+                    regs[i] = r.tobytes()
+
+            for i, text in enumerate(b.column(1).to_pylist()):
                 s = shingle(text)
                 cid = set_digest(s) if len(s) else None
                 cids.append(cid), sizes.append(len(s))
-                regs.append(registers(s).tobytes() if cid and cid not in seen else None)
-                seen.add(cid)
+                if cid and cid not in seen:
+                    block.append((i, s))
+                    held += len(s)
+                    seen.add(cid)
+                if held > 200_000:  # a bounded number of elements at a time
+                    sketch(block, regs)
+                    block, held = [], 0
+            if block:
+                sketch(block, regs)
             if len(seen) > 500_000:
                 seen.clear()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(regs, pa.binary())], names=["doc_id", "cid", "n", "registers"])
@@ -134,68 +159,112 @@ def sketches(df: DataFrame) -> DataFrame:
 
 def _bands(classes: DataFrame) -> DataFrame:
     """(bucket, cid): the bands' hashes with their number."""
-    key = lambda i: F.xxhash64(F.lit(i), F.expr(f"substring(registers, {2 * ROWS * i + 1}, {2 * ROWS})"))
+    key = lambda i: F.xxhash64(F.lit(i), F.expr(f"substring(registers, {ROWS * i + 1}, {ROWS})"))
     return classes.select("cid", F.explode(F.array(*[key(i) for i in range(BANDS)])).alias("bucket"))
 
 
-def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """(a, b, j) for pairs (a, b) of classes: the similarity of the full sets, 0 where the estimate is far below the threshold."""
-    side = lambda p: classes.select(F.col("cid").alias(p), F.col("doc").alias(f"{p}_doc"), F.col("n").alias(f"{p}_n"), F.col("registers").alias(f"{p}_r"))
-
-    def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.slices(batches, 2000):
-            got = {n: b.column(i) for i, n in enumerate(b.schema.names)}
-            if not b.num_rows:
-                continue
-            regs = [np.frombuffer(b"".join(got[f"{p}_r"].to_pylist()), "<u2").reshape(-1, REGISTERS) for p in "ab"]
-            sizes = [got[f"{p}_n"].to_numpy(zero_copy_only=False).astype(float) for p in "ab"]
-            j = _estimate(*regs, *sizes)
-            possible = np.minimum(*sizes) >= GRAY * np.maximum(*sizes)  # sizes alone exclude the others exactly
-            yield pa.RecordBatch.from_arrays([got["a"], got["b"], got["a_doc"], got["b_doc"], pa.array(possible & (j >= DROP))], names=["a", "b", "a_doc", "b_doc", "near"])
-
-    guessed = common.staged(
-        pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_doc", "b_doc", "a_n", "b_n", "a_r", "b_r").mapInArrow(guess, "a binary, b binary, a_doc long, b_doc long, near boolean"), f"{name}-near"
-    )
-    near = guessed.where("near")
-    ids = near.select(F.explode(F.array("a_doc", "b_doc")).alias("doc_id")).distinct()
+def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(cid, set): the full sets of the classes in pairs (a, b), made from the class's own document."""
+    wanted_classes = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    ids = common.staged(classes.join(wanted_classes, "cid", "left_semi").select(F.col("doc").alias("doc_id"), "cid"), "wanted")
     if ids.count() <= BROADCAST_ROWS:
-        wanted, chosen = None, docs.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text", F.lit(0).cast("long").alias("slot"))
-    else:  # a filter of fixed size says which documents' sets may be needed; the joins below are exact
+        wanted, chosen = None, docs.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "text", F.lit(0).cast("long").alias("slot"))
+    else:  # a filter of fixed size says which documents' sets may be needed; the join below is exact
         wanted, slot = np.zeros(SLOTS // 64, np.uint64), F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
         bits = ids.select(slot.alias("s")).groupBy((F.col("s") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits"))
         for r in bits.collect():
             wanted[r.word] = np.uint64(r.bits & 0xFFFFFFFFFFFFFFFF)
         chosen = docs.where("doc_id IS NOT NULL").select("doc_id", "text", slot.alias("slot"))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = shingles_of()
         for b in common.slices(batches):
             if wanted is not None:
                 at = b.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
                 b = b.filter(pa.array(((wanted[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)))
             found = [shingle(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_digest(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["doc", "cid", "set"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_digest(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["doc_id", "cid", "set"])
 
-    sent = chosen.mapInArrow(sets, "doc long, cid binary, set binary")
-    kept = common.staged(sent, f"{name}-sets")
-    first = kept.select(F.col("doc").alias("b_doc"), F.col("cid").alias("b"), F.col("set").alias("b_set"))
-    second = kept.select(F.col("doc").alias("a_doc"), F.col("cid").alias("a"), F.col("set").alias("a_set"))
+    made = chosen.mapInArrow(run, "doc_id long, cid binary, set binary")
+    # rows repeated with one id and text are one
+    return common.staged(made.join(ids, ["doc_id", "cid"], "left_semi").groupBy("cid").agg(F.first("set").alias("set")), "sets")
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each element of the sorted set y, whether x has it."""
+    return x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
+
+
+def _links(pairs: DataFrame, classes: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """Those of the pairs (a, b) of classes that are linked: estimated from the sketches, then confirmed on full sets."""
+    side = lambda p: classes.select(F.col("cid").alias(p), F.col("n").alias(f"{p}_n"), F.col("registers").alias(f"{p}_r"))
+
+    def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.slices(batches, 2000):
+            if not b.num_rows:
+                continue
+            regs = [np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, REGISTERS) for i in (4, 5)]
+            sizes = [b.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (2, 3)]
+            possible = np.minimum(*sizes) >= LINK * np.maximum(*sizes)  # sizes alone exclude the others exactly
+            yield b.filter(pa.array(possible & (_estimate(*regs, *sizes) >= DROP))).select([0, 1])
+
+    near = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_n", "b_n", "a_r", "b_r").mapInArrow(guess, "a binary, b binary")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches):
-            out = []
+            good = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
                 x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                x, y = (x, y) if len(x) >= len(y) else (y, x)
-                both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
-                union = len(x) + len(y) - both
-                # on the link's side of the threshold by integers; the quotient only orders the rest
-                out.append(max(both / union, LINK) if 100 * both >= 80 * union else min(both / union, LINK - 1e-12))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], names=["a", "b", "j"])
-
-    measured = near.join(first, ["b", "b_doc"]).join(second, ["a", "a_doc"]).select("a", "b", "a_set", "b_set").mapInArrow(compare, "a binary, b binary, j double")
-    far = guessed.where("NOT near").select("a", "b", F.lit(0.0).alias("j"))
-    return common.staged(measured.unionByName(far).groupBy("a", "b").agg(F.max("j").alias("j")), f"{name}-measured")
+                both = int(_common(x, y).sum())
+                good.append(100 * both >= 80 * (len(x) + len(y) - both))
+            yield b.filter(pa.array(good, pa.bool_())).select([0, 1])
+
+    first, second = (sets.select(F.col("cid").alias(p), F.col("set").alias(f"{p}_set")) for p in "ba")
+    measured = near.join(first, "b").join(second, "a").select("a", "b", "a_set", "b_set").mapInArrow(compare, "a binary, b binary")
+    return common.staged(measured, f"{name}-links")
+
+
+def _missing(pairs: DataFrame, roots: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """The links (a, b) between members of a bucket in different provisional components; None if there is no such pair."""
+    root = lambda p: roots.select(F.col("node").alias(p), F.col("root").alias(f"{p}_root"))
+    placed = pairs.join(root("a"), "a", "left").withColumn("a_root", F.coalesce("a_root", "a")).join(root("b"), "b", "left").withColumn("b_root", F.coalesce("b_root", "b"))
+    placed = common.staged(placed.select(F.col("a_root").alias("r"), "a", F.col("b").alias("m"), F.col("b_root").alias("m_root")), "placed")
+    outliers = placed.where("m_root != r")
+    if outliers.isEmpty():
+        return None
+    centres = placed.join(outliers.select("r").distinct(), "r", "left_semi").groupBy("r", "a").agg(F.count("*").alias("size")).groupBy("r").agg(F.max_by("a", F.struct("size", "a")).alias("c"))
+    members = placed.select("r", "m", "m_root").union(placed.select("r", "a", "r")).distinct().join(centres, "r").where("m != c")
+
+    def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.slices(batches):
+            both, sizes, new, linked = [], [], [], []
+            for c, m in zip(b.column(4), b.column(5), strict=True):
+                c, m = np.frombuffer(c.as_py(), np.uint64), np.frombuffer(m.as_py(), np.uint64)
+                inside = _common(c, m)
+                k, n = int(inside.sum()), len(m)
+                # a partner shares at least 0.8 n elements, so at least that less k outside c: a prefix of the rest is enough
+                outside = m[~inside]
+                need = max(1, -(-4 * n // 5) - k)
+                both.append(k), sizes.append(n), linked.append(100 * k >= 80 * (len(c) + n - k))
+                new.append(outside[: max(0, len(outside) - need + 1)].view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(i) for i in range(4)), pa.array(both, pa.int64()), pa.array(sizes, pa.int64()), pa.array(linked, pa.bool_()), pa.array(new, pa.list_(pa.int64()))], names=["r", "m", "m_root", "c", "k", "n", "linked", "new"]
+            )
+
+    joined = members.join(sets.select(F.col("cid").alias("m"), F.col("set").alias("m_set")), "m").join(sets.select(F.col("cid").alias("c"), F.col("set").alias("c_set")), "c")
+    star = joined.select("r", "m", "m_root", "c", "c_set", "m_set").mapInArrow(against, "r binary, m binary, m_root binary, c binary, k long, n long, linked boolean, new array<long>")
+    star = common.staged(star, "star")
+    side = lambda p, df, *more: df.select("r", F.col("m").alias(p), F.col("m_root").alias(f"{p}_root"), F.col("k").alias(f"{p}_k"), F.col("n").alias(f"{p}_n"), *more)
+    out, sizes = F.col("m_root") != F.col("r"), (F.col("x_n") * 5 >= F.col("y_n") * 4) & (F.col("y_n") * 5 >= F.col("x_n") * 4)
+    told = (F.col("x_root") != F.col("y_root")) & sizes & ((F.col("x_root") == F.col("r")) | (F.col("x") < F.col("y")))
+    element = F.explode("new").alias("element")
+    shared = side("y", star.where(out), element).join(side("x", star, element), ["r", "element"]).where(told)
+    # without a shared element outside c: 1.8 * min(k) >= 0.8 * (n + n), which sets with over a fifth outside never fulfil
+    apart = star.where("5 * k >= 4 * n")
+    bound = side("y", apart.where(out)).join(side("x", apart), "r").where(told & (F.least("x_k", "y_k") * 9 >= (F.col("x_n") + F.col("y_n")) * 4))
+    some = shared.select("x", "y").union(bound.select("x", "y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    found = _links(common.staged(some, "some"), classes, sets, "some")
+    return found.union(star.where(F.col("linked") & out).select(F.col("c").alias("a"), F.col("m").alias("b")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -223,42 +292,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = common.texts(df, id_col, text_col)
     rows = common.staged(sketches(docs), "sketches")
     classes = common.staged(rows.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.max("registers").alias("registers")), "classes")
-    alive, linked, gray, step = _bands(classes.where("doc IS NOT NULL")), None, [], 0
-    while True:
-        if step == 0:  # one pivot, found by partial aggregation: first buckets may be very large
-            pivots = alive.groupBy("bucket").agg(F.min("cid").alias("a"), F.count("*").alias("size")).where("size > 1").select("bucket", "a")
-            members = alive.join(pivots, "bucket").where("cid != a").select("bucket", "a", F.col("cid").alias("b"), F.lit(False).alias("pivot"))
-        else:  # then eight times as many pivots each round, so the rounds are few
-            placed = alive.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("cid")))
-            pivots = placed.where(F.col("place") <= 8**step).select("bucket", F.col("cid").alias("a"), F.col("place").alias("a_place"))
-            members = placed.join(pivots, "bucket").where("a_place < place").select("bucket", "a", F.col("cid").alias("b"), (F.col("place") <= 8**step).alias("pivot"))
-        members = common.staged(members, f"members-{step}")
-        if members.isEmpty():
-            break
-        found = _confirmed(docs, classes, members.select("a", "b").distinct(), f"pairs-{step}")
-        links = found.where(F.col("j") >= LINK)
-        linked = links if linked is None else linked.unionByName(links)
-        judged = common.staged(members.join(found, ["a", "b"]), f"judged-{step}")
-        gray.append(judged.where(F.col("j") >= GRAY))
-        alive = judged.where("NOT pivot").groupBy("bucket", F.col("b").alias("cid")).agg(F.max("j").alias("j")).where(F.col("j") < LINK).select("bucket", "cid")
-        step += 1
-    if linked is None:
+    bands = _bands(classes.where("doc IS NOT NULL"))
+    pivots = bands.groupBy("bucket").agg(F.min("cid").alias("a"), F.count("*").alias("size")).where("size > 1").select("bucket", "a")
+    pairs = bands.join(pivots, "bucket").where("cid != a").groupBy("a", F.col("cid").alias("b")).agg(F.count("*").alias("shared"))
+    pairs = common.staged(pairs, "pairs")
+    if pairs.isEmpty():
         roots = classes.select(F.col("cid").alias("node"), F.col("cid").alias("root")).limit(0)
     else:
+        sets = _sets(docs, classes, pairs)
+        best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
+        linked = _links(best, classes, sets, "best")
         roots = components(linked)
-        late = None
-        for judged in gray:  # settled and just-missed members of one bucket and pivot
-            at = judged.join(roots.withColumnRenamed("node", "b"), "b", "left").withColumn("root", F.coalesce("root", "b"))
-            x = at.where(F.col("j") >= LINK).select("bucket", "a", F.col("b").alias("x"), F.col("j").alias("jx"), F.col("root").alias("rx"))
-            y = at.where(F.col("j") < LINK).select("bucket", "a", F.col("b").alias("y"), F.col("j").alias("jy"), F.col("root").alias("ry"))
-            more = x.join(y, ["bucket", "a"]).where((F.col("rx") != F.col("ry")) & (F.col("jx") - F.col("jy") <= 1 - LINK + 1e-9))
-            more = more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-            late = more if late is None else late.unionByName(more)
-        late = common.staged(late.distinct(), "late")
-        if not late.isEmpty():
-            extra = _confirmed(docs, classes, late, "late").where(F.col("j") >= LINK)
-            if not extra.isEmpty():
-                roots = components(linked.unionByName(extra))
+        more = _missing(pairs, roots, classes, sets)
+        if more is not None:
+            more = common.staged(more, "more")
+            if not more.isEmpty():
+                roots = components(linked.union(more))
     rooted = classes.select("cid", "doc").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     names = rooted.groupBy("root").agg(F.min("doc").alias("component_id"))
     named = rooted.select("cid", "root").join(names, "root").select("cid", "component_id")
