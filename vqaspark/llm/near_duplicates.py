@@ -7,8 +7,8 @@ truncated scale of one byte (mergeable by maximum).  Bands of eight registers gi
 Pairs within a bucket are never listed.  A bucket's pivot is its least class; each class is confirmed against the pivot with
 which it shares most buckets, and the links give provisional components.  Then every bucket belongs to its pivot's component,
 and what may still be missing are links between members of its buckets that lie in different components.  Those are found
-against a centre c of the component, for any sets x, y: elements that both have are in c, at most min(|x & c|, |y & c|), or
-outside.  So x and y can be linked only if that bound alone allows it, or if they share enough elements outside c, and then
+against a centre c of the component (a member's set with what many members share), for any sets x, y: elements that both
+have are in c, at most min(|x & c|, |y & c|), or outside.  So x and y can be linked only if that bound alone allows it, or if they share enough elements outside c, and then
 the first fifth of these in hash order (prefix filtering) already holds a shared one.  Both are equi-joins whose rows grow
 with the members, not with their pairs; the joint likelihood of two sketches drops what is far below the threshold, and the
 rest is confirmed on full sets.
@@ -224,7 +224,14 @@ def _links(pairs: DataFrame, classes: DataFrame, sets: DataFrame, name: str) ->
     return common.staged(measured, f"{name}-links")
 
 
-def _missing(pairs: DataFrame, roots: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame | None:
+def _rooted(star: DataFrame, roots: DataFrame) -> DataFrame:
+    """star with the components of its members and centres as they are now."""
+    now = lambda p: roots.select(F.col("node").alias(p), F.col("root").alias(f"{p}_root"))
+    found = star.drop("m_root", "c_root").join(now("m"), "m", "left").join(now("c"), "c", "left")
+    return found.withColumns({"m_root": F.coalesce("m_root", "m"), "c_root": F.coalesce("c_root", "c")})
+
+
+def _missing(pairs: DataFrame, linked: DataFrame, roots: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame | None:
     """The links (a, b) between members of a bucket in different provisional components; None if there is no such pair."""
     root = lambda p: roots.select(F.col("node").alias(p), F.col("root").alias(f"{p}_root"))
     placed = pairs.join(root("a"), "a", "left").withColumn("a_root", F.coalesce("a_root", "a")).join(root("b"), "b", "left").withColumn("b_root", F.coalesce("b_root", "b"))
@@ -237,34 +244,52 @@ def _missing(pairs: DataFrame, roots: DataFrame, classes: DataFrame, sets: DataF
 
     def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches):
-            both, sizes, new, linked = [], [], [], []
+            both, sizes, outside, linked = [], [], [], []
             for c, m in zip(b.column(4), b.column(5), strict=True):
                 c, m = np.frombuffer(c.as_py(), np.uint64), np.frombuffer(m.as_py(), np.uint64)
                 inside = _common(c, m)
                 k, n = int(inside.sum()), len(m)
-                # a partner shares at least 0.8 n elements, so at least that less k outside c: a prefix of the rest is enough
-                outside = m[~inside]
-                need = max(1, -(-4 * n // 5) - k)
-                both.append(k), sizes.append(n), linked.append(100 * k >= 80 * (len(c) + n - k))
-                new.append(outside[: max(0, len(outside) - need + 1)].view(np.int64))
+                both.append(k), sizes.append(n), linked.append(100 * k >= 80 * (len(c) + n - k)), outside.append(m[~inside].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(i) for i in range(4)), pa.array(both, pa.int64()), pa.array(sizes, pa.int64()), pa.array(linked, pa.bool_()), pa.array(new, pa.list_(pa.int64()))], names=["r", "m", "m_root", "c", "k", "n", "linked", "new"]
+                [*(b.column(i) for i in range(4)), pa.array(both, pa.int64()), pa.array(sizes, pa.int64()), pa.array(linked, pa.bool_()), pa.array(outside, pa.list_(pa.int64()))], names=["r", "m", "m_root", "c", "k", "n", "linked", "outside"]
             )
 
     joined = members.join(sets.select(F.col("cid").alias("m"), F.col("set").alias("m_set")), "m").join(sets.select(F.col("cid").alias("c"), F.col("set").alias("c_set")), "c")
-    star = joined.select("r", "m", "m_root", "c", "c_set", "m_set").mapInArrow(against, "r binary, m binary, m_root binary, c binary, k long, n long, linked boolean, new array<long>")
+    star = joined.select("r", "m", "m_root", "c", "c_set", "m_set").mapInArrow(against, "r binary, m binary, m_root binary, c binary, k long, n long, linked boolean, outside array<long>")
     star = common.staged(star, "star")
-    side = lambda p, df, *more: df.select("r", F.col("m").alias(p), F.col("m_root").alias(f"{p}_root"), F.col("k").alias(f"{p}_k"), F.col("n").alias(f"{p}_n"), *more)
-    out, sizes = F.col("m_root") != F.col("r"), (F.col("x_n") * 5 >= F.col("y_n") * 4) & (F.col("y_n") * 5 >= F.col("x_n") * 4)
-    told = (F.col("x_root") != F.col("y_root")) & sizes & ((F.col("x_root") == F.col("r")) | (F.col("x") < F.col("y")))
-    element = F.explode("new").alias("element")
-    shared = side("y", star.where(out), element).join(side("x", star, element), ["r", "element"]).where(told)
-    # without a shared element outside c: 1.8 * min(k) >= 0.8 * (n + n), which sets with over a fifth outside never fulfil
-    apart = star.where("5 * k >= 4 * n")
-    bound = side("y", apart.where(out)).join(side("x", apart), "r").where(told & (F.least("x_k", "y_k") * 9 >= (F.col("x_n") + F.col("y_n")) * 4))
+    # what a centre is linked with joins its component first
+    direct = star.where(F.col("linked") & (F.col("m_root") != F.col("r"))).select(F.col("c").alias("a"), F.col("m").alias("b"))
+    linked = linked.union(direct)
+    star = _rooted(star, components(linked))
+    # elements of more than a 16th of a component's members join its centre: few they are, and the others meet few partners
+    limits = star.groupBy("r").agg(F.greatest(F.lit(8), F.count("*") / 16).alias("most"))
+    often = star.select("r", F.explode("outside").alias("element")).groupBy("r", "element").agg(F.count("*").alias("size")).where("size > 8")
+    often = often.join(limits, "r").where("size > most").groupBy("r").agg(F.collect_list("element").alias("often"))
+    new = F.array_sort(F.array_except("outside", F.coalesce("often", F.array().cast("array<long>"))))
+    near = star.join(often, "r", "left").select("r", "m", "c", "m_root", "c_root", "n", (F.col("k") + F.size("outside") - F.size(new)).alias("k"), new.alias("new"))
+    # a partner shares at least 0.8 n elements, so at least that less k outside the centre: a prefix of the rest is enough
+    need = F.greatest(F.lit(1), F.ceil(F.col("n") * 4 / 5) - F.col("k")).cast("int")
+    near = common.staged(near.withColumn("prefix", F.greatest(F.size("new") - need + 1, F.lit(0))), "near")
+    # so does what is linked with the member nearest to the centre so completed
+    out = F.col("m_root") != F.col("c_root")
+    nearest = near.groupBy("r").agg(F.max_by("m", F.struct(2 * F.col("k") - F.col("n"), "m")).alias("a"))
+    second = near.where(out).join(nearest, "r").where("m != a").select("a", F.col("m").alias("b")).distinct()
+    second = _links(second, classes, sets, "second")
+    near = common.staged(_rooted(near, components(linked.union(second))), "near")
+    side = lambda p, df, *more: df.select("r", F.col("m").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in ("m_root", "c_root", "k", "n")), *more)
+    sizes = (F.col("x_n") * 5 >= F.col("y_n") * 4) & (F.col("y_n") * 5 >= F.col("x_n") * 4)
+    told = (F.col("x_m_root") != F.col("y_m_root")) & sizes & ((F.col("x_m_root") == F.col("x_c_root")) | (F.col("x") < F.col("y")))
+    # linked: 1.8 times the shared elements is 0.8 * (n + n) at least
+    lacking = (F.col("x_n") + F.col("y_n")) * 4 - F.least("x_k", "y_k") * 9
+    parts = near.select("r", "m", "m_root", "c_root", "k", "n", F.size("new").alias("size"), F.posexplode(F.slice("new", F.lit(1), F.col("prefix"))).alias("place", "element"))
+    rest = lambda p: [(F.col("size") - F.col("place")).alias(f"{p}_rest"), "element"]
+    # from the first shared element on, in the order of both, as many are left as are lacking
+    shared = side("y", parts.where(out), *rest("y")).join(side("x", parts, *rest("x")), ["r", "element"]).where(told & (F.least("x_rest", "y_rest") * 9 >= lacking))
+    apart = near.where("5 * k >= 4 * n")  # without a shared element outside the centre
+    bound = side("y", apart.where(out)).join(side("x", apart), "r").where(told & (lacking <= 0))
     some = shared.select("x", "y").union(bound.select("x", "y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     found = _links(common.staged(some, "some"), classes, sets, "some")
-    return found.union(star.where(F.col("linked") & out).select(F.col("c").alias("a"), F.col("m").alias("b")))
+    return found.union(direct).union(second)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -303,7 +328,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
         linked = _links(best, classes, sets, "best")
         roots = components(linked)
-        more = _missing(pairs, roots, classes, sets)
+        more = _missing(pairs, linked, roots, classes, sets)
         if more is not None:
             more = common.staged(more, "more")
             if not more.isEmpty():
