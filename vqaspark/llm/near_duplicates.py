@@ -257,25 +257,23 @@ def _missing(pairs: DataFrame, linked: DataFrame, roots: DataFrame, classes: Dat
     joined = members.join(sets.select(F.col("cid").alias("m"), F.col("set").alias("m_set")), "m").join(sets.select(F.col("cid").alias("c"), F.col("set").alias("c_set")), "c")
     star = joined.select("r", "m", "m_root", "c", "c_set", "m_set").mapInArrow(against, "r binary, m binary, m_root binary, c binary, k long, n long, linked boolean, outside array<long>")
     star = common.staged(star, "star")
-    # what a centre is linked with joins its component first
-    direct = star.where(F.col("linked") & (F.col("m_root") != F.col("r"))).select(F.col("c").alias("a"), F.col("m").alias("b"))
-    linked = linked.union(direct)
-    star = _rooted(star, components(linked))
+    out = F.col("m_root") != F.col("r")
+    direct = star.where(F.col("linked") & out).select(F.col("c").alias("a"), F.col("m").alias("b"))
     # elements of more than a 16th of a component's members join its centre: few they are, and the others meet few partners
     limits = star.groupBy("r").agg(F.greatest(F.lit(8), F.count("*") / 16).alias("most"))
     often = star.select("r", F.explode("outside").alias("element")).groupBy("r", "element").agg(F.count("*").alias("size")).where("size > 8")
     often = often.join(limits, "r").where("size > most").groupBy("r").agg(F.collect_list("element").alias("often"))
     new = F.array_sort(F.array_except("outside", F.coalesce("often", F.array().cast("array<long>"))))
-    near = star.join(often, "r", "left").select("r", "m", "c", "m_root", "c_root", "n", (F.col("k") + F.size("outside") - F.size(new)).alias("k"), new.alias("new"))
+    near = star.join(often, "r", "left").select("r", "m", "c", "m_root", "linked", "n", (F.col("k") + F.size("outside") - F.size(new)).alias("k"), new.alias("new"))
     # a partner shares at least 0.8 n elements, so at least that less k outside the centre: a prefix of the rest is enough
     need = F.greatest(F.lit(1), F.ceil(F.col("n") * 4 / 5) - F.col("k")).cast("int")
     near = common.staged(near.withColumn("prefix", F.greatest(F.size("new") - need + 1, F.lit(0))), "near")
-    # so does what is linked with the member nearest to the centre so completed
-    out = F.col("m_root") != F.col("c_root")
+    # what a centre, or the member nearest to it so completed, is linked with joins its component first
     nearest = near.groupBy("r").agg(F.max_by("m", F.struct(2 * F.col("k") - F.col("n"), "m")).alias("a"))
-    second = near.where(out).join(nearest, "r").where("m != a").select("a", F.col("m").alias("b")).distinct()
+    second = near.where(out & ~F.col("linked")).join(nearest, "r").where("m != a").select("a", F.col("m").alias("b")).distinct()
     second = _links(second, classes, sets, "second")
-    near = common.staged(_rooted(near, components(linked.union(second))), "near")
+    near = common.staged(_rooted(near, components(linked.union(direct).union(second))), "near")
+    out = F.col("m_root") != F.col("c_root")
     side = lambda p, df, *more: df.select("r", F.col("m").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in ("m_root", "c_root", "k", "n")), *more)
     sizes = (F.col("x_n") * 5 >= F.col("y_n") * 4) & (F.col("y_n") * 5 >= F.col("x_n") * 4)
     told = (F.col("x_m_root") != F.col("y_m_root")) & sizes & ((F.col("x_m_root") == F.col("x_c_root")) | (F.col("x") < F.col("y")))
