@@ -28,7 +28,9 @@ def jsonl_records(spark: SparkSession, path: str, schema: str | StructType = CON
 
 def quarantined(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(good rows, bad lines) of a JSONL file; no line is lost."""
-    rows = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    # lines are parsed here, not by the JSON source, whose corrupt records cannot be queried by themselves
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    rows = spark.read.text(path).where("trim(value) != ''").select(F.from_json("value", f"{schema}, _corrupt_record string", options).alias("row")).select("row.*")
     return rows.where("_corrupt_record IS NULL").drop("_corrupt_record"), rows.where("_corrupt_record IS NOT NULL").select("_corrupt_record")
 
 
