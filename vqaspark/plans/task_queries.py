@@ -91,12 +91,12 @@ def task_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record(p, ask("status", F.col("name")), F.concat(F.when(F.col("closed"), "closed_").otherwise("opened_"), "name"))
 
 
-@query(PARTS + """, k AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY CASE WHEN n > 10 THEN -w * h ELSE 0 END, link, id, object) AS r FROM (SELECT *, count(*) OVER (PARTITION BY image) AS n FROM parts)),
+@query(PARTS + """, k AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY CASE WHEN n > 10 THEN -w * h ELSE 0 END, link, id, object, name, cx, cy, w, h, angle) AS r FROM (SELECT *, count(*) OVER (PARTITION BY image) AS n FROM parts)),
 g AS (SELECT image, CAST(least(max(n), 10) AS BIGINT) AS n, string_agg('<rb>' || name || '</rb>' || """ + _numbers(*BOX) + """, ',' ORDER BY r) AS boxes FROM k WHERE r <= 10 GROUP BY image)
 SELECT image, CASE WHEN n = 1 THEN 'There is one part: ' ELSE 'There are ' || ['one','two','three','four','five','six','seven','eight','nine','ten','eleven'][n] || ' parts: ' END || boxes || '.' AS answer FROM g""")
 def task_det_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = parts(spark, sf_dir).withColumn("n", F.count("*").over(Window.partitionBy("image")))
-    order = Window.partitionBy("image").orderBy(F.when(F.col("n") > 10, -F.col("w") * F.col("h")).otherwise(F.lit(0)), "link", "id", "object")
+    order = Window.partitionBy("image").orderBy(F.when(F.col("n") > 10, -F.col("w") * F.col("h")).otherwise(F.lit(0)), "link", "id", "object", "name", *BOX)
     top = p.withColumn("r", F.row_number().over(order)).where("r <= 10").select("image", "r", tagged("rb", F.col("name"), numbers(*BOX)).alias("box"))
     listed = top.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("r", "box"))).alias("b"))
     return listed.select("image", enumeration(F.transform("b", lambda b: b["box"])).alias("answer"))
@@ -169,12 +169,12 @@ def task_status_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record(p, ask("status", F.col("name")), F.concat(F.when(F.col("closed"), "closed_").otherwise("opened_"), "name", F.lit(" "), axis_3d()))
 
 
-@query(PARTS + f""", k AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY CASE WHEN n > 10 THEN -w * h ELSE 0 END, link, id, object) AS r FROM (SELECT *, count(*) OVER (PARTITION BY image) AS n FROM parts)),
+@query(PARTS + f""", k AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY CASE WHEN n > 10 THEN -w * h ELSE 0 END, link, id, object, name, cx, cy, w, h, angle) AS r FROM (SELECT *, count(*) OVER (PARTITION BY image) AS n FROM parts)),
 g AS (SELECT image, CAST(least(max(n), 10) AS BIGINT) AS n, string_agg('<box>' || name || '</box>[' || {AXIS3} || ']', ',' ORDER BY r) AS boxes FROM k WHERE r <= 10 GROUP BY image)
 SELECT image, CASE WHEN n = 1 THEN 'There is one part: ' ELSE 'There are ' || ['one','two','three','four','five','six','seven','eight','nine','ten','eleven'][n] || ' parts: ' END || boxes || '.' AS answer FROM g""")
 def task_det_all_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = parts(spark, sf_dir).withColumn("n", F.count("*").over(Window.partitionBy("image")))
-    order = Window.partitionBy("image").orderBy(F.when(F.col("n") > 10, -F.col("w") * F.col("h")).otherwise(F.lit(0)), "link", "id", "object")
+    order = Window.partitionBy("image").orderBy(F.when(F.col("n") > 10, -F.col("w") * F.col("h")).otherwise(F.lit(0)), "link", "id", "object", "name", *BOX)
     box = tagged("box", F.col("name"), F.concat(F.lit("["), axis_3d(), F.lit("]")))
     top = p.withColumn("r", F.row_number().over(order)).where("r <= 10").select("image", "r", box.alias("box"))
     listed = top.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("r", "box"))).alias("b"))
