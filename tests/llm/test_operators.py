@@ -347,6 +347,33 @@ def test_every_license_line_is_found(spark):
         assert (got[r.doc_id] > 0) == any(x in r.text for x in lines)
 
 
+def test_standard_notices():
+    scan = license_scan.Scanner().scan
+    found = lambda text: [x[0] for x in scan(text)]
+    for name, what, kind, version in (("GPL-2.0", "program", "", "2"), ("GPL-3.0", "program", "", "3"), ("LGPL-2.1", "library", "Lesser ", "2.1"), ("LGPL-3.0", "program", "Lesser ", "3"), ("AGPL-3.0", "program", "Affero ", "3")):
+        notice = (
+            f"This {what} is free software; you can redistribute it and/or\nmodify it under the terms of the GNU {kind}General Public\nLicense as published by the Free Software Foundation; either\n"
+            f"version {version} of the License, or (at your option) any later version."
+        )
+        for text in (notice, notice.replace("\n", " "), "# " + notice.replace("\n", "\n# ") + "\n#\n# See the source.", notice.upper(), notice.replace(f"This {what}", "Foo")):
+            assert found(text) == [name], text
+    clauses = [
+        "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+        "1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.",
+        "2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.",
+        "3. Neither the name of the University nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.",
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"\nAND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.',
+    ]
+    assert found("\n\n".join(clauses)) == ["BSD-3-Clause"] and found("\n\n".join(clauses[:3] + clauses[4:])) == ["BSD-2-Clause"]
+    assert found("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0.") == ["MPL-2.0"]
+    # each of several licenses in a block, with its own place
+    two = "Licensed under the Apache License, Version 2.0.\nLicensed under CC BY-NC 4.0. MIT License."
+    assert [(n, two[s:e]) for n, s, e, _, _ in scan(two)] == [("Apache-2.0", two[:46]), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"), ("MIT", "MIT License")]
+    # another name or version between is no difference of wording; what differs is counted
+    assert not found("Sie kam mit ihm, and he got his driving license.") and not found("under the GNU Frob General Public License version 7") and found("Attribution NonCommercial 4.0, a Creative Commons license") == []
+    assert scan("licensed under the GNU General Public License, version 3.")[0][4] == 0 < scan("under the GNU General Public License version 3.")[0][4]
+
+
 # pipeline --------------------------------------------------------------------------------------------------------------
 def test_pipeline(spark):
     import corpus_pipeline as C
