@@ -261,6 +261,24 @@ def test_secrets(spark, docs):
     assert secret_scan.find_secrets(docs.limit(0)).count() == 0
 
 
+def test_secrets_within_names_paths_and_queries(spark, docs):
+    rng = random.Random(3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    draw = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    keys = ["7" + draw(letters + "0123456789+/", 38) + "k", draw(letters + "0123456789", 36), draw(letters + "0123456789", 32), draw(letters + "0123456789", 36), draw(letters, 32), draw(letters, 36)]
+    prose = "The settings of the old server were written down by somebody who left the company years ago and never came back. "
+    texts = [
+        f"{prose}export AWS_SECRET_ACCESS_KEY={keys[0]}\n", f"{prose}GH_PAT={keys[1]}", f"{prose}see https://example.org/my_files/list?sig={keys[2]}&x=1", f"{prose}in /home/some_user/of-all/{keys[3]}/some-notes",
+        f"{prose}key {keys[4]} here", f"{prose}MY_KEY={keys[5]}",
+    ]
+    words = ["the InternationalOrganizationOfStandards", "an /usr/local/share_of/some-more/InternationalOrganization", "Donaudampfschifffahrtsgesellschaft"]
+    got = {r.doc_id: r for r in secret_scan.find_secrets(frame(spark, texts + words).select("doc_id", "text").union(docs.select(F.col("doc_id") + 1000, "text"))).collect()}
+    for i, (text, key) in enumerate(zip(texts, keys, strict=True)):
+        kind, start, end = got[i].spans.split(":")
+        assert kind == "random" and key in text[int(start) : int(end)] and (i == 3 or len(key) == int(end) - int(start)), (text, got[i].spans)
+    assert not any(r.n_random for i, r in got.items() if i is not None and i >= len(texts))
+
+
 def test_randomness_tells_language():
     rng = random.Random(4)
     hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(50)]

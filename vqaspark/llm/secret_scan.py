@@ -1,10 +1,12 @@
 """Operator 9: secrets by patterns and by a battery of randomness tests.
 
-Patterns find assigned values, access keys and hexadecimal runs.  Besides, every long token that mixes letters and digits is
-tested for randomness in the alphabet it seems to use: chi-squared uniformity of its characters, the runs test about the
+Patterns find assigned values, access keys and hexadecimal runs.  Besides, every long token that mixes letters and digits, or
+small and capital letters, is tested for randomness in the alphabet it seems to use, and so are its long parts between the
+signs that join names and paths: chi-squared uniformity of its characters, the runs test about the
 middle of the alphabet and lag-one serial correlation, put together by Fisher's rule.  Stretches of each document's running
 letters show how often language of a given length looks random by chance; with those counts, over all documents, each length
-class gets the threshold that holds the expected share of false finds at most at ``FALSE_SHARE``.
+class of whole tokens, of parts and of tokens without a digit gets the threshold that holds the expected share of false finds
+at most at ``FALSE_SHARE``.
 """
 
 from __future__ import annotations
@@ -28,6 +30,13 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # shorter runs fail in any case
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16
+#: What a part of a token may lie between: a name's or a query's equals signs, and within those a path's or a name's signs.
+WITHIN = tuple(re.compile(x) for x in (r"[^/]+", r"[^_-]+", r"[^/_+-]+"))
+#: Small before capital letter, as names of several words and nearly all random strings without a digit have.
+MIXED = re.compile(r"[a-z][A-Z]")
+#: Whole tokens and parts with a digit, and either without one, have thresholds of their own, so that no sort's language hides another's secrets.
+SORTS = 3
 #: Encodings from the narrowest on: alphabet in order.
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ENCODINGS = (DIGITS + "abcdef", DIGITS + "ABCDEF", UPPER + "234567", DIGITS + LOWER, DIGITS + UPPER, UPPER + LOWER + DIGITS, UPPER + LOWER + DIGITS + "+/", UPPER + LOWER + DIGITS + "-_")
@@ -81,14 +90,44 @@ def randomness(token: str) -> float:
     return -sum(math.log(max(p, 1e-300)) for p in (uniform, in_runs, serial))
 
 
+def _parts(run: str) -> list[tuple[int, int]]:
+    """(start, end) of the run and of its parts of ``LEAST`` characters at least, without joining signs at the ends; the run is first."""
+    found = [(0, len(run))]
+    for m in re.finditer("[^=]+", run):
+        found += [m.span(), *(x.span() for split in WITHIN for x in split.finditer(run, *m.span()))]
+    out = {}
+    for start, end in found:
+        core = run[start:end].strip("-_+/=")
+        if len(core) >= LEAST:
+            at = run.index(core, start)
+            out[at, at + len(core)] = None
+    return list(out)
+
+
 def tokens(text: str) -> list[tuple[int, int, int, int]]:
-    """(start, end, length class, score bin) of the long tokens that mix letters and digits."""
+    """(start, end, class, score bin) of the long tokens that mix letters and digits or small and capital letters, and of their long parts.
+
+    The class is the sort times the number of length classes, plus the length class.
+    """
     out = []
     for m in TOKEN.finditer(text):
-        core = m.group().strip("-_+/=")
-        if len(core) >= 16 and any(c.isdigit() for c in core) and any(c.isalpha() for c in core):
-            at = m.start() + m.group().index(core)
-            out.append((at, at + len(core), next(i for i, top in enumerate(LENGTHS) if len(core) < top), _bin(core)))
+        whole = m.group().strip("-_+/=")
+        for start, end in _parts(m.group()):
+            core = m.group()[start:end]
+            digit = any(c.isdigit() for c in core)
+            if digit and any(c.isalpha() for c in core) or MIXED.search(core):
+                sort = 2 if not digit else 0 if len(core) == len(whole) else 1
+                length = next(i for i, top in enumerate(LENGTHS) if len(core) < top)
+                out.append((m.start() + start, m.start() + end, sort * len(LENGTHS) + length, _bin(core)))
+    return out
+
+
+def outermost(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest spans, of equals the first, without those that meet a longer one."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans, key=lambda x: (x[0] - x[1], x[0])):
+        if not any(s < y and x < e for x, y in out):
+            out.append((s, e))
     return out
 
 
@@ -96,6 +135,16 @@ def _bin(string: str) -> int:
     return min(BINS - 1, int(2 * min(randomness(string), 1e6)))
 
 
+def without(text: str, spans: list[tuple[int, int, int, int]]) -> str:
+    """The text less the spans: what is to be judged is no sample of language."""
+    at, out = 0, []
+    for s, e, *_ in sorted(spans):
+        if s > at:
+            out.append(text[at:s])
+        at = max(at, e)
+    return "".join([*out, text[at:]])
+
+
 def language(text: str) -> list[int]:
     """Class and score bin, as one number, of one stretch of the text's running letters for each length class.
 
@@ -116,7 +165,7 @@ def scanned(df: DataFrame) -> DataFrame:
             for text in b.column(1).to_pylist():
                 base.append(base_spans(text))
                 odd.append(tokens(text))
-                plain.append(language(text))
+                plain.append(language(without(text, odd[-1])))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(base, triple), pa.array(odd, triple), pa.array(plain, pa.list_(pa.int32()))], names=["doc_id", "base", "candidates", "language"])
 
     return df.mapInArrow(run, "doc_id long, base array<array<long>>, candidates array<array<long>>, language array<int>")
@@ -142,20 +191,22 @@ def thresholds(null_counts: dict[int, int], candidates: dict[int, int], share: f
 def find_secrets(df: DataFrame, share: float = FALSE_SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random) for every row.
 
-    Spans are kind:start:end in code points, end exclusive; random ones are added where they meet no base span.  The first
-    pass is written to the shared folder; two histograms of a fixed number of bins reach the driver.  A null or empty text has
-    no span; a null id stays null; repeated rows give repeated results; further columns are not read.
+    Spans are kind:start:end in code points, end exclusive; random ones are added where they meet no base span, and of
+    overlapping ones the longest.  The first pass is written to the shared folder; two histograms of a fixed number of bins
+    reach the driver.  A null or empty text has no span; a null id stays null; repeated rows give repeated results; further
+    columns are not read.
     """
     found = common.staged(scanned(common.texts(df, id_col, text_col)), "secrets")
     null_counts = {r.bin: r.n for r in found.select(F.explode("language").alias("bin")).groupBy("bin").agg(F.count("*").alias("n")).collect()}
     odd = found.select(F.explode("candidates").alias("x")).groupBy((F.col("x")[2] * BINS + F.col("x")[3]).cast("int").alias("bin")).agg(F.count("*").alias("n"))
-    limit = thresholds(null_counts, {r.bin: r.n for r in odd.collect()}, share)
+    counts, size = {r.bin: r.n for r in odd.collect()}, len(LENGTHS) * BINS
+    limit = [x for sort in range(SORTS) for x in thresholds(null_counts, {k % size: n for k, n in counts.items() if k // size == sort}, share)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for base, candidates in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                more = [(s, e, 3) for s, e, c, v in candidates if v <= limit[c] and not any(s < y and x < e for x, y, _ in base)]
+                more = [(s, e, 3) for s, e in outermost([(s, e) for s, e, c, v in candidates if v <= limit[c] and not any(s < y and x < e for x, y, _ in base)])]
                 text = ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in base)
                 whole = ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in sorted([*map(tuple, base), *more], key=lambda x: (x[0], x[2])))
                 rows.append((*(sum(k == i for _, _, k in base) for i in range(3)), hashlib.sha256(text.encode()).hexdigest(), whole, len(more)))
