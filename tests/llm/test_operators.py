@@ -332,6 +332,19 @@ def test_html():
     assert html_text.main_text("<div>" * 30000 + "deep" + "</div>" * 5) == "deep"
 
 
+def test_marks_of_the_article_itself():
+    text = "Long plain sentences, without links, make up the article that the reader came for on this day. " * 6
+    side = '<div class="sidebar"><a href="/a">Other pages</a> and more</div><div class="ad">Buy this now</div>'
+    for opening in ('div class="content has-sidebar"', 'div class="no-sidebar"', 'div id="content-with-sidebar"', 'article class="post comment-open"', 'div class="ad-free"', 'div class="search-result"', 'div class="sidebar right"'):
+        for page in (f"<body><{opening}><p>{text}</p><p>{text}</p></{opening.split()[0]}>{side}</body>", f"<body><{opening}><p>{text}</p>{side}</{opening.split()[0]}></body>"):
+            got = html_text.main_text(page)
+            assert text.strip() in got and "Buy this" not in got and "Other pages" not in got, (opening, got)
+    # reader comments stay out, even if longer than the article before them
+    comments = f'<div id="comments"><article class="comment"><p>{"I do not agree. " * 99}</p></article></div>'
+    for page in (f"<body><main><p>{text}</p></main>{comments}</body>", f'<body><div class="with-sidebar"><article><p>{text}</p></article></div>{comments}</body>'):
+        assert html_text.main_text(page) == text.strip()
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", None, 9), (None, None, "<p>x", 9), (1, "u", None, 9)], "page_id long, url string, html string, text int")
     assert rows(html_text.extract(df), "page_id", "text", "n_chars") == sorted([(1, "", 0), (1, "", 0), (None, "x", 1)], key=repr)

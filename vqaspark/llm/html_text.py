@@ -1,7 +1,8 @@
 """Operator 8: main text of web pages by composite text density.
 
-A page becomes a tree of elements; what carries no article text by its element, role, class or visibility (menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, reader comments) is left out.  Every remaining node has its characters,
+A page becomes a tree of elements; what carries no article text by its element, role or visibility (menus, headers, footers,
+forms, scripts) is left out, and what a class or id marks as surroundings (sidebars, notices, adverts, reader comments) is
+left out where its share of the text or its density agrees.  Every remaining node has its characters,
 tags, link characters and link tags; the composite density is characters per tag, lowered by the share of links.  The node
 with the greatest sum of its children's densities is the core of the article, the least density on its path to the body is
 the threshold, and the smallest containing element that holds the core and all nodes above the threshold, or the article or
@@ -37,40 +38,54 @@ MARKS = frozenset(
     gdpr header login masthead menu modal nav navbar navigation newsletter notice notification overlay pager pagination paywall popup promo promoted promotion recommended related respond
     replies search share sharing shares sidebar signup skip social sponsor sponsored subscribe subscription tagcloud toolbar topbar tracking widget widgets""".split()
 )
+#: Beside these, a mark tells of the layout of the element that has it.
+BEFORE, AFTER = frozenset("no has with without".split()), frozenset("open closed free enabled disabled".split())
+#: Marks of readers' comments.
+REPLIES = frozenset("comment comments commentlist disqus replies respond".split())
+#: A marked element with a smaller share of the unlinked characters is left out; up to half of them, if its density is low.
+SMALL_SHARE = 1 / 3
 #: An opening tag of the first kind ends an open element of the second, within the third.
 CLOSES_P = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dt dd tr td th".split())
 SAME = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "dropped", "marks", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped, self.parts = tag, parent, dropped, []  # parts: texts and nodes in order
+    def __init__(self, tag: str, parent: Node | None, dropped: bool, marks: frozenset[str] = frozenset()):
+        self.tag, self.parent, self.dropped, self.marks, self.parts = tag, parent, dropped, marks, []  # parts: texts and nodes in order
+        self.clear()
+
+    def clear(self) -> None:
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _marked(tag: str, attributes: str, parent: Node) -> bool:
+def _marked(tag: str, attributes: str, parent: Node) -> tuple[bool, frozenset[str]]:
+    """Whether the element has no article text in any case, and the marks of its class and id."""
+    none: frozenset[str] = frozenset()
     if tag in NO_TEXT:
-        return True
+        return True, none
     if tag == "header":
         up = parent
         while up is not None and up.tag not in ("article", "main"):
             up = up.parent
         if up is None:
-            return True
+            return True, none
     if not attributes or tag in ("html", "body", "main"):
-        return False
+        return False, none
     got = {}
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         got.setdefault(name.lower(), a or b or c)
     if "hidden" in got or got.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", got.get("style", ""), re.I):
-        return True
+        return True, none
     if got.get("role", "").lower() in ROLES:
-        return True
-    words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{got.get('class', '')} {got.get('id', '')}").lower()))
-    return bool(words & MARKS)
+        return True, none
+    marks = set()
+    for name in re.sub(r"([a-z])([A-Z])", r"\1-\2", f"{got.get('class', '')} {got.get('id', '')}").lower().split():
+        words = re.findall("[a-z]+", name)
+        marks |= {w for a, w, z in zip(["", *words], words, [*words[1:], ""], strict=False) if w in MARKS and a not in BEFORE and z not in AFTER}
+    return False, frozenset(marks)
 
 
 def parse(page: str) -> Node:
@@ -112,7 +127,8 @@ def parse(page: str) -> Node:
                     if tag != "tr" or up.tag == "tr":
                         break
                 up = up.parent
-        node = Node(tag, here, here.dropped or _marked(tag, m[3], here))
+        dropped, marks = _marked(tag, m[3], here)
+        node = Node(tag, here, here.dropped or dropped, marks)
         here.parts.append(node)
         if tag in RAW:
             low = low or page.lower()
@@ -165,7 +181,43 @@ def measure(nodes: list[Node]) -> None:
         node.total = sum(x.density for x in node.parts if isinstance(x, Node) and not x.dropped)
 
 
+def drop_marked(root: Node) -> None:
+    """Leave out marked elements, but none that holds an article or main element or most of the text around it.
+
+    Readers' comments beside an article or main element go whatever their length.  The text around an element is that of the article or main element that holds it, or else of the body.
+    """
+    nodes = _walk(root)
+    if not any(n.marks for n in nodes):
+        return
+    measure(nodes)
+    body = next((n for n in nodes if n.tag == "body"), root)
+    around: dict[int, Node] = {id(root): body}
+    holders: set[int] = set()
+    real = False  # an article or main element with text, not one reader's comment
+    for n in nodes:
+        up = n.parent
+        if up is not None:
+            around[id(n)] = up if up.tag in ("article", "main") else around[id(up)]
+        if n.tag in ("article", "main") and n.chars and not n.marks & REPLIES:
+            real = True
+            while n is not None and id(n) not in holders:
+                holders.add(id(n))
+                n = n.parent
+    for n in nodes:
+        if not n.marks:
+            continue
+        whole, own = around[id(n)], n.chars - n.link_chars
+        share = own / max(1, whole.chars - whole.link_chars)
+        if id(n) in holders and not (n.tag == "article" and whole.tag in ("article", "main")):
+            continue
+        below = real and whole.tag not in ("article", "main") and n.marks & REPLIES  # comments on an article may be longer than it
+        n.dropped = bool(below) or share < SMALL_SHARE or share <= 0.5 and n.density < whole.density
+    for n in nodes:
+        n.clear()
+
+
 def article(root: Node) -> Node:
+    drop_marked(root)
     nodes = _walk(root)
     measure(nodes)
     body = next((n for n in nodes if n.tag == "body"), root)
