@@ -81,6 +81,12 @@ def test_joins(spark):
     assert [r.v for r in joins.last_wins(twice, ["p"], "o").collect()] == [9]
 
 
+def test_prefixes_of_any_length(spark):
+    left = spark.createDataFrame([("x" * 100 + "y",), ("ab",), (None,)], "k string")
+    right = spark.createDataFrame([("x" * 65, 1), ("x" * 101, 2), ("x" * 100 + "y", 3), ("abc", 4), ("a", 5), (None, 6)], "p string, v int")
+    assert sorted(r.v for r in joins.prefix_join(left, right, "k", "p").collect()) == [1, 3, 5]
+
+
 def test_rectangle():
     turn = np.array([[np.cos(0.4), -np.sin(0.4)], [np.sin(0.4), np.cos(0.4)]])
     p = np.array([[x, y] for x in range(9) for y in range(4)]) @ turn.T

@@ -25,15 +25,11 @@ def rule_join(left: DataFrame, rules: DataFrame, on: Column, key: list[str], bes
     return met.groupBy(*key).agg(*(F.first(c).alias(c) for c in mine), F.max_by(F.struct(*rest), best).alias("_r")).select(*key, *mine, *(F.col("_r")[c].alias(c) for c in rest))
 
 
-def prefixes(c: Column, least: int = 1, most: int = 64) -> Column:
-    """All prefixes of a string: turns a prefix join into an equality."""
-    n = F.least(F.length(c), F.lit(most))
-    return F.when(n >= least, F.transform(F.sequence(F.lit(least), F.greatest(n, F.lit(least))), lambda i: F.substring(c, F.lit(1), i))).otherwise(F.array().cast("array<string>"))
-
-
 def prefix_join(left: DataFrame, right: DataFrame, key: str, prefix: str) -> DataFrame:
-    """Inner join where ``prefix`` begins ``key``, as an equality of generated prefixes (both sides may be large)."""
-    return left.withColumn(prefix, F.explode(prefixes(F.col(key)))).join(right, prefix)
+    """Inner join where ``prefix`` begins ``key``, as an equality of prefixes of the lengths that occur (both sides may be large)."""
+    lengths = right.select(F.length(prefix).alias("_length")).distinct()
+    cut = left.join(F.broadcast(lengths), F.length(key) >= F.col("_length")).withColumn(prefix, F.substring(F.col(key), F.lit(1), F.col("_length"))).drop("_length")
+    return cut.join(right, prefix)
 
 
 def outer_merge(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
