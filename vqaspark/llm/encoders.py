@@ -1,8 +1,9 @@
 """Token ids by a public vocabulary, remembered by word.
 
 A text whose characters all lie in the plain Latin range splits at white space into units that the vocabulary's rules treat
-apart from each other; each distinct unit goes through the tokenizer once and its ids are looked up from then on.  Any other
-text (other scripts, combining marks, special strings, runs of blanks) goes through the tokenizer whole.
+apart from each other.  A batch's distinct units are found by Arrow's dictionary encoding; each goes through the tokenizer
+once and its ids are looked up from then on, and numpy puts the ids of the texts together.  Any other text (other scripts,
+combining marks, special strings, runs of blanks) goes through the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -12,9 +13,15 @@ import os
 import re
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Characters that neither compose, nor change length in lower case, nor count as white space for one library only.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-įĲ-ňŊ-ſ]*")
 CACHE_UNITS = 400_000
+#: Signs outside the plain range, one of which stands between units that go through the tokenizer together.
+SIGNS = "❤✨♥☺♡★☆✔…•→€™–—"
 
 
 def load(path: str):
@@ -25,7 +32,7 @@ def load(path: str):
 
 
 #: A word with punctuation after it: two pre-tokens under either vocabulary's rule.
-TAILED = re.compile("([A-Za-zÀ-ÖØ-öø-ſ]+)([.,;:!?]+)")
+TAILED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ſ]+)([!-/:-@\[-`{-~]+)")
 
 
 @functools.cache
@@ -34,81 +41,94 @@ def encoder(path: str) -> CachedEncoder:
     return CachedEncoder(path)
 
 
-class _Units(dict):
-    """Looks units up; what is missing is noted and stands as nothing until it is learnt.
-
-    At the limit the units become the older generation; those that are met again come back from it.
-    """
-
-    def __init__(self):
-        self.missing: set[str] = set()
-        self.older: dict[str, bytes] = {}
-
-    def __missing__(self, unit: str) -> bytes:
-        found = self.older.get(unit)
-        if found is None:
-            self.missing.add(unit)
-            return b""
-        self[unit] = found
-        return found
-
-    def shrink(self, limit: int) -> None:
-        if len(self) > limit:
-            self.older = dict(self)
-            self.clear()
-
-
 class CachedEncoder:
     """encode(texts) gives each text's ids as little-endian unsigned 16-bit bytes, as the library without added tokens."""
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
         self.by_blank = self.tokenizer.normalizer is None  # byte level: the blank belongs to the word after it
-        self.units, self.first, self.tails = _Units(), _Units(), {}
+        self.units: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
         if self.tokenizer.get_vocab_size(with_added_tokens=True) > 65_536:
             raise ValueError("ids need more than 16 bits")
+        # between units, a sign that is one pre-token with one id and stands in no plain unit
+        self.between, self.sign = next((f" {c} ", found[0]) for c in SIGNS if len(found := self._ids(f" {c}")) == 1)
 
-    def _pieces(self, text: str) -> list[str] | None:
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _plain(self, text: str) -> bool:
         if not PLAIN.fullmatch(text) or "<|" in text:
-            return None
-        if not self.by_blank:
-            return text.lower().split()
-        if "  " in text or "\n " in text or "\r " in text or "\t " in text or text[-1:] == " " or text[:1] == " ":
-            return None
-        return text.split(" ")
-
-    def _learn(self, units: set[str], into: _Units, lead: str) -> None:
+            return False
+        return not self.by_blank or not ("  " in text or "\n " in text or "\r " in text or "\t " in text or text[-1:] == " " or text[:1] == " ")
+
+    def _learn(self, units: list[str]) -> None:
         tailed = {u: m for u in units if (m := TAILED.fullmatch(u))}
         whole = [u for u in units if u not in tailed]
-        whole += [c for c in {m[1] for m in tailed.values()} if c not in into and c not in units]
-        found = self.tokenizer.encode_batch_fast([lead + u for u in whole], add_special_tokens=False)
-        into.update((u, array("H", e.ids).tobytes()) for u, e in zip(whole, found, strict=True))
+        whole += {m[1] for m in tailed.values()}.difference(self.units, whole)
+        lead = " " if self.by_blank else ""
+        joined = []
+        for u in whole:
+            if u and u.strip() == u:
+                joined.append(u)
+            else:  # white space at an end would meet the sign's
+                self.units[u] = array("H", self._ids(lead + u)).tobytes()
+        groups = [joined[i : i + 256] for i in range(0, len(joined), 256)]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([lead + self.between.join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u2")
+            at = [0, *(np.flatnonzero(ids == self.sign) + 1).tolist(), len(ids) + 1]
+            if len(at) != len(group) + 1:
+                raise ValueError("the sign between units stands in a unit")
+            raw = ids.tobytes()
+            self.units.update((u, raw[2 * i : 2 * j - 2]) for u, i, j in zip(group, at[:-1], at[1:], strict=True))
         for u, m in tailed.items():
             if m[2] not in self.tails:
-                self.tails[m[2]] = array("H", self.tokenizer.encode(m[2], add_special_tokens=False).ids).tobytes()
-            into[u] = into[m[1]] + self.tails[m[2]]
-
-    def _look(self, split: list, into: _Units, lead: str) -> list:
-        get = into.__getitem__
-        out = [None if p is None else b"".join(map(get, p)) for p in split]
-        if into.missing:
-            new, into.missing = into.missing, set()
-            again = [i for i, p in enumerate(split) if p is not None and not new.isdisjoint(p)]
-            self._learn(new, into, lead)
-            for i in again:
-                out[i] = b"".join(map(get, split[i]))
-        return out
+                self.tails[m[2]] = array("H", self._ids(m[2])).tobytes()
+            self.units[u] = self.units[m[1]] + self.tails[m[2]]
+
+    def _look(self, units: list[str]) -> list[bytes]:
+        """Ids of distinct units.  At the limit the units become the older generation; those met again come back from it."""
+        found = list(map(self.units.get, units))
+        new = [i for i, f in enumerate(found) if f is None]
+        if new:
+            back = {u: f for i in new if (f := self.older.get(u := units[i])) is not None}
+            self.units.update(back)
+            self._learn([units[i] for i in new if units[i] not in back])
+            for i in new:
+                found[i] = self.units[units[i]]
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        self.units.shrink(CACHE_UNITS)
-        self.first.shrink(CACHE_UNITS // 8)
+        if len(self.units) > CACHE_UNITS:
+            self.units, self.older = {}, self.units
         if len(self.tails) > 10_000:
             self.tails.clear()
-        split = [self._pieces(t) for t in texts]
+        plain = [i for i, t in enumerate(texts) if self._plain(t)]
         if self.by_blank:
-            heads = self._look([p and p[:1] for p in split], self.first, "")
-            rest = self._look([p and p[1:] for p in split], self.units, " ")
-            out = [None if r is None else h + r for h, r in zip(heads, rest, strict=True)]
+            split = [texts[i].partition(" ") for i in plain]
+            # what follows the first blank; a first word has no blank before it and goes through the tokenizer with its like
+            heads = [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([s[0] for s in split], add_special_tokens=False)]
+            listed = pc.split_pattern(pa.array([s[2] if s[1] else None for s in split], pa.large_string()), " ")
         else:
-            out = self._look(split, self.units, "")
-        return [array("H", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() if o is None else o for t, o in zip(texts, out, strict=True)]
+            heads = [b""] * len(plain)
+            listed = pc.ascii_split_whitespace(pa.array([texts[i].lower() for i in plain], pa.large_string()))
+        coded = listed.flatten().dictionary_encode()
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        ids = self._look(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) >> 1
+        flat, starts = np.frombuffer(b"".join(ids), "<u2"), np.cumsum(sizes) - sizes
+        lengths = sizes[index]
+        ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        at = np.repeat(starts[index] - ends[:-1], lengths)
+        at += np.arange(ends[-1])
+        whole = flat[at].tobytes()
+        # a list of no words (null) has no place of its own
+        words = pc.fill_null(pc.list_value_length(listed), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        bounds = (2 * ends[np.concatenate([[0], np.cumsum(words)])]).tolist()
+        out: list[bytes] = [b""] * len(texts)
+        for i, head, a, b in zip(plain, heads, bounds[:-1], bounds[1:], strict=True):
+            out[i] = head + whole[a:b]
+        for i in set(range(len(texts))).difference(plain):
+            out[i] = array("H", self._ids(texts[i])).tobytes()
+        return out

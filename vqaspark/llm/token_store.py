@@ -3,19 +3,21 @@
 A gear rolling hash over the ids cuts each document into chunks, so passages that documents share meet in equal chunks.  A
 chunk's address is the BLAKE2b digest of its bytes.  The store is three Parquet tables in one folder:
 
-- ``chunks``: one row for each occurrence (doc_id, row_key, seq, address, n), clustered by address; the bytes (little-endian
-  unsigned 16-bit ids) stand in the first row of an address only, so each distinct chunk is stored once;
-- ``recipes``: one row for each document in ascending doc_id order: part, start within the part, n_tokens, the list of
-  (address, n), and the leaf digest of that list;
-- ``manifest``: one row for each part: where it starts, its documents and ids, and the Merkle node over its leaves.
-
-Reading back recomputes every address from the bytes and every leaf and node from the recipes.
+- ``chunks``: one row for each distinct chunk: its address and its bytes (little-endian unsigned 16-bit ids);
+- ``recipes``: one row for each document in ascending doc_id order: part, place and start within the part, n_tokens, the list
+  of (address, n), and the leaf: the digest of all these;
+- ``manifest``: one row for each part: where it starts, its documents and ids, and the root of a Merkle tree over its leaves,
+  of which every node has up to ``FAN_OUT`` children.
+
+A task sends an address's bytes once, so that a chunk that many documents share is no hot key; documents keep addresses only.
+Reading back recomputes every address from the bytes, every leaf from its recipe and every node from the leaves.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -30,6 +32,7 @@ from .encoders import encoder as encoder_of
 
 LEAST, MOST, MASK_BITS = 64, 4096, 9
 SEEN = 500_000
+FAN_OUT = 1000
 
 
 @functools.cache
@@ -37,25 +40,29 @@ def gear() -> np.ndarray:
     return np.random.default_rng(7).integers(0, 1 << 63, 65_536, dtype=np.int64).astype(np.uint64)
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks: where the top bits of the gear hash over the last 16 ids are 0, at 64 to 4096 ids."""
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Ends of the places where the top bits of the gear hash over the last 16 ids are 0."""
     h = gear()[ids]
     for step in (1, 2, 4, 8):
         h[step:] += h[:-step] << np.uint64(step)
-    marks = np.flatnonzero((h >> np.uint64(16 - MASK_BITS)) & np.uint64((1 << MASK_BITS) - 1) == 0) + 1
+    return np.flatnonzero((h >> np.uint64(16 - MASK_BITS)) & np.uint64((1 << MASK_BITS) - 1) == 0) + 1
+
+
+def cuts(found: list[int], n: int) -> list[int]:
+    """Ends of the chunks of n ids: at the marks found, where that gives chunks of 64 to 4096 ids."""
     ends, last = [], 0
-    for m in marks.tolist():
+    for m in found:
         while m - last > MOST:
             last += MOST
             ends.append(last)
         if m - last >= LEAST:
             ends.append(m)
             last = m
-    while len(ids) - last > MOST:
+    while n - last > MOST:
         last += MOST
         ends.append(last)
-    if last < len(ids):
-        ends.append(len(ids))
+    if last < n:
+        ends.append(n)
     return ends
 
 
@@ -63,76 +70,101 @@ def address(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
-def chunk_rows(df: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
+def encoded_rows(df: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
+    """(kind, key, doc_id, data): chunks (kind 0) under their address, and documents (kind 1) under their row's number.
+
+    A document's data are its chunks: an address of 16 bytes and the number of ids in 4, each.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, key, end, seen = encoder_of(vocabulary), TaskContext.get().partitionId() << 33, end_id.to_bytes(2, "little"), set()
-        for b in common.slices(batches):
-            docs, keys, seqs, names, sizes, data = [], [], [], [], [], []
-            for doc_id, raw in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist()), strict=True):
-                raw += end
-                at = 0
-                for seq, to in enumerate(cuts(np.frombuffer(raw, "<u2"))):
+        encoder, row, end, seen = encoder_of(vocabulary), TaskContext.get().partitionId() << 33, end_id.to_bytes(2, "little"), set()
+        for b in common.slices(batches, 2000, 1):
+            kinds, keys, docs, data = [], [], [], []
+            encoded = [raw + end for raw in encoder.encode(b.column(1).to_pylist())]
+            # one pass over the batch: the least chunk is longer than the hash's 16 ids, so no cut depends on the document before
+            bounds = np.cumsum([0, *(len(raw) // 2 for raw in encoded)])
+            every = marks(np.frombuffer(b"".join(encoded), "<u2"))
+            first = np.searchsorted(every, bounds, "right").tolist()
+            for i, (doc_id, raw) in enumerate(zip(b.column(0).to_pylist(), encoded, strict=True)):
+                at, listed = 0, []
+                for to in cuts((every[first[i] : first[i + 1]] - bounds[i]).tolist(), len(raw) // 2):
                     part = raw[2 * at : 2 * to]
                     name = address(part)
-                    docs.append(doc_id), keys.append(key), seqs.append(seq), names.append(name), sizes.append(to - at)
-                    data.append(None if name in seen else part)  # this task has sent it before
-                    seen.add(name)
+                    listed += (name, (to - at).to_bytes(4, "little"))
+                    if name not in seen:  # this task has not sent it before
+                        seen.add(name)
+                        kinds.append(0), keys.append(name), docs.append(None), data.append(part)
                     at = to
+                kinds.append(1), keys.append(row.to_bytes(8, "big")), docs.append(doc_id), data.append(b"".join(listed))
+                row += 1
                 if len(seen) > SEEN:
                     seen.clear()
-                key += 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(docs, pa.int64()), pa.array(keys, pa.int64()), pa.array(seqs, pa.int32()), pa.array(names, pa.binary()), pa.array(sizes, pa.int32()), pa.array(data, pa.binary())],
-                names=["doc_id", "row_key", "seq", "address", "n", "data"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(keys, pa.binary()), pa.array(docs, pa.int64()), pa.array(data, pa.binary())], names=["kind", "key", "doc_id", "data"])
 
-    return df.mapInArrow(run, "doc_id long, row_key long, seq int, address binary, n int, data binary")
+    return df.mapInArrow(run, "kind int, key binary, doc_id long, data binary")
+
+
+def leaf(doc_id: int | None, part: int, place: int, start: int, n_tokens: int, listed: bytes) -> bytes:
+    """The digest of a recipe: where the document stands and what it is made of."""
+    return hashlib.sha256(f"{doc_id}:{part}:{place}:{start}:{n_tokens}:".encode() + listed).digest()
+
+
+def _chunks(data: list[bytes]) -> pa.ListArray:
+    """Each document's list of (address, n) from its packed form."""
+    packed = np.frombuffer(b"".join(data), np.uint8).reshape(-1, 20)
+    names = pa.Array.from_buffers(pa.binary(), len(packed), [None, pa.py_buffer(np.arange(0, 16 * len(packed) + 1, 16, dtype=np.int32)), pa.py_buffer(packed[:, :16].tobytes())])
+    sizes = pa.array(packed[:, 16:].copy().view("<i4").ravel(), pa.int32())
+    offsets = pa.array(np.cumsum([0, *(len(d) // 20 for d in data)]), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([names, sizes], names=["address", "n"]))
 
 
 def write_store(df: DataFrame, path: str, vocabulary: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes chunks, recipes and manifest under path.  One shuffle moves chunk bytes; the others move addresses."""
-    rows = chunk_rows(common.texts(df, id_col, text_col), vocabulary, end_id)
-    first = Window.partitionBy("address").orderBy(F.col("data").isNull(), "row_key", "seq")
-    once = rows.withColumn("place", F.row_number().over(first)).withColumn("data", F.when(F.col("place") == 1, F.col("data"))).drop("place")
-    chunks = common.staged(once, "chunks", f"{path}/chunks")
+    """Writes chunks, recipes and manifest under path.  One shuffle moves chunk bytes; the other moves addresses."""
+    spark = df.sparkSession
+    rows = encoded_rows(common.texts(df, id_col, text_col), vocabulary, end_id)
+    once = rows.groupBy("kind", "key").agg(F.first("doc_id").alias("doc_id"), F.first("data").alias("data"))  # equal keys have equal data
+    once.write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/written")
+    # a folder of a kind without rows does not exist: the schema is given, and the kind read as a filter on the folders
+    written = spark.read.schema("key binary, doc_id long, data binary, kind int").parquet(f"{path}/written")
+    ordered = written.where("kind = 1").select("doc_id", F.col("key").alias("row_key"), "data").repartitionByRange("doc_id", "row_key").sortWithinPartitions("doc_id", "row_key")
 
     def recipe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, start = TaskContext.get().partitionId(), 0
-        for b in batches:
-            out = []
-            for doc_id, key, listed in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                n = sum(x["n"] for x in listed)
-                out.append((doc_id, key, part, start, n, [{"address": x["address"], "n": x["n"]} for x in listed], leaf([x["address"] for x in listed])))
+        part, place, start = TaskContext.get().partitionId(), 0, 0
+        for b in common.slices(batches, 2000):
+            data = b.column(2).to_pylist()
+            chunks = _chunks(data)
+            sizes = np.diff(np.concatenate([[0], np.cumsum(chunks.values.field(1))])[chunks.offsets]).tolist()
+            starts, leaves = [], []
+            for i, (doc_id, n) in enumerate(zip(b.column(0).to_pylist(), sizes, strict=True)):
+                starts.append(start), leaves.append(leaf(doc_id, part, place + i, start, n, data[i]))
                 start += n
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.struct([("address", pa.binary()), ("n", pa.int32())])), pa.binary()), strict=True)],
-                names=["doc_id", "row_key", "part", "start_in_part", "n_tokens", "chunks", "leaf"],
-            ) if out else pa.RecordBatch.from_pylist([], schema=RECIPE)
-
-    grouped = chunks.groupBy("doc_id", "row_key").agg(F.sort_array(F.collect_list(F.struct("seq", "address", "n"))).alias("listed"))
-    listed = common.staged(grouped, "recipes")  # range bounds are drawn from written rows
-    ordered = listed.repartitionByRange("doc_id", "row_key").sortWithinPartitions("doc_id", "row_key")
+            columns = [b.column(0), b.column(1), pa.array([part] * len(data), pa.int32()), pa.array(range(place, place + len(data)), pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), chunks, pa.array(leaves, pa.binary())]
+            place += len(data)
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_key", "part", "place", "start_in_part", "n_tokens", "chunks", "leaf"])
+
     recipes = common.staged(
-        ordered.mapInArrow(recipe, "doc_id long, row_key long, part int, start_in_part long, n_tokens long, chunks array<struct<address:binary,n:int>>, leaf binary"), "recipes", f"{path}/recipes"
+        ordered.mapInArrow(recipe, "doc_id long, row_key binary, part int, place long, start_in_part long, n_tokens long, chunks array<struct<address:binary,n:int>>, leaf binary"), "recipes", f"{path}/recipes"
     )
-    sums = nodes(recipes)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part, not for each document
-    sums.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).write.parquet(f"{path}/manifest")
-
-
-RECIPE = pa.schema(
-    [("doc_id", pa.int64()), ("row_key", pa.int64()), ("part", pa.int32()), ("start_in_part", pa.int64()), ("n_tokens", pa.int64()), ("chunks", pa.list_(pa.struct([("address", pa.binary()), ("n", pa.int32())]))), ("leaf", pa.binary())]
-)
+    nodes(recipes).withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).write.parquet(f"{path}/manifest")
 
 
-def leaf(addresses: list[bytes]) -> bytes:
-    return hashlib.sha256(b"".join(addresses)).digest()
+def stored_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """(address, data): each distinct chunk once."""
+    return spark.read.schema("key binary, doc_id long, data binary, kind int").parquet(f"{path}/written").where("kind = 0").select(F.col("key").alias("address"), "data")
 
 
 def nodes(recipes: DataFrame) -> DataFrame:
-    """(part, n_docs, n_tokens, node): the digest over the part's leaves in document order; a part is what one task wrote."""
-    leaves = F.transform(F.sort_array(F.collect_list(F.struct("start_in_part", "leaf"))), lambda x: F.hex(x["leaf"]))
-    return recipes.groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sha2(F.array_join(leaves, ""), 256).alias("node"))
+    """(part, n_docs, n_tokens, node): the roots of the parts' trees; a part is what one task wrote.
+
+    Three levels of up to ``FAN_OUT`` children take 10**9 documents a part; a level gathers no more than that many digests.
+    """
+    level = recipes.select("part", "place", F.lit(1).cast("long").alias("n_docs"), "n_tokens", F.hex("leaf").alias("node"))
+    for _ in range(3):
+        children = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "node"))), lambda x: F.concat(x["place"].cast("string"), F.lit(":"), x["node"])), ",")
+        level = level.groupBy("part", F.floor(F.col("place") / FAN_OUT).alias("up")).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sha2(children, 256).alias("node"))
+        level = level.withColumnRenamed("up", "place")
+    return level.select("part", "n_docs", "n_tokens", "node")
 
 
 def merkle_root(spark: SparkSession, path: str) -> str:
@@ -145,7 +177,7 @@ def reconstruct(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, row_key, start, n_tokens, ids): every document's ids, put together from the stored chunks."""
     recipes = spark.read.parquet(f"{path}/recipes")
     parts = spark.read.parquet(f"{path}/manifest").select("part", F.col("start").alias("base"))
-    data = spark.read.parquet(f"{path}/chunks").where("data IS NOT NULL").select("address", "data")
+    data = stored_chunks(spark, path)
     used = recipes.select("doc_id", "row_key", "part", "start_in_part", "n_tokens", F.posexplode("chunks").alias("seq", "chunk"))
     joined = used.join(data, F.col("chunk.address") == F.col("address")).join(parts, "part")
     whole = joined.groupBy("doc_id", "row_key", "n_tokens", (F.col("base") + F.col("start_in_part")).alias("start")).agg(F.sort_array(F.collect_list(F.struct("seq", "data"))).alias("found"))
@@ -155,7 +187,7 @@ def reconstruct(spark: SparkSession, path: str) -> DataFrame:
             ids = [np.frombuffer(b"".join(x["data"] for x in found), "<u2").astype(np.int32) for found in b.column(4).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), b.column(2), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "row_key", "start", "n_tokens", "ids"])
 
-    return whole.mapInArrow(run, "doc_id long, row_key long, start long, n_tokens long, ids array<int>")
+    return whole.mapInArrow(run, "doc_id long, row_key binary, start long, n_tokens long, ids array<int>")
 
 
 @functools.cache
@@ -197,35 +229,41 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 
     Each stored chunk is read once: its address is recomputed from its bytes, and its CRC-32 (over unsigned 32-bit ids) goes
     to the documents that use it, where the parts' values join to the CRC of the whole.  verified: all chunks were there and
-    matched, and the part's node matches the manifest's.
+    matched their addresses and lengths, the recipe's digest is its leaf, and the part's tree over the leaves has the
+    manifest's root.
     """
     recipes, manifest = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/manifest")
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.slices(batches, 2000):
             data = b.column(1).to_pylist()
             good = [address(d) == a for a, d in zip(b.column(0).to_pylist(), data, strict=True)]
-            crcs = [zlib.crc32(np.frombuffer(d, "<u2").astype("<u4").tobytes()) for d in data]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(crcs, pa.int64()), pa.array(good, pa.bool_())], names=["address", "crc", "good"])
+            crcs = [zlib.crc32(np.frombuffer(d[: len(d) & ~1], "<u2").astype("<u4").tobytes()) for d in data]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(crcs, pa.int64()), pa.array([len(d) // 2 for d in data], pa.int32()), pa.array(good, pa.bool_())], names=["address", "crc", "size", "good"])
 
-    stored = spark.read.parquet(f"{path}/chunks").where("data IS NOT NULL").select("address", "data").mapInArrow(checked, "address binary, crc long, good boolean")
-    used = recipes.select("doc_id", "row_key", "part", "start_in_part", "n_tokens", F.posexplode("chunks").alias("seq", "chunk"))
-    met = used.join(stored, F.col("chunk.address") == F.col("address"), "left")
-    whole = met.groupBy("doc_id", "row_key", "part", "start_in_part", "n_tokens").agg(
-        F.sort_array(F.collect_list(F.struct("seq", "crc", F.col("chunk.n").alias("n"), F.coalesce("good", F.lit(False)).alias("good")))).alias("found")
-    )
+    stored = stored_chunks(spark, path).mapInArrow(checked, "address binary, crc long, size int, good boolean")
+    place = ("doc_id", "row_key", "part", "place", "start_in_part", "n_tokens", "leaf")
+    used = recipes.select(*place, F.posexplode("chunks").alias("seq", "chunk")).select(*place, "seq", F.col("chunk.address").alias("address"), F.col("chunk.n").alias("n"))
+    met = used.join(stored, "address", "left")
+    good = F.coalesce(F.col("good") & (F.col("size") == F.col("n")), F.lit(False)).alias("good")
+    whole = met.groupBy(*place).agg(F.sort_array(F.collect_list(F.struct("seq", "address", "n", "crc", good))).alias("found"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            crcs, good = [], []
-            for found in b.column(4).to_pylist():
+        for b in common.slices(batches, 2000):
+            crcs, right, lists = [], [], b.column(6)
+            at = lists.offsets.to_pylist()
+            names, sizes, parts, well = (lists.values.field(i).to_pylist() for i in range(1, 5))
+            for i, (doc_id, part, place, start, n, told) in enumerate(zip(*(b.column(i).to_pylist() for i in range(6)), strict=True)):
+                mine = range(at[i], at[i + 1])
                 crc = 0
-                for x in found:
-                    crc = crc_join(crc, x["crc"] or 0, 4 * x["n"])
-                crcs.append(crc), good.append(all(x["good"] for x in found))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(crcs, pa.int64()), pa.array(good, pa.bool_())], names=["doc_id", "part", "start_in_part", "n_tokens", "ids_crc32", "good"])
-
-    found = whole.select("doc_id", "part", "start_in_part", "n_tokens", "found").mapInArrow(run, "doc_id long, part int, start_in_part long, n_tokens long, ids_crc32 long, good boolean")
+                for j in mine:
+                    crc = crc_join(crc, parts[j] or 0, 4 * sizes[j])
+                crcs.append(crc)
+                packed = b"".join(names[j] + sizes[j].to_bytes(4, "little") for j in mine)
+                right.append(all(well[j] for j in mine) and sum(sizes[j] for j in mine) == n and leaf(doc_id, part, place, start, n, packed) == told)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), b.column(4), pa.array(crcs, pa.int64()), pa.array(right, pa.bool_())], names=["doc_id", "part", "start_in_part", "n_tokens", "ids_crc32", "good"])
+
+    found = whole.select("doc_id", "part", "place", "start_in_part", "n_tokens", "leaf", "found").mapInArrow(run, "doc_id long, part int, start_in_part long, n_tokens long, ids_crc32 long, good boolean")
     kept = manifest.select("part", F.col("start").alias("base"), "node").join(nodes(recipes).select("part", F.col("node").alias("found_node")), "part")
     return found.join(kept, "part").select(
         "doc_id", (F.col("base") + F.col("start_in_part")).alias("start"), "n_tokens", "ids_crc32", (F.col("good") & (F.col("node") == F.col("found_node"))).alias("verified")
@@ -238,8 +276,6 @@ def token_store(df: DataFrame, vocabulary: str, end_id: int = 0, path: str | Non
     A null or empty text is its end id alone; a null id stays null and comes first; repeated rows are stored each (their
     chunks once); further columns are not read; an empty table gives an empty store.
     """
-    import uuid
-
     spark = df.sparkSession
     path = path or f"{common.shared_dir(spark)}/store-{uuid.uuid4().hex}"
     write_store(df, path, vocabulary, end_id, id_col, text_col)
