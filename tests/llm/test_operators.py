@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 from vqaspark.llm import common, decontamination, html_text, license_scan, near_duplicates, packing, personal_data, quality, queries, secret_scan, token_counts, token_store
 
 DATA = "/root/testdata/sf0.001"
-WORD, BYTE = (f"{queries.VOCABULARIES}/{n}.json" for n in ("word_bpe_49k", "byte_bpe_50k"))
+WORD, BYTE = queries.WORD_VOCABULARY, queries.BYTE_VOCABULARY
 ODD = [
     None, "", " ", "\n", "a", "A  b", "  two  blanks ", "don't I'LL we'Re", "<|endoftext|>x <|startoftext|>", "日本語 テキスト é é ﬁ", "aaaaaaaaaa aaaaaaa", "😀😀 ok", "x\n y\n\nz \n", "\t\ta",
     "word " * 3000, "İstanbul ½ ²", "same text here now", "same text here now", "a\x1cb\x85c d",
@@ -110,8 +110,8 @@ def test_token_store(spark, docs, tmp_path):
         assert found.where("NOT verified").count() == 0
         whole = {(r.doc_id, r.start): r.ids for r in token_store.reconstruct(spark, path).collect()}
         assert all(zlib.crc32(np.array(whole[i, s], "<u4").tobytes()) == c and len(whole[i, s]) == n for i, s, n, c in want)
-        chunks = spark.read.parquet(f"{path}/chunks")
-        assert chunks.where("data IS NOT NULL").count() == chunks.select("address").distinct().count()
+        chunks = token_store.stored_chunks(spark, path)
+        assert chunks.count() == chunks.select("address").distinct().count() == spark.read.parquet(f"{path}/recipes").select(F.explode("chunks.address")).distinct().count()
         assert len(token_store.merkle_root(spark, path)) == 64
     empty = token_store.token_store(docs.limit(0), BYTE, path=str(tmp_path / "empty"))
     assert empty.count() == 0
@@ -125,12 +125,25 @@ def test_crc_join():
 
 
 def test_store_notices_damage(spark, docs, tmp_path):
-    path = str(tmp_path / "s")
-    token_store.write_store(docs.limit(20), path, BYTE)
-    bad = spark.read.parquet(f"{path}/chunks").withColumn("data", F.when(F.col("data").isNotNull(), F.concat("data", F.lit(b"\x00\x01"))))
-    rows_ = bad.collect()
-    spark.createDataFrame(rows_, bad.schema).write.mode("overwrite").parquet(f"{path}/chunks")
-    assert token_store.read_digests(spark, path).where("verified").count() == 0
+    def damaged(name, table, change):
+        path = str(tmp_path / name)
+        token_store.write_store(docs.limit(20), path, BYTE)
+        assert token_store.read_digests(spark, path).where("NOT verified").count() == 0
+        df = spark.read.parquet(f"{path}/{table}")
+        rows_ = change(df).collect()
+        spark.createDataFrame(rows_, df.schema).write.mode("overwrite").parquet(f"{path}/{table}")
+        whole = {(r.doc_id, r.start): zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in token_store.reconstruct(spark, path).collect()}
+        return [(r, whole.get((r.doc_id, r.start))) for r in token_store.read_digests(spark, path).collect()]
+
+    changed = F.when(F.col("kind") == 0, F.concat("data", F.lit(b"\x00\x01"))).otherwise(F.col("data"))
+    assert not any(r.verified for r, _ in damaged("bytes", "written", lambda df: df.withColumn("data", changed)))
+    # chunks in another order: the ids change, and so do the leaves of all documents with several chunks
+    turned = damaged("order", "recipes", lambda df: df.withColumn("chunks", F.reverse("chunks")))
+    assert all(r.ids_crc32 == c for r, c in turned) and 0 < sum(r.verified for r, _ in turned) < len(turned)
+    source = {r.doc_id: r.ids_crc32 for r in token_store.token_store(docs.limit(20), BYTE).collect()}
+    assert all(r.verified == (r.ids_crc32 == source[r.doc_id]) for r, _ in turned)
+    assert not any(r.verified for r, _ in damaged("root", "manifest", lambda df: df.withColumn("node", F.sha2("node", 256))))
+    assert not any(r.verified for r, _ in damaged("places", "recipes", lambda df: df.withColumn("start_in_part", F.col("start_in_part") + 1)))
 
 
 # 6 ---------------------------------------------------------------------------------------------------------------------
@@ -429,3 +442,42 @@ def test_pipeline(spark):
     want = {i: [*ids_of(WORD, t), 1] for i, t in list(kept["personal_data"].items())}
     pieces = C.run(spark, data).collect()
     assert {r.doc_id for r in pieces} == set(want) and sum(r.length for r in pieces) == sum(map(len, want.values()))
+
+
+def test_rows_without_ids_and_repeated_rows(spark, monkeypatch):
+    """Near duplicates, decontamination and the pipeline's stages judge rows without an id and repeated rows as all others."""
+    import corpus_pipeline as C
+
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(400)]
+    draw = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    base, other = draw(60), draw(60)
+    near = [*base[:59], "changed"]
+    item = "seven of the old men went over the hills to see what had become of their dogs"
+    texts = [(5, " ".join(base)), (None, " ".join(near)), (None, " ".join(other)), (None, " ".join(other)), (7, " ".join(other[:-1] + ["else"])), (9, "one row twice " * 3), (9, "one row twice " * 3), (9, " ".join(draw(30)))]
+    df = spark.createDataFrame([(i, t, "x", 1, "y") for i, t in texts], "doc_id long, text string, chosen_id_2 string, n int, kept_id string")
+    for rows_ in (near_duplicates.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(near_duplicates, "BROADCAST_ROWS", rows_)
+        got = near_duplicates.near_duplicates(df).collect()
+        assert sorted((r.doc_id, r.component_id, r.kept) for r in got if r.doc_id is not None) == [(5, 5, True), (7, 7, True), (9, 9, True), (9, 9, True), (9, 9, True)]
+        assert sorted((r.component_id, r.kept) for r in got if r.doc_id is None) == [(5, False), (7, False), (7, False)]
+    kept = C.drop_near_duplicates(spark, df, DATA)
+    assert kept.columns == df.columns and sorted((r.doc_id, r.text) for r in kept.collect()) == sorted({(5, texts[0][1]), (7, texts[4][1]), texts[5], texts[7]})
+    halves = item.split()
+    leaks = [(None, "at first " + item), (None, " ".join(halves[:9])), (None, " ".join(halves[7:])), (3, item.upper()), (3, "no item in this row of words"), (4, item), (4, item)]
+    docs_ = spark.createDataFrame([(i, t, 1) for i, t in leaks], "doc_id long, text string, leak_id int")
+    bench = spark.createDataFrame([(1, item), (1, item), (None, item)], "item_id long, text string")
+    want = sorted([x for x in leaks if item not in x[1].lower()], key=repr)
+    for most in (decontamination.BROADCAST_HASHES, 0):
+        found = decontamination.contaminated_items(docs_, bench, broadcast_hashes=most)
+        assert Counter((r.doc_id, r.item_id) for r in found.collect()) == {(i, k): 1 for i in (None, 3, 4) for k in (1, None)}
+        assert sorted(rows(decontamination.clean_rows(docs_, bench), "doc_id", "text"), key=repr) == want
+
+
+def test_bytes_that_are_no_text(spark, docs):
+    bad = spark.createDataFrame([(1, b"mail \xff\xfe me@x.org and MIT License. \xc3 " + b"word " * 60)], "doc_id long, raw binary").select("doc_id", F.col("raw").cast("string").alias("text"))
+    assert token_counts.token_counts(bad, WORD).first().n_tokens == len(ids_of(WORD, bad.select(F.make_valid_utf8("text")).first()[0]))
+    assert personal_data.find_personal_data(bad).first().n_email == 1 and license_scan.scan_licenses(bad).first().licenses == "MIT"
+    assert near_duplicates.near_duplicates(bad).first().kept and secret_scan.find_secrets(bad).count() == 1
+    model = quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    assert quality.kept_rows(bad, model).count() == quality.quality_rules(bad, model).where("kept").count() and personal_data.masked(bad).count() == 1

@@ -6,12 +6,17 @@ truncated scale of one byte (mergeable by maximum).  Bands of eight registers gi
 
 Pairs within a bucket are never listed.  A bucket's pivot is its least class; each class is confirmed against the pivot with
 which it shares most buckets, and the links give provisional components.  Then every bucket belongs to its pivot's component,
-and what may still be missing are links between members of its buckets that lie in different components.  Those are found
-against a centre c of the component (a member's set with what many members share), for any sets x, y: elements that both
-have are in c, at most min(|x & c|, |y & c|), or outside.  So x and y can be linked only if that bound alone allows it, or if they share enough elements outside c, and then
-the first fifth of these in hash order (prefix filtering) already holds a shared one.  Both are equi-joins whose rows grow
-with the members, not with their pairs; the joint likelihood of two sketches drops what is far below the threshold, and the
-rest is confirmed on full sets.
+and what may still be missing are links between members of the same component's buckets.  Those are found by what sets do
+not share with the component's centre c, the elements that more than half of its members have.  With D(x) the elements that
+only one of x and c has,
+
+    |x & y| = |x & c| + |y & c| - |c| + |D(x) & D(y)|.
+
+So x and y are certainly linked where 9 (|x & c| + |y & c| - |c|) >= 4 (|x| + |y|).  As this is a sum of one term for each, the
+member with the greatest term is linked with all that are certainly linked with any: one star.  The other links need a shared
+element of D, and so many of them that a prefix of D, the elements that fewest members have first, already holds one: an
+equi-join of a few elements for each member.  The sizes of D tell whether a candidate is a link; the joint likelihood of two
+sketches is asked before the full sets are compared only for pivots.
 
 A pair at similarity s shares no bucket with probability (1 - s**8)**64 at most: below 1e-5 at 0.8.
 """
@@ -38,6 +43,8 @@ BASE, ZERO = 1.15, 30
 LINK, DROP = 0.8, 0.6
 #: Up to so many documents, the ids whose sets are needed are broadcast; beyond, a filter of a fixed number of bits is sent.
 BROADCAST_ROWS, SLOTS = 100_000, 1 << 22
+#: A group is dealt out in parts of so many members.
+GROUP = 2000
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -126,7 +133,7 @@ def _estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.
 
 
 def sketches(df: DataFrame) -> DataFrame:
-    """(doc_id, cid, n, registers): cid is the class's digest, null for an empty set; a task sends a class's registers once."""
+    """(doc_id, text_key, cid, n, registers): cid is the class's digest, null for an empty set; a task sends a class's registers once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, seen = shingles_of(), set()
@@ -152,9 +159,9 @@ def sketches(df: DataFrame) -> DataFrame:
                 sketch(block, regs)
             if len(seen) > 500_000:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(regs, pa.binary())], names=["doc_id", "cid", "n", "registers"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(cids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(regs, pa.binary())], names=["doc_id", "text_key", "cid", "n", "registers"])
 
-    return df.mapInArrow(run, "doc_id long, cid binary, n long, registers binary")
+    return df.select("doc_id", "text", "text_key").mapInArrow(run, "doc_id long, text_key long, cid binary, n long, registers binary")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -166,15 +173,16 @@ def _bands(classes: DataFrame) -> DataFrame:
 def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(cid, set): the full sets of the classes in pairs (a, b), made from the class's own document."""
     wanted_classes = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    ids = common.staged(classes.join(wanted_classes, "cid", "left_semi").select(F.col("doc").alias("doc_id"), "cid"), "wanted")
-    if ids.count() <= BROADCAST_ROWS:
-        wanted, chosen = None, docs.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "text", F.lit(0).cast("long").alias("slot"))
+    ids = common.staged(classes.join(wanted_classes, "cid", "left_semi").select("key", "cid"), "wanted")
+    docs = docs.select(F.coalesce("doc_id", "text_key").alias("key"), "text")
+    if ids.count() <= BROADCAST_ROWS:  # 8 bytes each
+        wanted, chosen = None, docs.join(F.broadcast(ids.select("key").distinct()), "key", "left_semi").select("key", "text", F.lit(0).cast("long").alias("slot"))
     else:  # a filter of fixed size says which documents' sets may be needed; the join below is exact
-        wanted, slot = np.zeros(SLOTS // 64, np.uint64), F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
+        wanted, slot = np.zeros(SLOTS // 64, np.uint64), F.pmod(F.xxhash64("key"), F.lit(SLOTS))
         bits = ids.select(slot.alias("s")).groupBy((F.col("s") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits"))
         for r in bits.collect():
             wanted[r.word] = np.uint64(r.bits & 0xFFFFFFFFFFFFFFFF)
-        chosen = docs.where("doc_id IS NOT NULL").select("doc_id", "text", slot.alias("slot"))
+        chosen = docs.select("key", "text", slot.alias("slot"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = shingles_of()
@@ -183,11 +191,11 @@ def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
                 at = b.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
                 b = b.filter(pa.array(((wanted[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)))
             found = [shingle(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_digest(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["doc_id", "cid", "set"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_digest(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["key", "cid", "set"])
 
-    made = chosen.mapInArrow(run, "doc_id long, cid binary, set binary")
+    made = chosen.mapInArrow(run, "key long, cid binary, set binary")
     # rows repeated with one id and text are one
-    return common.staged(made.join(ids, ["doc_id", "cid"], "left_semi").groupBy("cid").agg(F.first("set").alias("set")), "sets")
+    return common.staged(made.join(ids, ["key", "cid"], "left_semi").groupBy("cid").agg(F.first("set").alias("set")), "sets")
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -224,70 +232,94 @@ def _links(pairs: DataFrame, classes: DataFrame, sets: DataFrame, name: str) ->
     return common.staged(measured, f"{name}-links")
 
 
-def _rooted(star: DataFrame, roots: DataFrame) -> DataFrame:
-    """star with the components of its members and centres as they are now."""
-    now = lambda p: roots.select(F.col("node").alias(p), F.col("root").alias(f"{p}_root"))
-    found = star.drop("m_root", "c_root").join(now("m"), "m", "left").join(now("c"), "c", "left")
-    return found.withColumns({"m_root": F.coalesce("m_root", "m"), "c_root": F.coalesce("c_root", "c")})
+def _dealt(df: DataFrame, sizes: DataFrame) -> DataFrame:
+    """df, whose rows each belong to a member m of a group r, with a part for each ``GROUP`` members of the group."""
+    return df.join(sizes.where("parts > 1"), "r", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("m"), F.col("parts")), F.lit(0))).drop("parts")
+
 
+def _to_parts(df: DataFrame, sizes: DataFrame) -> DataFrame:
+    """df, one row for each group r, once for each part of the group."""
+    return df.join(sizes, "r").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
-def _missing(pairs: DataFrame, linked: DataFrame, roots: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """The links (a, b) between members of a bucket in different provisional components; None if there is no such pair."""
+
+def _missing(pairs: DataFrame, roots: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """The links (a, b) between members of a component's buckets that are in different components; None if there is no such member."""
     root = lambda p: roots.select(F.col("node").alias(p), F.col("root").alias(f"{p}_root"))
     placed = pairs.join(root("a"), "a", "left").withColumn("a_root", F.coalesce("a_root", "a")).join(root("b"), "b", "left").withColumn("b_root", F.coalesce("b_root", "b"))
-    placed = common.staged(placed.select(F.col("a_root").alias("r"), "a", F.col("b").alias("m"), F.col("b_root").alias("m_root")), "placed")
-    outliers = placed.where("m_root != r")
-    if outliers.isEmpty():
+    placed = placed.select(F.col("a_root").alias("r"), "a", F.col("b").alias("m"), F.col("b_root").alias("m_root"))
+    placed = common.staged(placed.select("r", "m", "m_root").union(placed.select("r", "a", "r")).distinct(), "placed")
+    sizes = placed.groupBy("r").agg(F.count("*").alias("members"), F.max(F.col("m_root") != F.col("r")).alias("open")).where("open")
+    sizes = common.staged(sizes.select("r", "members", F.ceil(F.col("members") / GROUP).cast("int").alias("parts")), "sizes")
+    if sizes.isEmpty():
         return None
-    centres = placed.join(outliers.select("r").distinct(), "r", "left_semi").groupBy("r", "a").agg(F.count("*").alias("size")).groupBy("r").agg(F.max_by("a", F.struct("size", "a")).alias("c"))
-    members = placed.select("r", "m", "m_root").union(placed.select("r", "a", "r")).distinct().join(centres, "r").where("m != c")
+    parts = sizes.select("r", "parts")
+    members = _dealt(placed.join(sizes.select("r"), "r", "left_semi"), parts).join(sets.withColumnRenamed("cid", "m"), "m")
+    members = common.staged(members.select("r", "part", "m", "m_root", "set"), "members")
+
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.slices(batches):
+            found = [np.frombuffer(x.as_py(), np.int64) for x in b.column(1)]
+            owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner)), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], names=["r", "element"])
+
+    counts = members.select("r", "set").mapInArrow(elements, "r binary, element long").groupBy("r", "element").agg(F.count("*").alias("n")).where("n > 1")
+    # an element's part spreads a large group's counts; what more than half have is at most twice a mean set
+    counts = counts.withColumn("m", F.col("element"))
+    most = _dealt(counts, parts).join(_to_parts(sizes.select("r", "members", "parts").select("r", "members"), parts), ["r", "part"]).where("2 * n > members")
+    centres = most.groupBy("r").agg(F.collect_list("element").alias("centre"))
+    centres = _to_parts(sizes.select("r").join(centres, "r", "left").select("r", F.coalesce("centre", F.array().cast("array<long>")).alias("centre")), parts)
 
     def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches):
-            both, sizes, outside, linked = [], [], [], []
-            for c, m in zip(b.column(4), b.column(5), strict=True):
-                c, m = np.frombuffer(c.as_py(), np.uint64), np.frombuffer(m.as_py(), np.uint64)
-                inside = _common(c, m)
-                k, n = int(inside.sum()), len(m)
-                both.append(k), sizes.append(n), linked.append(100 * k >= 80 * (len(c) + n - k)), outside.append(m[~inside].view(np.int64))
+            ks, sizes_, whole, rest, known = [], [], [], [], {}
+            for r, c, m in zip(b.column(0).to_pylist(), b.column(3), b.column(4), strict=True):
+                if r not in known:
+                    known = {r: np.sort(c.values.to_numpy().view(np.uint64))}
+                c, m = known[r], np.frombuffer(m.as_py(), np.uint64)
+                inside = _common(c, m) if len(c) else np.zeros(len(m), bool)
+                lost = c[~_common(m, c)] if len(c) else c
+                ks.append(int(inside.sum())), sizes_.append(len(m)), whole.append(len(c)), rest.append(np.concatenate([m[~inside], lost]).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(i) for i in range(4)), pa.array(both, pa.int64()), pa.array(sizes, pa.int64()), pa.array(linked, pa.bool_()), pa.array(outside, pa.list_(pa.int64()))], names=["r", "m", "m_root", "c", "k", "n", "linked", "outside"]
+                [*(b.column(i) for i in range(3)), pa.array(sizes_, pa.int64()), pa.array(ks, pa.int64()), pa.array(whole, pa.int64()), pa.array(rest, pa.list_(pa.int64()))], names=["r", "m", "m_root", "n", "k", "c", "rest"]
             )
 
-    joined = members.join(sets.select(F.col("cid").alias("m"), F.col("set").alias("m_set")), "m").join(sets.select(F.col("cid").alias("c"), F.col("set").alias("c_set")), "c")
-    star = joined.select("r", "m", "m_root", "c", "c_set", "m_set").mapInArrow(against, "r binary, m binary, m_root binary, c binary, k long, n long, linked boolean, outside array<long>")
-    star = common.staged(star, "star")
-    out = F.col("m_root") != F.col("r")
-    direct = star.where(F.col("linked") & out).select(F.col("c").alias("a"), F.col("m").alias("b"))
-    # elements of more than a 16th of a component's members join its centre: few they are, and the others meet few partners
-    limits = star.groupBy("r").agg(F.greatest(F.lit(8), F.count("*") / 16).alias("most"))
-    often = star.select("r", F.explode("outside").alias("element")).groupBy("r", "element").agg(F.count("*").alias("size")).where("size > 8")
-    often = often.join(limits, "r").where("size > most").groupBy("r").agg(F.collect_list("element").alias("often"))
-    new = F.array_sort(F.array_except("outside", F.coalesce("often", F.array().cast("array<long>"))))
-    near = star.join(often, "r", "left").select("r", "m", "c", "m_root", "linked", "n", (F.col("k") + F.size("outside") - F.size(new)).alias("k"), new.alias("new"))
-    # a partner shares at least 0.8 n elements, so at least that less k outside the centre: a prefix of the rest is enough
-    need = F.greatest(F.lit(1), F.ceil(F.col("n") * 4 / 5) - F.col("k")).cast("int")
-    near = common.staged(near.withColumn("prefix", F.greatest(F.size("new") - need + 1, F.lit(0))), "near")
-    # what a centre, or the member nearest to it so completed, is linked with joins its component first
-    nearest = near.groupBy("r").agg(F.max_by("m", F.struct(2 * F.col("k") - F.col("n"), "m")).alias("a"))
-    second = near.where(out & ~F.col("linked")).join(nearest, "r").where("m != a").select("a", F.col("m").alias("b")).distinct()
-    second = _links(second, classes, sets, "second")
-    near = common.staged(_rooted(near, components(linked.union(direct).union(second))), "near")
-    out = F.col("m_root") != F.col("c_root")
-    side = lambda p, df, *more: df.select("r", F.col("m").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in ("m_root", "c_root", "k", "n")), *more)
-    sizes = (F.col("x_n") * 5 >= F.col("y_n") * 4) & (F.col("y_n") * 5 >= F.col("x_n") * 4)
-    told = (F.col("x_m_root") != F.col("y_m_root")) & sizes & ((F.col("x_m_root") == F.col("x_c_root")) | (F.col("x") < F.col("y")))
-    # linked: 1.8 times the shared elements is 0.8 * (n + n) at least
-    lacking = (F.col("x_n") + F.col("y_n")) * 4 - F.least("x_k", "y_k") * 9
-    parts = near.select("r", "m", "m_root", "c_root", "k", "n", F.size("new").alias("size"), F.posexplode(F.slice("new", F.lit(1), F.col("prefix"))).alias("place", "element"))
-    rest = lambda p: [(F.col("size") - F.col("place")).alias(f"{p}_rest"), "element"]
-    # from the first shared element on, in the order of both, as many are left as are lacking
-    shared = side("y", parts.where(out), *rest("y")).join(side("x", parts, *rest("x")), ["r", "element"]).where(told & (F.least("x_rest", "y_rest") * 9 >= lacking))
-    apart = near.where("5 * k >= 4 * n")  # without a shared element outside the centre
-    bound = side("y", apart.where(out)).join(side("x", apart), "r").where(told & (lacking <= 0))
-    some = shared.select("x", "y").union(bound.select("x", "y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    found = _links(common.staged(some, "some"), classes, sets, "some")
-    return found.union(direct).union(second)
+    joined = members.join(centres, ["r", "part"]).select("r", "m", "m_root", "centre", "set")
+    # term: certain links are those whose terms add up to 9 |c| at least
+    star = joined.mapInArrow(against, "r binary, m binary, m_root binary, n long, k long, c long, rest array<long>").withColumn("term", F.col("k") * 9 - F.col("n") * 4)
+    star = common.staged(_dealt(star, parts), "star")
+    best = _to_parts(star.groupBy("r").agg(F.max_by(F.struct("m", "term"), F.struct("term", "m")).alias("best")), parts)
+    star = star.join(best, ["r", "part"])
+    certain = star.where((F.col("term") + F.col("best.term") >= F.col("c") * 9) & (F.col("m") != F.col("best.m"))).select(F.col("best.m").alias("a"), F.col("m").alias("b"))
+    certain = common.staged(certain, "certain")
+
+    # what is left: members that are not certainly linked with the best one, against all others
+    sure = (F.col("term") + F.col("best.term") >= F.col("c") * 9) | (F.col("m") == F.col("best.m"))
+    star = star.withColumn("sure", sure).drop("best", "part")
+    tops = star.groupBy("r").agg(F.max("term").alias("top"), F.max(F.when(~F.col("sure"), F.col("term"))).alias("open_top"))
+    open_ = _dealt(star, parts).join(_to_parts(tops.where("open_top IS NOT NULL"), parts), ["r", "part"])
+    # least number of shared elements of D with any partner: an unsure one's is the top member, a sure one's the top unsure one
+    need = F.ceil((F.col("c") * 9 - F.col("term") - F.when(F.col("sure"), F.col("open_top")).otherwise(F.col("top"))) / 9)
+    open_ = open_.withColumn("need", F.greatest(need, F.lit(1)).cast("int")).where(F.size("rest") >= F.col("need"))
+    open_ = common.staged(open_.select("r", "m", "m_root", "n", "term", "c", "sure", "need", "rest"), "open")
+    exploded = open_.select("r", "m", F.explode("rest").alias("element"))
+    often = exploded.groupBy("r", "element").agg(F.count("*").alias("often")).where("often > 1")
+    # elements that one member alone has are shared with none, and come first in the order: each lessens the prefix
+    placed_elements = exploded.join(often, ["r", "element"]).groupBy("r", "m").agg(F.array_sort(F.collect_list(F.struct("often", "element"))).alias("listed"))
+    near = open_.drop("rest").join(placed_elements, ["r", "m"]).withColumn("size", F.size("listed")).where("size >= need")
+    near = common.staged(near.withColumn("prefix", F.col("size") - F.col("need") + 1), "near")
+    spread = near.select("r", "m", "n", "term", "c", "m_root", "sure", "size", F.posexplode(F.slice("listed", F.lit(1), F.col("prefix"))).alias("place", "x"))
+    side = lambda p, df: df.select("r", F.col("x.element").alias("element"), *(F.col(c).alias(f"{p}_{c}") for c in ("m", "n", "term", "m_root", "sure")), (F.col("size") - F.col("place")).alias(f"{p}_left"), *(["c"] if p == "x" else []))
+    lacking = F.col("c") * 9 - F.col("x_term") - F.col("y_term")
+    told = (
+        (F.col("x_m") != F.col("y_m")) & (F.col("x_m_root") != F.col("y_m_root")) & (F.col("y_sure") | (F.col("x_m") < F.col("y_m")))
+        & (F.col("x_n") * 5 >= F.col("y_n") * 4) & (F.col("y_n") * 5 >= F.col("x_n") * 4)
+        & (F.least("x_left", "y_left") * 9 >= lacking)
+    )
+    met = side("x", spread.where("NOT sure")).join(side("y", spread), ["r", "element"]).where(told).select("r", "x_m", "y_m", "c").distinct()
+    held = lambda p: near.select("r", F.col("m").alias(f"{p}_m"), F.col("term").alias(f"{p}_term"), F.transform("listed", lambda z: z["element"]).alias(f"{p}_listed"))
+    shared = F.size(F.array_intersect("x_listed", "y_listed"))
+    links = met.join(held("x"), ["r", "x_m"]).join(held("y"), ["r", "y_m"]).where(shared * 9 >= lacking).select(F.col("x_m").alias("a"), F.col("y_m").alias("b"))
+    return common.staged(certain.union(links), "missing")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -304,18 +336,14 @@ def components(edges: DataFrame) -> DataFrame:
         labels = nxt.select("node", "root")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row.
-
-    A null or empty text has no shingle and is linked with nothing: it is its own component and kept.  A null id stays null,
-    does not name a component and is kept only where its group has no id.  Repeated rows share a component and are each
-    returned; rows with one id and different texts are compared each.  Further columns are not read; an empty table gives
-    an empty result.
-    """
-    docs = common.texts(df, id_col, text_col)
+def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_key, n_shingles, cid, root, component_id) for every row: text_key is the text's hash, root the component's least class."""
+    docs = common.texts(df, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
     rows = common.staged(sketches(docs), "sketches")
-    classes = common.staged(rows.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.max("registers").alias("registers")), "classes")
-    bands = _bands(classes.where("doc IS NOT NULL"))
+    # a class's text is found again by the key of one of its rows: the id, or where there is none the text's hash
+    classes = rows.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("doc"), F.min(F.coalesce("doc_id", "text_key")).alias("key"), F.max("n").alias("n"), F.max("registers").alias("registers"))
+    classes = common.staged(classes, "classes")
+    bands = _bands(classes)
     pivots = bands.groupBy("bucket").agg(F.min("cid").alias("a"), F.count("*").alias("size")).where("size > 1").select("bucket", "a")
     pairs = bands.join(pivots, "bucket").where("cid != a").groupBy("a", F.col("cid").alias("b")).agg(F.count("*").alias("shared"))
     pairs = common.staged(pairs, "pairs")
@@ -326,17 +354,46 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
         linked = _links(best, classes, sets, "best")
         roots = components(linked)
-        more = _missing(pairs, linked, roots, classes, sets)
-        if more is not None:
-            more = common.staged(more, "more")
-            if not more.isEmpty():
-                roots = components(linked.union(more))
+        more = _missing(pairs, roots, classes, sets)
+        if more is not None and not more.isEmpty():
+            roots = components(linked.union(more))
     rooted = classes.select("cid", "doc").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     names = rooted.groupBy("root").agg(F.min("doc").alias("component_id"))
-    named = rooted.select("cid", "root").join(names, "root").select("cid", "component_id")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), "cid").join(named, "cid", "left").select(
+    named = rooted.select("cid", "root").join(names, "root").select("cid", "root", "component_id")
+    return rows.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "cid").join(named, "cid", "left")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row.
+
+    A null or empty text has no shingle and is linked with nothing: it is its own component and kept.  A row without an id is
+    compared like all others; its id stays null, does not name a component and is kept only where its group has no id.
+    Repeated rows share a component and are each returned; rows with one id and different texts are compared each.  Bytes that
+    are no UTF-8 count as U+FFFD; further columns are not read; an empty table gives an empty result.
+    """
+    empty = F.col("cid").isNull()
+    return grouped(df, id_col, text_col).select(
         "doc_id",
         "n_shingles",
-        F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.when(F.col("cid").isNull(), F.lit(True)).otherwise(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"),
+        F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        (empty | F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"),
     )
+
+
+def distinct_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df, with all their columns, of which each component has exactly one: that of its least id (rows without an id last, then the least hash of the text).
+
+    Of repeated rows one is taken.  Rows with a null or empty text are components of their own and stay.
+    """
+    rows = common.staged(grouped(df, id_col, text_col).groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("times")), "grouped")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "times")
+    chosen = rows.where("root IS NOT NULL").groupBy("root").agg(F.min(first).alias("x")).select("x.*").union(rows.where("root IS NULL").select(F.lit(True), "doc_id", "text_key", F.lit(1)))
+    chosen = common.staged(chosen.select(F.col("id").alias("chosen_id_"), F.col("key").alias("chosen_key_"), F.col("times").alias("chosen_times_")), "chosen")
+    key = F.xxhash64(common.valid(F.coalesce(F.col(text_col), F.lit(""))))
+    met = F.col(id_col).cast("long").eqNullSafe(F.col("chosen_id_")) & (key == F.col("chosen_key_"))
+    once = df.join(chosen.where("chosen_times_ = 1"), met, "left_semi")
+    repeated = chosen.where("chosen_times_ > 1")
+    if repeated.isEmpty():
+        return once
+    again = df.join(repeated, met, "left_semi").withColumns({"chosen_id_": F.col(id_col).cast("long"), "chosen_key_": key}).dropDuplicates(["chosen_id_", "chosen_key_"])
+    return once.union(again.select(*(again[c] for c in df.columns)))

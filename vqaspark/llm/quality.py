@@ -182,8 +182,13 @@ def quality_rules(df: DataFrame, model: QualityModel, keep: float = KEEP, id_col
 
 
 def kept_rows(df: DataFrame, model: QualityModel, keep: float = KEEP, text_col: str = "text") -> DataFrame:
-    """The rows of df, with all their columns, that quality_rules() keeps: one narrow stage, without a join by id."""
+    """The rows of df, with all their columns, that quality_rules() keeps: one narrow stage, without a join by id.
+
+    A null or empty text fails the base rules and goes; repeated rows and rows without an id are judged each; bytes that are no
+    UTF-8 become U+FFFD; an empty table gives an empty result.
+    """
     at = df.columns.index(text_col)
+    df = df.withColumn(text_col, common.valid(F.col(text_col)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches):

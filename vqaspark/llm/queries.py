@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontamination, html_text, license_scan, near_duplicates, packing, personal_data, quality, secret_scan, token_counts, token_store
 from .common import documents
 
-#: Folder of the vocabulary files; a parameter of the deployment.
-VOCABULARIES = os.environ.get("VQASPARK_TOKENIZERS", "/opt/tokenizers")
+#: The vocabulary files of the queries; the operators take any path.
+WORD_VOCABULARY, BYTE_VOCABULARY = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +21,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(documents(spark, sf_dir), f"{VOCABULARIES}/word_bpe_49k.json")
+    return token_counts.token_counts(documents(spark, sf_dir), WORD_VOCABULARY)
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +29,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir), f"{VOCABULARIES}/word_bpe_49k.json")
+    return packing.pack(documents(spark, sf_dir), WORD_VOCABULARY)
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +37,7 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_store.token_store(documents(spark, sf_dir), f"{VOCABULARIES}/byte_bpe_50k.json")
+    return token_store.token_store(documents(spark, sf_dir), BYTE_VOCABULARY)
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
