@@ -9,37 +9,34 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from vqaspark.llm import common, decontamination, near_duplicates, packing, personal_data, quality
-from vqaspark.llm.queries import VOCABULARIES
+from vqaspark.llm.queries import WORD_VOCABULARY
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Rows whose text the quality rules keep; a null or empty text goes."""
     return quality.kept_rows(docs, quality.fit_on(spark, sf_dir))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates; documents without an id stay if one of them does."""
-    kept = near_duplicates.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """One row of each group of near duplicates, whether its rows have ids or not."""
+    return near_duplicates.distinct_rows(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    leaks = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(leaks.select("doc_id"), "doc_id", "left_anti")
+    """Rows without a passage of the benchmark; each row is judged by its own text."""
+    return decontamination.clean_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with each span of personal data replaced by its kind in brackets."""
+    """Texts with each span of personal data replaced by its kind in brackets; n_chars follows, a null text stays null."""
     return personal_data.masked(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
-    return packing.pack(docs, f"{VOCABULARIES}/word_bpe_49k.json")
+    """The pieces of the packed sequences, which cover every id of every row once."""
+    return packing.pack(docs, WORD_VOCABULARY)
 
 
 STAGES = [
