@@ -253,19 +253,17 @@ def _missing(pairs: DataFrame, roots: DataFrame, classes: DataFrame, sets: DataF
     if sizes.isEmpty():
         return None
     parts = sizes.select("r", "parts")
-    members = _dealt(placed.join(sizes.select("r"), "r", "left_semi"), parts).join(sets.withColumnRenamed("cid", "m"), "m")
-    members = common.staged(members.select("r", "part", "m", "m_root", "set"), "members")
+    members = _dealt(placed.join(sizes.select("r", "members"), "r"), parts).join(sets.withColumnRenamed("cid", "m"), "m")
+    members = common.staged(members.select("r", "part", "m", "m_root", "set", "members"), "members")
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches):
-            found = [np.frombuffer(x.as_py(), np.int64) for x in b.column(1)]
-            owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner)), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], names=["r", "element"])
-
-    counts = members.select("r", "set").mapInArrow(elements, "r binary, element long").groupBy("r", "element").agg(F.count("*").alias("n")).where("n > 1")
-    # an element's part spreads a large group's counts; what more than half have is at most twice a mean set
-    counts = counts.withColumn("m", F.col("element"))
-    most = _dealt(counts, parts).join(_to_parts(sizes.select("r", "members", "parts").select("r", "members"), parts), ["r", "part"]).where("2 * n > members")
+            found = [np.frombuffer(x.as_py(), np.int64) for x in b.column(2)]
+            owner = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(owner), b.column(1).take(owner), pa.array(np.concatenate(found))], names=["r", "members", "element"])
+
+    counts = members.select("r", "members", "set").mapInArrow(elements, "r binary, members long, element long").groupBy("r", "members", "element").agg(F.count("*").alias("n"))
+    most = counts.where("2 * n > members")  # at most twice a mean set
     centres = most.groupBy("r").agg(F.collect_list("element").alias("centre"))
     centres = _to_parts(sizes.select("r").join(centres, "r", "left").select("r", F.coalesce("centre", F.array().cast("array<long>")).alias("centre")), parts)
 
