@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Conversation templates: name -> (system, human, assistant, style, sep, sep2) (fixed values).
+#: System texts and conversation templates: name -> (system, human, assistant, style, sep, sep2) (fixed values).
+CURIOUS = "A chat between a curious {0} and an artificial intelligence assistant. The assistant gives helpful, detailed, and polite answers to the {0}'s questions."
+VISUAL = (
+    "You are LLaVA, a large language and vision assistant trained by UW Madison WAIV Lab."
+    "You are able to understand the visual content that the user provides, and assist the user with a variety of tasks using natural language."
+    "Follow the instructions carefully and explain your answers in detail."
+)
 TEMPLATES = {
-    "plain": ("A chat between a curious human and an artificial intelligence assistant.", "Human", "Assistant", "single", "###", None),
-    "two": ("A chat between a curious user and an artificial intelligence assistant.", "USER", "ASSISTANT", "two", " ", "</s>"),
+    "default": (CURIOUS.format("human"), "Human", "Assistant", "single", "###", None),
+    "simple": (CURIOUS.format("human"), "Human", "Assistant", "single", "###", None),
+    "v1": (CURIOUS.format("human"), "Human", "Assistant", "single", "###", None),
+    "multimodal": (VISUAL, "Human", "Assistant", "single", "###", None),
+    "llava_v1": (VISUAL, "USER", "ASSISTANT", "two", " ", "</s>"),
+    "bair_v1": ("BEGINNING OF CONVERSATION:", "USER", "GPT", "two", " ", "</s>"),
+    "vicuna_v1_1": (CURIOUS.format("user"), "USER", "ASSISTANT", "two", " ", "</s>"),
 }
 #: Words of the counts that an enumeration prints.
 NUMBER_WORDS = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven")
@@ -43,11 +54,18 @@ def render_two(system: Column, turns: Column, human: str = "USER", assistant: st
     def one(t: Column, i: Column) -> Column:
         who = F.when(t["role"] == 0, human).otherwise(assistant)
         said = t["text"].isNotNull() & (t["text"] != "")
-        return F.when(said, F.concat(who, F.lit(": "), t["text"], F.when(i % 2 == 0, sep).otherwise(sep2))).otherwise(F.concat(who, F.lit(":")))
+        return F.when(said, F.concat(F.lit(" "), who, F.lit(": "), t["text"], F.when(i % 2 == 0, sep).otherwise(sep2))).otherwise(F.concat(F.lit(" "), who, F.lit(":")))
 
     return F.concat(system, F.lit(sep), F.array_join(F.transform(turns, one), ""))
 
 
+def render(template: str, turns: Column, system: Column | None = None) -> Column:
+    """A conversation by the name of its template; the template's own system text where none is given."""
+    own, human, assistant, style, sep, sep2 = TEMPLATES[template]
+    system = F.coalesce(system, F.lit(own)) if system is not None else F.lit(own)
+    return render_single(system, turns, human, assistant, sep) if style == "single" else render_two(system, turns, human, assistant, sep, sep2)
+
+
 def targets(turns: Column, sep: str = "###") -> Column:
     """What a model has to predict: the assistant's texts with their separator."""
     return F.transform(F.filter(turns, lambda t: (t["role"] == 1) & t["text"].isNotNull()), lambda t: F.concat(t["text"], F.lit("\n" + sep)))
@@ -63,7 +81,12 @@ def alpaca_prompt(instruction: Column, context: Column) -> Column:
 
 
 def prompt(kind: str, instruction: Column, context: Column | None = None) -> Column:
-    """A prompt by kind: alpaca, caption (nothing) or plain (the instruction itself)."""
+    """A prompt by kind: alpaca, shortqa, qg (a question for an answer), caption (nothing) or plain (the instruction itself)."""
+    if kind == "shortqa":
+        lead = "Below is an instruction that describes a task. Write a response that appropriately completes the request using a single word or phrase.\n\n### Instruction:\n"
+        return F.concat(F.lit(lead), instruction, F.lit("\n\n### Response:"))
+    if kind == "qg":
+        return F.concat(F.lit("Generate a question whose answer is:\n"), instruction, F.lit("\n\nQuestion:\n"))
     if kind == "alpaca":
         return alpaca_prompt(instruction, context if context is not None else F.lit(None).cast("string"))
     if kind == "caption":

@@ -113,10 +113,13 @@ def hash_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(pos, token): the stream of all documents' tokens with their end ids."""
+    """(chunk, pos, part): the stream of all documents' tokens with their end ids, each document cut at the chunks' bounds."""
     d = token_rows(spark, sf_dir).select("doc_id", F.concat("t", F.array(F.lit(EOS))).alias("t"))
-    starts = ranked(d, [], by_number("doc_id"), ["doc_id"], "start", F.size("t"))
-    return starts.select("start", F.posexplode("t").alias("i", "token")).select((F.col("start") + F.col("i")).alias("pos"), "token")
+    starts = ranked(d, [], by_number("doc_id"), ["doc_id"], "start", F.size("t")).withColumn("stop", F.col("start") + F.size("t"))
+    chunks = F.explode(F.sequence(F.floor(F.col("start") / LENGTH), F.floor((F.col("stop") - 1) / LENGTH))).alias("chunk")
+    cut = starts.select("start", "stop", "t", chunks).withColumn("pos", F.greatest("start", F.col("chunk") * LENGTH))
+    length = F.least("stop", (F.col("chunk") + 1) * LENGTH) - F.col("pos")
+    return cut.select("chunk", "pos", F.slice("t", (F.col("pos") - F.col("start") + 1).cast("int"), length.cast("int")).alias("part"))
 
 
 PACKED = TOKENS + ", s AS (SELECT doc_id, list_append(t, 2) AS t, sum(len(t) + 1) OVER (ORDER BY doc_id) - len(t) - 1 AS start FROM d), x AS (SELECT start + i - 1 AS pos, t[i] AS token FROM (SELECT start, t, unnest(range(1, len(t) + 1)) AS i FROM s))"
@@ -124,13 +127,14 @@ PACKED = TOKENS + ", s AS (SELECT doc_id, list_append(t, 2) AS t, sum(len(t) + 1
 
 @query(PACKED + " SELECT CAST(pos // 2048 AS BIGINT) AS chunk, CAST(count(*) AS BIGINT) AS n, CAST(sum(token) AS BIGINT) AS total FROM x GROUP BY 1")
 def pack_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(spark, sf_dir).groupBy(F.floor(F.col("pos") / LENGTH).alias("chunk")).agg(F.count("*").alias("n"), F.sum("token").alias("total"))
+    parts = packed(spark, sf_dir).select("chunk", F.size("part").alias("n"), F.aggregate("part", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    return parts.groupBy("chunk").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
 @query(PACKED + ", c AS (SELECT CAST(pos // 2048 AS BIGINT) AS chunk, string_agg(CAST(token AS VARCHAR), ',' ORDER BY pos) AS t, 2048 - count(*) AS pad FROM x GROUP BY 1) SELECT chunk, md5(t || repeat(',0', CAST(pad AS INTEGER))) AS digest, CAST(2048 AS INTEGER) AS length FROM c")
 def pack_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = packed(spark, sf_dir).groupBy(F.floor(F.col("pos") / LENGTH).alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("x"))
-    whole = A.pad(F.transform("x", lambda x: x["token"]), LENGTH, 0)
+    rows = packed(spark, sf_dir).groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("pos", "part"))).alias("x"))
+    whole = A.pad(F.flatten(F.transform("x", lambda x: x["part"])), LENGTH, 0)
     return rows.select("chunk", F.md5(F.array_join(whole, ",").cast("binary")).alias("digest"), F.size(whole).alias("length"))
 
 

@@ -1,4 +1,6 @@
-"""The record builders: questions and answers about parts, joints and tasks, one table for each task.
+"""The record builders: one record (image, conversations) for each question, one table for each task.
+
+conversations is the JSON of the two turns, [{"from": "human", "value": ..}, {"from": "gpt", "value": ..}].
 
 A part of an object in an image is a line item: the order is the image, the supplier the object, the nation its class.
 """
@@ -8,18 +10,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import corner_boxes, enumeration, format_centi
+from ..functions.text import corner_boxes, format_centi, number_word
 from .registry import query, table
 
-#: Questions by task (wording of this library).
+#: Questions by task (fixed values).
 QUESTIONS = {
-    "single_link": "Give the box of the part {}.",
-    "joint": "Describe the joint of the part {}.",
-    "joint_depth": "Describe the joint of the part {} with its depths.",
-    "status": "What state is the part {} in?",
-    "all_parts": "List every part that can move.",
-    "grounding": "How is this done: {}?",
+    "all_parts": "Detect all manipulable object parts and provide their 2D rotated bounding boxes.",
+    "joint": "Please provide the joint's type and its 2D rotated bounding box linked to the object part {}.",
+    "joint_depth": "Please provide the joint's type and its 2D rotated bounding box with depth linked to the object part {}.",
+    "single_link": "Please provide the 2D rotated bounding box of the region this sentence describes: {}",
+    "grounding": "Please execute the task described wih 2D rotated bounding box representations by the following instruction: {}",
+    "all_parts_3d": "Detect all manipulable object parts and provide their 3D bounding boxes.",
+    "joint_3d": "Please provide the joint's type and its 3D axis linked to the object part {}.",
+    "single_link_3d": "Please provide the 3D bounding box of the region this sentence describes: {}",
+    "grounding_3d": "Please execute the task described wih 3D rotated bounding box representations by the following instruction: {}",
+}
+#: Answers that list parts: of one, and of several (fixed values).
+LISTED = {
+    "all_parts": ("There is one manipulable object part with its rotated bounding box: ", "There are {} manipulable object parts with their rotated bounding boxes: "),
+    "all_parts_3d": ("There is one manipulable object part with its 3d bounding box: ", "There are {} manipulable object parts with their 3d bounding boxes: "),
 }
+#: Records of a task whose actions say less than this many characters are left out.
+LEAST_ACTIONS = 5
 JOINTS, ACTIONS = ("revolute", "prismatic", "continuous"), ("rotate", "slide_out", "press", "wipe")
 PARTS = """WITH parts AS (SELECT l_orderkey AS image, l_linenumber AS link, l_partkey AS id, l_suppkey AS object, n_name AS class, 'part' || l_partkey % 17 AS name, l_partkey * 7 % 97 AS cx, l_suppkey * 13 % 97 AS cy, CAST(l_quantity AS BIGINT) AS w, l_linenumber * 9 AS h,
  l_partkey * 7 % 180 AS angle, CAST(l_quantity AS BIGINT) * 2 % 100 AS depth, ['revolute', 'prismatic', 'continuous'][CAST(l_partkey % 3 AS INTEGER) + 1] AS joint, ['rotate', 'slide_out', 'press', 'wipe'][CAST(l_suppkey % 4 AS INTEGER) + 1] AS action, l_quantity < 20 AS closed
@@ -54,74 +66,168 @@ def tagged(tag: str, name: Column, values: Column) -> Column:
 
 
 BOX = ("cx", "cy", "w", "h", "angle")
-SELECT = " SELECT image, link, id, object, {q} AS question, {a} AS answer FROM parts"
+#: Centre, size and rotation.
+BOX3 = ("cx", "cy", "depth", "w", "h", "five", "zero", "zero", "angle")
+SELECT = " SELECT image, link, id, object, {r} AS conversations FROM parts"
+
+
+def turns(question: Column, answer: Column) -> Column:
+    turn = lambda who, said: F.struct(F.lit(who).alias("from"), said.alias("value"))
+    return F.to_json(F.array(turn("human", question), turn("gpt", answer)))
+
+
+def _turns(question: str, answer: str) -> str:
+    return f"CAST(to_json([{{'from': 'human', 'value': {question}}}, {{'from': 'gpt', 'value': {answer}}}]) AS VARCHAR)"
 
 
 def record(df: DataFrame, question: Column, answer: Column) -> DataFrame:
-    return df.select("image", "link", "id", "object", question.alias("question"), answer.alias("answer"))
+    return df.select("image", "link", "id", "object", turns(question, answer).alias("conversations"))
 
 
-def ask(task: str, *values: Column) -> Column:
+def ask(task: str, value: Column | None = None) -> Column:
     head, *rest = QUESTIONS[task].split("{}")
-    out = [F.lit(head)]
-    for v, r in zip(values, rest, strict=True):
-        out += [v, F.lit(r)]
-    return F.concat(*out)
+    return F.concat(F.lit(head), value, F.lit(rest[0])) if rest else F.lit(head)
+
+
+def _ask(task: str, value: str = "") -> str:
+    head, *rest = QUESTIONS[task].replace("'", "''").split("{}")
+    return f"'{head}' || {value} || '{rest[0]}'" if rest else f"'{head}'"
+
+
+def listed(task: str, boxes: Column) -> Column:
+    """The sentence that lists all parts."""
+    one, several = LISTED[task]
+    head, rest = several.split("{}")
+    lead = F.when(F.size(boxes) == 1, one).otherwise(F.concat(F.lit(head), number_word(F.size(boxes)), F.lit(rest)))
+    return F.concat(lead, F.array_join(boxes, ","), F.lit("."))
+
+
+def _listed(task: str) -> str:
+    one, several = LISTED[task]
+    head, rest = several.split("{}")
+    return f"CASE WHEN n = 1 THEN '{one}' ELSE '{head}' || ['one','two','three','four','five','six','seven','eight','nine','ten','eleven'][n] || '{rest}' END || boxes || '.'"
+
+
+def with_box3(df: DataFrame) -> DataFrame:
+    return df.withColumns({"five": F.lit(5).cast("long"), "zero": F.lit(0).cast("long")})
+
+
+def _box3() -> str:
+    return _numbers("cx", "cy", "depth", "w", "h", "5", "0", "0", "angle")
+
+
+AXIS = ("cx", "cy", "depth", "ex", "ey", "depth")
+
+
+def with_axis(df: DataFrame) -> DataFrame:
+    """The axis' other end."""
+    return df.withColumns({"ex": F.col("cx") + F.col("w"), "ey": F.col("cy") + F.col("h")})
 
 
-@query(PARTS + SELECT.format(q="'Give the box of the part ' || name || '.'", a="'<rb>' || name || '</rb>' || " + _numbers(*BOX)))
+def _axis() -> str:
+    return _numbers("cx", "cy", "depth", "(cx + w)", "(cy + h)", "depth")
+
+
+def _tagged(tag: str, name: str, values: str) -> str:
+    return f"'<{tag}>' || {name} || '</{tag}>' || {values}"
+
+
+@query(PARTS + SELECT.format(r=_turns(_ask("single_link", "name"), _numbers(*BOX))))
 def task_single_link(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return record(parts(spark, sf_dir), ask("single_link", F.col("name")), tagged("rb", F.col("name"), numbers(*BOX)))
+    return record(parts(spark, sf_dir), ask("single_link", F.col("name")), numbers(*BOX))
 
 
-@query(PARTS + SELECT.format(q="'Describe the joint of the part ' || name || '.'", a="joint || ' <axis>' || name || '</axis>' || " + _numbers("cx", "cy", "angle")))
+@query(PARTS + SELECT.format(r=_turns(_ask("joint", "name"), _tagged("rb", "joint", _numbers(*BOX)))))
 def task_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return record(parts(spark, sf_dir), ask("joint", F.col("name")), F.concat("joint", F.lit(" "), tagged("axis", F.col("name"), numbers("cx", "cy", "angle"))))
+    return record(parts(spark, sf_dir), ask("joint", F.col("name")), tagged("rb", F.col("joint"), numbers(*BOX)))
+
+
+@query(PARTS + SELECT.format(r=_turns(_ask("joint_depth", "name"), _tagged("rb", "joint", _numbers(*BOX, "depth")))))
+def task_joint_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first depth is the box's sixth number."""
+    return record(parts(spark, sf_dir), ask("joint_depth", F.col("name")), tagged("rb", F.col("joint"), numbers(*BOX, "depth")))
 
 
-@query(PARTS + SELECT.format(q="'Describe the joint of the part ' || name || ' with its depths.'", a="joint || ' <axis>' || name || '</axis>' || " + _numbers("cx", "cy", "angle", "depth", "w")))
+@query(PARTS + SELECT.format(r=_turns(_ask("joint_depth", "name"), _tagged("rb", "joint", _numbers(*BOX)) + " || '<rbd>' || " + _numbers("depth", "w") + " || '</rbd>'")))
 def task_joint_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    axis = tagged("axis", F.col("name"), numbers("cx", "cy", "angle", "depth", "w"))
-    return record(parts(spark, sf_dir), ask("joint_depth", F.col("name")), F.concat("joint", F.lit(" "), axis))
+    """Both depths stand after the box, in brackets of their own."""
+    return record(parts(spark, sf_dir), ask("joint_depth", F.col("name")), F.concat(tagged("rb", F.col("joint"), numbers(*BOX)), F.lit("<rbd>"), numbers("depth", "w"), F.lit("</rbd>")))
 
 
-@query(PARTS + SELECT.format(q="'What state is the part ' || name || ' in?'", a="CASE WHEN closed THEN 'closed_' ELSE 'opened_' END || name") + " WHERE joint <> 'continuous'")
+@query(PARTS + SELECT.format(r=_turns(_ask("joint", "name"), "CASE WHEN closed THEN 'Closed' ELSE 'Opened' END")) + " WHERE joint <> 'continuous'")
 def task_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = parts(spark, sf_dir).where("joint != 'continuous'")
-    return record(p, ask("status", F.col("name")), F.concat(F.when(F.col("closed"), "closed_").otherwise("opened_"), "name"))
+    """The question is that of the joint."""
+    return record(parts(spark, sf_dir).where("joint != 'continuous'"), ask("joint", F.col("name")), F.when(F.col("closed"), "Closed").otherwise("Opened"))
 
 
-@query(PARTS + """, k AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY CASE WHEN n > 10 THEN -w * h ELSE 0 END, link, id, object, name, cx, cy, w, h, angle) AS r FROM (SELECT *, count(*) OVER (PARTITION BY image) AS n FROM parts)),
-g AS (SELECT image, CAST(least(max(n), 10) AS BIGINT) AS n, string_agg('<rb>' || name || '</rb>' || """ + _numbers(*BOX) + """, ',' ORDER BY r) AS boxes FROM k WHERE r <= 10 GROUP BY image)
-SELECT image, CASE WHEN n = 1 THEN 'There is one part: ' ELSE 'There are ' || ['one','two','three','four','five','six','seven','eight','nine','ten','eleven'][n] || ' parts: ' END || boxes || '.' AS answer FROM g""")
-def task_det_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = parts(spark, sf_dir).withColumn("n", F.count("*").over(Window.partitionBy("image")))
+@query(PARTS + SELECT.format(r=_turns(_ask("joint_3d", "name"), "CASE WHEN closed THEN 'Closed' ELSE 'Opened' END")) + " WHERE joint <> 'continuous'")
+def task_status_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return record(parts(spark, sf_dir).where("joint != 'continuous'"), ask("joint_3d", F.col("name")), F.when(F.col("closed"), "Closed").otherwise("Opened"))
+
+
+@query(PARTS + SELECT.format(r=_turns(_ask("joint_3d", "name"), _tagged("axis", "joint", _axis()))))
+def task_joint_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return record(with_axis(parts(spark, sf_dir)), ask("joint_3d", F.col("name")), tagged("axis", F.col("joint"), numbers(*AXIS)))
+
+
+@query(PARTS + SELECT.format(r=_turns(_ask("single_link_3d", "name"), _box3())))
+def task_single_link_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return record(with_box3(parts(spark, sf_dir)), ask("single_link_3d", F.col("name")), numbers(*BOX3))
+
+
+ALL = """, k AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY CASE WHEN n > 10 THEN -w * h ELSE 0 END, link, id, object, name, cx, cy, w, h, angle) AS r FROM (SELECT *, count(*) OVER (PARTITION BY image) AS n FROM parts)),
+g AS (SELECT image, CAST(least(max(n), 10) AS BIGINT) AS n, string_agg({box}, ',' ORDER BY r) AS boxes FROM k WHERE r <= 10 GROUP BY image) SELECT image, {record} AS conversations FROM g"""
+
+
+def all_parts(p: DataFrame, task: str, box: Column) -> DataFrame:
+    """The ten largest parts of an image if it has more, else all in order; an image's parts are few."""
+    p = p.withColumn("n", F.count("*").over(Window.partitionBy("image")))
     order = Window.partitionBy("image").orderBy(F.when(F.col("n") > 10, -F.col("w") * F.col("h")).otherwise(F.lit(0)), "link", "id", "object", "name", *BOX)
-    top = p.withColumn("r", F.row_number().over(order)).where("r <= 10").select("image", "r", tagged("rb", F.col("name"), numbers(*BOX)).alias("box"))
-    listed = top.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("r", "box"))).alias("b"))
-    return listed.select("image", enumeration(F.transform("b", lambda b: b["box"])).alias("answer"))
+    top = p.withColumn("r", F.row_number().over(order)).where("r <= 10").select("image", "r", box.alias("box"))
+    found = top.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("r", "box"))).alias("b"))
+    return found.select("image", turns(ask(task), listed(task, F.transform("b", lambda b: b["box"]))).alias("conversations"))
+
+
+@query(PARTS + ALL.format(box=_tagged("rb", "name", _numbers(*BOX)), record=_turns(_ask("all_parts"), _listed("all_parts"))))
+def task_det_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return all_parts(parts(spark, sf_dir), "all_parts", tagged("rb", F.col("name"), numbers(*BOX)))
+
+
+@query(PARTS + ALL.format(box=_tagged("box", "name", _box3()), record=_turns(_ask("all_parts_3d"), _listed("all_parts_3d"))))
+def task_det_all_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return all_parts(with_box3(parts(spark, sf_dir)), "all_parts_3d", tagged("box", F.col("name"), numbers(*BOX3)))
+
+
+STEPS = """, f AS (SELECT image, name, action, min(link * 1000000 + id) AS k, arg_min({box}, (link * 1000000 + id, cx, cy, w, h, angle, depth)) AS box FROM parts GROUP BY image, name, action),
+g AS (SELECT image, string_agg('<{tag}>' || action || '</{tag}>' || box, ',' ORDER BY k, name, action) AS actions, string_agg(action || ' the ' || name, ', then ' ORDER BY k, name, action) AS task FROM f GROUP BY image)
+SELECT image, {record} AS conversations FROM g WHERE length(actions) >= 5"""
+
 
+def grounded(p: DataFrame, task: str, tag: str, box: Column) -> DataFrame:
+    """An image's task is the list of its actions, each grounded in the first part that its text names."""
+    key = F.struct((F.col("link") * 1000000 + F.col("id")).alias("k"), *BOX, "depth")
+    first = p.groupBy("image", "name", "action").agg(F.min(F.col("link") * 1000000 + F.col("id")).alias("k"), F.min_by(box, key).alias("box"))
+    steps = first.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("k", "name", "action", "box"))).alias("s"))
+    actions = F.array_join(F.transform("s", lambda x: tagged(tag, x["action"], x["box"])), ",")
+    told = F.array_join(F.transform("s", lambda x: F.concat(x["action"], F.lit(" the "), x["name"])), ", then ")
+    return steps.where(F.length(actions) >= LEAST_ACTIONS).select("image", turns(ask(task, told), actions).alias("conversations"))
 
-@query(PARTS + """, a AS (SELECT image, link, id, object, name, action || '[' || name || ']' AS step FROM parts), r AS (SELECT image, name, min(link * 1000000 + id) AS k FROM parts GROUP BY image, name)
-SELECT a.image, a.link, a.id, a.object, 'How is this done: ' || step || '?' AS question, split_part(step, '[', 1) || ' <rb>' || p.name || '</rb>' || """ + _numbers("p.cx", "p.cy", "p.w", "p.h", "p.angle") + """ AS answer
-FROM a JOIN r USING (image, name) JOIN (SELECT image, name, link * 1000000 + id AS k, min(cx) AS cx, min(cy) AS cy, min(w) AS w, min(h) AS h, min(angle) AS angle FROM parts GROUP BY 1, 2, 3) p ON p.image = a.image AND p.name = a.name AND p.k = r.k""")
+
+@query(PARTS + STEPS.format(box=_numbers(*BOX), tag="rb", record=_turns(_ask("grounding", "task"), "actions")))
 def task_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each action is grounded in the first part of the image that its text names."""
-    p = parts(spark, sf_dir)
-    first = p.groupBy("image", "name", (F.col("link") * 1000000 + F.col("id")).alias("k")).agg(*(F.min(c).alias(c) for c in BOX))
-    first = first.groupBy("image", "name").agg(F.min_by(F.struct(*BOX), "k").alias("b")).select("image", "name", *(F.col("b")[c].alias(c) for c in BOX))
-    a = p.select("image", "link", "id", "object", "name", F.concat("action", F.lit("["), "name", F.lit("]")).alias("step")).join(first, ["image", "name"])
-    return record(a, ask("grounding", F.col("step")), F.concat(F.split("step", r"\[")[0], F.lit(" "), tagged("rb", F.col("name"), numbers(*BOX))))
+    return grounded(parts(spark, sf_dir), "grounding", "rb", numbers(*BOX))
 
 
-@query(PARTS + """, c AS (SELECT image, link, id, object, name, cx, cy, depth, w, h FROM parts)
-SELECT image, link, id, object, 'Give the box of the part ' || name || '.' AS question, '<box>' || name || '</box>[' || string_agg(printf('[%03d,%03d,%03d]', cx + CASE WHEN i >= 4 THEN w ELSE 0 END, cy + CASE WHEN i // 2 % 2 = 1 THEN h ELSE 0 END, depth + CASE WHEN i % 2 = 1 THEN 5 ELSE 0 END), ',' ORDER BY i) || ']' AS answer
-FROM (SELECT *, row_number() OVER () AS rn FROM c), range(8) r(i) GROUP BY rn, image, link, id, object, name""")
-def task_single_link_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = parts(spark, sf_dir)
+@query(PARTS + STEPS.format(box=_box3(), tag="box", record=_turns(_ask("grounding_3d", "task"), "actions")))
+def task_grounding_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grounded(with_box3(parts(spark, sf_dir)), "grounding_3d", "box", numbers(*BOX3))
+
+
+def first_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image, link, id, object, answer): a box of eight corners for each part, as a first stage answers."""
     three = lambda c: F.lpad(c.cast("string"), 3, "0")
     corner = [F.concat(F.lit("["), three(F.col("cx") + (F.col("w") if i >= 4 else F.lit(0))), F.lit(","), three(F.col("cy") + (F.col("h") if i // 2 % 2 else F.lit(0))), F.lit(","), three(F.col("depth") + 5 * (i % 2)), F.lit("]")) for i in range(8)]
-    return record(p, ask("single_link", F.col("name")), tagged("box", F.col("name"), F.concat(F.lit("["), F.concat_ws(",", *corner), F.lit("]"))))
+    return parts(spark, sf_dir).select("image", "link", "id", "object", tagged("box", F.col("name"), F.concat(F.lit("["), F.concat_ws(",", *corner), F.lit("]"))).alias("answer"))
 
 
 @query(PARTS + """, t AS (SELECT 'single_link' AS task, class FROM parts UNION ALL SELECT 'joint', class FROM parts UNION ALL SELECT 'status', class FROM parts WHERE joint <> 'continuous')
@@ -136,59 +242,12 @@ def task_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(PARTS + " SELECT image, link, id, object, CAST(0 AS INTEGER) AS box, 'Describe the joint of the part at ' || CAST(cx AS VARCHAR) || ',' || CAST(cy AS VARCHAR) || ',' || CAST(depth AS VARCHAR) || '.' AS question FROM parts")
 def stage2_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers of a first stage parsed and turned into the questions of the second, one for each box."""
-    a = task_single_link_3d(spark, sf_dir)
+    a = first_stage(spark, sf_dir)
     boxes = a.select("image", "link", "id", "object", F.posexplode(corner_boxes(F.col("answer"))).alias("box", "corners"))
     at = F.concat_ws(",", *(F.round(F.get(F.get("corners", F.lit(0)), F.lit(k)) * 100).cast("long").cast("string") for k in range(3)))
     return boxes.select("image", "link", "id", "object", "box", F.concat(F.lit("Describe the joint of the part at "), at, F.lit(".")).alias("question"))
 
 
-@query(PARTS + SELECT.format(q="'Describe the joint of the part ' || name || ' with its depths.'", a="joint || ' <axis>' || name || '</axis>' || " + _numbers("cx", "cy", "angle", "depth")))
-def task_joint_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
-    axis = tagged("axis", F.col("name"), numbers("cx", "cy", "angle", "depth"))
-    return record(parts(spark, sf_dir), ask("joint_depth", F.col("name")), F.concat("joint", F.lit(" "), axis))
-
-
-AXIS3 = "'[' || printf('%03d,%03d,%03d', cx, cy, depth) || '],[' || printf('%03d,%03d,%03d', cx + w, cy + h, depth) || ']'"
-
-
-def axis_3d() -> Column:
-    """Two end points of the axis, whole hundredths of three digits."""
-    three = lambda *c: F.concat(F.lit("["), F.concat_ws(",", *(F.lpad(x.cast("string"), 3, "0") for x in c)), F.lit("]"))
-    return F.concat(three(F.col("cx"), F.col("cy"), F.col("depth")), F.lit(","), three(F.col("cx") + F.col("w"), F.col("cy") + F.col("h"), F.col("depth")))
-
-
-@query(PARTS + SELECT.format(q="'Describe the joint of the part ' || name || '.'", a=f"joint || ' <axis>' || name || '</axis>[' || {AXIS3} || ']'"))
-def task_joint_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    axis = tagged("axis", F.col("name"), F.concat(F.lit("["), axis_3d(), F.lit("]")))
-    return record(parts(spark, sf_dir), ask("joint", F.col("name")), F.concat("joint", F.lit(" "), axis))
-
-
-@query(PARTS + SELECT.format(q="'What state is the part ' || name || ' in?'", a=f"CASE WHEN closed THEN 'closed_' ELSE 'opened_' END || name || ' ' || {AXIS3}") + " WHERE joint <> 'continuous'")
-def task_status_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = parts(spark, sf_dir).where("joint != 'continuous'")
-    return record(p, ask("status", F.col("name")), F.concat(F.when(F.col("closed"), "closed_").otherwise("opened_"), "name", F.lit(" "), axis_3d()))
-
-
-@query(PARTS + f""", k AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY CASE WHEN n > 10 THEN -w * h ELSE 0 END, link, id, object, name, cx, cy, w, h, angle) AS r FROM (SELECT *, count(*) OVER (PARTITION BY image) AS n FROM parts)),
-g AS (SELECT image, CAST(least(max(n), 10) AS BIGINT) AS n, string_agg('<box>' || name || '</box>[' || {AXIS3} || ']', ',' ORDER BY r) AS boxes FROM k WHERE r <= 10 GROUP BY image)
-SELECT image, CASE WHEN n = 1 THEN 'There is one part: ' ELSE 'There are ' || ['one','two','three','four','five','six','seven','eight','nine','ten','eleven'][n] || ' parts: ' END || boxes || '.' AS answer FROM g""")
-def task_det_all_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = parts(spark, sf_dir).withColumn("n", F.count("*").over(Window.partitionBy("image")))
-    order = Window.partitionBy("image").orderBy(F.when(F.col("n") > 10, -F.col("w") * F.col("h")).otherwise(F.lit(0)), "link", "id", "object", "name", *BOX)
-    box = tagged("box", F.col("name"), F.concat(F.lit("["), axis_3d(), F.lit("]")))
-    top = p.withColumn("r", F.row_number().over(order)).where("r <= 10").select("image", "r", box.alias("box"))
-    listed = top.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("r", "box"))).alias("b"))
-    return listed.select("image", enumeration(F.transform("b", lambda b: b["box"])).alias("answer"))
-
-
-@query(PARTS + f" SELECT image, link, id, object, 'How is this done: ' || action || '[' || name || ']?' AS question, action || ' <box>' || name || '</box>[' || {AXIS3} || ']' AS answer FROM parts WHERE length(action || '[' || name || ']') >= 12")
-def task_grounding_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Actions too short to say anything are left out."""
-    step = F.concat("action", F.lit("["), "name", F.lit("]"))
-    p = parts(spark, sf_dir).where(F.length(step) >= 12)
-    return record(p, ask("grounding", step), F.concat("action", F.lit(" "), tagged("box", F.col("name"), F.concat(F.lit("["), axis_3d(), F.lit("]")))))
-
-
 @query("SELECT p_partkey, CASE WHEN length(p_brand) >= 8 THEN p_brand WHEN length(p_type) >= 8 THEN p_type END AS choice FROM part")
 def min_length_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first of two candidates that is long enough, or nothing."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .registry import query, table
 
-SYSTEM = T.TEMPLATES["plain"][0]
+SYSTEM = T.TEMPLATES["default"][0]
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +21,7 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TURNS = f"""
 WITH t AS (SELECT conv_id, turn, CASE WHEN role IN ('user', 'human') THEN 0 ELSE 1 END AS role, text FROM conversations WHERE role <> 'system'),
-s AS (SELECT conv_id, coalesce(arg_min(text, turn) FILTER (WHERE role = 'system'), '{SYSTEM}') AS system FROM conversations GROUP BY conv_id)
+s AS (SELECT conv_id, coalesce(arg_min(text, turn) FILTER (WHERE role = 'system'), '{SYSTEM.replace(chr(39), chr(39) * 2)}') AS system FROM conversations GROUP BY conv_id)
 """
 
 
@@ -38,13 +38,31 @@ def conv_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     TURNS
     + """, n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM t),
-r AS (SELECT conv_id, string_agg(CASE role WHEN 0 THEN 'USER' ELSE 'ASSISTANT' END || CASE WHEN coalesce(text, '') <> '' THEN ': ' || text || CASE WHEN i % 2 = 0 THEN ' ' ELSE '</s>' END ELSE ':' END, '' ORDER BY turn) AS body FROM n GROUP BY conv_id)
+r AS (SELECT conv_id, string_agg(' ' || CASE role WHEN 0 THEN 'USER' ELSE 'ASSISTANT' END || CASE WHEN coalesce(text, '') <> '' THEN ': ' || text || CASE WHEN i % 2 = 0 THEN ' ' ELSE '</s>' END ELSE ':' END, '' ORDER BY turn) AS body FROM n GROUP BY conv_id)
 SELECT s.conv_id, s.system || ' ' || coalesce(body, '') AS prompt FROM s LEFT JOIN r USING (conv_id)"""
 )
 def conv_two_sep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations(spark, sf_dir).select("conv_id", T.render_two(F.col("system"), F.col("turns")).alias("prompt"))
 
 
+def _rendered(name: str) -> str:
+    """SQL of one template's texts, as MD5."""
+    system, human, assistant, style, sep, sep2 = T.TEMPLATES[name]
+    quoted = "'" + system.replace("'", "''") + "'"
+    who = f"' ' || CASE role WHEN 0 THEN '{human}' ELSE '{assistant}' END"
+    end = f"chr(10) || '{sep}'" if style == "single" else f"CASE WHEN i % 2 = 0 THEN '{sep}' ELSE '{sep2}' END"
+    lead = f"{quoted} || chr(10) || chr(10) || '{sep}'" if style == "single" else f"{quoted} || '{sep}'"
+    body = f"string_agg({who} || CASE WHEN coalesce(text, '') <> '' THEN ': ' || text || {end} ELSE ':' END, '' ORDER BY turn)"
+    return f"SELECT s.conv_id, '{name}' AS template, md5({lead} || coalesce(body, '')) AS digest FROM s LEFT JOIN (SELECT conv_id, {body} AS body FROM n GROUP BY conv_id) USING (conv_id)"
+
+
+@query(TURNS + ", n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM t) " + " UNION ALL ".join(map(_rendered, T.TEMPLATES)))
+def conv_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation by every template."""
+    every = F.array(*[F.struct(F.lit(n).alias("template"), F.md5(T.render(n, F.col("turns")).cast("binary")).alias("digest")) for n in T.TEMPLATES])
+    return conversations(spark, sf_dir).select("conv_id", F.explode(every).alias("x")).select("conv_id", "x.*")
+
+
 @query(TURNS + "SELECT conv_id, turn, text || chr(10) || '###' AS target FROM t WHERE role = 1 AND text IS NOT NULL")
 def conv_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = conversations(spark, sf_dir).select("conv_id", F.filter("turns", lambda t: t["role"] == 1).alias("a"), T.targets(F.col("turns")).alias("targets"))
@@ -86,6 +104,15 @@ def prompt_alpaca(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", T.prompt("alpaca", F.col("head"), F.when(F.col("doc_id") % 3 != 0, F.col("body"))).alias("prompt"))
 
 
+@query(
+    """SELECT doc_id, 'Below is an instruction that describes a task. Write a response that appropriately completes the request using a single word or phrase.' || chr(10) || chr(10) || '### Instruction:' || chr(10) || split_part(text, chr(10), 1) || chr(10) || chr(10) || '### Response:' AS short,
+ 'Generate a question whose answer is:' || chr(10) || split_part(text, chr(10), 1) || chr(10) || chr(10) || 'Question:' || chr(10) AS asked FROM documents"""
+)
+def prompt_short_and_question(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = F.split_part("text", F.lit("\n"), F.lit(1))
+    return table(spark, sf_dir, "documents").select("doc_id", T.prompt("shortqa", head).alias("short"), T.prompt("qg", head).alias("asked"))
+
+
 @query("SELECT doc_id, '' AS prompt, text AS output FROM documents")
 def prompt_caption(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.prompt("caption", F.col("text")).alias("prompt"), F.col("text").alias("output"))
