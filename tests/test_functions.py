@@ -111,3 +111,22 @@ def test_files(spark, tmp_path):
     sinks.write_new(spark.range(3), str(tmp_path / "n"), "id")
     sinks.write_new(spark.range(5), str(tmp_path / "n"), "id")
     assert spark.read.parquet(str(tmp_path / "n")).count() == 5
+
+
+def test_nearly_square_boxes(spark):
+    """A turned square keeps its own box, a circle takes the one along the axes."""
+    side = np.linspace(-10, 10, 21)
+    square = [(x, y) for v in side for x, y in ((v, -10), (v, 10), (-10, v), (10, v))]
+    c = np.cos(np.pi / 4)
+    turned = [("square", c * (x - y), c * (x + y), 0.0) for x, y in square]
+    circle = [("circle", 10 * np.cos(a), 10 * np.sin(a), 0.0) for a in np.linspace(0.1, 0.1 + 2 * np.pi, 97)]
+    df = spark.createDataFrame([(g, float(x), float(y), z) for g, x, y, z in turned + circle], "g string, x double, y double, z double")
+    got = {r.g: r for r in clouds.oriented_boxes(df, "g", "x", "y", "z").collect()}
+    assert abs(got["square"].w - 20) < 1e-6 and abs(got["square"].h - 20) < 1e-6
+    assert got["circle"].angle == 0.0 and abs(got["circle"].w - 20) < 0.1
+
+
+def test_unit_sphere(spark):
+    df = spark.createDataFrame([("a", 0.0, 0.0), ("a", 4.0, 0.0), ("b", 7.0, 7.0)], "g string, x double, y double")
+    got = sorted((r.g, r.x, r.y) for r in clouds.unit_sphere(df, "g", ["x", "y"]).collect())
+    assert got == [("a", -1.0, 0.0), ("a", 1.0, 0.0), ("b", 0.0, 0.0)]

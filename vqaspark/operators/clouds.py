@@ -68,14 +68,17 @@ def min_rectangle(p: np.ndarray) -> tuple[float, float, float, float, float]:
 def oriented_boxes(df: DataFrame, group: str, x: str, y: str, z: str, square: float = 0.1, least: int = 8) -> DataFrame:
     """(group, cx, cy, w, h, angle, zmin, zmax): the least rectangle in x and y with the range of z.
 
-    A nearly square rectangle and a cloud of fewer than ``least`` points fall back to the axes.
+    A nearly square rectangle whose box along the axes has nearly its sides (a circle, not a turned square) falls back to that
+    box; so does a cloud of fewer than ``least`` points.
     """
 
     def one(cloud: pd.DataFrame) -> pd.DataFrame:
         p = cloud[[x, y]].to_numpy(float)
         cx, cy, w, h, angle = min_rectangle(p)
-        if len(p) < least or abs(w - h) < square * max(w, h):
-            lo, hi = p.min(0), p.max(0)
+        lo, hi = p.min(0), p.max(0)
+        long, short = max(w, h), min(w, h)
+        round_ = long - short < square * short and abs(max(hi - lo) - long) < square * long and abs(min(hi - lo) - short) < square * short
+        if len(p) < least or round_:
             (cx, cy), (w, h), angle = (lo + hi) / 2, hi - lo, 0.0
         return pd.DataFrame([(cloud[group].iloc[0], cx, cy, w, h, angle, float(cloud[z].min()), float(cloud[z].max()))], columns=[group, "cx", "cy", "w", "h", "angle", "zmin", "zmax"])
 
@@ -104,6 +107,17 @@ def normals(df: DataFrame, group: str, key: str, coordinates: list[str], k: int
     return df.select(group, key, *coordinates).groupBy(group).applyInPandas(one, f"{group} {types[group]}, {key} {types[key]}, nx double, ny double, nz double")
 
 
+def unit_sphere(df: DataFrame, group: str, coordinates: list[str]) -> DataFrame:
+    """df with its coordinates relative to the group's mean, in units of the greatest distance from it (a single place gives 0)."""
+    means = df.groupBy(group).agg(*(F.avg(c).alias(f"_{c}") for c in coordinates))
+    centred = df.join(means, group).withColumns({c: F.col(c) - F.col(f"_{c}") for c in coordinates}).drop(*(f"_{c}" for c in coordinates))
+    square = F.col(coordinates[0]) * F.col(coordinates[0])
+    for c in coordinates[1:]:
+        square = square + F.col(c) * F.col(c)
+    radius = centred.groupBy(group).agg(F.max(F.sqrt(square)).alias("_radius"))
+    return centred.join(radius, group).withColumns({c: F.coalesce(F.try_divide(c, "_radius"), F.lit(0.0)) for c in coordinates}).drop("_radius")
+
+
 def jittered(df: DataFrame, columns: list[str], spread: float, seed: int = 0) -> DataFrame:
     """Gaussian noise on columns, by Spark's seeded generator."""
     return df.withColumns({c: F.col(c) + spread * F.randn(seed + i) for i, c in enumerate(columns)})

@@ -147,9 +147,9 @@ def topk_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.withColumn("place", F.row_number().over(order)).where("place <= 10").select("l_suppkey", "l_orderkey", "l_linenumber", "place")
 
 
-@query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20")
+@query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey")
 def numeric_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), F.col("o_orderkey").cast("string").cast("long")).limit(20)
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), F.col("o_orderkey").cast("string").cast("long"))
 
 
 @query(POINTS + ", d AS (SELECT label, i, max(x) - min(x) AS d FROM p GROUP BY label, i) SELECT label, max(d) AS divergence FROM d GROUP BY label")
@@ -167,12 +167,12 @@ def norm_of_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
 t AS (SELECT l_orderkey, id, step AS depth FROM n WHERE parent = 0 UNION ALL SELECT n.l_orderkey, n.id, t.depth + n.step FROM n JOIN t ON n.l_orderkey = t.l_orderkey AND n.parent = t.id)
 SELECT l_orderkey, CAST(max(depth) AS INTEGER) AS depth FROM t GROUP BY l_orderkey""")
 def tree_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Actuated edges on the longest path from the root; line numbers bound the depth, so the levels are a fixed number of joins."""
+    """Actuated edges on the longest path from the root; the greatest number bounds the depth, as a parent is half its child."""
     n = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("id")).distinct()
     n = n.select("l_orderkey", "id", F.floor(F.col("id") / 2).cast("int").alias("parent"), F.when(F.col("id") % 3 == 0, 0).otherwise(1).alias("step"))
     level = n.where("parent = 0").select("l_orderkey", "id", F.col("step").alias("depth"))
     every = level
-    for _ in range(3):
+    for _ in range((n.agg(F.max("id")).first()[0] or 1).bit_length() - 1):
         up = level.select("l_orderkey", F.col("id").alias("parent"), "depth")
         level = n.join(up, ["l_orderkey", "parent"]).select("l_orderkey", "id", (F.col("depth") + F.col("step")).alias("depth"))
         every = every.unionByName(level)

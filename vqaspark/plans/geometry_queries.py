@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..operators import clouds
 from .aggregate_queries import POINTS, points
 from .registry import query, table
 
@@ -66,9 +67,9 @@ def quantize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes(spark, sf_dir).select(*KEYS, q.alias("bin"), F.round(G.dequantise(q, 0, 960) * 10).cast("long").alias("back"))
 
 
-@query(BOXES + f" SELECT {K}, CAST(CASE WHEN a = 180 THEN 0 ELSE a END AS INTEGER) AS angle FROM (SELECT *, round_even(((angle % 180 + 180) % 180) / 5.0, 0) * 5 AS a FROM b)")
+@query(BOXES + f" SELECT {K}, CAST(CASE WHEN a = 180 THEN 0 ELSE a END AS INTEGER) AS angle, {_ppm('radians(CASE WHEN a = 180 THEN 0 ELSE a END)')} AS turn FROM (SELECT *, round_even(((angle % 180 + 180) % 180) / 5.0, 0) * 5 AS a FROM b)")
 def angle_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boxes(spark, sf_dir).select(*KEYS, G.wrapped_angle(F.col("angle")).alias("angle"))
+    return boxes(spark, sf_dir).select(*KEYS, G.wrapped_angle(F.col("angle")).alias("angle"), ppm(F.radians(G.wrapped_angle(F.col("angle")))).alias("turn"))
 
 
 @query(BOXES + f" SELECT {K}, (cx + cy) / 2 AS mx, (w + h) / 2 AS my, {_ppm('sqrt((cy - cx) * (cy - cx) + (h - w) * (h - w)) / 1000')} AS length, {_ppm('least(sqrt((cy - cx) * (cy - cx) + (h - w) * (h - w)), 10) / 1000')} AS thick, CAST(floor((CASE WHEN degrees(atan2(h - w, cy - cx)) < 0 THEN degrees(atan2(h - w, cy - cx)) + 180 ELSE degrees(atan2(h - w, cy - cx)) END) * 1000 + 0.5) AS BIGINT) AS angle FROM b")
@@ -96,10 +97,9 @@ def rigid_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes(spark, sf_dir).select(*KEYS, *((v + 0.0).alias(n) for v, n in named))
 
 
-@query(BOXES + f" SELECT {K}, CAST(i AS INTEGER) AS i, cx + (CASE WHEN i >= 4 THEN 1 ELSE -1 END) * w / 2 AS x, cy + (CASE WHEN i // 2 % 2 = 1 THEN 1 ELSE -1 END) * h / 2 AS y, q + (CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END) * q / 2 AS z FROM b, range(8) r(i) WHERE l_linenumber = 1")
+@query(BOXES + f" SELECT {K}, CAST(i AS INTEGER) AS i, cx + (CASE WHEN i >= 4 THEN 1 ELSE -1 END) * w / 2 AS x, cy + (CASE WHEN i // 2 % 2 = 1 THEN 1 ELSE -1 END) * h / 2 AS y, q + (CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END) * q / 2 AS z FROM b, range(8) r(i)")
 def box_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = boxes(spark, sf_dir).where("l_linenumber = 1")
-    c = b.select(*KEYS, F.posexplode(G.corners([F.col("cx"), F.col("cy"), F.col("q")], [F.col("w"), F.col("h"), F.col("q")])).alias("i", "p"))
+    c = boxes(spark, sf_dir).select(*KEYS, F.posexplode(G.corners([F.col("cx"), F.col("cy"), F.col("q")], [F.col("w"), F.col("h"), F.col("q")])).alias("i", "p"))
     return c.select(*KEYS, "i", *(F.get("p", F.lit(k)).alias(n) for k, n in enumerate("xyz")))
 
 
@@ -142,11 +142,12 @@ def depth_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes(spark, sf_dir).select(*KEYS, x.alias("rx"), ppm(x).alias("x"), ppm(y).alias("y"), z.alias("z")).where("rx != 0").drop("rx")
 
 
-@query(POINTS + ", c AS (SELECT label, avg(x) AS x, max(abs(x)) AS r FROM p GROUP BY label) SELECT p.label, p.vec_id, p.i AS i, CAST(floor((p.x - c.x) / c.r * 1000000 + 0.5) AS BIGINT) AS x FROM p JOIN c USING (label) WHERE p.i < 3")
+@query(POINTS + """, c AS (SELECT vec_id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM p GROUP BY vec_id), q AS (SELECT p.vec_id, p.i, p.x - c.x AS x, p.y - c.y AS y, p.z - c.z AS z FROM p JOIN c USING (vec_id)), r AS (SELECT vec_id, max(sqrt(x * x + y * y + z * z)) AS r FROM q GROUP BY vec_id)
+SELECT vec_id, q.i AS i, CAST(floor(x / r * 10000 + 0.5) AS BIGINT) AS x, CAST(floor(y / r * 10000 + 0.5) AS BIGINT) AS y, CAST(floor(z / r * 10000 + 0.5) AS BIGINT) AS z FROM q JOIN r USING (vec_id)""")
 def cloud_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = points(spark, sf_dir)
-    c = p.groupBy("label").agg(F.avg("x").alias("cx"), F.max(F.abs("x")).alias("r"))
-    return p.where("i < 3").join(c, "label").select("label", "vec_id", F.col("i").cast("long").alias("i"), ppm((F.col("x") - F.col("cx")) / F.col("r")).alias("x"))
+    """Each vector is a cloud: centred, then scaled by its greatest norm."""
+    part = lambda c: F.floor(F.col(c) * 10000 + 0.5).cast("long").alias(c)
+    return clouds.unit_sphere(points(spark, sf_dir), "vec_id", ["x", "y", "z"]).select("vec_id", F.col("i").cast("long").alias("i"), *map(part, "xyz"))
 
 
 @query(BOXES + f" SELECT CAST(floor(cy / 100) AS BIGINT) AS row, CAST(floor(cx / 100) AS BIGINT) AS col, CAST(count(*) AS BIGINT) AS n FROM b GROUP BY 1, 2")
@@ -174,10 +175,10 @@ def depth_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select(*KEYS, ppm(G.clamp(F.col("cx") / F.col("q") / 100)).alias("u"), ppm(G.clamp((F.col("q") - 1) / 49)).alias("depth"), F.when(F.col("cx") > F.col("cy"), F.col("q")).otherwise(F.col("h")).alias("first"))
 
 
-@query(POINTS + " SELECT label, vec_id, CAST(i AS BIGINT) AS i, z AS a, x AS b FROM p WHERE i % 7 = 0")
+@query(POINTS + " SELECT label, vec_id, CAST(i AS BIGINT) AS i, z AS a, x AS b FROM p")
 def column_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.arrays import pick_columns, zero_nulls
 
-    p = points(spark, sf_dir).where("i % 7 = 0")
+    p = points(spark, sf_dir)
     m = pick_columns(F.array(zero_nulls(F.array("x", "y", "z"))), [2, 0])[0]
     return p.select("label", "vec_id", F.col("i").cast("long").alias("i"), F.get(m, F.lit(0)).alias("a"), F.get(m, F.lit(1)).alias("b"))

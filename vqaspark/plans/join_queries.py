@@ -118,11 +118,11 @@ def outer_merge_new_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.outer_merge(old, new, ["k"])
 
 
-WEIGHTS = "WITH a AS (SELECT vec_id, i - 1 AS pos, CAST(round(embedding[i] * 1000) AS BIGINT) AS v FROM (SELECT *, unnest(range(1, 9)) AS i FROM embeddings)), b AS (SELECT vec_id * 2 AS vec_id, pos, v FROM a)"
+WEIGHTS = "WITH a AS (SELECT vec_id, i - 1 AS pos, CAST(round(embedding[i] * 1000) AS BIGINT) AS v FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)), b AS (SELECT vec_id * 2 AS vec_id, pos, v FROM a)"
 
 
 def _weights(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 8)).alias("pos", "x"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "x"))
     a = e.select("vec_id", F.col("pos").cast("long").alias("pos"), F.round(F.col("x") * 1000).cast("long").alias("v"))
     return a, a.select((F.col("vec_id") * 2).alias("vec_id"), "pos", F.col("v").alias("w"))
 
@@ -133,7 +133,7 @@ def delta_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, ["vec_id", "pos"], "left").select("vec_id", "pos", (F.col("v") - F.coalesce("w", F.lit(0))).alias("delta"))
 
 
-@query(WEIGHTS + " SELECT 'llma.' || a.vec_id AS name, a.pos, a.v AS merged FROM a")
+@query(WEIGHTS + ", d AS (SELECT a.vec_id, a.pos, a.v - coalesce(b.v, 0) AS delta FROM a LEFT JOIN b USING (vec_id, pos)) SELECT 'llma.' || d.vec_id AS name, d.pos, d.delta + coalesce(b.v, 0) AS merged FROM d LEFT JOIN b USING (vec_id, pos)")
 def delta_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, b = _weights(spark, sf_dir)
     d = delta_extract(spark, sf_dir).join(b, ["vec_id", "pos"], "left")

@@ -166,9 +166,9 @@ def label_span_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.where(A.any_label(F.transform("l", lambda x: F.greatest(x, F.lit(0))))).select("doc_id", digest(F.col("l")).alias("labels"))
 
 
-@query(TOKENS + " SELECT doc_id, CAST(CASE WHEN len(t) >= 5 THEN 3 ELSE -1 END AS INTEGER) AS at FROM (SELECT doc_id, list_distinct(t) AS u, t FROM d) WHERE len(t) < 200 AND len(u) = len(t)")
+@query(TOKENS + " SELECT doc_id, CAST(CASE WHEN len(t) >= 5 THEN list_position(list_transform(list_zip(t, t[2:]), lambda s: s[1] * 100000::BIGINT + s[2]), t[4] * 100000::BIGINT + t[5]) - 1 ELSE -1 END AS INTEGER) AS at FROM d")
 def sublist_find(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = token_rows(spark, sf_dir).where((F.size("t") < 200) & (F.size(F.array_distinct("t")) == F.size("t")))
+    d = token_rows(spark, sf_dir)
     needle = F.when(F.size("t") >= 5, F.slice("t", 4, 2)).otherwise(F.array(F.lit(-5)))
     return d.select("doc_id", A.find_sublist(F.col("t"), needle).alias("at"))
 
@@ -192,12 +192,12 @@ def stop_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rows(spark, sf_dir).select("doc_id", F.size(A.first_stop(F.col("t"), stops)).alias("n"))
 
 
-SCORES = "WITH e AS (SELECT vec_id, i - 1 AS i, CAST(round(embedding[i] * 1000) AS BIGINT) AS s FROM (SELECT vec_id, embedding, unnest(range(1, 17)) AS i FROM embeddings))"
+SCORES = "WITH e AS (SELECT vec_id, i - 1 AS i, CAST(round(embedding[i] * 1000) AS BIGINT) AS s FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings))"
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(vec_id, i, s): the first sixteen elements of each vector in thousandths."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 16)).alias("i", "x"))
+    """(vec_id, i, s): the elements of each vector in thousandths."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x"))
     return e.select("vec_id", F.col("i").cast("long").alias("i"), F.round(F.col("x") * 1000).cast("long").alias("s"))
 
 
@@ -207,12 +207,12 @@ def softmax_temp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(spark, sf_dir).select("vec_id", "i", F.round(x / F.sum(x).over(Window.partitionBy("vec_id")) * 1e6).cast("long").alias("p"))
 
 
-@query(SCORES + ", w AS (SELECT vec_id, i, s + 10000 AS p, sum(s + 10000) OVER (PARTITION BY vec_id) AS total, coalesce(sum(s + 10000) OVER (PARTITION BY vec_id ORDER BY s DESC, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e) SELECT vec_id, i, CAST(p AS BIGINT) AS p, CAST(sum(p) OVER (PARTITION BY vec_id) AS BIGINT) AS kept FROM w WHERE 10 * before <= 7 * total")
+@query(SCORES + ", w AS (SELECT vec_id, i, s + 10000 AS p, sum(s + 10000) OVER (PARTITION BY vec_id) AS total, coalesce(sum(s + 10000) OVER (PARTITION BY vec_id ORDER BY s DESC, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e) SELECT vec_id, i, CAST(p AS BIGINT) AS p, CAST(sum(p) OVER (PARTITION BY vec_id) AS BIGINT) AS kept, CAST(floor(CAST(p AS DOUBLE) / CAST(sum(p) OVER (PARTITION BY vec_id) AS DOUBLE) * 1000000 + 0.5) AS BIGINT) AS share FROM w WHERE 10 * before <= 7 * total")
 def topp_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = scores(spark, sf_dir).withColumn("p", F.col("s") + 10000)
     whole, before = Window.partitionBy("vec_id"), Window.partitionBy("vec_id").orderBy(F.desc("s"), "i").rowsBetween(Window.unboundedPreceding, -1)
     kept = e.withColumn("total", F.sum("p").over(whole)).withColumn("before", F.coalesce(F.sum("p").over(before), F.lit(0))).where(10 * F.col("before") <= 7 * F.col("total"))
-    return kept.select("vec_id", "i", "p", F.sum("p").over(whole).alias("kept"))
+    return kept.select("vec_id", "i", "p", F.sum("p").over(whole).alias("kept")).withColumn("share", F.floor(F.col("p") / F.col("kept") * 1000000 + 0.5).cast("long"))
 
 
 @query("SELECT event_id, coalesce(v, lag(v IGNORE NULLS) OVER w, last_value(v IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS v FROM (SELECT *, CASE WHEN event_id % 5 <> 0 THEN value END AS v FROM events) WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)")

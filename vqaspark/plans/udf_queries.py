@@ -12,7 +12,7 @@ from ..sources import readers, sinks
 from ..sources.ingest import Source, load
 from ..sources.scratch import scratch
 from ..streaming import files
-from .aggregate_queries import points
+from .aggregate_queries import POINTS, points
 from .loader_queries import TOKENS, _digest, digest
 from .registry import query, table
 
@@ -26,12 +26,12 @@ def tokenize_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def fps_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir).withColumn("key", F.col("vec_id") * 100 + F.col("i"))
-    return clouds.farthest_points(p, "label", "key", ["x", "y", "z"], 64)
+    return clouds.farthest_points(p, "vec_id", "key", ["x", "y", "z"], 8)
 
 
 @query()
 def min_rect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clouds.oriented_boxes(points(spark, sf_dir), "label", "x", "y", "z")
+    return clouds.oriented_boxes(points(spark, sf_dir), "vec_id", "x", "y", "z")
 
 
 @query()
@@ -144,11 +144,14 @@ def skip_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-@query("SELECT CAST(label AS INTEGER) AS label, CAST(count(*) * 21 AS BIGINT) AS n FROM embeddings GROUP BY label")
+@query(POINTS + " SELECT vec_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(x) AS BIGINT) AS x, CAST(sum(y) AS BIGINT) AS y, CAST(sum(z) AS BIGINT) AS z FROM p GROUP BY vec_id")
 def ply_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = points(spark, sf_dir).select("label", (F.col("vec_id") * 100 + F.col("i")).alias("idx"), "x", "y", "z")
-    text = sinks.write_ply(p, scratch(spark, "ply"), "label")
-    return text.select(F.col("label").cast("int").alias("label"), F.regexp_extract("text", "element vertex ([0-9]+)", 1).cast("long").alias("n"))
+    """Each vector is a cloud; the points are read back from the text."""
+    text = sinks.write_ply(points(spark, sf_dir).select("vec_id", F.col("i").alias("idx"), "x", "y", "z"), scratch(spark, "ply"), "vec_id")
+    lines = F.filter(F.split(F.substring_index("text", "end_header\n", -1), "\n"), lambda x: x != "")
+    body = text.select("vec_id", F.regexp_extract("text", "element vertex ([0-9]+)", 1).cast("long").alias("n"), F.transform(lines, lambda x: F.split(x, " ")).alias("rows"))
+    total = lambda k: F.aggregate("rows", F.lit(0.0), lambda a, r: a + F.get(r, F.lit(k)).cast("double")).cast("long")
+    return body.select("vec_id", "n", *(total(k).alias(c) for k, c in enumerate("xyz")))
 
 
 @query("SELECT event_type, CAST(count(*) AS BIGINT) AS n, max(event_id) AS last FROM events GROUP BY event_type")
