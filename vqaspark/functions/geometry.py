@@ -163,3 +163,21 @@ def cut_line(x1: Column, y1: Column, x2: Column, y2: Column, low: list[Column],
     t0, t1, _ = slab([x1, y1], [x2 - x1, y2 - y1], low, high)
     enter, leave = F.greatest(t0, F.lit(0.0)), F.least(t1, F.lit(1.0))
     return F.when(enter <= leave, enter), F.when(enter <= leave, leave)
+
+
+def joint_frame(direction: list[Column]) -> list[list[Column]]:
+    """The x, y and z axes of a right-handed frame whose z is the direction: y stands on z and the first axis, or the second where z lies near the first."""
+    least = 1e-6
+    norm = lambda v: F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2]) + least
+    unit = lambda v: [c / norm(v) for c in v]
+    z = unit(direction)
+    near = F.abs(z[0]) >= 0.9
+    y = unit([F.when(near, -z[2]).otherwise(0.0), F.when(near, 0.0).otherwise(z[2]), F.when(near, z[0]).otherwise(-z[1])])
+    x = unit([y[1] * z[2] - y[2] * z[1], y[2] * z[0] - y[0] * z[2], y[0] * z[1] - y[1] * z[0]])
+    return [x, y, z]
+
+
+def joint_ends(kind: Column, centre: list[Column], low: Column, high: Column) -> tuple[list[Column], list[Column]]:
+    """Both ends of a joint in its frame: a slider runs through its box's centre, any other joint through the origin."""
+    x, y = (F.when(kind == "slider", c).otherwise(0.0) for c in centre)
+    return [x, y, low], [x, y, high]

@@ -7,9 +7,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import shuffled
+
 
 def farthest_points(df: DataFrame, group: str, key: str, coordinates: list[str], k: int) -> DataFrame:
     """(group, key, rank): greedy farthest-point samples from the point with the least key; ties by key."""
@@ -127,3 +129,17 @@ def camera_poses(df: DataFrame, radius: float, seed: int = 0) -> DataFrame:
     """A camera position on a sphere for each row: equal areas, by Spark's seeded generator."""
     polar, azimuth = F.acos(1 - 2 * F.rand(seed)), 2 * np.pi * F.rand(seed + 1)
     return df.withColumns({"camera_x": radius * F.sin(polar) * F.cos(azimuth), "camera_y": radius * F.sin(polar) * F.sin(azimuth), "camera_z": radius * F.cos(polar)})
+
+
+def point_subset(df: DataFrame, cloud: str, key: str, k: int, seed: object = 0) -> DataFrame:
+    """k points of each cloud without replacement (all of a smaller one): the first in the shuffled order; only a cloud's first k of each task are shuffled."""
+    order = df.withColumn("_order", shuffled(F.col(key), seed))
+    return order.withColumn("_rank", F.row_number().over(Window.partitionBy(cloud).orderBy("_order", key))).where(F.col("_rank") <= k).drop("_order", "_rank")
+
+
+def exact_points(df: DataFrame, cloud: str, key: str, idx: str, k: int, seed: object = 0) -> DataFrame:
+    """Exactly k points of each cloud: a smaller one repeats from its start, a greater one gives a subset.  idx numbers a cloud's points from 0; ``place`` tells the repeats apart."""
+    sized = df.join(df.groupBy(cloud).agg(F.count("*").alias("_n")), cloud)
+    repeated = sized.where(F.col("_n") < k).where(F.col(idx) < k).withColumn("place", F.explode(F.sequence(F.col(idx).cast("long"), F.lit(k - 1).cast("long"), F.col("_n"))))
+    subset = point_subset(sized.where(F.col("_n") >= k), cloud, key, k, seed).withColumn("place", F.col(idx).cast("long"))
+    return repeated.unionByName(subset).drop("_n")

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.ranking import ranked
+
 CONVERSATION = "image string, conversations array<struct<from:string,value:string>>"
 INSTRUCTION = "instruction string, input string, output string, image string"
 INDEX = "dataset_id string, img_index int, img_name string, img_path string, mask_img_path string, depth_img_path string, texture_description string, category string"
@@ -128,3 +130,14 @@ def npy(spark: SparkSession, path: str, points: int = 8192, colour: bool = True)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "content")
     return files.mapInPandas(rows, "path string, cloud array<array<double>>")
+
+
+def packed(spark: SparkSession, path: str) -> DataFrame:
+    """(file, chunk, tokens): packed token rows as write_new() leaves them, a folder for each file."""
+    return spark.read.schema("chunk long, tokens array<int>, file long").parquet(path)
+
+
+def sorted_files(spark: SparkSession, path: str, pattern: str = ".*") -> DataFrame:
+    """(path, name, pos): the files that fit the pattern, numbered from 0 in the order of their paths."""
+    found = listing(spark, path, pattern)
+    return ranked(found, [], F.regexp_extract("path", "^(.*)/", 1), ["path"]).select("path", "name", "pos")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +23,8 @@ def write_index(df: DataFrame, path: str) -> None:
     df.write.option("header", True).csv(f"{path}/csv")
 
 
-def write_new(df: DataFrame, path: str, key: str) -> None:
-    """Appends the rows whose key is not there yet: a job that is run again adds nothing."""
+def write_new(df: DataFrame, path: str, key: str, folders: bool = False) -> None:
+    """Appends the rows whose key is not there yet: a job that is run again adds nothing.  folders: each key has a folder of its own."""
     spark = df.sparkSession
     try:
         done = spark.read.parquet(path).select(key)
@@ -29,7 +32,8 @@ def write_new(df: DataFrame, path: str, key: str) -> None:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         done = df.select(key).limit(0)
-    df.join(done, key, "left_anti").write.mode("append").parquet(path)
+    new = df.join(done.distinct() if folders else done, key, "left_anti").write.mode("append")
+    (new.partitionBy(key) if folders else new).parquet(path)
 
 
 def append_log(df: DataFrame, path: str) -> None:
@@ -61,3 +65,35 @@ def write_ply(df: DataFrame, path: str, cloud: str) -> DataFrame:
     out = df.groupBy(cloud).applyInPandas(one, f"{cloud} {dict(df.dtypes)[cloud]}, text string")
     out.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def is_ready(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.schema("ready boolean").parquet(f"{path}/ready").schema  # the path is looked up, nothing is read
+        return True
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return False
+
+
+def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame] | None = None, wait: float = 0.0) -> DataFrame:
+    """The table at path: built once, and marked ready only after its last row was committed.
+
+    The one job that builds gives ``build``; others leave it out and wait up to so many seconds for the mark.
+    """
+    until = time.monotonic() + wait
+    while not is_ready(spark, path):
+        if build is not None:
+            build().write.mode("overwrite").parquet(f"{path}/data")
+            spark.range(1).select(F.lit(True).alias("ready")).write.mode("overwrite").parquet(f"{path}/ready")
+        elif time.monotonic() >= until:
+            raise TimeoutError(f"{path} is not ready")
+        else:
+            time.sleep(0.2)
+    return spark.read.parquet(f"{path}/data")
+
+
+def write_predictions(df: DataFrame, path: str) -> None:
+    """Predictions as JSON lines in UTF-8, beside those of earlier runs."""
+    df.write.mode("append").json(path)
