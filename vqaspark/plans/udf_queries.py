@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions.tokenizer import encoded, word_numbers
 from ..operators import clouds
-from ..sources import readers, sinks
+from ..sources import cloud_files, readers, sinks
 from ..sources.ingest import Source, load
 from ..sources.scratch import scratch
 from ..streaming import files
+from ..streaming.resume import RowReader
 from .aggregate_queries import POINTS, points
 from .loader_queries import TOKENS, _digest, digest
 from .registry import query, table
@@ -146,12 +147,22 @@ def skip_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(POINTS + " SELECT vec_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(x) AS BIGINT) AS x, CAST(sum(y) AS BIGINT) AS y, CAST(sum(z) AS BIGINT) AS z FROM p GROUP BY vec_id")
 def ply_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each vector is a cloud; the points are read back from the text."""
-    text = sinks.write_ply(points(spark, sf_dir).select("vec_id", F.col("i").alias("idx"), "x", "y", "z"), scratch(spark, "ply"), "vec_id")
-    lines = F.filter(F.split(F.substring_index("text", "end_header\n", -1), "\n"), lambda x: x != "")
-    body = text.select("vec_id", F.regexp_extract("text", "element vertex ([0-9]+)", 1).cast("long").alias("n"), F.transform(lines, lambda x: F.split(x, " ")).alias("rows"))
-    total = lambda k: F.aggregate("rows", F.lit(0.0), lambda a, r: a + F.get(r, F.lit(k)).cast("double")).cast("long")
-    return body.select("vec_id", "n", *(total(k).alias(c) for k, c in enumerate("xyz")))
+    """Each vector is a PLY file; the points are read back from the files, those of greater clouds from several."""
+    path = scratch(spark, "ply")
+    cloud_files.write_clouds(points(spark, sf_dir), path, "vec_id", "i", "ply", file_points=16)
+    back = cloud_files.read_clouds(spark, path, "ply", file_points=16)
+    return back.groupBy(F.col("cloud").cast("long").alias("vec_id")).agg(F.count("*").alias("n"), *(F.sum(F.col(c).cast("long")).alias(c) for c in "xyz"))
+
+
+@query(POINTS + " SELECT vec_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(i * x) AS BIGINT) AS ix, CAST(sum(i * z) AS BIGINT) AS iz, CAST(sum(abs(y) % 256) AS BIGINT) AS red FROM p GROUP BY vec_id")
+def npy_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector is an NPY file of places and colours; points keep their order."""
+    path = scratch(spark, "npy")
+    p = points(spark, sf_dir)
+    cloud_files.write_clouds(p.withColumns({"r": F.abs("y") % 256, "g": F.lit(0), "b": F.lit(255)}), path, "vec_id", "i", "npy")
+    back = cloud_files.read_clouds(spark, path, "npy")
+    whole = lambda c: F.sum((F.col("idx") * F.col(c)).cast("long"))
+    return back.groupBy(F.col("cloud").cast("long").alias("vec_id")).agg(F.count("*").alias("n"), whole("x").alias("ix"), whole("z").alias("iz"), F.sum(F.col("r").cast("long")).alias("red"))
 
 
 @query("SELECT event_type, CAST(count(*) AS BIGINT) AS n, max(event_id) AS last FROM events GROUP BY event_type")
@@ -165,6 +176,18 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{base}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
 
 
+@query("SELECT event_type, CAST(count(*) AS BIGINT) AS n, CAST(sum(event_id) AS BIGINT) AS total FROM events GROUP BY event_type")
+def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files read row by row; a reader stops within a file, and the next one goes on at the row after it."""
+    base = scratch(spark, "resume")
+    e = table(spark, sf_dir, "events").select("event_id", "event_type")
+    e.repartition(3, "event_id").write.parquet(f"{base}/in")
+    rows = max(1, -(-2 * e.count() // 5))  # three batches, whose ends are within files
+    for _ in range(3):
+        RowReader(spark, f"{base}/in", f"{base}/state", rows).run(batches=1)
+    return RowReader(spark, f"{base}/in", f"{base}/state", rows).output().groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("total"))
+
+
 @query("SELECT event_type AS metric, CAST(count(*) AS BIGINT) AS n, CAST(sum(event_id) AS BIGINT) AS total FROM events GROUP BY event_type")
 def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch(spark, "metrics")
