@@ -88,27 +88,6 @@ def oriented_boxes(df: DataFrame, group: str, x: str, y: str, z: str, square: fl
     return df.select(group, x, y, z).groupBy(group).applyInPandas(one, f"{group} {kind}, cx double, cy double, w double, h double, angle double, zmin double, zmax double")
 
 
-def normals(df: DataFrame, group: str, key: str, coordinates: list[str], k: int = 10, camera: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
-    """(group, key, nx, ny, nz): unit normal of each point's k nearest neighbours, turned towards the camera."""
-
-    def one(cloud: pd.DataFrame) -> pd.DataFrame:
-        cloud = cloud.sort_values(key, kind="stable")
-        x, out = cloud[coordinates].to_numpy(float), []
-        for at in range(0, len(x), 512):  # distances of a bounded block at a time
-            block = x[at : at + 512]
-            d = ((block[:, None, :] - x[None, :, :]) ** 2).sum(2)
-            near = np.argsort(d, axis=1, kind="stable")[:, : min(k + 1, len(x))]
-            centred = x[near] - x[near].mean(1, keepdims=True)
-            n = np.linalg.svd(centred, full_matrices=False)[2][:, -1, :] if len(x) > 2 else np.tile([0.0, 0.0, 1.0], (len(block), 1))
-            away = ((np.array(camera) - block) * n).sum(1) < 0
-            out.append(np.where(away[:, None], -n, n))
-        n = np.concatenate(out)
-        return pd.DataFrame({group: cloud[group].to_numpy(), key: cloud[key].to_numpy(), "nx": n[:, 0], "ny": n[:, 1], "nz": n[:, 2]})
-
-    types = dict(df.dtypes)
-    return df.select(group, key, *coordinates).groupBy(group).applyInPandas(one, f"{group} {types[group]}, {key} {types[key]}, nx double, ny double, nz double")
-
-
 def unit_sphere(df: DataFrame, group: str, coordinates: list[str]) -> DataFrame:
     """df with its coordinates relative to the group's mean, in units of the greatest distance from it (a single place gives 0)."""
     means = df.groupBy(group).agg(*(F.avg(c).alias(f"_{c}") for c in coordinates))

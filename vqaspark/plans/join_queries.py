@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import joins as J
+from ..operators.neighbours import nearest
 from .registry import query, table
 
 HOLDOUT = ("BUILDING", "MACHINERY")
@@ -146,7 +147,7 @@ FROM p a JOIN p b ON a.label = b.label AND a.vec_id <> b.vec_id) WHERE rank <= 1
 def knn_small(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     p = e.select("label", "vec_id", *(F.round(F.get("embedding", F.lit(i)) * 1000).cast("long").alias(c) for i, c in enumerate("xyz")))
-    return J.nearest(p, "label", "vec_id", ["x", "y", "z"], 10)
+    return nearest(p, "label", "vec_id", ["x", "y", "z"], 10)
 
 
 @query("SELECT a.p_partkey, CASE p_size % 4 WHEN 0 THEN 'hinge' WHEN 1 THEN 'slider' WHEN 2 THEN 'fixed' ELSE 'free' END AS joint FROM part a")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions.tokenizer import encoded, word_numbers
 from ..operators import clouds
+from ..operators.neighbours import normals
 from ..sources import cloud_files, readers, sinks
 from ..sources.ingest import Source, load
 from ..sources.scratch import scratch
@@ -38,7 +39,7 @@ def min_rect(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def knn_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector is a cloud of its own."""
-    return clouds.normals(points(spark, sf_dir), "vec_id", "i", ["x", "y", "z"])
+    return normals(points(spark, sf_dir), "vec_id", "i", ["x", "y", "z"])
 
 
 @query()

@@ -5,7 +5,6 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,20 +52,6 @@ def rewrite_lines(df: DataFrame, path: str, line: str = "line") -> None:
     df.select(F.col(line).alias("value")).write.text(path)
 
 
-def write_ply(df: DataFrame, path: str, cloud: str) -> DataFrame:
-    """One ASCII PLY text for each cloud of (cloud, idx, x, y, z), with six decimals, as (cloud, text) in Parquet."""
-
-    def one(points: pd.DataFrame) -> pd.DataFrame:
-        points = points.sort_values("idx", kind="stable")
-        head = f"ply\nformat ascii 1.0\nelement vertex {len(points)}\nproperty float x\nproperty float y\nproperty float z\nend_header\n"
-        body = "".join(f"{x:.6f} {y:.6f} {z:.6f}\n" for x, y, z in zip(points["x"], points["y"], points["z"], strict=True))
-        return pd.DataFrame({cloud: [points[cloud].iloc[0]], "text": [head + body]})
-
-    out = df.groupBy(cloud).applyInPandas(one, f"{cloud} {dict(df.dtypes)[cloud]}, text string")
-    out.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def is_ready(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.schema("ready boolean").parquet(f"{path}/ready").schema  # the path is looked up, nothing is read
