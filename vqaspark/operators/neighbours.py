@@ -39,7 +39,9 @@ def _sides(places: DataFrame, group: str, coordinates: list[str], k: int) -> Dat
     real = F.filter("_e", lambda e: e > 0)
     volume = F.aggregate(real, F.lit(1.0), lambda a, e: a * e)
     even = F.when(F.size(real) > 0, F.pow(volume * max(1.0, k / 2) / F.col("_n"), 1.0 / F.size(real))).otherwise(1.0)  # half of k in a cell of an even cloud
-    sizes = sizes.withColumn("_reach", F.array_max("_e")).withColumn("_even", F.when(even > 0, even).otherwise(1.0)).drop("_e", "_n")
+    sizes = sizes.withColumn("_reach", F.array_max("_e"))
+    small = F.col("_n") <= CROWD * k  # then one cell holds the cloud, and its first round is the last
+    sizes = sizes.withColumn("_even", F.when(small, 2 * F.col("_reach") + 1).when(even > 0, even).otherwise(1.0)).drop("_e", "_n")
     leveled = places.join(sizes, group).withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
     side = F.col("_even") / F.pow(F.lit(4.0), F.col("_level"))
     crowd = leveled.groupBy(group, "_level", *(x.alias(f"_c{i}") for i, x in enumerate(_cells(coordinates, side)))).agg(F.count("*").alias("_n"))
