@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.windows import rolling
 from .registry import query, table
 
 
@@ -100,8 +101,8 @@ def metric_global(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(EVENTS + ", w AS (SELECT event_id, v, list(v) OVER w AS l, max(v) OVER w AS high, CAST(sum(v) OVER w AS BIGINT) AS total FROM e WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) SELECT event_id, list_sort(l)[(len(l) - 1) // 2 + 1] AS median, high, total, v AS last FROM w")
 def metric_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(-19, 0)
-    x = metrics(spark, sf_dir).select("event_id", "v", F.array_sort(F.collect_list("v").over(w)).alias("l"), F.max("v").over(w).alias("high"), F.sum("v").over(w).alias("total"))
+    of = {"l": lambda w: F.array_sort(F.collect_list("v").over(w)), "high": lambda w: F.max("v").over(w), "total": lambda w: F.sum("v").over(w)}
+    x = rolling(metrics(spark, sf_dir), ["event_type"], ["ts", "event_id"], 20, of)
     return x.select("event_id", F.get("l", F.floor((F.size("l") - 1) / 2).cast("int")).alias("median"), "high", "total", F.col("v").alias("last"))
 
 

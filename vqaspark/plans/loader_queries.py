@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..operators.ranking import by_number, even_shard, exact_sample, ranked, shuffled
+from ..operators.ranking import by_number, even_shard, exact_sample, numbered, ranked, shuffled
+from ..operators.windows import carried
+from ..sources.scratch import scratch
 from .registry import query, table
 
 LENGTH, BOS, EOS = 2048, 1, 2
@@ -48,13 +50,13 @@ def group_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, lang, n_chars, CAST(row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) - 1 AS BIGINT) AS pos FROM documents")
 def length_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
-    return ranked(d, ["lang"], F.col("n_chars"), ["doc_id"]).drop("pos_total")
+    return numbered(d, ["lang"], ["n_chars", "doc_id"]).drop("pos_total")
 
 
 @query("SELECT conv_id, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(row_number() OVER (ORDER BY sum(length(text)), conv_id) - 1 AS BIGINT) AS pos FROM conversations GROUP BY conv_id")
 def dialog_length_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sum(F.length("text")).alias("chars"))
-    return ranked(c, [], F.col("chars"), ["conv_id"]).drop("pos_total")
+    return numbered(c, [], ["chars", "conv_id"]).drop("pos_total")
 
 
 @query("SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('0:' || doc_id), doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents) WHERE r <= floor(n * 0.2)")
@@ -114,8 +116,11 @@ def hash_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(chunk, pos, part): the stream of all documents' tokens with their end ids, each document cut at the chunks' bounds."""
-    d = token_rows(spark, sf_dir).select("doc_id", F.concat("t", F.array(F.lit(EOS))).alias("t"))
-    starts = ranked(d, [], by_number("doc_id"), ["doc_id"], "start", F.size("t")).withColumn("stop", F.col("start") + F.size("t"))
+    path = scratch(spark, "tokens")
+    token_rows(spark, sf_dir).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.concat("t", F.array(F.lit(EOS))).alias("t")).write.parquet(path)
+    d = spark.read.parquet(path)  # words are hashed once; only numbers are ranked
+    starts = ranked(d.select("row", "doc_id", F.size("t").alias("n")), [], by_number("doc_id"), ["doc_id"], "start", F.col("n"))
+    starts = d.select("row", "t").join(starts.select("row", "start", (F.col("start") + F.col("n")).alias("stop")), "row")
     chunks = F.explode(F.sequence(F.floor(F.col("start") / LENGTH), F.floor((F.col("stop") - 1) / LENGTH))).alias("chunk")
     cut = starts.select("start", "stop", "t", chunks).withColumn("pos", F.greatest("start", F.col("chunk") * LENGTH))
     length = F.least("stop", (F.col("chunk") + 1) * LENGTH) - F.col("pos")
@@ -217,7 +222,5 @@ def topp_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, coalesce(v, lag(v IGNORE NULLS) OVER w, last_value(v IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS v FROM (SELECT *, CASE WHEN event_id % 5 <> 0 THEN value END AS v FROM events) WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)")
 def previous_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").withColumn("v", F.when(F.col("event_id") % 5 != 0, F.col("value")))
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    before, ring = F.last("v", True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.last("v", True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return e.select("event_id", F.coalesce("v", before, ring).alias("v"))
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "ts", F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("value"))
+    return carried(e, ["event_type"], ["ts", "event_id"], "value", "v", ring=True).select("event_id", "v")
