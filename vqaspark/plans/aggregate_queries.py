@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.trees import depths
 from ..operators.windows import rolling
 from .registry import query, table
 
@@ -168,13 +169,18 @@ def norm_of_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
 t AS (SELECT l_orderkey, id, step AS depth FROM n WHERE parent = 0 UNION ALL SELECT n.l_orderkey, n.id, t.depth + n.step FROM n JOIN t ON n.l_orderkey = t.l_orderkey AND n.parent = t.id)
 SELECT l_orderkey, CAST(max(depth) AS INTEGER) AS depth FROM t GROUP BY l_orderkey""")
 def tree_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Actuated edges on the longest path from the root; the greatest number bounds the depth, as a parent is half its child."""
+    """Actuated edges on the longest path from the root, which is number 0; what does not hang on it is left out."""
     n = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("id")).distinct()
-    n = n.select("l_orderkey", "id", F.floor(F.col("id") / 2).cast("int").alias("parent"), F.when(F.col("id") % 3 == 0, 0).otherwise(1).alias("step"))
-    level = n.where("parent = 0").select("l_orderkey", "id", F.col("step").alias("depth"))
-    every = level
-    for _ in range((n.agg(F.max("id")).first()[0] or 1).bit_length() - 1):
-        up = level.select("l_orderkey", F.col("id").alias("parent"), "depth")
-        level = n.join(up, ["l_orderkey", "parent"]).select("l_orderkey", "id", (F.col("depth") + F.col("step")).alias("depth"))
-        every = every.unionByName(level)
-    return every.groupBy("l_orderkey").agg(F.max("depth").alias("depth"))
+    step = F.when(F.col("id") % 3 == 0, 0).otherwise(1)
+    found = depths(n.withColumn("parent", F.floor(F.col("id") / 2)), ["l_orderkey"], "id", "parent", step)
+    return found.where("above = 0").groupBy("l_orderkey").agg(F.max("depth").cast("int").alias("depth"))
+
+
+@query("""WITH RECURSIVE n AS (SELECT c_custkey AS id, c_custkey - 1 - CAST('0x' || substr(md5(CAST(c_custkey AS VARCHAR)), 1, 4) AS INTEGER) % 60 AS parent FROM customer),
+m AS (SELECT n.id, p.id AS parent FROM n LEFT JOIN n p ON p.id = n.parent), t AS (SELECT id, id AS root, 1 AS depth FROM m WHERE parent IS NULL UNION ALL SELECT m.id, t.root, t.depth + 1 FROM m JOIN t ON m.parent = t.id)
+SELECT id, CAST(depth AS BIGINT) AS depth FROM t""")
+def tree_depth_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A forest whose parents are drawn by a hash, of a depth that no id tells."""
+    up = F.col("id") - 1 - F.conv(F.substring(F.md5(F.col("id").cast("string").cast("binary")), 1, 4), 16, 10).cast("int") % 60
+    n = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    return depths(n.withColumn("parent", up), [], "id", "parent", F.lit(1)).drop("above")

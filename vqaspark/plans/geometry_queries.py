@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import polygons as P
 from ..operators import clouds
 from .aggregate_queries import POINTS, points
 from .registry import query, table
@@ -124,6 +125,42 @@ def aabb_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes(spark, sf_dir).select(*KEYS, ppm(G.iou(a, [F.lit(300.0), F.lit(300.0), F.lit(700.0), F.lit(600.0)])).alias("iou"))
 
 
+#: The other box of rotated_iou, at an angle that no box of the table has.
+OTHER = (500.0, 450.0, 400.0, 300.0, 33.3)
+_CORNERS = "(VALUES (0, -1, -1), (1, 1, -1), (2, 1, 1), (3, -1, 1)) AS c(i, a, b)"
+_O = dict(zip(("cx", "cy", "w", "h", "angle"), OTHER, strict=True))
+
+
+def _corner(box: dict, a: str, b: str, axis: str) -> str:
+    turn = ("cos", "-sin") if axis == "x" else ("sin", "cos")
+    centre = box["cx"] if axis == "x" else box["cy"]
+    sign = "-" if turn[1][0] == "-" else "+"
+    return f"({centre} + {a} * {box['w']} / 2 * {turn[0]}(radians({box['angle']})) {sign} {b} * {box['h']} / 2 * {turn[1].strip('-')}(radians({box['angle']})))"
+
+
+def _edges(mine: dict, other: dict) -> str:
+    """Each edge of one box as (row, x0, y0, x1, y1), with the other box's frame."""
+    end = lambda k, axis: _corner(mine, f"{k}.a", f"{k}.b", axis)
+    frame = ", ".join(f"{other[k]} AS o{k}" for k in ("cx", "cy", "w", "h", "angle"))
+    return f"SELECT {K}, w * h AS area, {end('c', 'x')} AS x0, {end('c', 'y')} AS y0, {end('d', 'x')} AS x1, {end('d', 'y')} AS y1, {frame} FROM b, {_CORNERS}, {_CORNERS.replace('AS c', 'AS d')} WHERE d.i = (c.i + 1) % 4"
+
+
+_OWN = {k: k for k in ("cx", "cy", "w", "h", "angle")}
+
+
+@query(BOXES + f""", e AS ({_edges(_OWN, _O)} UNION ALL {_edges(_O, _OWN)}),
+f AS (SELECT *, (x0 - ocx) * cos(radians(oangle)) + (y0 - ocy) * sin(radians(oangle)) AS u0, (y0 - ocy) * cos(radians(oangle)) - (x0 - ocx) * sin(radians(oangle)) AS v0,
+ (x1 - x0) * cos(radians(oangle)) + (y1 - y0) * sin(radians(oangle)) AS du, (y1 - y0) * cos(radians(oangle)) - (x1 - x0) * sin(radians(oangle)) AS dv FROM e),
+t AS (SELECT *, greatest(0, least((-ow / 2 - u0) / du, (ow / 2 - u0) / du), least((-oh / 2 - v0) / dv, (oh / 2 - v0) / dv)) AS a, least(1, greatest((-ow / 2 - u0) / du, (ow / 2 - u0) / du), greatest((-oh / 2 - v0) / dv, (oh / 2 - v0) / dv)) AS z FROM f),
+g AS (SELECT {K}, max(area) AS area, any_value(l_linenumber) AS ln, sum(CASE WHEN a < z THEN ((x0 + a * (x1 - x0)) * (y0 + z * (y1 - y0)) - (y0 + a * (y1 - y0)) * (x0 + z * (x1 - x0))) / 2 ELSE 0 END) AS common FROM t GROUP BY {K})
+SELECT {K}, CAST(floor(common / (area + {OTHER[2] * OTHER[3]} - common) * 10000 + 0.5) AS BIGINT) AS iou FROM g""")
+def rotated_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polygons clipped here; the SQL sums the line integral over the edges' parts within the other box."""
+    mine = P.rotated_rectangle(*(F.col(c) for c in ("cx", "cy", "w", "h", "angle")))
+    b = boxes(spark, sf_dir).distinct()
+    return b.select(*KEYS, F.floor(P.polygon_iou(mine, P.rotated_rectangle(*map(F.lit, OTHER))) * 10000 + 0.5).cast("long").alias("iou"))
+
+
 @query(BOXES + f" SELECT {K}, {_ppm('CASE WHEN w = 0 THEN 0 ELSE 0.9 * (1 - (w - 9) / (441 + 1e-6)) + 0.1 END')} AS shown, {_ppm('(cx - 5) / (955 + 1e-6)')} AS share FROM b")
 def depth_visual(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = boxes(spark, sf_dir)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import joins as J
 from ..operators.neighbours import nearest
+from ..operators.shards import add_tables, merge_shards
 from .registry import query, table
 
 HOLDOUT = ("BUILDING", "MACHINERY")
@@ -172,6 +173,38 @@ def first_rule_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.rule_join(c, rules, F.rlike("c_name", F.col("pattern")), ["c_custkey"], -F.col("pos")).groupBy("dim").agg(F.count("*").alias("n"))
 
 
+SHARDS = """WITH e AS (SELECT vec_id, CAST(vec_id % 4 AS INTEGER) AS shard, (vec_id // 4) % 3 AS kind, vec_id // 12 AS block, list_transform(embedding, lambda x: CAST(round(x * 1000) AS BIGINT)) AS v FROM embeddings WHERE vec_id // 12 < (SELECT count(*) // 12 FROM embeddings)),
+t AS (SELECT shard, kind, 'layers.' || block % 5 AS layer, row_number() OVER (PARTITION BY shard, kind, block % 5 ORDER BY block) - 1 AS row, v FROM e),
+m AS (SELECT layer || '.wq' AS key, row + (SELECT count(*) FROM t u WHERE u.kind = 0 AND u.layer = t.layer AND u.shard < t.shard) AS row, v FROM t WHERE kind = 0
+ UNION ALL SELECT layer || '.wo', row, flatten(list(v ORDER BY shard)) FROM t WHERE kind = 1 GROUP BY layer, row UNION ALL SELECT layer || '.norm', row, v FROM t WHERE kind = 2 AND shard = 0)"""
+
+
+def shard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as rows of sharded tables: four shards, tables cut by rows, by columns, and not at all."""
+    e = table(spark, sf_dir, "embeddings")
+    whole = e.agg(F.floor(F.count("*") / 12).alias("_blocks"))  # only blocks in which all shards have all kinds
+    e = e.join(F.broadcast(whole), F.floor(F.col("vec_id") / 12) < F.col("_blocks"))
+    block, kind = F.floor(F.col("vec_id") / 12), F.floor(F.col("vec_id") / 4) % 3
+    name = F.get(F.array(F.lit("wq"), F.lit("wo"), F.lit("norm")), kind.cast("int"))
+    t = e.select((F.col("vec_id") % 4).cast("int").alias("shard"), F.concat(F.lit("layers."), block % 5, F.lit("."), name).alias("key"), block.alias("block"), F.transform("embedding", lambda x: F.round(x * 1000).cast("long")).alias("values"))
+    return t.withColumn("row", F.floor(F.col("block") / 5)).drop("block")  # a table's blocks are every fifth one
+
+
+@query(SHARDS + " SELECT key, CAST(row AS BIGINT) AS row, md5(array_to_string(v, ',')) AS digest FROM m")
+def shard_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = merge_shards(shard_rows(spark, sf_dir), [(r"layers\.\d+\.wq$", 0), (r"layers\.\d+\.wo$", 1), (r".*norm$", -1)], 4)
+    return merged.select("key", "row", F.md5(F.array_join("values", ",").cast("binary")).alias("digest"))
+
+
+@query(SHARDS + ", d AS (SELECT key, row, list_transform(v, lambda x: x % 7) AS v FROM m WHERE row % 2 = 0) SELECT m.key, CAST(m.row AS BIGINT) AS row, md5(array_to_string(CASE WHEN d.v IS NULL THEN m.v ELSE list_transform(list_zip(m.v, d.v), lambda p: p[1] + p[2]) END, ',')) AS digest FROM m LEFT JOIN d USING (key, row)")
+def shard_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A difference, in shards too, added to the table it belongs to."""
+    rules = [(r".*wq$", 0), (r".*wo$", 1), (r".*", -1)]
+    whole = merge_shards(shard_rows(spark, sf_dir), rules, 4)
+    delta = whole.where("row % 2 = 0").withColumn("values", F.transform("values", lambda x: x % 7))
+    return add_tables(whole, delta).select("key", "row", F.md5(F.array_join("values", ",").cast("binary")).alias("digest"))
+
+
 @query("SELECT p_partkey FROM part EXCEPT ALL SELECT l_partkey FROM lineitem")
 def except_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey").exceptAll(table(spark, sf_dir, "lineitem").select("l_partkey"))
