@@ -1,10 +1,13 @@
-"""Point-cloud operators that are sequential or need linear algebra: one cloud per group, in Arrow-backed pandas groups.
+"""Point-cloud operators that are sequential or need linear algebra, in Arrow-backed pandas groups.
 
-A cloud is what one object file holds, so a group is bounded by that format, not by the table.  Empty tables give empty results.
+Where a whole cloud is one group (farthest points), it is what one object file holds, bounded by that format and not by the table.
+Empty tables give empty results.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -67,25 +70,63 @@ def min_rectangle(p: np.ndarray) -> tuple[float, float, float, float, float]:
     return best[1]
 
 
+def hulls(df: DataFrame, group: str, x: str, y: str, held: int = 1 << 16) -> DataFrame:
+    """(group, x, y): points of each task's share of a group without those inside its hull; the hull of a group is that of what is left.
+
+    A task keeps the hulls of its groups and at most ``held`` points beyond them, whatever the size of a group.
+    """
+    kind = dict(df.dtypes)[group]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: dict[object, list[np.ndarray]] = {}
+        waiting = 0
+
+        def left() -> Iterator[pd.DataFrame]:
+            for g, parts in kept.items():
+                p = hull(np.concatenate(parts))
+                yield pd.DataFrame({group: [g] * len(p), x: p[:, 0], y: p[:, 1]})
+
+        for b in batches:
+            for g, part in b.groupby(group, sort=False, dropna=False):
+                part = part[[x, y]].to_numpy(float)
+                kept.setdefault(g, []).append(hull(part[~np.isnan(part).any(1)]))
+                waiting += len(kept[g][-1])
+            if waiting > held:
+                kept = {g: [hull(np.concatenate(parts))] for g, parts in kept.items()}
+                waiting = sum(len(p[0]) for p in kept.values())
+                if waiting > held // 2:  # many groups: they go on as they are
+                    yield from left()
+                    kept, waiting = {}, 0
+        yield from left()
+
+    return df.select(group, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y)).mapInPandas(run, f"`{group}` {kind}, `{x}` double, `{y}` double")
+
+
 def oriented_boxes(df: DataFrame, group: str, x: str, y: str, z: str, square: float = 0.1, least: int = 8) -> DataFrame:
     """(group, cx, cy, w, h, angle, zmin, zmax): the least rectangle in x and y with the range of z.
 
     A nearly square rectangle whose box along the axes has nearly its sides (a circle, not a turned square) falls back to that
-    box; so does a cloud of fewer than ``least`` points.
+    box; so does a cloud of fewer than ``least`` points.  Only hulls are shuffled: first each task's own, then those of a group's
+    parts, dealt out by a hash, so that a hot cloud is merged by several tasks before one takes what is left.  Points without a
+    coordinate take no part.
     """
+    rows = df.select(group, *(F.col(c).cast("double").alias(c) for c in (x, y, z))).dropna(subset=[group, x, y])
+    ranges = rows.groupBy(group).agg(*(f(c).alias(f"_{n}_{c}") for c in (x, y, z) for n, f in (("lo", F.min), ("hi", F.max))), F.count("*").alias("_n"))
+    shares = hulls(rows, group, x, y).withColumn("_deal", F.pmod(F.xxhash64(x, y), F.lit(16)))
+    merged = hulls(shares.repartition(group, "_deal"), group, x, y)
 
-    def one(cloud: pd.DataFrame) -> pd.DataFrame:
-        p = cloud[[x, y]].to_numpy(float)
+    def one(found: pd.DataFrame) -> pd.DataFrame:
+        p, first = found[[x, y]].to_numpy(float), found.iloc[0]
         cx, cy, w, h, angle = min_rectangle(p)
-        lo, hi = p.min(0), p.max(0)
+        lo, hi = (np.array([first[f"_{n}_{c}"] for c in (x, y)]) for n in ("lo", "hi"))
         long, short = max(w, h), min(w, h)
         round_ = long - short < square * short and abs(max(hi - lo) - long) < square * long and abs(min(hi - lo) - short) < square * short
-        if len(p) < least or round_:
+        if first["_n"] < least or round_:
             (cx, cy), (w, h), angle = (lo + hi) / 2, hi - lo, 0.0
-        return pd.DataFrame([(cloud[group].iloc[0], cx, cy, w, h, angle, float(cloud[z].min()), float(cloud[z].max()))], columns=[group, "cx", "cy", "w", "h", "angle", "zmin", "zmax"])
+        return pd.DataFrame([(first[group], cx, cy, w, h, angle, first[f"_lo_{z}"], first[f"_hi_{z}"])], columns=[group, "cx", "cy", "w", "h", "angle", "zmin", "zmax"])
 
     kind = dict(df.dtypes)[group]
-    return df.select(group, x, y, z).groupBy(group).applyInPandas(one, f"{group} {kind}, cx double, cy double, w double, h double, angle double, zmin double, zmax double")
+    return merged.join(ranges, group).groupBy(group).applyInPandas(one, f"`{group}` {kind}, cx double, cy double, w double, h double, angle double, zmin double, zmax double")
 
 
 def unit_sphere(df: DataFrame, group: str, coordinates: list[str]) -> DataFrame:
