@@ -134,7 +134,7 @@ def joint_xml_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT task, split, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN p_size % 2 = 0 THEN 'joint' ELSE 'link' END AS task, CASE WHEN p_size > 40 THEN 'val' ELSE 'train' END AS split FROM part) GROUP BY 1, 2")
 def task_sink_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    return sinks.write_tasks(p.select("p_partkey", F.when(F.col("p_size") % 2 == 0, "joint").otherwise("link").alias("task"), F.when(F.col("p_size") > 40, "val").otherwise("train").alias("split")), scratch(spark, "tasks"))
+    return sinks.write_tasks(p.select("p_partkey", F.when(F.col("p_size") % 2 == 0, "joint").otherwise("link").alias("task"), F.when(F.col("p_size") > 40, "val").otherwise("train").alias("split")), scratch(spark, "tasks"), ["joint", "link"], ["train", "val"])
 
 
 @query("SELECT c_custkey, c_name FROM customer")
@@ -198,6 +198,17 @@ def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("metric").agg(F.max_by("n", "batch").alias("n"), F.max_by("total", "batch").alias("total"))
 
 
+@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(event_id) AS BIGINT) AS total, 5 AS batches, 3 AS lines FROM events")
+def stream_meter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five batches of a stream, metered while they are written: a line for every two, and one for the last."""
+    base, lines = scratch(spark, "meter"), []
+    table(spark, sf_dir, "events").select("event_id").repartition(5).write.parquet(f"{base}/in")
+    stream = files.file_stream(spark, f"{base}/in", spark.read.parquet(f"{base}/in").schema)
+    files.metered(stream, f"{base}/out", f"{base}/checkpoint", {"n": F.count("*"), "total": F.sum("event_id")}, 2, lines.append)
+    log = spark.createDataFrame([(x["batches"], x["n"], x["total"]) for x in lines], "batches int, n long, total long")
+    return log.agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("batches").cast("int").alias("batches"), F.count("*").cast("int").alias("lines"))
+
+
 @query("WITH c AS (SELECT DISTINCT conv_id FROM conversations) SELECT type, CAST(count(*) AS BIGINT) AS n, min(root) AS root FROM (SELECT 'full' AS type, 'data/img' AS root FROM c UNION ALL SELECT 'part', 'img' FROM (SELECT conv_id, row_number() OVER () AS r, count(*) OVER () AS n FROM c) WHERE r <= floor(n * 0.2)) GROUP BY type")
 def config_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch(spark, "config")

@@ -5,16 +5,25 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import outer_merge
 
 
-def write_tasks(df: DataFrame, path: str) -> DataFrame:
-    """JSON by task and split (only those with rows get a folder); returns (task, split, n) of what was written."""
-    df.write.partitionBy("task", "split").json(path)
-    return df.sparkSession.read.json(path).groupBy("task", "split").agg(F.count("*").alias("n"))
+def write_tasks(df: DataFrame, path: str, tasks: list[str], splits: list[str]) -> DataFrame:
+    """JSON by task and split (only those with rows get a folder); returns (task, split, n) of what was written.
+
+    Rows are counted while they are written, and nothing is read again; a task or split that is not named stops the job.
+    """
+    pairs = [(t, s) for t in tasks for s in splits]
+    unknown = F.raise_error(F.concat(F.lit("unknown task or split: "), F.coalesce("task", F.lit("null")), F.lit(", "), F.coalesce("split", F.lit("null")))).cast("string")
+    known = df.withColumn("task", F.when(F.col("task").isin(tasks) & F.col("split").isin(splits), F.col("task")).otherwise(unknown))
+    seen = Observation()
+    counts = [F.count_if((F.col("task") == t) & (F.col("split") == s)).alias(f"n{i}") for i, (t, s) in enumerate(pairs)]
+    known.observe(seen, *counts).write.partitionBy("task", "split").json(path)
+    found = [(t, s, seen.get[f"n{i}"]) for i, (t, s) in enumerate(pairs)]
+    return df.sparkSession.createDataFrame([x for x in found if x[2]], "task string, split string, n long")
 
 
 def write_index(df: DataFrame, path: str) -> None:
