@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..operators import batches, clouds, masks
+from ..operators.payloads import with_payloads
 from ..operators.ranking import by_number, ranked
-from ..sources import readers, sinks
+from ..sources import cloud_files, readers, sinks
 from ..sources.scratch import scratch
 from .aggregate_queries import POINTS, points
 from .geometry_queries import _ppm, ppm
@@ -171,3 +172,40 @@ def mask_rect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The least rectangle around the contour of each mask; the tests hold it against dense images."""
     found = masks.mask_rectangles(mask_pixels(spark, sf_dir), "mask")
     return found.select("mask", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"), F.round(F.col("w") * F.col("h"), 6).alias("area"))
+
+
+def _image(number: Column) -> Column:
+    return F.concat(F.lit("img/"), number, F.lit(".png"))
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM pages), c AS (SELECT conv_id, CAST(count(*) AS BIGINT) AS turns FROM conversations GROUP BY conv_id), p AS (SELECT page_id, md5(coalesce(html, '') || chr(10)) AS digest, CAST(strlen(coalesce(html, '')) + 1 AS BIGINT) AS bytes FROM pages)
+SELECT conv_id, turns, a.digest AS image, b.digest AS depth_image, a.bytes + b.bytes AS bytes FROM c, n JOIN p a ON a.page_id = conv_id % 9 % n.n JOIN p b ON b.page_id = (conv_id * 7 + 3) % n.n""")
+def two_image_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations on two files each, an image that many share and a depth image, read as bytes and joined by path."""
+    folder = scratch(spark, "images")
+    pages = table(spark, sf_dir, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("value"))
+    pages.repartition("page_id").write.partitionBy("page_id").text(folder)
+    files = readers.images(spark, folder, "*.txt").select(_image(F.regexp_extract("path", "page_id=([0-9]+)/", 1)).alias("path"), "content")
+    n = F.lit(pages.count())
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"))
+    c = c.withColumns({"image": _image(F.col("conv_id") % 9 % n), "depth_image": _image((F.col("conv_id") * 7 + 3) % n)})
+    found = with_payloads(c, files, ["image", "depth_image"], asks=16)
+    size = F.octet_length("image_content") + F.octet_length("depth_image_content")
+    return found.select("conv_id", "turns", F.md5("image_content").alias("image"), F.md5("depth_image_content").alias("depth_image"), size.cast("long").alias("bytes"))
+
+
+@query(POINTS + """, n AS (SELECT count(*) AS n FROM embeddings), t AS (SELECT vec_id, CAST(sum(x * (i + 1)) AS BIGINT) AS x, CAST(sum(abs(z) % 256) AS BIGINT) AS blue, CAST(count(*) AS INTEGER) AS points FROM p GROUP BY vec_id),
+c AS (SELECT conv_id, CAST(count(*) AS BIGINT) AS turns FROM conversations GROUP BY conv_id) SELECT conv_id, turns, points, x, blue FROM c, n JOIN t ON t.vec_id = (conv_id * 11) % n.n""")
+def cloud_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations on a point cloud each, read from NPY files; points are in order, with colours."""
+    folder = scratch(spark, "clouds")
+    p = points(spark, sf_dir).withColumns({"r": F.lit(0), "g": F.lit(0), "b": F.abs("z") % 256})
+    cloud_files.write_clouds(p, folder, "vec_id", "i", "npy")
+    point = F.struct("idx", "x", "y", "z", "r", "g", "b")
+    clouds_ = cloud_files.read_clouds(spark, folder, "npy").groupBy("cloud").agg(F.array_sort(F.collect_list(point)).alias("content"))
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"))
+    n = F.lit(table(spark, sf_dir, "embeddings").count())
+    c = c.withColumn("point_cloud", F.concat((F.col("conv_id") * 11) % n, F.lit(".npy")))
+    found = with_payloads(c, clouds_.select(F.concat("cloud", F.lit(".npy")).alias("path"), "content"), ["point_cloud"])
+    total = lambda f: F.aggregate("point_cloud_content", F.lit(0).cast("long"), lambda a, q: a + f(q).cast("long"))
+    return found.select("conv_id", "turns", F.size("point_cloud_content").alias("points"), total(lambda q: q["x"] * (q["idx"] + 1)).alias("x"), total(lambda q: q["b"]).alias("blue"))

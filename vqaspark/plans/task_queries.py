@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import corner_boxes, format_centi, number_word
+from ..operators.grounding import LEAST_ACTIONS, grounded_tasks
+from ..sources import readers
+from ..sources.scratch import scratch
 from .registry import query, table
 
 #: Questions by task (fixed values).
@@ -30,8 +33,6 @@ LISTED = {
     "all_parts": ("There is one manipulable object part with its rotated bounding box: ", "There are {} manipulable object parts with their rotated bounding boxes: "),
     "all_parts_3d": ("There is one manipulable object part with its 3d bounding box: ", "There are {} manipulable object parts with their 3d bounding boxes: "),
 }
-#: Records of a task whose actions say less than this many characters are left out.
-LEAST_ACTIONS = 5
 JOINTS, ACTIONS = ("revolute", "prismatic", "continuous"), ("rotate", "slide_out", "press", "wipe")
 PARTS = """WITH parts AS (SELECT l_orderkey AS image, l_linenumber AS link, l_partkey AS id, l_suppkey AS object, n_name AS class, 'part' || l_partkey % 17 AS name, l_partkey * 7 % 97 AS cx, l_suppkey * 13 % 97 AS cy, CAST(l_quantity AS BIGINT) AS w, l_linenumber * 9 AS h,
  l_partkey * 7 % 180 AS angle, CAST(l_quantity AS BIGINT) * 2 % 100 AS depth, ['revolute', 'prismatic', 'continuous'][CAST(l_partkey % 3 AS INTEGER) + 1] AS joint, ['rotate', 'slide_out', 'press', 'wipe'][CAST(l_suppkey % 4 AS INTEGER) + 1] AS action, l_quantity < 20 AS closed
@@ -223,6 +224,56 @@ def task_grounding_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grounded(with_box3(parts(spark, sf_dir)), "grounding_3d", "box", numbers(*BOX3))
 
 
+_STATUS = "CASE WHEN joint = 'continuous' THEN '' WHEN closed THEN 'closed_' ELSE 'opened_' END || name"
+CORPUS = f""", tasks AS (SELECT 'NATION_' || p_partkey % 25 AS class, ['closed_', 'opened_', ''][CAST(p_partkey % 3 AS INTEGER) + 1] || 'part' || p_partkey * 7 % 17 AS name, 't' || p_partkey AS task, p_name AS description,
+ list_filter([CASE WHEN p_size % 4 > 0 THEN 'press[''' || ['closed_', 'opened_', ''][CAST(p_partkey % 3 AS INTEGER) + 1] || 'part' || p_partkey * 7 % 17 || ''']' END, CASE WHEN p_size % 3 = 0 THEN 'wipe[''part' || p_size % 17 || ''']' END, CASE WHEN p_size % 5 < 2 THEN 'StatusComplete' END], lambda a: a IS NOT NULL) AS actions FROM part),
+l AS (SELECT image, class, {_STATUS} AS name, {{box}} AS box, (link, id, object, cx, cy, w, h, angle) AS place FROM parts),
+n AS (SELECT image, name, min(place) AS place, arg_max(box, place) AS box FROM l GROUP BY image, name), e AS (SELECT image, list({{{{'name': name, 'box': box}}}} ORDER BY place) AS links FROM n GROUP BY image),
+c AS (SELECT image, arg_max({{{{'class': class, 'name': name}}}}, place) AS l FROM l WHERE EXISTS (SELECT 1 FROM tasks t WHERE t.class = l.class AND t.name = l.name) GROUP BY image),
+d AS (SELECT image, arg_min(t, (md5('1:' || image || ':' || task), task)) AS a, arg_min(t, (md5('2:' || image || ':' || task), task)) AS b FROM c JOIN tasks t ON t.class = c.l.class AND t.name = c.l.name GROUP BY image),
+s AS (SELECT image, a, b, links, {{said_a}} AS said_a, {{said_b}} AS said_b FROM d JOIN e USING (image)),
+r AS (SELECT image, CASE WHEN length(said_a) >= 5 THEN a.description ELSE b.description END AS task, CASE WHEN length(said_a) >= 5 THEN said_a ELSE said_b END AS actions FROM s WHERE length(said_a) >= 5 OR length(said_b) >= 5)
+SELECT image, {{record}} AS conversations FROM r"""
+
+
+def _said(draw: str, tag: str) -> str:
+    first = "list_filter(links, lambda x: contains(y, x.name))[1]"
+    boxed = f"'<{tag}>' || split_part(y, '[', 1) || '</{tag}>' || {first}.box || CASE WHEN i < len({draw}.actions) THEN ',' ELSE '' END"
+    return f"array_to_string(list_transform({draw}.actions, lambda y, i: CASE WHEN contains(y, 'StatusComplete') THEN 'StatusComplete' WHEN {first} IS NOT NULL THEN {boxed} ELSE '' END), '')"
+
+
+def task_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks by class and part, written as JSON files of classes and read back."""
+    p, path = table(spark, sf_dir, "part"), scratch(spark, "corpus")
+    name = F.concat(F.get(F.array(F.lit("closed_"), F.lit("opened_"), F.lit("")), (F.col("p_partkey") % 3).cast("int")), F.lit("part"), F.col("p_partkey") * 7 % 17)
+    steps = F.array(
+        F.when(F.col("p_size") % 4 > 0, F.concat(F.lit("press['"), name, F.lit("']"))), F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("wipe['part"), F.col("p_size") % 17, F.lit("']"))), F.when(F.col("p_size") % 5 < 2, "StatusComplete"),
+    )
+    told = F.struct(F.col("p_name").alias("description"), F.filter(steps, lambda a: a.isNotNull()).alias("actions"))
+    rows = p.select(F.floor(F.col("p_partkey") / 10000).alias("file"), F.concat(F.lit("NATION_"), F.col("p_partkey") % 25).alias("class"), name.alias("name"), F.struct(F.concat(F.lit("t"), "p_partkey").alias("key"), told.alias("value")).alias("task"))
+    links = rows.groupBy("file", "class", "name").agg(F.map_from_entries(F.collect_list("task")).alias("value"))
+    classes = links.groupBy("file", "class").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("value"))
+    classes.select(F.to_json(F.create_map("class", "value")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return readers.task_corpus(spark, path)[0]
+
+
+def from_corpus(spark: SparkSession, sf_dir: str, task: str, tag: str, box: Column) -> DataFrame:
+    status = F.when(F.col("joint") == "continuous", "").when(F.col("closed"), "closed_").otherwise("opened_")
+    links = with_box3(parts(spark, sf_dir)).withColumns({"name": F.concat(status, "name"), "box": box})
+    found = grounded_tasks(links, task_files(spark, sf_dir), tag, order=["link", "id", "object", *BOX])
+    return found.select("image", turns(ask(task, F.col("description")), F.col("actions")).alias("conversations"))
+
+
+@query(PARTS + CORPUS.format(box=_numbers(*BOX), said_a=_said("a", "rb"), said_b=_said("b", "rb"), record=_turns(_ask("grounding", "task"), "actions")))
+def task_grounding_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return from_corpus(spark, sf_dir, "grounding", "rb", numbers(*BOX))
+
+
+@query(PARTS + CORPUS.format(box=_box3(), said_a=_said("a", "box"), said_b=_said("b", "box"), record=_turns(_ask("grounding_3d", "task"), "actions")))
+def task_grounding_corpus_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return from_corpus(spark, sf_dir, "grounding_3d", "box", numbers(*BOX3))
+
+
 def first_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image, link, id, object, answer): a box of eight corners for each part, as a first stage answers."""
     three = lambda c: F.lpad(c.cast("string"), 3, "0")
