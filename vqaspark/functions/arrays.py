@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,3 +66,32 @@ def pick_columns(rows: Column, columns: list[int]) -> Column:
 
 def zero_nulls(v: Column) -> Column:
     return F.transform(v, lambda x: F.coalesce(x, F.lit(0)))
+
+
+def strip_begin(tokens: Column, bos: int = 1) -> Column:
+    """Tokens without the begin id that an encoder put first."""
+    return F.when(F.get(tokens, F.lit(0)) == bos, F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0)))).otherwise(tokens)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value written and evaluated once; elsewhere a column is copied to each place that names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def split_grid(rows: Column, n: int) -> Column:
+    """A matrix (array of rows) cut into n * n equal parts, by row and then column of the grid; a size that n does not divide is an error."""
+
+    def cut(m: Column) -> Column:
+        high, wide = F.size(m), F.size(F.get(m, F.lit(0)))
+        checked = F.when((high % n == 0) & (wide % n == 0), F.struct((high / n).cast("int").alias("h"), (wide / n).cast("int").alias("w")))
+        sizes = F.coalesce(checked, F.raise_error(F.lit("the grid does not divide the matrix")).cast("struct<h:int,w:int>"))
+        part = lambda i, j, s: F.transform(F.slice(m, i * s["h"] + 1, s["h"]), lambda r: F.slice(r, j * s["w"] + 1, s["w"]))
+        return let(sizes, lambda s: F.array(*[part(i, j, s) for i in range(n) for j in range(n)]))
+
+    return let(rows, cut)
+
+
+def merge_grid(parts: Column, n: int) -> Column:
+    """The matrix that split_grid() has cut."""
+    joined = lambda p, i: F.transform(F.get(p, F.lit(i * n)), lambda _, r: F.flatten(F.transform(F.slice(p, i * n + 1, n), lambda x: F.get(x, r))))
+    return let(parts, lambda p: F.flatten(F.array(*[joined(p, i) for i in range(n)])))

@@ -66,6 +66,23 @@ def project(x: Column, y: Column, z: Column, fx: float, fy: float, cx: float, cy
     return (fx * (-F.try_divide(x, z)) + cx).cast("int"), (fy * F.try_divide(y, z) + cy).cast("int")
 
 
+def project_share(p: list[Column], fx: float, fy: float, cx: float, cy: float, width: float, height: float, near: Column, far: Column) -> list[Column]:
+    """Pinhole projection of a camera point with flipped x as shares of the image, and its depth as a share of the depth range, all within 0..1."""
+    u, v = (-F.try_divide(p[0], p[2]) * fx + cx) / width, (F.try_divide(p[1], p[2]) * fy + cy) / height
+    return [clamp(u), clamp(v), clamp((F.abs(p[2]) - near) / (far - near + 1e-6))]
+
+
+def axis_depths(first: Column, second: Column, near: Column, far: Column, flipped: Column) -> list[Column]:
+    """Depths of an axis' ends as shares of the depth range, null where the range is empty; swapped where the axis was turned round."""
+    a, b = (F.try_divide(F.abs(z) - near, far - near) for z in (first, second))
+    return [F.when(flipped, b).otherwise(a), F.when(flipped, a).otherwise(b)]
+
+
+def place_in_box(p: list[Column], r: list[list[float]], t: list[float], extent: list[Column]) -> list[Column]:
+    """x and y of a point in the frame of a box (rotation r, centre t), as shares of its extent from its low corner, within 0..1."""
+    return [clamp(q / e + 0.5) for q, e in zip(inverse_rigid(p, r, t)[:2], extent[:2], strict=True)]
+
+
 def transform_point(p: list[Column], r: list[list[float]], t: list[float]) -> list[Column]:
     return [sum((p[k] * r[i][k] for k in range(1, 3)), p[0] * r[i][0]) + t[i] for i in range(3)]
 

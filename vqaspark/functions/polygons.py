@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-POLYGON = "array<struct<x:double,y:double>>"
-
+from .arrays import let
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value evaluated once: within a lambda a column is evaluated for each element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+POLYGON = "array<struct<x:double,y:double>>"
 
 
 def point(x: Column, y: Column) -> Column:
@@ -47,16 +42,16 @@ def _left_of(polygon: Column, a: Column, b: Column) -> Column:
 def intersection(a: Column, b: Column) -> Column:
     """The common part of two convex polygons: a, cut along each edge of b; empty if there is none."""
     edges = lambda b: F.transform(b, lambda p, i: F.struct(p.alias("p"), F.get(b, ((i + 1) % F.size(b)).cast("int")).alias("q")))
-    return F.aggregate(_let(b.cast(POLYGON), edges), a.cast(POLYGON), lambda held, e: _left_of(held, e["p"], e["q"]))
+    return F.aggregate(let(b.cast(POLYGON), edges), a.cast(POLYGON), lambda held, e: _left_of(held, e["p"], e["q"]))
 
 
 def area(polygon: Column) -> Column:
     turn = lambda p, q: p["x"] * q["y"] - p["y"] * q["x"]
     turns = lambda polygon: F.transform(polygon, lambda p, i: turn(p, F.get(polygon, ((i + 1) % F.size(polygon)).cast("int"))))
-    return F.aggregate(_let(polygon.cast(POLYGON), turns), F.lit(0.0), lambda a, x: a + x) / 2
+    return F.aggregate(let(polygon.cast(POLYGON), turns), F.lit(0.0), lambda a, x: a + x) / 2
 
 
 def polygon_iou(a: Column, b: Column) -> Column:
     """Common area by joint area of two convex polygons; 0 where neither has an area."""
     areas = F.struct(area(intersection(a, b)).alias("common"), area(a).alias("a"), area(b).alias("b"))
-    return _let(areas, lambda x: F.coalesce(F.try_divide(x["common"], x["a"] + x["b"] - x["common"]), F.lit(0.0)))
+    return let(areas, lambda x: F.coalesce(F.try_divide(x["common"], x["a"] + x["b"] - x["common"]), F.lit(0.0)))

@@ -174,9 +174,27 @@ def fill_placeholders(c: Column, values: Column, mark: str = "<boxes>") -> Colum
 
 
 def after_marker(c: Column, marker: str) -> tuple[Column, Column]:
-    """Text before and after the first marker; both null where it is missing."""
-    has = c.contains(marker)
-    return F.when(has, F.split(c, marker, 2)[0]), F.when(has, F.get(F.split(c, marker, 2), F.lit(1)))
+    """Text before and after the first marker (plain text, no pattern); both null where it is missing."""
+    at = F.instr(c, F.lit(marker))
+    return F.when(at > 0, F.substring(c, F.lit(1), at - 1)), F.when(at > 0, F.substring(c, at + len(marker), F.length(c)))
+
+
+def fill_template(template: str, values: dict[str, Column]) -> Column:
+    """The template with each {NAME} replaced; values are taken as they are, even if they hold a name in braces."""
+    import re
+
+    unknown = set(re.findall(r"\{([A-Z_]+)\}", template)) - set(values)
+    if unknown:
+        raise ValueError(f"no value for {sorted(unknown)}")
+    parts = re.split(r"\{([A-Z_]+)\}", template)
+    return F.concat(*[values[x].cast("string") if i % 2 else F.lit(x) for i, x in enumerate(parts)])
+
+
+def rewritten(path: Column, parts: dict[str, str]) -> Column:
+    """A path with parts of it replaced, one after another."""
+    for old, new in parts.items():
+        path = F.replace(path, F.lit(old), F.lit(new))
+    return path
 
 
 def repair_limits(line: Column) -> Column:
@@ -191,9 +209,15 @@ def strip_fence(c: Column) -> Column:
     return F.when(inside != "", inside).otherwise(c)
 
 
+_QUOTED = r"""'((?:[^'\\]|\\.)*)'|"((?:[^"\\]|\\.)*)\""""
+
+
 def literal_list(c: Column) -> Column:
-    """A quoted list as array<string>; what cannot be read is empty."""
-    return F.coalesce(F.from_json(F.translate(c, "'", '"'), "array<string>"), F.array().cast("array<string>"))
+    """A list of quoted strings, in either quotes and with backslashes before quotes, as array<string>; what cannot be read is empty."""
+    whole = rf"(?s)^\s*\[\s*(?:(?:{_QUOTED})\s*(?:,\s*(?:{_QUOTED})\s*)*,?\s*)?\]\s*$"
+    items = F.regexp_extract_all(c, F.lit(f"(?s){_QUOTED}"), F.lit(0))
+    plain = F.transform(items, lambda x: F.regexp_replace(F.substring(x, F.lit(2), F.length(x) - 2), r"(?s)\\(.)", "$1"))
+    return F.when(c.rlike(whole), plain).otherwise(F.array().cast("array<string>"))
 
 
 def verb(action: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,10 +13,11 @@ def encoded(text: Column, factory: Callable[[], Callable[[str], list[int]]], bos
     """array<int> of a text's ids with optional begin and end ids; the encoder is made once per task; a null text stays null."""
 
     @pandas_udf("array<int>")
-    def encode(batches: pd.Series) -> pd.Series:
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         one = factory()
         lead, tail = [] if bos is None else [bos], [] if eos is None else [eos]
-        return batches.map(lambda t: None if t is None else lead + one(t) + tail)
+        for texts in batches:
+            yield texts.map(lambda t: None if t is None else lead + one(t) + tail)
 
     return encode(text)
 

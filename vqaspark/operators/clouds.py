@@ -140,6 +140,13 @@ def unit_sphere(df: DataFrame, group: str, coordinates: list[str]) -> DataFrame:
     return centred.join(radius, group).withColumns({c: F.coalesce(F.try_divide(c, "_radius"), F.lit(0.0)) for c in coordinates}).drop("_radius")
 
 
+def unit_colour(df: DataFrame, group: str, colours: list[str]) -> DataFrame:
+    """df with its colours within 0..1: those of a cloud with any above 1 are taken as 0..255."""
+    most = df.groupBy(group).agg(F.max(F.greatest(*colours)).alias("_most"))
+    scaled = {c: F.least(F.greatest(F.when(F.col("_most") > 1, F.col(c) / 255).otherwise(F.col(c)), F.lit(0.0)), F.lit(1.0)) for c in colours}
+    return df.join(most, group).withColumns(scaled).drop("_most")
+
+
 def jittered(df: DataFrame, columns: list[str], spread: float, seed: int = 0) -> DataFrame:
     """Gaussian noise on columns, by Spark's seeded generator."""
     return df.withColumns({c: F.col(c) + spread * F.randn(seed + i) for i, c in enumerate(columns)})

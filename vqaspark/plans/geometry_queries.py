@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import polygons as P
+from ..functions.arrays import merge_grid, split_grid
 from ..operators import clouds
 from .aggregate_queries import POINTS, points
 from .registry import query, table
@@ -142,7 +145,7 @@ def _edges(mine: dict, other: dict) -> str:
     """Each edge of one box as (row, x0, y0, x1, y1), with the other box's frame."""
     end = lambda k, axis: _corner(mine, f"{k}.a", f"{k}.b", axis)
     frame = ", ".join(f"{other[k]} AS o{k}" for k in ("cx", "cy", "w", "h", "angle"))
-    return f"SELECT {K}, w * h AS area, {end('c', 'x')} AS x0, {end('c', 'y')} AS y0, {end('d', 'x')} AS x1, {end('d', 'y')} AS y1, {frame} FROM b, {_CORNERS}, {_CORNERS.replace('AS c', 'AS d')} WHERE d.i = (c.i + 1) % 4"
+    return f"SELECT {K}, q, w * h AS area, {end('c', 'x')} AS x0, {end('c', 'y')} AS y0, {end('d', 'x')} AS x1, {end('d', 'y')} AS y1, {frame} FROM b, {_CORNERS}, {_CORNERS.replace('AS c', 'AS d')} WHERE d.i = (c.i + 1) % 4"
 
 
 _OWN = {k: k for k in ("cx", "cy", "w", "h", "angle")}
@@ -152,7 +155,7 @@ _OWN = {k: k for k in ("cx", "cy", "w", "h", "angle")}
 f AS (SELECT *, (x0 - ocx) * cos(radians(oangle)) + (y0 - ocy) * sin(radians(oangle)) AS u0, (y0 - ocy) * cos(radians(oangle)) - (x0 - ocx) * sin(radians(oangle)) AS v0,
  (x1 - x0) * cos(radians(oangle)) + (y1 - y0) * sin(radians(oangle)) AS du, (y1 - y0) * cos(radians(oangle)) - (x1 - x0) * sin(radians(oangle)) AS dv FROM e),
 t AS (SELECT *, greatest(0, least((-ow / 2 - u0) / du, (ow / 2 - u0) / du), least((-oh / 2 - v0) / dv, (oh / 2 - v0) / dv)) AS a, least(1, greatest((-ow / 2 - u0) / du, (ow / 2 - u0) / du), greatest((-oh / 2 - v0) / dv, (oh / 2 - v0) / dv)) AS z FROM f),
-g AS (SELECT {K}, max(area) AS area, any_value(l_linenumber) AS ln, sum(CASE WHEN a < z THEN ((x0 + a * (x1 - x0)) * (y0 + z * (y1 - y0)) - (y0 + a * (y1 - y0)) * (x0 + z * (x1 - x0))) / 2 ELSE 0 END) AS common FROM t GROUP BY {K})
+g AS (SELECT {K}, q, max(area) AS area, sum(CASE WHEN a < z THEN ((x0 + a * (x1 - x0)) * (y0 + z * (y1 - y0)) - (y0 + a * (y1 - y0)) * (x0 + z * (x1 - x0))) / 2 ELSE 0 END) AS common FROM t GROUP BY {K}, q)
 SELECT {K}, CAST(floor(common / (area + {OTHER[2] * OTHER[3]} - common) * 10000 + 0.5) AS BIGINT) AS iou FROM g""")
 def rotated_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Polygons clipped here; the SQL sums the line integral over the edges' parts within the other box."""
@@ -219,3 +222,52 @@ def column_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
     m = pick_columns(F.array(zero_nulls(F.array("x", "y", "z"))), [2, 0])[0]
     return p.select("label", "vec_id", F.col("i").cast("long").alias("i"), F.get(m, F.lit(0)).alias("a"), F.get(m, F.lit(1)).alias("b"))
+
+
+RANGE = BOXES + ", d AS (SELECT l_orderkey, min(q) FILTER (WHERE q <> 0) AS near, max(q) FILTER (WHERE q <> 0) AS far FROM b GROUP BY l_orderkey)"
+
+
+def with_range(b: DataFrame) -> DataFrame:
+    """Boxes with the range of their image's depths, zeros left out."""
+    d = F.when(F.col("q") != 0, F.col("q"))
+    return b.join(b.groupBy("l_orderkey").agg(F.min(d).alias("near"), F.max(d).alias("far")), "l_orderkey")
+
+
+@query(RANGE + f" SELECT {K}, {_ppm('greatest(least((-((cx - 480) / 40) / q * 500 + 480) / 960, 1), 0)')} AS u, {_ppm('greatest(least((((cy - 480) / 40) / q * 520 + 270) / 540, 1), 0)')} AS v, {_ppm('greatest(least((abs(q) - near) / (far - near + 1e-6), 1), 0)')} AS depth FROM b JOIN d USING (l_orderkey)")
+def pinhole_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = [(F.col("cx") - 480) / 40, (F.col("cy") - 480) / 40, F.col("q")]
+    u, v, depth = G.project_share(p, 500, 520, 480, 270, 960, 540, F.col("near"), F.col("far"))
+    return with_range(boxes(spark, sf_dir)).select(*KEYS, ppm(u).alias("u"), ppm(v).alias("v"), ppm(depth).alias("depth"))
+
+
+@query(RANGE + f" SELECT {K}, {_ppm('CASE WHEN cx > cy THEN b ELSE a END')} AS first, {_ppm('CASE WHEN cx > cy THEN a ELSE b END')} AS second FROM (SELECT *, (q - near) / nullif(far - near, 0) AS a, (h - near) / nullif(far - near, 0) AS b FROM b JOIN d USING (l_orderkey))")
+def axis_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depths of both ends of an axis in their image's range, swapped where the axis is turned; null where an image has one depth."""
+    first, second = G.axis_depths(-F.col("q"), F.col("h"), F.col("near"), F.col("far"), F.col("cx") > F.col("cy"))
+    return with_range(boxes(spark, sf_dir)).select(*KEYS, ppm(first).alias("first"), ppm(second).alias("second"))
+
+
+@query(BOXES + f" SELECT {K}, {_ppm('greatest(least(((cx - 480) * cos(radians(30)) + (cy - 500) * sin(radians(30))) / (w * 4) + 0.5, 1), 0)')} AS x, {_ppm('greatest(least(((cy - 500) * cos(radians(30)) - (cx - 480) * sin(radians(30))) / (h * 8) + 0.5, 1), 0)')} AS y FROM b")
+def axis_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, s = math.cos(math.radians(30)), math.sin(math.radians(30))
+    x, y = G.place_in_box([F.col("cx"), F.col("cy"), F.lit(0.0)], [[c, -s, 0.0], [s, c, 0.0], [0.0, 0.0, 1.0]], [480.0, 500.0, 0.0], [F.col("w") * 4, F.col("h") * 8])
+    return boxes(spark, sf_dir).select(*KEYS, ppm(x).alias("x"), ppm(y).alias("y"))
+
+
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(round(x * 1000) AS BIGINT)) AS v FROM embeddings), c AS (SELECT vec_id, v, unnest(range(16)) AS part FROM e)
+SELECT vec_id, part, array_to_string(list_transform(range(4), lambda k: v[(part // 4 * 2 + k // 2) * 8 + part % 4 * 2 + k % 2 + 1]), ',') AS cells FROM c""")
+def grid_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as matrices of eight by eight, cut into sixteen parts, put together, and cut again."""
+    rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.transform(F.slice("embedding", r * 8 + 1, F.lit(8)), lambda x: F.round(x * 1000).cast("long")))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", split_grid(rows, 4).alias("parts"))
+    again = e.select("vec_id", split_grid(merge_grid(F.col("parts"), 4), 4).alias("parts")).select("vec_id", F.posexplode("parts").alias("part", "cells"))
+    return again.select("vec_id", F.col("part").cast("long").alias("part"), F.array_join(F.flatten("cells"), ",").alias("cells"))
+
+
+@query(POINTS + f""", c AS (SELECT vec_id, i, CASE WHEN vec_id % 2 = 0 THEN x / 1000 ELSE abs(z) - 100 END AS r FROM p), m AS (SELECT vec_id, max(r) AS m FROM c GROUP BY vec_id)
+SELECT vec_id, CAST(i AS BIGINT) AS i, {_ppm('greatest(least(CASE WHEN m > 1 THEN r / 255 ELSE r END, 1), 0)')} AS red FROM c JOIN m USING (vec_id)""")
+def cloud_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours of 0..255 and of 0..1, both within 0..1 afterwards."""
+    p = points(spark, sf_dir).withColumn("r", F.when(F.col("vec_id") % 2 == 0, F.col("x") / 1000).otherwise(F.abs("z") - 100).cast("double"))
+    p = p.withColumns({"g": F.col("r"), "b": F.col("r")})
+    return clouds.unit_colour(p, "vec_id", ["r", "g", "b"]).select("vec_id", F.col("i").cast("long").alias("i"), ppm(F.col("r")).alias("red"))

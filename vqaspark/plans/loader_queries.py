@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..operators.batches import padded
+from ..operators.packing import cut_stream, packed_rows
 from ..operators.ranking import by_number, even_shard, exact_sample, numbered, ranked, shuffled
 from ..operators.windows import carried
-from ..sources.scratch import scratch
 from .registry import query, table
 
 LENGTH, BOS, EOS = 2048, 1, 2
@@ -115,16 +116,9 @@ def hash_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(chunk, pos, part): the stream of all documents' tokens with their end ids, each document cut at the chunks' bounds."""
-    path = scratch(spark, "tokens")
-    token_rows(spark, sf_dir).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.concat("t", F.array(F.lit(EOS))).alias("t")).write.parquet(path)
-    d = spark.read.parquet(path)  # words are hashed once; only numbers are ranked
-    starts = ranked(d.select("row", "doc_id", F.size("t").alias("n")), [], by_number("doc_id"), ["doc_id"], "start", F.col("n"))
-    starts = d.select("row", "t").join(starts.select("row", "start", (F.col("start") + F.col("n")).alias("stop")), "row")
-    chunks = F.explode(F.sequence(F.floor(F.col("start") / LENGTH), F.floor((F.col("stop") - 1) / LENGTH))).alias("chunk")
-    cut = starts.select("start", "stop", "t", chunks).withColumn("pos", F.greatest("start", F.col("chunk") * LENGTH))
-    length = F.least("stop", (F.col("chunk") + 1) * LENGTH) - F.col("pos")
-    return cut.select("chunk", "pos", F.slice("t", (F.col("pos") - F.col("start") + 1).cast("int"), length.cast("int")).alias("part"))
+    """(chunk, pos, part): the stream of all documents' tokens with their end ids, each document cut at the chunks' bounds; begin ids go."""
+    d = token_rows(spark, sf_dir).select("doc_id", F.concat(F.array(F.lit(BOS)), "t", F.array(F.lit(EOS))).alias("t"))
+    return cut_stream(d, "doc_id", "t", LENGTH, BOS)
 
 
 PACKED = TOKENS + ", s AS (SELECT doc_id, list_append(t, 2) AS t, sum(len(t) + 1) OVER (ORDER BY doc_id) - len(t) - 1 AS start FROM d), x AS (SELECT start + i - 1 AS pos, t[i] AS token FROM (SELECT start, t, unnest(range(1, len(t) + 1)) AS i FROM s))"
@@ -138,9 +132,9 @@ def pack_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(PACKED + ", c AS (SELECT CAST(pos // 2048 AS BIGINT) AS chunk, string_agg(CAST(token AS VARCHAR), ',' ORDER BY pos) AS t, 2048 - count(*) AS pad FROM x GROUP BY 1) SELECT chunk, md5(t || repeat(',0', CAST(pad AS INTEGER))) AS digest, CAST(2048 AS INTEGER) AS length FROM c")
 def pack_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = packed(spark, sf_dir).groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("pos", "part"))).alias("x"))
-    whole = A.pad(F.flatten(F.transform("x", lambda x: x["part"])), LENGTH, 0)
-    return rows.select("chunk", F.md5(F.array_join(whole, ",").cast("binary")).alias("digest"), F.size(whole).alias("length"))
+    d = token_rows(spark, sf_dir).select("doc_id", F.concat(F.array(F.lit(BOS)), "t", F.array(F.lit(EOS))).alias("t"))
+    rows = packed_rows(d, "doc_id", "t", LENGTH, BOS)
+    return rows.select("chunk", digest(F.col("tokens")).alias("digest"), F.size("tokens").alias("length"))
 
 
 def digest(a: Column) -> Column:
@@ -189,6 +183,13 @@ def ragged_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("lang").agg((F.max("n").cast("long") * F.count("*") - F.sum("n")).alias("padding"), F.count("*").alias("n"), F.max("n").alias("width"))
 
 
+@query(TOKENS + f" SELECT doc_id, CAST(m AS INTEGER) AS width, {_digest('list_concat(t, list_transform(range(m - len(t)), lambda x: 0))')} AS tokens FROM (SELECT doc_id, t, max(len(t)) OVER (PARTITION BY doc_id // 16) AS m FROM d)")
+def ragged_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of sixteen documents, each filled up to its longest."""
+    d = token_rows(spark, sf_dir).select("doc_id", F.floor(F.col("doc_id") / 16).alias("batch"), "t")
+    return padded(d, "batch", "t").select("doc_id", F.size("t").alias("width"), digest(F.col("t")).alias("tokens"))
+
+
 @query(TOKENS + " SELECT doc_id, CAST(coalesce(least(list_position(t, CAST('0x' || substr(md5('the'), 1, 4) AS INTEGER) + 3), list_position(t, CAST('0x' || substr(md5('la'), 1, 4) AS INTEGER) + 3)) - 1, len(t)) AS INTEGER) AS n FROM (SELECT doc_id, t FROM d)")
 def stop_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     import hashlib

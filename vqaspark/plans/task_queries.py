@@ -275,10 +275,10 @@ def task_grounding_corpus_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(image, link, id, object, answer): a box of eight corners for each part, as a first stage answers."""
+    """(image, link, id, object, name, box, answer): a box of eight corners for each part, as a first stage answers."""
     three = lambda c: F.lpad(c.cast("string"), 3, "0")
     corner = [F.concat(F.lit("["), three(F.col("cx") + (F.col("w") if i >= 4 else F.lit(0))), F.lit(","), three(F.col("cy") + (F.col("h") if i // 2 % 2 else F.lit(0))), F.lit(","), three(F.col("depth") + 5 * (i % 2)), F.lit("]")) for i in range(8)]
-    return parts(spark, sf_dir).select("image", "link", "id", "object", tagged("box", F.col("name"), F.concat(F.lit("["), F.concat_ws(",", *corner), F.lit("]"))).alias("answer"))
+    return parts(spark, sf_dir).select("image", "link", "id", "object", "name", *BOX, tagged("box", F.col("name"), F.concat(F.lit("["), F.concat_ws(",", *corner), F.lit("]"))).alias("answer"))
 
 
 @query(PARTS + """, t AS (SELECT 'single_link' AS task, class FROM parts UNION ALL SELECT 'joint', class FROM parts UNION ALL SELECT 'status', class FROM parts WHERE joint <> 'continuous')
@@ -299,6 +299,87 @@ def stage2_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.select("image", "link", "id", "object", "box", F.concat(F.lit("Describe the joint of the part at "), at, F.lit(".")).alias("question"))
 
 
+def box8(*corner: Column) -> Column:
+    """Eight corners as [[x,y,z],..], two places."""
+    return F.concat(F.lit("["), F.concat_ws(",", *corner), F.lit("]"))
+
+
+def corner_texts(between: str = ",") -> list[Column]:
+    """The corners of a part's box from (cx, cy, depth) to (cx + w, cy + h, depth + 5)."""
+    ends = [(F.col("cx"), F.col("cx") + F.col("w")), (F.col("cy"), F.col("cy") + F.col("h")), (F.col("depth"), F.col("depth") + 5)]
+    pick = lambda i: (ends[0][i >= 4], ends[1][i // 2 % 2], ends[2][i % 2])
+    return [F.concat(F.lit("["), F.concat_ws(between, *map(format_centi, pick(i))), F.lit("]")) for i in range(8)]
+
+
+def _corners() -> str:
+    ends = (("cx", "(cx + w)"), ("cy", "(cy + h)"), ("depth", "(depth + 5)"))
+    return "'[' || " + " || ',' || ".join(_numbers(ends[0][i >= 4], ends[1][i // 2 % 2], ends[2][i % 2]) for i in range(8)) + " || ']'"
+
+
+#: Whether a question names its part (0) or gives its box (1), by the MD5 of the part.
+BY_BOX = "CAST('0x' || substr(md5('9:' || image || ':' || id), 1, 4) AS INTEGER) % 2"
+_ASKED = f"CASE WHEN {BY_BOX} = 1 THEN {_numbers(*BOX)} ELSE name END"
+
+
+def asked() -> Column:
+    """How a question points to its part: by its box or by its name, drawn by a hash."""
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("9"), "image", "id").cast("binary")), 1, 4), 16, 10).cast("int") % 2
+    return F.when(draw == 1, numbers(*BOX)).otherwise(F.col("name"))
+
+
+@query(PARTS + SELECT.format(r=_turns(_ask("joint", _ASKED), _tagged("rb", "joint", _numbers(*BOX)))))
+def task_joint_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return record(parts(spark, sf_dir), ask("joint", asked()), tagged("rb", F.col("joint"), numbers(*BOX)))
+
+
+@query(PARTS + SELECT.format(r=_turns(_ask("joint_depth", _ASKED), _tagged("rb", "joint", _numbers(*BOX, "depth")))))
+def task_joint_ext_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return record(parts(spark, sf_dir), ask("joint_depth", asked()), tagged("rb", F.col("joint"), numbers(*BOX, "depth")))
+
+
+@query(PARTS + SELECT.format(r=_turns(_ask("joint_depth", _ASKED), _tagged("rb", "joint", _numbers(*BOX)) + " || '<rbd>' || " + _numbers("depth", "w") + " || '</rbd>'")))
+def task_joint_depth_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return record(parts(spark, sf_dir), ask("joint_depth", asked()), F.concat(tagged("rb", F.col("joint"), numbers(*BOX)), F.lit("<rbd>"), numbers("depth", "w"), F.lit("</rbd>")))
+
+
+@query(PARTS + SELECT.format(r=_turns(_ask("joint", _ASKED), "CASE WHEN closed THEN 'Closed' ELSE 'Opened' END")) + " WHERE joint <> 'continuous'")
+def task_status_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return record(parts(spark, sf_dir).where("joint != 'continuous'"), ask("joint", asked()), F.when(F.col("closed"), "Closed").otherwise("Opened"))
+
+
+@query(PARTS + SELECT.format(r=_turns(_ask("joint_3d", _corners()), _tagged("axis", "joint", _axis()))))
+def task_joint_3d_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In space the part is always given by the corners of its box."""
+    return record(with_axis(parts(spark, sf_dir)), ask("joint_3d", box8(*corner_texts())), tagged("axis", F.col("joint"), numbers(*AXIS)))
+
+
+@query(PARTS + SELECT.format(r=_turns(_ask("joint_3d", _corners()), "CASE WHEN closed THEN 'Closed' ELSE 'Opened' END")) + " WHERE joint <> 'continuous'")
+def task_status_3d_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return record(parts(spark, sf_dir).where("joint != 'continuous'"), ask("joint_3d", box8(*corner_texts())), F.when(F.col("closed"), "Closed").otherwise("Opened"))
+
+
+#: The second stage's question for a box that the first stage has found (fixed value).
+SECOND = "Please provide the joint's type and its 3D axis linked to the object part  "
+
+
+def second_questions(df: DataFrame, answer: str, keys: list[str]) -> DataFrame:
+    """(keys, box, conversations): a question for each box of eight corners in a first stage's answer, numbered from 0; the answer is open."""
+    boxes = df.select(*keys, F.posexplode(corner_boxes(F.col(answer))).alias("box", "corners"))
+    shown = box8(*[F.concat(F.lit("["), F.concat_ws(",", *(format_centi(F.round(F.get(F.get("corners", F.lit(i)), F.lit(k)) * 100).cast("long")) for k in range(3))), F.lit("]")) for i in range(8)])
+    said = F.to_json(F.array(F.struct(F.lit("human").alias("from"), F.concat(F.lit(SECOND), shown).alias("value")), F.struct(F.lit("gpt").alias("from"), F.lit(None).cast("string").alias("value"))), {"ignoreNullFields": "false"})
+    return boxes.select(*keys, "box", said.alias("conversations"))
+
+
+@query(PARTS + f""", k AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY link, id, object, name, cx, cy, w, h, angle) - 1 AS r FROM parts)
+SELECT image, CAST(r AS INTEGER) AS box, CAST(to_json([{{'from': 'human', 'value': '{SECOND.replace("'", "''")}' || {_corners()}}}, {{'from': 'gpt', 'value': NULL}}]) AS VARCHAR) AS conversations FROM k""")
+def stage2_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers that list all parts of an image, parsed into a question for each."""
+    p = first_stage(spark, sf_dir).withColumnRenamed("answer", "told")
+    order = F.struct("link", "id", "object", "name", *BOX, "told")
+    answers = p.groupBy("image").agg(F.concat(F.lit("The parts are: "), F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["told"]), ","), F.lit(".")).alias("answer"))
+    return second_questions(answers, "answer", ["image"])
+
+
 @query("SELECT p_partkey, CASE WHEN length(p_brand) >= 8 THEN p_brand WHEN length(p_type) >= 8 THEN p_type END AS choice FROM part")
 def min_length_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first of two candidates that is long enough, or nothing."""

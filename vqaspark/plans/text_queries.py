@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.ingest import rooted
 from .registry import query, table
 
 SYSTEM = T.TEMPLATES["default"][0]
@@ -232,9 +233,8 @@ def action_verb(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, CASE WHEN contains(text, '. ') THEN split_part(text, '. ', 1) END AS instruction, CASE WHEN contains(text, '. ') THEN substr(text, strpos(text, '. ') + 2) END AS output FROM documents WHERE contains(text, '. ')")
 def marker_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where(F.col("text").contains(". "))
-    before, after = F.split(F.col("text"), r"\. ", 2)[0], F.get(F.split(F.col("text"), r"\. ", 2), F.lit(1))
-    return d.select("doc_id", before.alias("instruction"), after.alias("output"))
+    before, after = T.after_marker(F.col("text"), ". ")
+    return table(spark, sf_dir, "documents").select("doc_id", before.alias("instruction"), after.alias("output")).where("output IS NOT NULL")
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN '  <limit effort="30" velocity="1.0" lower="0" upper="' || l_linenumber || '"/>' ELSE '<joint name="j' || l_linenumber || '"/>' END AS line FROM lineitem""")
@@ -259,7 +259,7 @@ def list_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey, 'Write a task for a ' || p_name || ' of type ' || p_type || '.' AS prompt FROM part")
 def template_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    filled = F.replace(F.replace(F.lit("Write a task for a {OBJECT_CLASS} of type {OBJECT_TYPE}."), F.lit("{OBJECT_CLASS}"), F.col("p_name")), F.lit("{OBJECT_TYPE}"), F.col("p_type"))
+    filled = T.fill_template("Write a task for a {OBJECT_CLASS} of type {OBJECT_TYPE}.", {"OBJECT_CLASS": F.col("p_name"), "OBJECT_TYPE": F.col("p_type")})
     return table(spark, sf_dir, "part").select("p_partkey", filled.alias("prompt"))
 
 
@@ -270,4 +270,20 @@ def centi_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT page_id, replace(url, 'example', 'npy_8192') AS path, regexp_extract(url, '([0-9]+)', 1) AS number, 'root/' || url AS rooted FROM pages")
 def path_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.replace("url", F.lit("example"), F.lit("npy_8192")).alias("path"), F.regexp_extract("url", "([0-9]+)", 1).alias("number"), F.concat_ws("/", F.lit("root"), "url").alias("rooted"))
+    rooted_url = F.concat(F.lit("root/"), "url")  # a url is absolute, which rooted() leaves alone
+    return table(spark, sf_dir, "pages").select("page_id", T.rewritten(F.col("url"), {"example": "npy_8192"}).alias("path"), F.regexp_extract("url", "([0-9]+)", 1).alias("number"), rooted_url.alias("rooted"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '/abs/' || p_name WHEN 1 THEN 's3://b/' || p_name ELSE 'data/' || p_name END AS path FROM part")
+def rooted_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relative paths below their root; absolute ones and those of a store stay."""
+    lead = F.get(F.array(F.lit("/abs/"), F.lit("s3://b/"), F.lit("")), (F.col("p_partkey") % 3).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", rooted(F.concat(lead, "p_name"), "data/").alias("path"))
+
+
+@query("SELECT p_partkey, CAST(CASE WHEN p_partkey % 4 = 3 THEN 0 ELSE 2 END AS INTEGER) AS n, CASE WHEN p_partkey % 4 <> 3 THEN 'it''s ' || p_name END AS first FROM part")
+def list_literal_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists whose values hold quotes, in either kind of quotes."""
+    kinds = [F.concat(F.lit('["it\'s '), "p_name", F.lit("\", 'x']")), F.concat(F.lit("['it\\'s "), "p_name", F.lit("', \"x\", ]")), F.concat(F.lit("  [ \"it's "), "p_name", F.lit("\" , 'a\"b']\n")), F.concat(F.lit("['it's "), "p_name", F.lit("']"))]
+    got = T.literal_list(F.get(F.array(*kinds), (F.col("p_partkey") % 4).cast("int")))
+    return table(spark, sf_dir, "part").select("p_partkey", F.size(got).alias("n"), F.get(got, F.lit(0)).alias("first"))

@@ -54,6 +54,21 @@ def manifest(spark: SparkSession, files: list[str], validation: bool = False, co
     return spark.read.parquet(*(files[-1:] if validation else files[:-1])).select(column)
 
 
+def manifest_file(spark: SparkSession, path: str, validation: bool = False, column: str = "content") -> DataFrame:
+    """manifest() of the paths in a file that holds one JSON list."""
+    files = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "array<string>").alias("f")).collect()  # one small file
+    if len(files) != 1 or not files[0].f:
+        raise ValueError(f"{path} holds no list of files")
+    return manifest(spark, files[0].f, validation, column)
+
+
+def metadata(spark: SparkSession, path: str, schema: str, pattern: str = "meta.json") -> DataFrame:
+    """(path, folder, schema's columns) of the JSON files of such a name in all folders below a path; a file that does not parse stops the read."""
+    found = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).json(path)
+    at = F.col("_metadata.file_path")
+    return found.select(at.alias("path"), F.element_at(F.split(at, "/"), -2).alias("folder"), *[F.col(c) for c in found.columns])
+
+
 def semantics(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """((file, line, link, joint, semantic), bad lines) of text with three words on a line; line numbers are within a file."""
     whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "text")).where("text != ''")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import outer_merge
+from ..operators.ranking import numbered
 
 
 def write_tasks(df: DataFrame, path: str, tasks: list[str], splits: list[str]) -> DataFrame:
@@ -44,6 +45,14 @@ def write_new(df: DataFrame, path: str, key: str, folders: bool = False) -> None
     (new.partitionBy(key) if folders else new).parquet(path)
 
 
+def write_json_arrays(df: DataFrame, path: str, order: list[str], rows: int = 1000) -> None:
+    """Files that each hold one JSON array of at most so many records, in order; no task holds more than one file's records."""
+    file = F.floor(F.col("_pos") / rows).alias("_file")
+    record = F.struct("_pos", F.struct(*df.columns).alias("r"))
+    files = numbered(df, [], order, "_pos").select(file, record.alias("x")).groupBy("_file").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    files.select(F.to_json(F.transform("x", lambda x: x["r"])).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+
+
 def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
