@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions.images import transformed
 from ..operators import batches, clouds, masks
+from ..operators.joins import paired
 from ..operators.payloads import with_payloads
 from ..operators.ranking import by_number, ranked
 from ..sources import cloud_files, readers, sinks
+from ..sources.ingest import load_config
 from ..sources.scratch import scratch
 from .aggregate_queries import POINTS, points
 from .geometry_queries import _ppm, ppm
@@ -209,3 +212,78 @@ def cloud_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = with_payloads(c, clouds_.select(F.concat("cloud", F.lit(".npy")).alias("path"), "content"), ["point_cloud"])
     total = lambda f: F.aggregate("point_cloud_content", F.lit(0).cast("long"), lambda a, q: a + f(q).cast("long"))
     return found.select("conv_id", "turns", F.size("point_cloud_content").alias("points"), total(lambda q: q["x"] * (q["idx"] + 1)).alias("x"), total(lambda q: q["b"]).alias("blue"))
+
+
+@query("SELECT 'train' AS part, CAST(count(*) AS BIGINT) AS n, CAST(sum(length(c_name)) AS BIGINT) AS total FROM customer UNION ALL SELECT 'validation', CAST(count(*) AS BIGINT), CAST(sum(length(s_name)) AS BIGINT) FROM supplier")
+def manifest_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list of files is itself a JSON file."""
+    base = scratch(spark, "manifest")
+    c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    for name, rows in (("a", c.where("c_custkey % 3 = 0").select(F.col("c_name").alias("content"))), ("b", c.where("c_custkey % 3 > 0").select(F.col("c_name").alias("content"))), ("z", s.select(F.col("s_name").alias("content")))):
+        rows.write.parquet(f"{base}/{name}")
+    spark.range(1).select(F.to_json(F.array(*(F.lit(f"{base}/{n}") for n in "abz"))).alias("value")).write.text(f"{base}/list")
+    parts = [readers.manifest_file(spark, f"{base}/list", v).agg(F.lit(p).alias("part"), F.count("*").alias("n"), F.sum(F.length("content")).alias("total")) for v, p in ((False, "train"), (True, "validation"))]
+    return parts[0].unionByName(parts[1])
+
+
+@query("SELECT 'object=' || s_suppkey AS folder, n_name AS model_cat, CAST(s_suppkey % 7 AS INTEGER) AS parts FROM supplier JOIN nation ON n_nationkey = s_nationkey")
+def metadata_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of metadata for each object, in folders at several depths among other files, read by one walk."""
+    path = scratch(spark, "meta")
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("model_cat"))
+    told = F.to_json(F.struct("model_cat", (F.col("s_suppkey") % 7).alias("parts")))
+    s = table(spark, sf_dir, "supplier").join(n, "s_nationkey").select((F.col("s_suppkey") % 3).alias("set"), F.col("s_suppkey").alias("object"), told.alias("value"))
+    s.repartition("object").write.partitionBy("set", "object").text(path)
+    table(spark, sf_dir, "region").coalesce(1).write.json(f"{path}/set=0/notes")
+    return readers.metadata(spark, path, "model_cat string, parts int", "*.txt").select("folder", "model_cat", "parts")
+
+
+@query("SELECT a.c_custkey, a.c_name AS image, b.c_nationkey AS depth FROM customer a JOIN customer b USING (c_custkey)")
+def listing_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two listings paired by the number in their names, each of which must have its partner."""
+    c = table(spark, sf_dir, "customer")
+    number = lambda f: F.regexp_extract(f, "([0-9]+)", 1).cast("long").alias("c_custkey")
+    images = c.select(number(F.concat(F.lit("image_"), F.lpad(F.col("c_custkey").cast("string"), 12, "0"))), F.col("c_name").alias("image"))
+    depths = c.select(number(F.concat(F.lit("depth_"), "c_custkey", F.lit(".png"))), F.col("c_nationkey").alias("depth"))
+    return paired(images, depths, ["c_custkey"]).select("c_custkey", "image", "depth")
+
+
+@query("""WITH o AS (SELECT 'NATION_' || p_partkey % 5 AS category, 'part' || p_partkey % 17 AS link, 't' || p_partkey % 400 AS task, 'old ' || max(p_name) AS description FROM part WHERE p_partkey % 3 <> 0 GROUP BY ALL),
+n AS (SELECT 'NATION_' || p_partkey % 5 AS category, 'part' || p_partkey % 17 AS link, 't' || p_partkey % 400 AS task, 'new ' || max(p_name) AS description FROM part WHERE p_partkey % 3 <> 1 GROUP BY ALL)
+SELECT category, link, task, coalesce(n.description, o.description) AS description FROM o FULL JOIN n USING (category, link, task)""")
+def history_two_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks by class, part and task in nested JSON files, merged with a later run's: links and tasks of either, the later run's text."""
+    base = scratch(spark, "history")
+    p = table(spark, sf_dir, "part")
+    for run, rows in (("old", "p_partkey % 3 <> 0"), ("new", "p_partkey % 3 <> 1")):
+        keys = [F.concat(F.lit("NATION_"), F.col("p_partkey") % 5).alias("category"), F.concat(F.lit("part"), F.col("p_partkey") % 17).alias("link"), F.concat(F.lit("t"), F.col("p_partkey") % 400).alias("task")]
+        tasks = p.where(rows).groupBy(*keys).agg(F.concat(F.lit(f"{run} "), F.max("p_name")).alias("description"))
+        sinks.write_corpus(tasks.withColumns({"actions": F.array().cast("array<string>"), "required_status": F.lit(None).cast("string")}), f"{base}/{run}")
+    sinks.merge_corpus(spark, f"{base}/old", f"{base}/new", f"{base}/merged")
+    return readers.task_corpus(spark, f"{base}/merged")[0].select("category", "link", "task", "description")
+
+
+@query("WITH c AS (SELECT DISTINCT conv_id FROM conversations), s(type, ratio) AS (VALUES ('full', 1.0), ('half', 0.5)) SELECT type, CAST(floor(count(*) * max(ratio)) AS BIGINT) AS n FROM c, s GROUP BY type")
+def config_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A data set described by a YAML file: two sources in two formats, one of them sampled."""
+    base = scratch(spark, "config")
+    c = table(spark, sf_dir, "conversations")
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.struct(t["role"].alias("from"), t["text"].alias("value")))
+    records = c.groupBy("conv_id").agg(turns.alias("conversations")).select(F.concat(F.lit("img/"), "conv_id", F.lit(".png")).alias("image"), "conversations")
+    records.write.json(f"{base}/lines")
+    sinks.write_json_arrays(records, f"{base}/arrays", ["image"], 50)
+    lines = ["META:", f"  - path: {base}/lines", "    type: full", "    format: jsonl", f"  - path: {base}/arrays", "    type: half", "    format: json", "    ratio: 0.5", "    root: data"]
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(f"{base}/config")
+    return load_config(spark, f"{base}/config").groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query("""WITH p AS (SELECT page_id, 3 + page_id % 5 AS w, 2 + page_id % 3 AS h FROM pages) SELECT page_id, CAST(4 * 4 * 3 AS INTEGER) AS n, CAST(CASE WHEN (greatest(w, h) - h) // 2 > 0 THEN 0 ELSE 1 END AS INTEGER) AS filled FROM p""")
+def image_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images as PPM bytes brought to four by four pixels; white ones, whose first row is padding where they are wider than high by two."""
+    p = table(spark, sf_dir, "pages").select("page_id", (3 + F.col("page_id") % 5).alias("w"), (2 + F.col("page_id") % 3).alias("h"))
+    head = F.concat(F.lit("P6\n"), "w", F.lit(" "), "h", F.lit("\n255\n")).cast("binary")
+    white = F.expr("unhex(repeat('FF', cast(3 * w * h as int)))")
+    images = p.select(F.col("page_id").cast("string").alias("path"), F.concat(head, white).alias("content"))
+    found = transformed(images, "padded_resize", 4)
+    top = F.get("pixels", F.lit(0))  # the mean colour is 0 where the image was padded above
+    return found.select(F.col("path").cast("long").alias("page_id"), F.size("pixels").alias("n"), F.when(top > 1.9, 1).otherwise(0).alias("filled"))

@@ -83,10 +83,8 @@ def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(RECORDS)
 def json_array_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "json")
-    r = _records(spark, sf_dir).groupBy(F.pmod(F.crc32("image"), F.lit(8)).alias("file")).agg(F.to_json(F.collect_list(F.struct("image", "conversations"))).alias("value"))
-    r.select("value").repartition(8).write.option("lineSep", "\n").text(path)
-    whole = spark.read.text(path).select(F.explode(F.from_json("value", "array<struct<image:string,conversations:array<struct<from:string,value:string>>>>")).alias("r")).select("r.*")
-    return _told(whole)
+    sinks.write_json_arrays(_records(spark, sf_dir), path, ["image"], 64)
+    return _told(readers.json_records(spark, path))
 
 
 @query("SELECT doc_id, lang, n_chars, CAST(length(text) AS INTEGER) AS chars FROM documents")

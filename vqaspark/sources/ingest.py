@@ -46,10 +46,10 @@ PREPROCESSORS: dict[str, Callable[[DataFrame], DataFrame]] = {"conversation": co
 
 
 def rooted(image: Column, root: str | None) -> Column:
-    """An image's path below its root; absolute paths and stores stay."""
+    """An image's path below its root; absolute paths and stores stay, and so does a record without an image."""
     if root is None:
         return image
-    return F.when(image.rlike("^(/|[a-z0-9]+://)"), image).otherwise(F.concat_ws("/", F.lit(root.rstrip("/")), image))
+    return F.when(image.isNull() | image.rlike("^(/|[a-z0-9]+://)"), image).otherwise(F.concat_ws("/", F.lit(root.rstrip("/")), image))
 
 
 def read(spark: SparkSession, s: Source) -> DataFrame:
@@ -67,3 +67,35 @@ def read(spark: SparkSession, s: Source) -> DataFrame:
 def load(spark: SparkSession, sources: list[Source]) -> DataFrame:
     """All sources as one table; what a source lacks is null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [read(spark, s) for s in sources])
+
+
+def conversations_only(df: DataFrame) -> DataFrame:
+    """Records of which only those without an image count."""
+    return df.where("image IS NULL")
+
+
+def pictured(df: DataFrame) -> DataFrame:
+    return df.where("image IS NOT NULL")
+
+
+#: Kinds of data sets by name: what each takes of the records.
+DATA_SETS: dict[str, Callable[[DataFrame], DataFrame]] = {"all": lambda df: df, "text": conversations_only, "image_text": pictured}
+
+
+def load_config(spark: SparkSession, path: str, kind: str = "all") -> DataFrame:
+    """The data set of a YAML file: under META a list of sources, each with the fields of Source; an unknown field or kind is an error."""
+    try:
+        import yaml
+    except ImportError as e:
+        raise ImportError("a YAML configuration needs PyYAML; load() takes Source objects") from e
+    if kind not in DATA_SETS:
+        raise ValueError(f"unknown data set {kind!r}")
+    text = spark.read.option("wholetext", True).text(path).collect()  # one small file
+    meta = (yaml.safe_load("\n".join(r.value for r in text)) or {}).get("META")
+    if not meta:
+        raise ValueError(f"{path} has no sources under META")
+    known = set(Source.__dataclass_fields__)
+    for entry in meta:
+        if unknown := set(entry) - known:
+            raise ValueError(f"unknown fields {sorted(unknown)} of a source")
+    return DATA_SETS[kind](load(spark, [Source(**entry) for entry in meta]))

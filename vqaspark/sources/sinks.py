@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import outer_merge
 from ..operators.ranking import numbered
+from . import readers
 
 
 def write_tasks(df: DataFrame, path: str, tasks: list[str], splits: list[str]) -> DataFrame:
@@ -66,6 +67,28 @@ def merge_history(spark: SparkSession, old_path: str, new: DataFrame, keys: list
     outer_merge(spark.read.parquet(old_path), new, keys).write.parquet(new_path)
 
 
+def write_corpus(df: DataFrame, path: str, links: int = 200) -> None:
+    """Tasks (category, link, task, description, actions, required_status) as nested JSON, {category: {link: {task: ..}}}, of a class and so many of its links by hash a file."""
+    told = F.struct(F.col("task").alias("key"), F.struct("description", "actions", "required_status").alias("value"))
+    sizes = df.groupBy("category").agg(F.ceil(F.count_distinct("link") / links).cast("int").alias("_files"))
+    by_link = df.groupBy("category", "link").agg(F.map_from_entries(F.collect_list(told)).alias("value")).join(sizes, "category")
+    file = F.pmod(F.xxhash64("link"), F.col("_files")).alias("_file")
+    files = by_link.groupBy("category", file).agg(F.map_from_entries(F.collect_list(F.struct(F.col("link").alias("key"), "value"))).alias("value"))
+    files.select(F.to_json(F.create_map("category", "value")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+
+
+def merge_corpus(spark: SparkSession, old_path: str, new_path: str, merged_path: str) -> None:
+    """Two corpora as one: links and tasks of either, where both have a task the new one's; files that do not parse stop the job."""
+    sides = []
+    for path in (old_path, new_path):
+        rows, bad = readers.task_corpus(spark, path)
+        if not bad.isEmpty():
+            raise ValueError(f"{path} holds files that do not parse")
+        sides.append(rows.select("category", "link", "task", F.struct("description", "actions", "required_status").alias("told")))
+    merged = outer_merge(*sides, ["category", "link", "task"])
+    write_corpus(merged.select("category", "link", "task", "told.description", "told.actions", "told.required_status"), merged_path)
+
+
 def rewrite_lines(df: DataFrame, path: str, line: str = "line") -> None:
     df.select(F.col(line).alias("value")).write.text(path)
 
