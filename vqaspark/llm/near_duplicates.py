@@ -43,6 +43,8 @@ BASE, ZERO = 1.15, 30
 LINK, DROP = 0.8, 0.6
 #: Up to so many documents, the ids whose sets are needed are broadcast; beyond, a filter of a fixed number of bits is sent.
 BROADCAST_ROWS, SLOTS = 100_000, 1 << 22
+#: Words and classes that a worker remembers; hashing one again costs little.
+KNOWN = 60_000
 #: A group is dealt out in parts of so many members.
 GROUP = 2000
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -56,7 +58,7 @@ class Shingles:
 
     def __call__(self, text: str) -> np.ndarray:
         found = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
-        if len(self.known) > 500_000:
+        if len(self.known) > KNOWN:
             self.known.clear()
         if not found:
             return np.zeros(0, np.uint64)
@@ -157,7 +159,7 @@ def sketches(df: DataFrame) -> DataFrame:
                     block, held = [], 0
             if block:
                 sketch(block, regs)
-            if len(seen) > 500_000:
+            if len(seen) > KNOWN:
                 seen.clear()
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(cids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(regs, pa.binary())], names=["doc_id", "text_key", "cid", "n", "registers"])
 
