@@ -422,6 +422,20 @@ def test_broken_pages_take_linear_time():
         assert time.process_time() - began < 10, page[:40]
 
 
+def test_places_in_texts_with_many_matches(spark):
+    """More matches than a block of sums holds, texts longer than a block of characters, signs outside ASCII."""
+    rng = random.Random(4)
+    text = ", ".join(rng.choice(["é" * rng.randrange(1, 9), f"mail{i}@x{i}.org", "1.2.3.4", "+49 30 1234567"]) for i in range(3000))
+    rows_ = spark.createDataFrame([(1, text), (2, "a@b.de"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in personal_data.find_personal_data(rows_).collect()}
+    kinds = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
+    want = [f"{k}:{m.start()}:{m.end()}" for k, rule in kinds for m in re.finditer(rule, text)]
+    assert got[1].base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest() and len(want) > 1500
+    cut = common.texts(rows_).where("doc_id = 1").select(personal_data.blocks(F.col("text")).alias("b"), F.explode(F.array(*map(F.lit, (0, 1, 39, 4095, 4096, 4160, 9000, len(text))))).alias("at"))
+    for r in cut.select("at", personal_data.around(F.col("b"), F.col("at"), 40, 0).alias("before"), personal_data.around(F.col("b"), F.col("at"), 0, 1).alias("after")).collect():
+        assert r.before == text[max(0, r.at - 40) : r.at] and r.after == text[r.at : r.at + 1]
+
+
 # 4 ---------------------------------------------------------------------------------------------------------------------
 def test_licenses(spark):
     texts = [
@@ -468,6 +482,69 @@ def test_standard_notices():
     assert scan("licensed under the GNU General Public License, version 3.")[0][4] == 0 < scan("under the GNU General Public License version 3.")[0][4]
 
 
+def test_compression_ranks_the_license_first():
+    """The conditional size alone puts a wording's own template first or level with the first, and in two of three cases within longer text too."""
+    scanner, names = license_scan.Scanner(), list(license_scan.TEMPLATES)
+    alone = within = total = 0
+    for name, wordings in license_scan.TEMPLATES.items():
+        for wording in wordings:
+            for k, text in enumerate((wording, f"This project and its files are here. {wording} Thanks go to all of them.")):
+                ranked = scanner.ranked(license_scan.words(text))
+                good = {names[i]: x for x, i in ranked}[name] >= ranked[0][0] - license_scan.TIE
+                alone, within = alone + (good and k == 0), within + (good and k == 1)
+            total += 1
+    assert alone >= 0.95 * total and within >= 0.65 * total, (alone, within, total)
+
+
+def test_ranking_saves_alignments(monkeypatch):
+    """The first template of the ranking is confirmed and the search ends there; turned round, others are aligned first, in vain."""
+    tried, rank = [], license_scan.Scanner.ranked
+    monkeypatch.setattr(license_scan.Wording, "align", lambda self, block, align=license_scan.Wording.align: tried.append(1) or align(self, block))
+    monkeypatch.setattr(license_scan.Wording, "__init__", lambda self, text, own, init=license_scan.Wording.__init__: (init(self, text, own), setattr(self, "must", frozenset()))[0])  # nothing but the ranking spares work
+    text = " ".join(license_scan.TEMPLATES["BSD-3-Clause"][3].split())
+    assert [x[0] for x in license_scan.Scanner().scan(text)] == ["BSD-3-Clause"]
+    forward = len(tried)
+    tried.clear()
+    monkeypatch.setattr(license_scan.Scanner, "ranked", lambda self, block: [(-x, i) for x, i in reversed(rank(self, block))])
+    license_scan.Scanner().scan(text)
+    assert len(tried) > 2 * forward
+
+
+def test_denied_later_and_repeated_notices(spark):
+    scan = license_scan.Scanner().scan
+    found = lambda text: [x[0] for x in scan(text)]
+    assert found("This is not licensed under the MIT License.") == [] and found("It was never released under the MIT License. Licensed under the Apache License, Version 2.0.") == ["Apache-2.0"]
+    assert found("Licensed under the GNU GPL, either version 3 of the License, or (at your option) any later version.") == ["GPL-3.0"]
+    assert found("Distributed under the Boost Software License, Version 1.0.") == ["BSL-1.0"] and found("Licensed under the Artistic License 2.0.") == ["Artistic-2.0"]
+    notice = "Licensed under the Apache License, Version 2.0. MIT License. "
+    import time
+
+    began = time.process_time()
+    many = scan(notice * 3000)  # 180 kB in one block
+    assert time.process_time() - began < 60 and {x[0] for x in many} == {"Apache-2.0", "MIT"} and len(many) == 6000
+    assert all((notice * 3000)[s:e] == ("MIT License" if n == "MIT" else "Licensed under the Apache License, Version 2.0") for n, s, e, _, _ in many)
+    empty = license_scan.scan_licenses(spark.createDataFrame([], "doc_id long, text string"))
+    assert empty.count() == 0
+
+
+def test_base_secrets_of_all_documents(spark, docs):
+    """The base patterns by brute force on every text."""
+    import hashlib as h
+
+    kinds = [
+        ("assign", re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[1]) >= 6),
+        ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24),
+    ]
+    more = spark.createDataFrame([(10**6, "é password = 'short' Token:abcdef.1 AKIA" + "Z9" * 9 + " " + "0af" * 9 + " API_KEY=deadbeefdeadbeefdeadbeef12"), (10**6 + 1, None)], "doc_id long, text string")
+    every = docs.select("doc_id", "text").unionByName(more)
+    got = {r.doc_id: r for r in secret_scan.find_secrets(every).collect()}
+    for d in every.collect():
+        spans = sorted((m.start(), k, name, m.end()) for k, (name, rule, good) in enumerate(kinds) for m in rule.finditer(d.text or "") if good(m))
+        r = got[d.doc_id]
+        assert r.base_sha256 == h.sha256(",".join(f"{name}:{a}:{z}" for a, _, name, z in spans).encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(name == k for _, _, name, _ in spans) for k in ("assign", "access", "hex"))
+
+
 # pipeline --------------------------------------------------------------------------------------------------------------
 def test_pipeline(spark):
     import corpus_pipeline as C

@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 #: Characters that neither compose, nor change length in lower case, nor count as white space for one library only.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-įĲ-ňŊ-ſ]*")
 CACHE_UNITS = 400_000
+#: Rows and bytes of the texts that are encoded together: what a batch shares is looked up once.
+BATCH_TEXTS, BATCH_BYTES = 4000, 8 << 20
 #: Signs outside the plain range, one of which stands between units that go through the tokenizer together.
 SIGNS = "❤✨♥☺♡★☆✔…•→€™–—"
 
@@ -64,39 +66,49 @@ class CachedEncoder:
         return not self.by_blank or not ("  " in text or "\n " in text or "\r " in text or "\t " in text or text[-1:] == " " or text[:1] == " ")
 
     def _learn(self, units: list[str]) -> None:
-        tailed = {u: m for u in units if (m := TAILED.fullmatch(u))}
-        whole = [u for u in units if u not in tailed]
-        whole += {m[1] for m in tailed.values()}.difference(self.units, whole)
+        words = [u for u in units if u.isalpha()]
+        tailed, bare = {}, []
+        for u in units if len(words) < len(units) else ():
+            if not u.isalpha():
+                m = TAILED.fullmatch(u)
+                if m:
+                    tailed[u] = m[1], m[2]
+                else:
+                    bare.append(u)
+        words += {w for w, _ in tailed.values()}.difference(self.units, words)
         lead = " " if self.by_blank else ""
-        joined = []
-        for u in whole:
+        for u in bare:
             if u and u.strip() == u:
-                joined.append(u)
+                words.append(u)
             else:  # white space at an end would meet the sign's
                 self.units[u] = array("H", self._ids(lead + u)).tobytes()
-        groups = [joined[i : i + 256] for i in range(0, len(joined), 256)]
+        groups = [words[i : i + 256] for i in range(0, len(words), 256)]
         for group, found in zip(groups, self.tokenizer.encode_batch_fast([lead + self.between.join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(found.ids, "<u2")
-            at = [0, *(np.flatnonzero(ids == self.sign) + 1).tolist(), len(ids) + 1]
-            if len(at) != len(group) + 1:
+            at = (np.flatnonzero(ids == self.sign) << 1).tolist()
+            if len(at) != len(group) - 1:
                 raise ValueError("the sign between units stands in a unit")
             raw = ids.tobytes()
-            self.units.update((u, raw[2 * i : 2 * j - 2]) for u, i, j in zip(group, at[:-1], at[1:], strict=True))
-        for u, m in tailed.items():
-            if m[2] not in self.tails:
-                self.tails[m[2]] = array("H", self._ids(m[2])).tobytes()
-            self.units[u] = self.units[m[1]] + self.tails[m[2]]
+            self.units.update(zip(group, map(raw.__getitem__, map(slice, [0, *(x + 2 for x in at)], [*at, len(raw)])), strict=True))
+        for u, (word, tail) in tailed.items():
+            if tail not in self.tails:
+                self.tails[tail] = array("H", self._ids(tail)).tobytes()
+            self.units[u] = self.units[word] + self.tails[tail]
 
     def _look(self, units: list[str]) -> list[bytes]:
         """Ids of distinct units.  At the limit the units become the older generation; those met again come back from it."""
         found = list(map(self.units.get, units))
-        new = [i for i, f in enumerate(found) if f is None]
-        if new:
-            back = {u: f for i in new if (f := self.older.get(u := units[i])) is not None}
-            self.units.update(back)
-            self._learn([units[i] for i in new if units[i] not in back])
-            for i in new:
-                found[i] = self.units[units[i]]
+        if None in found:
+            new = [u for u, f in zip(units, found, strict=True) if f is None]
+            if self.older:
+                back = list(map(self.older.get, new))
+                self.units.update((u, f) for u, f in zip(new, back, strict=True) if f is not None)
+                new = [u for u, f in zip(new, back, strict=True) if f is None]
+                again = iter(back)
+                found = [next(again) if f is None else f for f in found]
+            self._learn(new)
+            learned = map(self.units.__getitem__, new)
+            found = [next(learned) if f is None else f for f in found]
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -120,8 +132,9 @@ class CachedEncoder:
         flat, starts = np.frombuffer(b"".join(ids), "<u2"), np.cumsum(sizes) - sizes
         lengths = sizes[index]
         ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-        at = np.repeat(starts[index] - ends[:-1], lengths)
-        at += np.arange(ends[-1])
+        number = np.int32 if ends[-1] < 1 << 31 else np.int64
+        at = np.repeat((starts[index] - ends[:-1]).astype(number), lengths)
+        at += np.arange(ends[-1], dtype=number)
         whole = flat[at].tobytes()
         # a list of no words (null) has no place of its own
         words = pc.fill_null(pc.list_value_length(listed), 0).to_numpy(zero_copy_only=False).astype(np.int64)

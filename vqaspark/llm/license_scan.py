@@ -1,12 +1,14 @@
 """Operator 4: licenses by conditional compression.
 
 Sentences with a licensing word, and their neighbours with one, form candidate blocks; a sentence runs on over a single line
-break.  The words of a block are compressed on their own and again with each template as raw zstandard dictionary; the part
+break.  The words of a block are compressed on their own and again with every template as raw zstandard dictionary; the part
 of its size that a template saves ranks the templates.  In that order, the first template that an alignment confirms is the
 license: its names and version numbers stand in the block in order, no other license's name stands between, and at most one
 in five of its other telling words differ.  Confirmed templates that save as much, to within ``TIE``, are told apart by the
 words aligned.  The aligned stretch is cut out and what stands before and behind it is judged again, so a block may hold
-several licenses; the words that differ are reported.
+several licenses; the words that differ are reported.  A notice after "not" is none.  Long blocks are judged in overlapping
+windows, so time is linear in them.  No saving is too small for a candidate: within a long sentence a short notice such as
+"MIT licensed" saves no more than a dictionary of licensing words in general, which was tried as a threshold and lost notices.
 """
 
 from __future__ import annotations
@@ -48,7 +50,7 @@ TEMPLATES = {
         "SPDX-License-Identifier: MIT",
     ],
     "GPL-2.0": ["licensed under the GNU General Public License, version 2.", "licensed under the GPL version 2.", GNU.format("program", "General Public", "2"), "SPDX-License-Identifier: GPL-2.0-only"],
-    "GPL-3.0": ["licensed under the GNU General Public License, version 3.", "licensed under the GPL version 3.", GNU.format("program", "General Public", "3"), "SPDX-License-Identifier: GPL-3.0-only"],
+    "GPL-3.0": ["licensed under the GNU General Public License, version 3.", "licensed under the GPL version 3.", "licensed under the GNU GPL, either version 3 of the License, or (at your option) any later version.", GNU.format("program", "General Public", "3"), "SPDX-License-Identifier: GPL-3.0-only"],
     "LGPL-2.0": ["licensed under the GNU Library General Public License, version 2.", GNU.format("library", "Library General Public", "2"), "SPDX-License-Identifier: LGPL-2.0-only"],
     "LGPL-2.1": ["licensed under the GNU Lesser General Public License, version 2.1.", "licensed under the LGPL version 2.1.", GNU.format("library", "Lesser General Public", "2.1"), "SPDX-License-Identifier: LGPL-2.1-only"],
     "LGPL-3.0": ["licensed under the GNU Lesser General Public License, version 3.", "licensed under the LGPL version 3.", GNU.format("library", "Lesser General Public", "3"), "SPDX-License-Identifier: LGPL-3.0-only"],
@@ -58,6 +60,10 @@ TEMPLATES = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0"],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "ISC License."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
+    "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", "Licensed under the zlib License.", "SPDX-License-Identifier: Zlib"],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "Licensed under the Eclipse Public License, version 2.0.", "SPDX-License-Identifier: EPL-2.0"],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0"],
+    "Artistic-2.0": ["Licensed under the Artistic License 2.0.", "SPDX-License-Identifier: Artistic-2.0"],
     "CC0-1.0": ["Licensed under CC0 1.0.", "Creative Commons Zero v1.0 Universal"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "Creative Commons Attribution 4.0 International License"],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "Creative Commons Attribution-ShareAlike 4.0 International License"],
@@ -69,7 +75,7 @@ TEMPLATES = {
 #: Words that say nothing about which license it is; they may differ or be missing.
 NEUTRAL = frozenset("a an and any are as at file for in international is it licensed license of or public released software terms the this to under v version work you".split())
 #: Words that name a license; one that is not the template's own must not stand within its wording.
-NAMES = frozenset("affero agpl apache attribution bsd cc endorse gnu gpl isc lesser lgpl mit mozilla nc nd noderivatives noncommercial sa sharealike spdx unencumbered zero".split())
+NAMES = frozenset("affero agpl apache artistic attribution boost bsd bsl cc eclipse endorse epl gnu gpl isc lesser lgpl mit mozilla nc nd noderivatives noncommercial sa sharealike spdx unencumbered zero zlib".split())
 SAME = {"licence": "license", "licences": "licenses", "licenced": "licensed", "gplv": "gpl", "lgplv": "lgpl", "agplv": "agpl"}
 TRIGGER = re.compile(
     r"licen[cs]|SPDX-|\bCC[ -](?:BY|0)|\bCC0\b|\b[AL]?GPL|creative\W+commons|permission\W+(?:is\W+hereby|to\W+use)|redistributions?\W+(?:and\W+use|of|in)\b|neither\W+the\W+name|provided\b[^.\n]*\n?[^.\n]*\bas\W+is\b|public\W+domain|general\W+public",
@@ -81,6 +87,10 @@ LETTER = re.compile(r"[^\W\d_]")
 WORD = re.compile(r"[^\W\d_]+|\d+(?:\.\d+)*")
 #: Shares of saved size that differ by less count as the same.
 TIE = 0.02
+#: Words of a block that are judged at once; a match begins in the first half, and no wording is as long as a half.
+WINDOW = 600
+#: Words that turn a notice into its contrary, within so many words before it.
+DENIED, REACH = frozenset({"not", "never", "isn", "aren", "cannot"}), 4
 #: Costs of a word that differs: neutral, telling, and never.
 SLIGHT, TELLING, NEVER = 1, 10_000, 10**12
 
@@ -163,31 +173,33 @@ class Scanner:
     def __init__(self):
         import zstandard as z
 
+        def with_dictionary(wordings: list[str]) -> z.ZstdCompressor:
+            kit = "\n".join(" ".join(words(w)) for w in wordings)
+            return z.ZstdCompressor(level=3, dict_data=z.ZstdCompressionDict(kit.encode() * 2, dict_type=z.DICT_TYPE_RAWCONTENT))
+
         self.plain = z.ZstdCompressor(level=3)
         self.templates = []
         for name, wordings in TEMPLATES.items():
-            kit = "\n".join(" ".join(words(w)) for w in wordings)
-            sized = z.ZstdCompressor(level=3, dict_data=z.ZstdCompressionDict(kit.encode() * 2, dict_type=z.DICT_TYPE_RAWCONTENT))
+            sized = with_dictionary(wordings)
             own = NAMES & {*words(" ".join([name, *wordings]))}
             self.templates.append((name, sized, [Wording(w, own) for w in wordings]))
         self.judge = cache(self._judge)
 
-    def ranked(self, block: list[str], among: list[int]) -> list[tuple[float, int]]:
+    def ranked(self, block: list[str]) -> list[tuple[float, int]]:
         """(share of its size saved, template), the most saved first."""
         raw = " ".join(block).encode("utf-8", "surrogatepass")
         alone = len(self.plain.compress(raw))
-        return sorted(((1 - len(self.templates[i][1].compress(raw)) / alone, i) for i in among), key=lambda x: (-x[0], x[1]))
+        return sorted(((1 - len(sized.compress(raw)) / alone, i) for i, (_, sized, _) in enumerate(self.templates)), key=lambda x: (-x[0], x[1]))
 
     def winner(self, block: list[str]) -> tuple[str, float, int, int, int] | None:
         """(identifier, share saved, words that differ, first, end) of a stretch of words, or None."""
         have = {*block}
-        able = [i for i, (_, _, wordings) in enumerate(self.templates) if any(w.must <= have for w in wordings)]  # no other is ever confirmed
         best, key, top = None, (), 0.0
-        for saved, i in self.ranked(block, able) if able else ():
+        for saved, i in self.ranked(block):
             if best and saved < top - TIE:
                 break
             name, _, wordings = self.templates[i]
-            found = [x for w in wordings if w.must <= have and (x := w.align(block))]
+            found = [x for w in wordings if w.must <= have and (x := w.align(block))]  # without all of them no stretch aligns
             if found:
                 told, differ, first, end = max(found, key=lambda x: (x[0], -x[1]))
                 top = top if best else saved
@@ -195,15 +207,30 @@ class Scanner:
                     best, key = (name, saved, differ, first, end), (told, -differ)
         return best
 
-    def _judge(self, block: str) -> list[tuple[str, int, int, float, int]]:
-        spans = word_spans(block)
-        out, left = [], [(0, len(spans))]
+    def stretches(self, block: list[str]) -> list[tuple[str, float, int, int, int]]:
+        """winner() of the block and of what each leaves before and behind it."""
+        out, left = [], [(0, len(block))]
         while left:
             a, b = left.pop()
-            if b > a and (found := self.winner([w for w, _, _ in spans[a:b]])):
+            if b > a and (found := self.winner(block[a:b])):
                 name, saved, differ, first, end = found
-                out.append((name, spans[a + first][1], spans[a + end - 1][2], saved, differ))
+                out.append((name, saved, differ, a + first, a + end))
                 left += [(a, a + first), (a + end, b)]
+        return sorted(out, key=lambda x: x[3])
+
+    def _judge(self, block: str) -> list[tuple[str, int, int, float, int]]:
+        spans = word_spans(block)
+        plain, out, at = [w for w, _, _ in spans], [], 0
+        while at < len(plain):
+            last = at + WINDOW >= len(plain)
+            to = at + WINDOW // 2
+            for name, saved, differ, first, end in self.stretches(plain[at : at + WINDOW]):
+                first, end = at + first, at + end
+                if last or first < at + WINDOW // 2:
+                    to = max(to, end)
+                    if not DENIED & {*plain[max(0, first - REACH) : first]}:
+                        out.append((name, spans[first][1], spans[end - 1][2], saved, differ))
+            at = len(plain) if last else to
         joined: list[tuple[str, int, int, float, int]] = []
         for x in sorted(out, key=lambda x: x[1]):
             if joined and joined[-1][0] == x[0]:
@@ -227,7 +254,8 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     n_blocks: the licenses found, neighbours of the same identifier in a candidate block as one; licenses: the distinct
     identifiers in order, comma-joined; spans: identifier:start:end in code points of the words aligned, with the share of
     its block's size that the template saves and the number of words that differ.  A null or empty text, or one without a licensing
-    word, has no block; a null id stays null; repeated rows give repeated results; further columns are not read.
+    word, has no block; a null id stays null; repeated rows give repeated results; further columns are not read; bytes that are no
+    UTF-8 count as U+FFFD; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from . import common
+from .encoders import BATCH_BYTES, BATCH_TEXTS
 from .encoders import encoder as encoder_of
 
 BUCKETS, DIMS, BITS = 256, 4, 12
@@ -75,7 +76,7 @@ def curve_documents(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, keys, n = encoder_of(vocabulary), CurveKeys(), TaskContext.get().partitionId() << 33
         end = END_ID.to_bytes(2, "little")
-        for b in common.slices(batches, 2000, 1):
+        for b in common.slices(batches, BATCH_TEXTS, 1, BATCH_BYTES):
             ids = [x + end for x in encoder.encode(b.column(1).to_pylist())]
             curve = keys([np.frombuffer(x, "<u2") for x in ids])
             yield pa.RecordBatch.from_arrays(

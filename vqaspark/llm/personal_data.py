@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .native import let, located
+from .native import around, blocks, let, located
 
 #: Kinds in the order of the result; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "local_phone", "spelled_email", "iban", "insurance", "name")
@@ -86,10 +86,11 @@ def _valid(kind: int, found: Column) -> Column:
     return F.lit(True)
 
 
-def _votes(kind: int, text: Column, m: Column) -> Column:
-    before = F.lower(F.substring(text, F.greatest(m["start"] - 39, F.lit(1)), m["start"] - F.greatest(m["start"] - 40, F.lit(0))))
+def _votes(kind: int, cut: Column, m: Column) -> Column:
+    """The labelers' votes on a match, from the text's blocks."""
+    before = F.lower(around(cut, m["start"], 40, 0))
     strict = _valid(kind, m["found"]) if kind < BASE else F.length(_digits(m["found"])).between(*((10, 11), (0, 99), (12, 34), (9, 9), (0, 0))[kind - BASE])
-    edges = F.concat(F.substring(text, F.greatest(m["start"], F.lit(1)), F.when(m["start"] > 0, 1).otherwise(0)), F.lit(" "), F.substring(text, m["end"] + 1, F.lit(1)))
+    edges = F.concat(around(cut, m["start"], 1, 0), F.lit(" "), around(cut, m["end"], 0, 1))
     yes, no, skip = F.lit(1), F.lit(-1), F.lit(0)
     return F.array(
         F.when(strict, yes).otherwise(no),
@@ -110,10 +111,13 @@ def candidates(text: Column) -> Column:
         found = located(text, PATTERNS[kind])
         if kind < BASE:
             found = F.filter(found, lambda m: _valid(kind, m["found"]))
-        told = F.transform(
-            found,
-            lambda m: F.struct(
-                F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), _votes(kind, text, m).alias("votes"), F.least((m["end"] - m["start"]) / 5, F.lit(7)).cast("int").alias("size")
+        told = let(
+            blocks(text),
+            lambda cut: F.transform(
+                found,
+                lambda m: F.struct(
+                    F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), _votes(kind, cut, m).alias("votes"), F.least((m["end"] - m["start"]) / 5, F.lit(7)).cast("int").alias("size")
+                ),
             ),
         )
         return F.when(text.rlike(NEEDS[kind]), told).otherwise(F.array().cast(EMPTY))

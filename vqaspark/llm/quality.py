@@ -136,11 +136,13 @@ def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> QualityModel:
     """Trains on at most ``rows`` labelled documents, chosen by the hash of their id; only hashed features reach the driver.
 
-    Rows without a label, an id or a text do not count; with fewer than ten rows or a single class every text is kept.
+    Rows without a label, an id or a text do not count; of several texts with one id the first in order does.  A row's features are
+    at most 2 * WIDTH pairs of numbers, whatever its text's length.  With fewer than ten rows or a single class every text is kept.
     """
     chosen = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("good")).where("doc_id IS NOT NULL AND good IN (0, 1)")
     chosen = chosen.groupBy("doc_id").agg(F.min("good").alias("good")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     known = common.texts(df.where(F.col(text_col).isNotNull()), id_col, text_col).join(F.broadcast(chosen), "doc_id")  # at most `rows` small rows
+    known = known.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("good").alias("good"))  # of repeated ids one text, so `rows` bounds the rows too
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches):

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
+from .encoders import BATCH_BYTES, BATCH_TEXTS
 from .encoders import encoder as encoder_of
 
 LEAST, MOST, MASK_BITS = 64, 4096, 9
@@ -78,7 +79,7 @@ def encoded_rows(df: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, row, end, seen = encoder_of(vocabulary), TaskContext.get().partitionId() << 33, end_id.to_bytes(2, "little"), set()
-        for b in common.slices(batches, 2000, 1):
+        for b in common.slices(batches, BATCH_TEXTS, 1, BATCH_BYTES):
             kinds, keys, docs, data = [], [], [], []
             encoded = [raw + end for raw in encoder.encode(b.column(1).to_pylist())]
             # one pass over the batch: the least chunk is longer than the hash's 16 ids, so no cut depends on the document before
