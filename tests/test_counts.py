@@ -33,3 +33,20 @@ def test_meter(spark, tmp_path, every, told):
     spark.range(100, 101).write.mode("append").parquet(str(tmp_path / "in"))
     run()
     assert lines[-1]["total"] == 100 and spark.read.parquet(str(tmp_path / "out")).count() == 31
+
+
+def test_of_two_builders_one_wins(spark, tmp_path):
+    path = str(tmp_path / "cache")
+
+    def slow():  # while this one builds, another begins and ends
+        sinks.cached(spark, path, lambda: spark.range(5))
+        return spark.range(9)
+
+    assert sinks.cached(spark, path, slow).count() == 5 and sinks.cached(spark, path).count() == 5
+    assert sinks.cached(spark, path, lambda: pytest.fail("built twice")).count() == 5
+    assert len([p for p in (tmp_path / "cache").iterdir() if p.name.startswith("data-")]) == 1
+    with pytest.raises(TimeoutError):
+        sinks.cached(spark, str(tmp_path / "none"))
+    with pytest.raises(ZeroDivisionError):
+        sinks.cached(spark, str(tmp_path / "broken"), lambda: spark.range(1 // 0))
+    assert not sinks.is_ready(spark, str(tmp_path / "broken"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators.ranking import ranked
+from ..operators.ranking import numbered
 
 CONVERSATION = "image string, conversations array<struct<from:string,value:string>>"
 INSTRUCTION = "instruction string, input string, output string, image string"
@@ -155,4 +155,4 @@ def packed(spark: SparkSession, path: str) -> DataFrame:
 def sorted_files(spark: SparkSession, path: str, pattern: str = ".*") -> DataFrame:
     """(path, name, pos): the files that fit the pattern, numbered from 0 in the order of their paths."""
     found = listing(spark, path, pattern)
-    return ranked(found, [], F.regexp_extract("path", "^(.*)/", 1), ["path"]).select("path", "name", "pos")
+    return numbered(found, [], ["path"]).select("path", "name", "pos")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators.joins import outer_merge
 from ..operators.ranking import numbered
 from . import readers
+from .scratch import claim, discard, exists, told
 
 
 def write_tasks(df: DataFrame, path: str, tasks: list[str], splits: list[str]) -> DataFrame:
@@ -36,12 +38,7 @@ def write_index(df: DataFrame, path: str) -> None:
 def write_new(df: DataFrame, path: str, key: str, folders: bool = False) -> None:
     """Appends the rows whose key is not there yet: a job that is run again adds nothing.  folders: each key has a folder of its own."""
     spark = df.sparkSession
-    try:
-        done = spark.read.parquet(path).select(key)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        done = df.select(key).limit(0)
+    done = spark.read.parquet(path).select(key) if exists(spark, path) else df.select(key).limit(0)
     new = df.join(done.distinct() if folders else done, key, "left_anti").write.mode("append")
     (new.partitionBy(key) if folders else new).parquet(path)
 
@@ -94,30 +91,27 @@ def rewrite_lines(df: DataFrame, path: str, line: str = "line") -> None:
 
 
 def is_ready(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.schema("ready boolean").parquet(f"{path}/ready").schema  # the path is looked up, nothing is read
-        return True
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return False
+    return bool(told(spark, f"{path}/ready"))
 
 
 def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame] | None = None, wait: float = 0.0) -> DataFrame:
     """The table at path: built once, and marked ready only after its last row was committed.
 
-    The one job that builds gives ``build``; others leave it out and wait up to so many seconds for the mark.
+    Whoever gives ``build`` builds into a folder of their own; of several at once the first to end sets the mark, which names its
+    folder, and the others throw theirs away.  Those who leave it out wait up to so many seconds for the mark.
     """
     until = time.monotonic() + wait
     while not is_ready(spark, path):
         if build is not None:
-            build().write.mode("overwrite").parquet(f"{path}/data")
-            spark.range(1).select(F.lit(True).alias("ready")).write.mode("overwrite").parquet(f"{path}/ready")
+            folder = f"data-{uuid.uuid4().hex}"
+            build().write.parquet(f"{path}/{folder}")
+            if not claim(spark, f"{path}/ready", folder):
+                discard(spark, f"{path}/{folder}")
         elif time.monotonic() >= until:
             raise TimeoutError(f"{path} is not ready")
         else:
             time.sleep(0.2)
-    return spark.read.parquet(f"{path}/data")
+    return spark.read.parquet(f"{path}/{told(spark, f'{path}/ready')}")
 
 
 def write_predictions(df: DataFrame, path: str) -> None:

@@ -14,17 +14,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ranking import ranked
+from ..operators.ranking import numbered
+from ..sources.scratch import exists
 
 LEDGER = "batch long, file string, row long, upto long"
 
 
-def _there(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 @dataclass
 class RowReader:
     """source: Parquet files, read in the order of their paths; state: a folder of this reader alone; rows: of a batch."""
@@ -41,16 +36,15 @@ class RowReader:
     def files(self) -> DataFrame:
         """(file, rows, before): counted once, when the first batch begins; files that come later are for another list."""
         path = f"{self.state}/files"
-        if not _there(self.spark, f"{path}/_SUCCESS"):
+        if not exists(self.spark, f"{path}/_SUCCESS"):
             counted = self.spark.read.parquet(self.source).select(F.col("_metadata.file_path").alias("file")).groupBy("file").agg(F.count("*").alias("rows"))
-            # files that fill a folder each are one coarse key, so their listing is one task: a row for each file
-            placed = ranked(counted, [], F.regexp_extract("file", "^(.*)/", 1), ["file"], "before", F.col("rows"))
+            placed = numbered(counted, [], ["file"], "before", F.col("rows"))
             placed.select("file", "rows", "before").write.mode("overwrite").parquet(path)
         return self.spark.read.schema("file string, rows long, before long").parquet(path)
 
     def ledger(self) -> DataFrame:
         path = f"{self.state}/ledger"
-        return self.spark.read.schema(LEDGER).parquet(path) if _there(self.spark, path) else self.spark.createDataFrame([], LEDGER)
+        return self.spark.read.schema(LEDGER).parquet(path) if exists(self.spark, path) else self.spark.createDataFrame([], LEDGER)
 
     def position(self) -> tuple[int, int]:
         """(batches done, rows done)."""
