@@ -117,6 +117,14 @@ def test_token_store(spark, docs, tmp_path):
     assert empty.count() == 0
 
 
+def test_workers_keep_one_operators_memory():
+    for remembered in ("shingles", "units", "counts"):
+        mine = {"shingles": near_duplicates.shingles_of, "units": packing.encoder_of, "counts": token_counts.counter_of}
+        near_duplicates.shingles_of(), packing.encoder_of(WORD), token_counts.counter_of(WORD)
+        common.keep_only(remembered)
+        assert {k: f.cache_info().currsize > 0 for k, f in mine.items()} == {k: k == remembered for k in mine}
+
+
 def test_crc_join():
     rng = random.Random(1)
     for _ in range(50):
@@ -601,6 +609,20 @@ def test_rows_without_ids_and_repeated_rows(spark, monkeypatch):
         assert sorted(rows(decontamination.clean_rows(docs_, bench), "doc_id", "text"), key=repr) == want
 
 
+def test_stages_of_empty_tables(spark, docs):
+    """Every stage of the pipeline takes a table without rows, and one of null and empty texts only."""
+    import corpus_pipeline as C
+
+    odd = spark.createDataFrame([(1, None), (2, ""), (None, None)], "doc_id long, text string")
+    odd = docs.limit(0).unionByName(odd, allowMissingColumns=True)
+    for table in (docs.limit(0), odd):
+        for name, stage in C.STAGES:
+            found = stage(spark, table, DATA)
+            assert found.columns == table.columns or name == "packing"
+            n = found.count()
+            assert n == 0 if table is not odd or name == "quality" else 0 < n <= 3, name
+
+
 def test_bytes_that_are_no_text(spark, docs):
     bad = spark.createDataFrame([(1, b"mail \xff\xfe me@x.org and MIT License. \xc3 " + b"word " * 60)], "doc_id long, raw binary").select("doc_id", F.col("raw").cast("string").alias("text"))
     assert token_counts.token_counts(bad, WORD).first().n_tokens == len(ids_of(WORD, bad.select(F.make_valid_utf8("text")).first()[0]))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -71,3 +72,15 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 500, column: int | Non
             if end > at:
                 yield batch.slice(at, end - at)
             at = end
+
+
+#: What operators remember in a Python worker from one task to the next: module and cached function, by owner.
+REMEMBERED = {"units": ("encoders", "encoder"), "counts": ("token_counts", "counter_of"), "shingles": ("near_duplicates", "shingles_of")}
+
+
+def keep_only(owner: str) -> None:
+    """Forgets what other operators have left in this worker, as workers outlive the jobs that they first ran for."""
+    for name, (module, cached) in REMEMBERED.items():
+        loaded = sys.modules.get(f"{__package__}.{module}")
+        if name != owner and loaded is not None:
+            getattr(loaded, cached).cache_clear()

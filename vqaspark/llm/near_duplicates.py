@@ -138,6 +138,7 @@ def sketches(df: DataFrame) -> DataFrame:
     """(doc_id, text_key, cid, n, registers): cid is the class's digest, null for an empty set; a task sends a class's registers once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.keep_only("shingles")
         shingle, seen = shingles_of(), set()
         for b in common.slices(batches, 200):
             cids, sizes, regs, block, held = [], [], [None] * b.num_rows, [], 0
@@ -187,6 +188,7 @@ def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
         chosen = docs.select("key", "text", slot.alias("slot"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.keep_only("shingles")
         shingle = shingles_of()
         for b in common.slices(batches):
             if wanted is not None:

@@ -197,7 +197,8 @@ def find_personal_data(df: DataFrame, model: SpanModel | None = None, id_col: st
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_more) for every row.
 
     Spans are kind:start:end in code points, end exclusive.  A null or empty text has none; a null id stays null; repeated
-    rows give repeated results; further columns are not read; an empty table gives an empty result.
+    rows give repeated results; further columns are not read; an empty table gives an empty result; bytes that are no UTF-8 count
+    as U+FFFD, in places too.
     """
     model = model or fit(df, id_col, text_col)
     name = lambda s: F.concat(F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1), F.lit(":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))
@@ -213,7 +214,10 @@ def find_personal_data(df: DataFrame, model: SpanModel | None = None, id_col: st
 
 
 def masked(df: DataFrame, model: SpanModel | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with each span of its texts replaced by [KIND]; overlapping spans become one.  A null text stays null; n_chars, if there, follows."""
+    """df with each span of its texts replaced by [KIND]; overlapping spans become one.  A null text stays null; n_chars, if there, follows.
+
+    All columns stay, in their order; repeated rows and rows without an id are treated each; an empty table stays empty.
+    """
     model = model or fit(df, id_col, text_col)
     text = F.col(text_col)
     ordered = F.array_sort(F.transform(spans(text, model), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))

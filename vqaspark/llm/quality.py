@@ -165,7 +165,7 @@ def quality_rules(df: DataFrame, model: QualityModel, keep: float = KEEP, id_col
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, p_good) for every row.
 
     A null text counts as empty and so fails the base rules; a null id stays null; repeated rows give repeated results;
-    further columns are not read; an empty table gives an empty result.
+    further columns are not read; an empty table gives an empty result; bytes that are no UTF-8 count as U+FFFD.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -194,7 +194,7 @@ def find_secrets(df: DataFrame, share: float = FALSE_SHARE, id_col: str = "doc_i
     Spans are kind:start:end in code points, end exclusive; random ones are added where they meet no base span, and of
     overlapping ones the longest.  The first pass is written to the shared folder; two histograms of a fixed number of bins
     reach the driver.  A null or empty text has no span; a null id stays null; repeated rows give repeated results; further
-    columns are not read.
+    columns are not read; an empty table gives an empty result; bytes that are no UTF-8 count as U+FFFD, in places too.
     """
     found = common.staged(scanned(common.texts(df, id_col, text_col)), "secrets")
     null_counts = {r.bin: r.n for r in found.select(F.explode("language").alias("bin")).groupBy("bin").agg(F.count("*").alias("n")).collect()}

@@ -161,7 +161,8 @@ def token_counts(df: DataFrame, vocabulary: str, limit: int = 2048, id_col: str
     """(doc_id, n_bytes, n_tokens, over_limit) for every row; a null text counts as empty (0 bytes, 0 tokens).
 
     One narrow stage: repeated rows give repeated results, a null id stays null, further columns are not read, an empty
-    table gives an empty result.  Memory is bounded by the unit cache and one slice of rows.
+    table gives an empty result; bytes that are no UTF-8 count as U+FFFD, in n_bytes too.  Memory is bounded by the unit cache
+    and one slice of rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
