@@ -15,7 +15,7 @@ from vqaspark.llm.queries import WORD_VOCABULARY
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text the quality rules keep; a null or empty text goes."""
+    """Rows whose text the quality rules keep, each judged by itself; a null or empty text goes, an empty table stays empty."""
     return quality.kept_rows(docs, quality.fit_on(spark, sf_dir))
 
 
@@ -25,17 +25,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without a passage of the benchmark; each row is judged by its own text."""
+    """Rows without a passage of the benchmark; each row is judged by its own text, a null one is clean, an empty table stays empty."""
     return decontamination.clean_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with each span of personal data replaced by its kind in brackets; n_chars follows, a null text stays null."""
+    """Texts with each span of personal data replaced by its kind in brackets; n_chars follows, a null text stays null, repeated rows are treated each."""
     return personal_data.masked(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences, which cover every id of every row once."""
+    """The pieces of the packed sequences, which cover every id of every row once; repeated rows and rows without an id have pieces of their own."""
     return packing.pack(docs, WORD_VOCABULARY)
 
 
