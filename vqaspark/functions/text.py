@@ -74,6 +74,7 @@ def targets(turns: Column, sep: str = "###") -> Column:
 def alpaca_prompt(instruction: Column, context: Column) -> Column:
     """The instruction prompt; a blank context counts as none."""
     none = context.isNull() | (strip(context) == "")
+    # the prompt's texts (fixed values)
     lead = "Below is an instruction that describes a task{}. Write a response that appropriately completes the request.\n\n### Instruction:\n"
     plain = F.concat(F.lit(lead.format("")), instruction, F.lit("\n\n### Response:"))
     full = F.concat(F.lit(lead.format(", paired with an input that provides further context")), instruction, F.lit("\n\n### Input:\n"), context, F.lit("\n\n### Response:"))
@@ -82,6 +83,7 @@ def alpaca_prompt(instruction: Column, context: Column) -> Column:
 
 def prompt(kind: str, instruction: Column, context: Column | None = None) -> Column:
     """A prompt by kind: alpaca, shortqa, qg (a question for an answer), caption (nothing) or plain (the instruction itself)."""
+    # the prompts' texts (fixed values)
     if kind == "shortqa":
         lead = "Below is an instruction that describes a task. Write a response that appropriately completes the request using a single word or phrase.\n\n### Instruction:\n"
         return F.concat(F.lit(lead), instruction, F.lit("\n\n### Response:"))
