@@ -157,3 +157,21 @@ def test_hulls_keep_few_points(spark):
     assert kept.count() < 300
     pts = np.array(df.select("x", "y").collect())
     assert np.allclose(np.sort(clouds.hull(np.array(kept.select("x", "y").collect())), 0), np.sort(clouds.hull(pts), 0))
+
+
+def test_runs_are_merged(spark):
+    """Runs that repeat, overlap, touch or lie apart, against their pixels; the query explodes no pixel."""
+    rnd = random.Random(5)
+    rows = [(m, rnd.randrange(12), a, a + rnd.randrange(6)) for m in range(6) for a in (rnd.randrange(40) for _ in range(60))] * 2 + [(1, None, 2, 3), (2, 5, 9, 8)]
+    df = spark.createDataFrame(rows, "mask int, y int, a int, b int").repartition(3)
+    pixels = df.where("a <= b").selectExpr("mask", "y", "explode(sequence(a, b)) AS x")
+    key = lambda d: sorted(map(tuple, d.collect()))
+    merged = masks.merged_runs(df, "mask", "y", "a", "b")
+    assert key(merged) == key(masks.spans(pixels, "mask", "y", "x"))
+    assert key(masks.span_rectangles(merged, "mask")) == key(masks.mask_rectangles(pixels, "mask"))
+    for seed in range(60):
+        found = spans_of(drawn(seed))
+        again = np.concatenate([found, found[::2], found[1::3]])
+        assert masks.joined(again).tolist() == found.tolist()
+        parts = masks.pieces(found)
+        assert masks.largest(parts).tolist() == max(parts, key=lambda p: masks.contour_area(masks.contour(p))).tolist()

@@ -41,14 +41,15 @@ def hull(p: np.ndarray) -> np.ndarray:
         return p
 
     def chain(points):
-        out: list[np.ndarray] = []
+        out: list[list[float]] = []
         for q in points:
             while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]) <= 0:
                 out.pop()
             out.append(q)
         return out[:-1]
 
-    return np.array(chain(p) + chain(p[::-1]))
+    rows = p.tolist()  # plain numbers: indexing an array costs more than the arithmetic
+    return np.array(chain(rows) + chain(rows[::-1]))
 
 
 def min_rectangle(p: np.ndarray) -> tuple[float, float, float, float, float]:
@@ -59,8 +60,10 @@ def min_rectangle(p: np.ndarray) -> tuple[float, float, float, float, float]:
         return (*((lo + hi) / 2), *(hi - lo), 0.0)
     edges = np.diff(np.vstack([h, h[:1]]), axis=0)
     angles = np.unique(np.mod(np.arctan2(edges[:, 1], edges[:, 0]), np.pi / 2))
+    c, s = np.cos(angles)[:, None], np.sin(angles)[:, None]
+    areas = np.ptp(c * h[:, 0] + s * h[:, 1], axis=1) * np.ptp(c * h[:, 1] - s * h[:, 0], axis=1)
     best = None
-    for a in angles:
+    for a in angles[areas <= areas.min() * (1 + 1e-9) + 1e-9]:  # the rest are greater by more than rounding
         turn = np.array([[np.cos(a), np.sin(a)], [-np.sin(a), np.cos(a)]])
         q = h @ turn.T
         lo, hi = q.min(0), q.max(0)

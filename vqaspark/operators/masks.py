@@ -1,11 +1,13 @@
 """Rectangles around the contours of masks.
 
-A mask comes as rows of pixels, (mask, y, x).  Pixels of a row that follow each other become spans by a window over that row, so
-only spans, a few for each row of an image, meet in one group; the group is one image's mask and bounded by the image's height.
+A mask comes as rows of pixels, (mask, y, x), or of runs of them, (mask, y, first, last).  Either become spans by a window over
+that row of the image, so only spans, a few for each row, meet in one place: one image's mask, bounded by the image's height.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -24,6 +26,15 @@ def spans(pixels: DataFrame, mask: str, y: str, x: str) -> DataFrame:
     return rows.withColumn("_gap", gap).groupBy(mask, y, "_gap").agg(F.min(x).alias("first"), F.max(x).alias("last")).select(mask, F.col(y).alias("y"), "first", "last")
 
 
+def merged_runs(runs: DataFrame, mask: str, y: str, first: str, last: str) -> DataFrame:
+    """(mask, y, first, last): the same of runs of pixels, which may repeat, overlap or touch."""
+    rows = runs.select(mask, F.col(y).alias("y"), F.col(first).alias("first"), F.col(last).alias("last")).dropna().where("first <= last")
+    row = Window.partitionBy(mask, "y").orderBy("first")
+    begins = F.col("first") > F.max("last").over(row.rowsBetween(Window.unboundedPreceding, -1)) + 1
+    rows = rows.withColumn("_begins", F.when(begins, 1).otherwise(0)).withColumn("_span", F.sum("_begins").over(row.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy(mask, "y", "_span").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_span")
+
+
 def line_pixels(a: tuple[int, int], b: tuple[int, int]) -> list[tuple[int, int]]:
     """The pixels (y, x) of a straight line, one for each step along its longer side, halves away from the start."""
     n = max(abs(b[0] - a[0]), abs(b[1] - a[1]))
@@ -41,9 +52,18 @@ def bridged(found: np.ndarray) -> np.ndarray:
     return np.concatenate([found, np.array([(int(r), int(c), int(c)) for r, c in lines])])
 
 
+def joined(found: np.ndarray) -> np.ndarray:
+    """Spans in order, those of a row that overlap or touch as one."""
+    found = found[np.lexsort((found[:, 1], found[:, 0]))]
+    y, first, last = found.T
+    at = (y - y[0]) * (int(last.max() - first.min()) + 2)  # every row on a stretch of its own
+    begin = np.flatnonzero(np.append(True, (first + at)[1:] > np.maximum.accumulate(last + at)[:-1] + 1))
+    return np.column_stack([y[begin], first[begin], np.maximum.reduceat(last, begin)])
+
+
 def pieces(found: np.ndarray) -> list[np.ndarray]:
     """Spans by connected piece; pixels touch along sides and corners."""
-    found = found[np.lexsort((found[:, 1], found[:, 0]))]
+    found = joined(found)
     owner = list(range(len(found)))
 
     def top(i: int) -> int:
@@ -53,17 +73,15 @@ def pieces(found: np.ndarray) -> list[np.ndarray]:
         return i
 
     rows = found.tolist()
-    begin = {}
-    for i, (y, _, _) in enumerate(rows):
-        begin.setdefault(y, i)
+    above = 0  # the first span of the row above that may touch this one
     for i, (y, first, last) in enumerate(rows):
-        for row in (y, y - 1):  # added lines may lie over spans of their own row
-            j = begin.get(row, i)
-            while j < len(rows) and rows[j][0] == row and rows[j][1] <= last + 1:
-                if j != i and rows[j][2] >= first - 1:
-                    a, b = top(i), top(j)
-                    owner[max(a, b)] = min(a, b)
-                j += 1
+        while above < i and (rows[above][0] < y - 1 or rows[above][0] == y - 1 and rows[above][2] < first - 1):
+            above += 1
+        j = above
+        while rows[j][0] == y - 1 and rows[j][1] <= last + 1:
+            a, b = top(i), top(j)
+            owner[max(a, b)] = min(a, b)
+            j += 1
     tops = np.array([top(i) for i in range(len(rows))])
     return [found[tops == t] for t in np.unique(tops)]
 
@@ -98,19 +116,45 @@ def contour_area(points: list[tuple[int, int]]) -> float:
     return abs(float(x @ np.roll(y, -1) - y @ np.roll(x, -1))) / 2
 
 
+def largest(parts: list[np.ndarray]) -> np.ndarray:
+    """The piece whose contour has the greatest area, the uppermost of equals; one whose box is smaller than an area found is not traced."""
+    boxes = [int(np.ptp(p[:, 0])) * int(p[:, 2].max() - p[:, 1].min()) for p in parts]
+    best, area = 0, -1.0
+    for i in sorted(range(len(parts)), key=lambda i: -boxes[i]) if len(parts) > 1 else ():
+        if boxes[i] < area:
+            break
+        own = contour_area(contour(parts[i]))
+        if own > area or own == area and i < best:
+            best, area = i, own
+    return parts[best]
+
+
 def mask_rectangle(found: np.ndarray) -> tuple[float, float, float, float, float]:
-    """cx, cy, w, h, angle in degrees of the least rectangle around the contour with the greatest area, lines between far pixels added."""
-    contours = [contour(p) for p in pieces(bridged(found))]
-    largest = max(contours, key=contour_area)  # the uppermost of equals
-    return min_rectangle(np.array([(x, y) for y, x in largest], float))
+    """cx, cy, w, h, angle in degrees of the least rectangle around the contour with the greatest area, lines between far pixels added.
 
+    The contour's hull is that of the ends of its piece's spans.
+    """
+    piece = largest(pieces(bridged(found)))
+    row = np.flatnonzero(np.append(True, np.diff(piece[:, 0]) > 0))
+    y = piece[row, 0]
+    ends = [np.minimum.reduceat(piece[:, 1], row), y], [np.maximum.reduceat(piece[:, 2], row), y]
+    return min_rectangle(np.concatenate([np.column_stack(e) for e in ends]).astype(float))
 
-def mask_rectangles(pixels: DataFrame, mask: str, y: str = "y", x: str = "x") -> DataFrame:
-    """(mask, cx, cy, w, h, angle) of each mask that has a pixel; rows with a null take no part."""
-    kind = dict(pixels.dtypes)[mask]
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(rows[mask].iloc[0], *mask_rectangle(rows[["y", "first", "last"]].to_numpy(np.int64)))], columns=[mask, "cx", "cy", "w", "h", "angle"])
+def span_rectangles(found: DataFrame, mask: str) -> DataFrame:
+    """(mask, cx, cy, w, h, angle) of each mask, given as spans (mask, y, first, last)."""
+    kind = dict(found.dtypes)[mask]
+    each = F.array(*(F.col(c).cast("long") for c in ("y", "first", "last")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            boxes = np.array([mask_rectangle(np.asarray(s).reshape(-1, 3)) for s in b["_spans"]], float).reshape(-1, 5)
+            yield pd.DataFrame({mask: b[mask]} | {c: boxes[:, k] for k, c in enumerate(("cx", "cy", "w", "h", "angle"))})
 
-    found = spans(pixels, mask, y, x)
-    return found.groupBy(mask).applyInPandas(one, f"`{mask}` {kind}, cx double, cy double, w double, h double, angle double")
+    whole = found.groupBy(mask).agg(F.flatten(F.collect_list(each)).alias("_spans"))
+    return whole.mapInPandas(run, f"`{mask}` {kind}, cx double, cy double, w double, h double, angle double")
+
+
+def mask_rectangles(pixels: DataFrame, mask: str, y: str = "y", x: str = "x") -> DataFrame:
+    """(mask, cx, cy, w, h, angle) of each mask that has a pixel; rows with a null take no part."""
+    return span_rectangles(spans(pixels, mask, y, x), mask)
