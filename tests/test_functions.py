@@ -130,3 +130,28 @@ def test_unit_sphere(spark):
     df = spark.createDataFrame([("a", 0.0, 0.0), ("a", 4.0, 0.0), ("b", 7.0, 7.0)], "g string, x double, y double")
     got = sorted((r.g, r.x, r.y) for r in clouds.unit_sphere(df, "g", ["x", "y"]).collect())
     assert got == [("a", -1.0, 0.0), ("a", 1.0, 0.0), ("b", 0.0, 0.0)]
+
+
+def test_thousandths_are_those_of_floats(spark, tmp_path):
+    """Floats whose product with a thousand is half a whole number as a float, but less as a double: every query on vectors agrees with its SQL."""
+    import duckdb
+
+    from vqaspark.plans import catalog
+    from vqaspark.plans.registry import table, thousandths
+
+    near = np.arange(0.3185, 0.4485, 0.001).astype(np.float32)
+    near = np.unique(np.concatenate([np.nextafter(near, np.float32(s)) for s in (0, 1)] + [near]))
+    split = [float(v) for v in near if float(v * np.float32(1000)) % 1 == 0.5 and float(v) * 1000 % 1 < 0.5]
+    assert len(split) > 20
+    rnd = np.random.default_rng(3)
+    vectors = [[float(v) for v in np.where(rnd.random(64) < 0.5, rnd.choice(split, 64) * rnd.choice([-1, 1], 64), rnd.normal(0, 0.2, 64)).astype(np.float32)] for _ in range(48)]
+    spark.createDataFrame([(i, v, i % 3) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    table(spark, "/root/testdata/sf0.001", "conversations").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert [r.v for r in spark.createDataFrame([(float(v),) for v in split], "x float").select(thousandths(F.col("x")).alias("v")).collect()] == [int(np.floor(np.float64(np.float32(v) * np.float32(1000)) + 0.5)) for v in split]
+    duck = duckdb.connect()
+    for t in ("embeddings", "conversations"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("cloud_colour", "cloud_normalize", "cloud_records", "column_pick", "delta_apply", "delta_extract", "grid_values", "joint_ends", "joint_frame", "knn_small", "ply_roundtrip", "npy_roundtrip", "topp_filter", "softmax_temp", "shard_merge"):
+        df, found = catalog.QUERIES[name](spark, str(tmp_path)), duck.execute(catalog.ORACLES[name])
+        at = [df.columns.index(c[0]) for c in found.description]
+        assert sorted(tuple(r[i] for i in at) for r in df.collect()) == sorted(found.fetchall()), name

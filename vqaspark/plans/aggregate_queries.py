@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.trees import depths
 from ..operators.windows import rolling
-from .registry import query, table
+from .registry import query, table, thousandths
 
 
 @query("SELECT c_nationkey, string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey) AS ids FROM customer GROUP BY c_nationkey")
@@ -47,7 +47,7 @@ POINTS = "WITH p AS (SELECT label, vec_id, i, CAST(round(embedding[3 * i + 1] *
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(label, vec_id, i, x, y, z): vectors cut into points in thousandths; a label is a cloud."""
     e = table(spark, sf_dir, "embeddings").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(20))))
-    return e.select("label", "vec_id", "i", *(F.round(F.get("embedding", 3 * F.col("i") + k) * 1000).cast("long").alias(c) for k, c in enumerate("xyz")))
+    return e.select("label", "vec_id", "i", *(thousandths(F.get("embedding", 3 * F.col("i") + k)).alias(c) for k, c in enumerate("xyz")))
 
 
 @query(POINTS + " SELECT label, (min(x) + max(x)) / 2 AS cx, (min(y) + max(y)) / 2 AS cy, (min(z) + max(z)) / 2 AS cz, max(x) - min(x) AS ex, max(y) - min(y) AS ey, max(z) - min(z) AS ez FROM p GROUP BY label")

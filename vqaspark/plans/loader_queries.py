@@ -10,7 +10,7 @@ from ..operators.batches import padded
 from ..operators.packing import cut_stream, packed_rows
 from ..operators.ranking import by_number, even_shard, exact_sample, numbered, ranked, shuffled
 from ..operators.windows import carried
-from .registry import query, table
+from .registry import query, table, thousandths
 
 LENGTH, BOS, EOS = 2048, 1, 2
 
@@ -204,7 +204,7 @@ SCORES = "WITH e AS (SELECT vec_id, i - 1 AS i, CAST(round(embedding[i] * 1000)
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vec_id, i, s): the elements of each vector in thousandths."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x"))
-    return e.select("vec_id", F.col("i").cast("long").alias("i"), F.round(F.col("x") * 1000).cast("long").alias("s"))
+    return e.select("vec_id", F.col("i").cast("long").alias("i"), thousandths(F.col("x")).alias("s"))
 
 
 @query(SCORES + " SELECT vec_id, i, CAST(round(exp(s / 700.0) / sum(exp(s / 700.0)) OVER (PARTITION BY vec_id) * 1e6) AS BIGINT) AS p FROM e")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,5 +23,11 @@ def query(sql: str | None = None):
     return register
 
 
+def thousandths(x: Column) -> Column:
+    """Floats in whole thousandths.  The product is a float like its factor, as in the SQL: Spark's float by an integer is a double,
+    and lies below a half where the float lies on it."""
+    return F.round(x * F.lit(1000).cast("float")).cast("long")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
