@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from vqaspark.operators import grounding
 from vqaspark.operators.grounding import drawn, grounded_actions, grounded_tasks
 from vqaspark.operators.payloads import with_payloads
 
@@ -55,3 +56,21 @@ def test_drawn_tasks_with_one_retry(spark):
         box = "[later]" if i == 9 else f"[{i}]"
         assert got.get(i) == (good and (f"do {good[1]}", f"<rb>open</rb>{box}"))
     assert 41 not in got and 20 < len(got) < 40
+
+
+@pytest.mark.parametrize("block", [4, 1024])
+def test_draws_by_blocks(spark, block, monkeypatch):
+    """Draws of blocks of images among blocks of tasks, texts of every length among them, against hashlib; no row for a pair."""
+    import hashlib
+
+    monkeypatch.setattr(grounding, "BLOCK", block)
+    images = [f"{'i' * (k % 45)}{k}" for k in range(90)] + ["é", ""]
+    tasks = [f"{'t' * (k % 50)}{k}" for k in range(60)] + ["ß:x", ""]
+    told = lambda seed, i, t: hashlib.md5(f"{seed}:{i}:{t}".encode()).hexdigest() + t
+    want = {(i, *(min(told(seed, i, t) for t in tasks) for seed in (1, 2))) for i in images}
+    assert [(i, a, b) for i, a, b in zip(images, grounding.least_draws(1, images, tasks), grounding.least_draws(2, images, tasks), strict=True) if (i, a, b) not in want] == []
+    own = spark.createDataFrame([(i, "k") for i in images] + [("alone", "none")], "image string, class string")
+    found = grounding.least_tasks(own, spark.createDataFrame([("k", t) for t in tasks], "class string, task string"), ["class"], "image")
+    assert {tuple(r) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate [image") < plan.index("MapInArrow") < plan.index("Join Inner, (class")
