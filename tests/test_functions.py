@@ -155,3 +155,28 @@ def test_thousandths_are_those_of_floats(spark, tmp_path):
         df, found = catalog.QUERIES[name](spark, str(tmp_path)), duck.execute(catalog.ORACLES[name])
         at = [df.columns.index(c[0]) for c in found.description]
         assert sorted(tuple(r[i] for i in at) for r in df.collect()) == sorted(found.fetchall()), name
+
+
+def test_ids_of_a_batch_are_four_bytes_each(spark):
+    from vqaspark.functions import tokenizer
+
+    held = tokenizer.numbers(tokenizer.word_numbers()("a b a"), [1], [2])
+    assert held.dtype == np.int32 and held.nbytes == 20 and held[0] == 1 and held[-1] == 2 and held[1] == held[3]
+    df = spark.createDataFrame([(0, "a b a"), (1, ""), (2, None)], "i int, text string")
+    got = {r.i: r.t for r in df.select("i", tokenizer.encoded(F.col("text"), tokenizer.word_numbers, 1, 2).alias("t")).collect()}
+    assert got == {0: held.tolist(), 1: [1, 2], 2: None}
+
+
+def test_parents_without_a_join(spark, tmp_path):
+    """Repeated, lacking and null numbers and orders, against the SQL."""
+    import duckdb
+
+    from vqaspark.plans import catalog
+
+    rows = [(k % 7, k * k % 23) for k in range(90)] + [(1, None), (None, 1), (None, 2), (None, None), (8, 5), (8, 0), (9, 3), (9, 1), (9, 1)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = catalog.QUERIES["parent_self_join"](spark, str(tmp_path))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert sorted(map(tuple, df.collect()), key=repr) == sorted(duck.execute(catalog.ORACLES["parent_self_join"]).fetchall(), key=repr)
+    assert df.schema["parent"].dataType.typeName() == "integer" and "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
