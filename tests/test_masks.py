@@ -175,3 +175,18 @@ def test_runs_are_merged(spark):
         assert masks.joined(again).tolist() == found.tolist()
         parts = masks.pieces(found)
         assert masks.largest(parts).tolist() == max(parts, key=lambda p: masks.contour_area(masks.contour(p))).tolist()
+
+
+def test_many_small_clouds_leave_together(spark):
+    """Hulls and rectangles of many clouds come in few tables, not one for each cloud, and are those of the clouds alone."""
+    rnd = np.random.default_rng(2)
+    p = {f"c{g}": rnd.normal(0, 5, (12, 2)) * (1, 3) for g in range(200)}
+    df = spark.createDataFrame([(g, float(a), float(b), float(k)) for g, q in p.items() for k, (a, b) in enumerate(q)], "g string, x double, y double, z double").repartition(2)
+    boxes = clouds.oriented_boxes(df, "g", "x", "y", "z")
+    assert "InPandas" in (plan := boxes._jdf.queryExecution().optimizedPlan().toString()) and "FlatMapGroupsInPandas" not in plan
+    got = {r.g: r for r in boxes.collect()}
+    assert set(got) == set(p) and all(r.zmax == 11 for r in got.values())
+    for g, q in p.items():
+        want = clouds.min_rectangle(q)
+        if got[g].angle:  # those that are nearly square keep their axes
+            assert np.allclose([got[g][k] for k in ("cx", "cy", "w", "h", "angle")], want)

@@ -85,13 +85,16 @@ def hulls(df: DataFrame, group: str, x: str, y: str, held: int = 1 << 16) -> Dat
         waiting = 0
 
         def left() -> Iterator[pd.DataFrame]:
-            for g, parts in kept.items():
-                p = hull(np.concatenate(parts))
-                yield pd.DataFrame({group: [g] * len(p), x: p[:, 0], y: p[:, 1]})
+            found = [hull(np.concatenate(parts)) for parts in kept.values()]
+            if found:  # in one table: a group has few points
+                p = np.concatenate(found)
+                yield pd.DataFrame({group: pd.Series(list(kept)).repeat([len(f) for f in found]).to_numpy(), x: p[:, 0], y: p[:, 1]})
 
         for b in batches:
-            for g, part in b.groupby(group, sort=False, dropna=False):
-                part = part[[x, y]].to_numpy(float)
+            codes, names = pd.factorize(b[group], use_na_sentinel=False)
+            rows = np.argsort(codes, kind="stable")
+            cuts = np.flatnonzero(np.diff(codes[rows])) + 1
+            for g, part in zip(names, np.split(b[[x, y]].to_numpy(float)[rows], cuts)):
                 kept.setdefault(g, []).append(hull(part[~np.isnan(part).any(1)]))
                 waiting += len(kept[g][-1])
             if waiting > held:
@@ -118,18 +121,23 @@ def oriented_boxes(df: DataFrame, group: str, x: str, y: str, z: str, square: fl
     shares = hulls(rows, group, x, y).withColumn("_deal", F.pmod(F.xxhash64(x, y), F.lit(16)))
     merged = hulls(shares.repartition(group, "_deal"), group, x, y)
 
-    def one(found: pd.DataFrame) -> pd.DataFrame:
-        p, first = found[[x, y]].to_numpy(float), found.iloc[0]
-        cx, cy, w, h, angle = min_rectangle(p)
-        lo, hi = (np.array([first[f"_{n}_{c}"] for c in (x, y)]) for n in ("lo", "hi"))
+    def one(flat: np.ndarray, n: int, lo: np.ndarray, hi: np.ndarray) -> tuple[float, ...]:
+        cx, cy, w, h, angle = min_rectangle(np.asarray(flat).reshape(-1, 2))
         long, short = max(w, h), min(w, h)
         round_ = long - short < square * short and abs(max(hi - lo) - long) < square * long and abs(min(hi - lo) - short) < square * short
-        if first["_n"] < least or round_:
+        if n < least or round_:
             (cx, cy), (w, h), angle = (lo + hi) / 2, hi - lo, 0.0
-        return pd.DataFrame([(first[group], cx, cy, w, h, angle, first[f"_lo_{z}"], first[f"_hi_{z}"])], columns=[group, "cx", "cy", "w", "h", "angle", "zmin", "zmax"])
+        return cx, cy, w, h, angle
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            los, his = (b[[f"_{n}_{c}" for c in (x, y)]].to_numpy(float) for n in ("lo", "hi"))
+            boxes = np.array([one(*told) for told in zip(b["_hull"], b["_n"], los, his, strict=True)], float).reshape(-1, 5)
+            yield pd.DataFrame({group: b[group]} | {c: boxes[:, k] for k, c in enumerate(("cx", "cy", "w", "h", "angle"))} | {"zmin": b[f"_lo_{z}"], "zmax": b[f"_hi_{z}"]})
 
     kind = dict(df.dtypes)[group]
-    return merged.join(ranges, group).groupBy(group).applyInPandas(one, f"`{group}` {kind}, cx double, cy double, w double, h double, angle double, zmin double, zmax double")
+    whole = merged.groupBy(group).agg(F.flatten(F.collect_list(F.array(x, y))).alias("_hull")).join(ranges, group)
+    return whole.mapInPandas(run, f"`{group}` {kind}, cx double, cy double, w double, h double, angle double, zmin double, zmax double")
 
 
 def unit_sphere(df: DataFrame, group: str, coordinates: list[str]) -> DataFrame:
