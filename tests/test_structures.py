@@ -97,3 +97,31 @@ def test_shards(spark):
     for bad, message in ((("emb", 9, [1]), "not in the base: emb"), (("emb", 0, [1]), "other lengths: emb")):
         with pytest.raises(Exception, match=message):
             add_tables(whole, spark.createDataFrame([bad], "key string, row long, values array<int>")).collect()
+
+
+def test_overlap_terms_and_halves_as_the_sql_sums_them(spark, tmp_path):
+    """The rows lie within the other box with shares of an exact half of a ten-thousandth, or are cut by it, apart from it, or repeated."""
+    import duckdb
+
+    from vqaspark.plans import catalog
+
+    inside = [(10618, 6, 1854, 32), (20189, 3, 5417, 920), (26586, 5, 5411, 993), (37434, 6, 17209, 769), (39538, 5, 8297, 405), (41055, 6, 10761, 105), (43402, 3, 5417, 31), (55817, 5, 2947, 992)]
+    rows = [(*r, q) for r in inside for q in (10.0, 13.0, 15.0, 18.0, 26.0, 30.0)] + [(7, 1 + i % 7, i * 37, i * 11, float(1 + i % 50)) for i in range(200)] + [(8, 1, 60, 40, 20.0)] * 2
+    names = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double"
+    df = spark.createDataFrame(rows, names)
+    df.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"SET threads = 1; CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    assert sorted(map(tuple, catalog.QUERIES["rotated_iou"](spark, str(tmp_path)).collect())) == sorted(con.execute(catalog.ORACLES["rotated_iou"]).fetchall())
+
+    rnd = random.Random(11)
+    pairs = [tuple(rnd.uniform(0, 10) if k < 2 else rnd.uniform(0.1, 9) if k < 4 else rnd.uniform(-180, 180) for _ in "ab" for k in range(5)) for _ in range(100)]
+    pairs += [(0.0, 0.0, 2.0, 2.0, 0.0, 1.0, 0.5, 2.0, 2.0, 0.0), (0.0, 0.0, 2.0, 2.0, 90.0, 5.0, 0.0, 2.0, 2.0, 0.0), (5.0, 5.0, 8.0, 8.0, 0.0, 5.0, 5.0, 1.0, 1.0, 0.0)]  # sides along each other's
+    names = [f"{k}{i}" for i in "ab" for k in ("x", "y", "w", "h", "d")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(pairs)], "i int, " + ", ".join(f"{n} double" for n in names))
+    a, b = ([F.col(n) for n in names if n[1] == k] for k in "ab")
+    got = {r.i: r.s for r in P.overlap_terms(df, a, b, "t").groupBy("i").agg(F.sum("t").alias("s")).collect()}
+    for i, r in enumerate(pairs[:100]):
+        both = plain_clip(corners(*r[:5]), corners(*r[5:]))
+        assert math.isclose(got[i], plain_area(both) if len(both) > 2 else 0, abs_tol=1e-9)
+    assert [round(got[i], 9) for i in range(100, 103)] == [1.5, 0, 1]
