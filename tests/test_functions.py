@@ -1,5 +1,7 @@
 """Hand-computed cases of the functions and operators."""
 
+import re
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -180,3 +182,32 @@ def test_parents_without_a_join(spark, tmp_path):
     duck.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     assert sorted(map(tuple, df.collect()), key=repr) == sorted(duck.execute(catalog.ORACLES["parent_self_join"]).fetchall(), key=repr)
     assert df.schema["parent"].dataType.typeName() == "integer" and "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_shown_box(spark):
+    """Against plain code, ragged boxes too."""
+    import random
+
+    from vqaspark.plans.task_queries import shown_box
+
+    def plain(text):
+        corners = [[int(x) if x and int(x) < 1 << 31 else None for x in p.split(",")] for p in re.findall(r"\[([\d,]+)\]", text)]
+        show = lambda p: "[" + ",".join(f"{n // 100}.{n % 100:02d}" for n in p[:3] if n is not None) + "]"
+        return "[" + ",".join(show(p) for p in (corners + [[]] * 8)[:8]) + "]"
+
+    rnd = random.Random(3)
+    number = lambda: rnd.choice(["0", "5", "00", "07", "012", "100", "0005", "00100", "123456789", "000000001", "99"])
+    box = lambda n=8, k=3: ",".join("[" + ",".join(number() for _ in range(k)) + "]" for _ in range(n))
+    texts = [box() for _ in range(50)] + [box(7), box(9), box(8, 2), box(8, 4), box(1, 1), box(7) + ",[1,,2]", box(7) + ",[1,2,99999999999]", box(7) + ",[2147483647,2147483648,0000000012]"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.s for r in df.select("i", shown_box(F.col("t")).alias("s")).collect()}
+    assert got == {i: plain(t) for i, t in enumerate(texts)}
+
+
+def test_second_questions_write_no_column_for_each_number(spark):
+    """The plan named the parsed box at each of its 24 numbers."""
+    from vqaspark.plans.task_queries import second_questions
+
+    df = spark.createDataFrame([(1, "<box>lid</box>[[012,034,100]]")], "image int, answer string")
+    plan = second_questions(df, "answer", ["image"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_cast") <= 2 and plan.count("corners") < 10

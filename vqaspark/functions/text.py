@@ -110,11 +110,19 @@ def tagged_boxes(c: Column) -> Column:
     return F.zip_with(F.regexp_extract_all(c, F.lit(pattern), F.lit(2)), values, lambda n, v: F.struct(n.alias("name"), v.alias("values")))
 
 
+def box_texts(c: Column) -> Column:
+    """array<string> of <box>..</box>[[i,i,i],..]: each box's corners as they stand."""
+    return F.regexp_extract_all(c, F.lit(r"<box>(.*?)</box>\[(\[[\d,]+?\](?:,\[[\d,]+?\])*)\]"), F.lit(2))
+
+
+def corner_numbers(box: Column) -> Column:
+    """array<array<int>> of a box's text: the integers of each corner, those beyond an int null."""
+    return F.transform(F.regexp_extract_all(box, F.lit(r"\[([\d,]+)\]"), F.lit(1)), lambda p: F.transform(F.split(p, ","), lambda x: x.try_cast("int")))
+
+
 def corner_boxes(c: Column) -> Column:
     """array<array<array<double>>> of <box>..</box>[[i,i,i],..]: integers in hundredths."""
-    found = F.regexp_extract_all(c, F.lit(r"<box>(.*?)</box>\[(\[[\d,]+?\](?:,\[[\d,]+?\])*)\]"), F.lit(2))
-    point = lambda p: F.transform(F.split(p, ","), lambda x: x.try_cast("int") / 100)
-    return F.transform(found, lambda b: F.transform(F.regexp_extract_all(b, F.lit(r"\[([\d,]+)\]"), F.lit(1)), point))
+    return F.transform(box_texts(c), lambda b: F.transform(corner_numbers(b), lambda p: F.transform(p, lambda x: x / 100)))
 
 
 def number_lists(c: Column, stride: int = 3) -> Column:

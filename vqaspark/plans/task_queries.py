@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import corner_boxes, format_centi, number_word
+from ..functions.arrays import let
+from ..functions.text import box_texts, corner_boxes, corner_numbers, format_centi, number_word
 from ..operators.grounding import LEAST_ACTIONS, grounded_tasks
 from ..sources import readers
 from ..sources.scratch import scratch
@@ -362,11 +363,18 @@ def task_status_3d_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 SECOND = "Please provide the joint's type and its 3D axis linked to the object part  "
 
 
+def shown_box(text: Column) -> Column:
+    """A box's text in hundredths as eight corners of three numbers with two places; missing ones are left out, further ones dropped."""
+    # corners and numbers pass through lambdas: a column written out for each of the 24 numbers would parse the box for each
+    three = lambda p: F.transform(F.transform(F.array(*map(F.lit, range(3))), lambda k: F.get(p, k)), format_centi)
+    eight = lambda found: F.transform(F.array(*map(F.lit, range(8))), lambda i: F.concat(F.lit("["), let(F.get(found, i), lambda p: F.coalesce(F.array_join(three(p), ","), F.lit(""))), F.lit("]")))
+    return box8(F.array_join(let(corner_numbers(text), eight), ","))
+
+
 def second_questions(df: DataFrame, answer: str, keys: list[str]) -> DataFrame:
     """(keys, box, conversations): a question for each box of eight corners in a first stage's answer, numbered from 0; the answer is open."""
-    boxes = df.select(*keys, F.posexplode(corner_boxes(F.col(answer))).alias("box", "corners"))
-    shown = box8(*[F.concat(F.lit("["), F.concat_ws(",", *(format_centi(F.round(F.get(F.get("corners", F.lit(i)), F.lit(k)) * 100).cast("long")) for k in range(3))), F.lit("]")) for i in range(8)])
-    said = F.to_json(F.array(F.struct(F.lit("human").alias("from"), F.concat(F.lit(SECOND), shown).alias("value")), F.struct(F.lit("gpt").alias("from"), F.lit(None).cast("string").alias("value"))), {"ignoreNullFields": "false"})
+    boxes = df.select(*keys, F.posexplode(box_texts(F.col(answer))).alias("box", "text"))
+    said = F.to_json(F.array(F.struct(F.lit("human").alias("from"), F.concat(F.lit(SECOND), shown_box(F.col("text"))).alias("value")), F.struct(F.lit("gpt").alias("from"), F.lit(None).cast("string").alias("value"))), {"ignoreNullFields": "false"})
     return boxes.select(*keys, "box", said.alias("conversations"))
 
 
