@@ -632,3 +632,18 @@ def test_bytes_that_are_no_text(spark, docs):
     assert tuple(html_text.extract(page).first()) == (1, "u\ufffd", "a \ufffd b", 5)
     model = quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))
     assert quality.kept_rows(bad, model).count() == quality.quality_rules(bad, model).where("kept").count() and personal_data.masked(bad).count() == 1
+
+
+def test_byte_ids_keep_nothing_of_a_batch():
+    """Every unit's ids as the library's, and no unit is remembered."""
+    import random
+    from array import array
+
+    from vqaspark.llm.encoders import CachedEncoder
+    from vqaspark.llm.queries import BYTE_VOCABULARY
+
+    rnd, e = random.Random(5), CachedEncoder(BYTE_VOCABULARY)
+    signs = [*"aBéſ12.'-\n\t¡£_<|>   \\]ªº½Ġ", "'s", "'ll", "word", "🙂"]
+    texts = ["".join(rnd.choice(signs) for _ in range(rnd.randrange(30))) for _ in range(5000)] + ["", "\n", "a b\n", "a \nb", "a \n", " ", "a ", "it's,' 'x"]
+    assert e.encode(texts) == [array("H", e._ids(t)).tobytes() for t in texts]
+    assert e.encode([]) == [] and not e.units and not e.older

@@ -35,6 +35,19 @@ def load(path: str):
 
 #: A word with punctuation after it: two pre-tokens under either vocabulary's rule.
 TAILED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ſ]+)([!-/:-@\[-`{-~]+)")
+LETTER, PUNCTUATION = "[A-Za-zÀ-ÖØ-öø-ſ]", "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Units that go through the byte-level tokenizer in one string.
+GROUP = 600
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of flat that index names, one after the other, and where each ends (from 0)."""
+    lengths = sizes[index]
+    ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    number = np.int32 if ends[-1] < 1 << 31 else np.int64
+    at = np.repeat((starts[index] - ends[:-1]).astype(number), lengths)
+    at += np.arange(ends[-1], dtype=number)
+    return flat[at], ends
 
 
 @functools.cache
@@ -49,11 +62,13 @@ class CachedEncoder:
     def __init__(self, path: str):
         self.tokenizer = load(path)
         self.by_blank = self.tokenizer.normalizer is None  # byte level: the blank belongs to the word after it
+        self.starts_word = np.zeros(65_536, bool)  # ids that begin with a blank: in a joined string, the first of each unit
         self.units: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         if self.tokenizer.get_vocab_size(with_added_tokens=True) > 65_536:
             raise ValueError("ids need more than 16 bits")
+        self.starts_word[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("Ġ")]] = True
         # between units, a sign that is one pre-token with one id and stands in no plain unit
         self.between, self.sign = next((f" {c} ", found[0]) for c in SIGNS if len(found := self._ids(f" {c}")) == 1)
 
@@ -111,6 +126,39 @@ class CachedEncoder:
             found = [next(learned) if f is None else f for f in found]
         return found
 
+    def _byte_ids(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct units with the blank before each: all ids, and where each unit's start and how many they are.
+
+        No object is made for a unit: most units of a batch are new, and looking for them costs more than the library.  Signs
+        after a unit's last letter are pre-tokens of their own and taken off, so that units meet in their words.
+        """
+        core = pc.utf8_rtrim(units, characters=PUNCTUATION)
+        core = pc.if_else(pc.match_substring_regex(core, f"{LETTER}$"), core, units)
+        tailed = pc.not_equal(pc.binary_length(core), pc.binary_length(units))
+        tails = pc.replace_substring_regex(units.filter(tailed), f"(?s)^.*{LETTER}", "").dictionary_encode()
+        coded = core.dictionary_encode()
+        # white space at an end would meet the next unit's blank
+        alone = pc.match_substring_regex(coded.dictionary, r"^$|^\s|\s$")
+        joined = coded.dictionary.filter(pc.invert(alone)).cast(pa.string())
+        groups = pa.ListArray.from_arrays(pa.array([*range(0, len(joined), GROUP), len(joined)], pa.int32()), joined)
+        found = self.tokenizer.encode_batch_fast([" " + g for g in pc.binary_join(groups, pa.scalar(" ")).to_pylist()], add_special_tokens=False)
+        many = np.concatenate([np.zeros(0, "<u2"), *(np.array(e.ids, "<u2") for e in found)])
+        starts = np.flatnonzero(self.starts_word[many])
+        if len(starts) != len(joined):
+            raise ValueError("a unit does not begin with one blank")
+        single = [np.array(self._ids(u), "<u2") for u in [*(" " + u for u in coded.dictionary.filter(alone).to_pylist()), *tails.dictionary.to_pylist(), ""]]
+        flat = np.concatenate([many, *single])
+        sizes = np.concatenate([np.diff(starts, append=len(many)), np.fromiter(map(len, single), np.int64, len(single))])
+        starts = np.cumsum(sizes) - sizes
+        # each unit is its word, and what follows it (by default the last piece, which is empty)
+        mask, place = alone.to_numpy(zero_copy_only=False), np.empty(len(alone), np.int64)
+        place[~mask], place[mask] = np.arange(len(joined)), len(joined) + np.arange(mask.sum())
+        pieces = np.full((len(units), 2), len(sizes) - 1)
+        pieces[:, 0] = place[coded.indices.to_numpy(zero_copy_only=False)]
+        pieces[tailed.to_numpy(zero_copy_only=False), 1] = len(alone) + tails.indices.to_numpy(zero_copy_only=False)
+        ids, ends = gathered(flat, starts, sizes, pieces.ravel())
+        return ids, ends[:-1:2], np.diff(ends[::2])
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.units) > CACHE_UNITS:
             self.units, self.older = {}, self.units
@@ -127,15 +175,14 @@ class CachedEncoder:
             listed = pc.ascii_split_whitespace(pa.array([texts[i].lower() for i in plain], pa.large_string()))
         coded = listed.flatten().dictionary_encode()
         index = coded.indices.to_numpy(zero_copy_only=False)
-        ids = self._look(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) >> 1
-        flat, starts = np.frombuffer(b"".join(ids), "<u2"), np.cumsum(sizes) - sizes
-        lengths = sizes[index]
-        ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-        number = np.int32 if ends[-1] < 1 << 31 else np.int64
-        at = np.repeat((starts[index] - ends[:-1]).astype(number), lengths)
-        at += np.arange(ends[-1], dtype=number)
-        whole = flat[at].tobytes()
+        if self.by_blank:
+            flat, starts, sizes = self._byte_ids(coded.dictionary)
+        else:
+            ids = self._look(coded.dictionary.to_pylist())
+            sizes = np.fromiter(map(len, ids), np.int32, len(ids)) >> 1
+            flat, starts = np.frombuffer(b"".join(ids), "<u2"), np.cumsum(sizes) - sizes
+        ids, ends = gathered(flat, starts, sizes, index)
+        whole = ids.tobytes()
         # a list of no words (null) has no place of its own
         words = pc.fill_null(pc.list_value_length(listed), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         bounds = (2 * ends[np.concatenate([[0], np.cumsum(words)])]).tolist()
