@@ -1,9 +1,10 @@
-"""Token ids by a public vocabulary, remembered by word.
+"""Token ids by a public vocabulary, looked up by word.
 
 A text whose characters all lie in the plain Latin range splits at white space into units that the vocabulary's rules treat
-apart from each other.  A batch's distinct units are found by Arrow's dictionary encoding; each goes through the tokenizer
-once and its ids are looked up from then on, and numpy puts the ids of the texts together.  Any other text (other scripts,
-combining marks, special strings, runs of blanks) goes through the tokenizer whole.
+apart from each other.  A batch's distinct units are found by Arrow's dictionary encoding, each goes through the tokenizer
+once, and numpy puts the ids of the texts together.  Units of letters alone are one pre-token each, so that the library gets
+many in one string and its model does nothing but merge.  Any other text (other scripts, combining marks, special strings,
+runs of blanks) goes through the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -22,8 +23,6 @@ PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-įĲ-ňŊ-ſ]*")
 CACHE_UNITS = 400_000
 #: Rows and bytes of the texts that are encoded together: what a batch shares is looked up once.
 BATCH_TEXTS, BATCH_BYTES = 4000, 8 << 20
-#: Signs outside the plain range, one of which stands between units that go through the tokenizer together.
-SIGNS = "❤✨♥☺♡★☆✔…•→€™–—"
 
 
 def load(path: str):
@@ -33,11 +32,18 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
-#: A word with punctuation after it: two pre-tokens under either vocabulary's rule.
-TAILED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ſ]+)([!-/:-@\[-`{-~]+)")
 LETTER, PUNCTUATION = "[A-Za-zÀ-ÖØ-öø-ſ]", "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Units that go through the byte-level tokenizer in one string.
-GROUP = 600
+#: Words of letters that go through the tokenizer in one string.
+GROUP = 128
+
+
+def byte_signs() -> np.ndarray:
+    """The code point that stands for each byte in byte-level vocabularies: printable signs of Latin-1 for themselves, then from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    table = np.zeros(256, "<u4")
+    table[own] = own
+    table[table == 0] = 256 + np.arange(256 - len(own))
+    return table
 
 
 def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,25 +58,35 @@ def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, index: np.
 
 @functools.cache
 def encoder(path: str) -> CachedEncoder:
-    """One per worker process: what a task has learnt serves the next."""
+    """One per worker process, as a vocabulary takes time to load."""
     return CachedEncoder(path)
 
 
 class CachedEncoder:
     """encode(texts) gives each text's ids as little-endian unsigned 16-bit bytes, as the library without added tokens."""
 
+    #: No unit's ids are remembered from one batch to the next.
+    units = older = ()
+
     def __init__(self, path: str):
         self.tokenizer = load(path)
+        self.merger = type(self.tokenizer)(self.tokenizer.model)  # the same model, for words that need nothing before it
         self.by_blank = self.tokenizer.normalizer is None  # byte level: the blank belongs to the word after it
-        self.starts_word = np.zeros(65_536, bool)  # ids that begin with a blank: in a joined string, the first of each unit
-        self.units: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
-        if self.tokenizer.get_vocab_size(with_added_tokens=True) > 65_536:
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        if len(vocabulary) > 65_536:
             raise ValueError("ids need more than 16 bits")
-        self.starts_word[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("Ġ")]] = True
-        # between units, a sign that is one pre-token with one id and stands in no plain unit
-        self.between, self.sign = next((f" {c} ", found[0]) for c in SIGNS if len(found := self._ids(f" {c}")) == 1)
+        # in a joined string, ids that begin with a blank are the first of each word; or those with the suffix the last
+        self.edge = np.zeros(65_536, bool)
+        self.edge[[i for token, i in vocabulary.items() if (token.startswith("Ġ") if self.by_blank else token.endswith("</w>"))]] = True
+        self.signs = byte_signs()
+        if self.by_blank:
+            # no merge reaches over a blank: a token with one inside also holds a byte C2, which no letter of LETTER has
+            self.joins = not any("Ġ" in token.lstrip("Ġ") and "Â" not in token for token in vocabulary)
+        else:
+            from tokenizers.pre_tokenizers import WhitespaceSplit
+
+            self.joins = self.tokenizer.model.end_of_word_suffix == "</w>"
+            self.merger.pre_tokenizer, self.signs[32] = WhitespaceSplit(), 32
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -80,90 +96,47 @@ class CachedEncoder:
             return False
         return not self.by_blank or not ("  " in text or "\n " in text or "\r " in text or "\t " in text or text[-1:] == " " or text[:1] == " ")
 
-    def _learn(self, units: list[str]) -> None:
-        words = [u for u in units if u.isalpha()]
-        tailed, bare = {}, []
-        for u in units if len(words) < len(units) else ():
-            if not u.isalpha():
-                m = TAILED.fullmatch(u)
-                if m:
-                    tailed[u] = m[1], m[2]
-                else:
-                    bare.append(u)
-        words += {w for w, _ in tailed.values()}.difference(self.units, words)
+    def _word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words of letters, one after the other, and how many each has.  The library's model merges; what it does before is done here for all."""
+        groups = pa.ListArray.from_arrays(pa.array([*range(0, len(words), GROUP), len(words)], pa.int32()), words.cast(pa.string()))
         lead = " " if self.by_blank else ""
-        for u in bare:
-            if u and u.strip() == u:
-                words.append(u)
-            else:  # white space at an end would meet the sign's
-                self.units[u] = array("H", self._ids(lead + u)).tobytes()
-        groups = [words[i : i + 256] for i in range(0, len(words), 256)]
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast([lead + self.between.join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, "<u2")
-            at = (np.flatnonzero(ids == self.sign) << 1).tolist()
-            if len(at) != len(group) - 1:
-                raise ValueError("the sign between units stands in a unit")
-            raw = ids.tobytes()
-            self.units.update(zip(group, map(raw.__getitem__, map(slice, [0, *(x + 2 for x in at)], [*at, len(raw)])), strict=True))
-        for u, (word, tail) in tailed.items():
-            if tail not in self.tails:
-                self.tails[tail] = array("H", self._ids(tail)).tobytes()
-            self.units[u] = self.units[word] + self.tails[tail]
-
-    def _look(self, units: list[str]) -> list[bytes]:
-        """Ids of distinct units.  At the limit the units become the older generation; those met again come back from it."""
-        found = list(map(self.units.get, units))
-        if None in found:
-            new = [u for u, f in zip(units, found, strict=True) if f is None]
-            if self.older:
-                back = list(map(self.older.get, new))
-                self.units.update((u, f) for u, f in zip(new, back, strict=True) if f is not None)
-                new = [u for u, f in zip(new, back, strict=True) if f is None]
-                again = iter(back)
-                found = [next(again) if f is None else f for f in found]
-            self._learn(new)
-            learned = map(self.units.__getitem__, new)
-            found = [next(learned) if f is None else f for f in found]
-        return found
-
-    def _byte_ids(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of distinct units with the blank before each: all ids, and where each unit's start and how many they are.
-
-        No object is made for a unit: most units of a batch are new, and looking for them costs more than the library.  Signs
-        after a unit's last letter are pre-tokens of their own and taken off, so that units meet in their words.
+        strings = [self.signs[np.frombuffer((lead + g).encode(), np.uint8)].tobytes().decode("utf-32-le") for g in pc.binary_join(groups, pa.scalar(" ")).to_pylist()]
+        found = self.merger.encode_batch_fast(strings, add_special_tokens=False)
+        ids = np.concatenate([np.zeros(0, "<u2"), *(np.array(e.ids, "<u2") for e in found)])
+        edges = np.flatnonzero(self.edge[ids])
+        if len(edges) != len(words):
+            raise ValueError("a word's ids do not show where it stands")
+        return ids, np.diff(edges, append=len(ids)) if self.by_blank else np.diff(edges, prepend=-1)
+
+    def _unit_ids(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct units (at byte level with the blank before each): all ids, and where each unit's start and how many they are.
+
+        No object is made for a unit.  Signs after a unit's last letter are pre-tokens of their own and taken off, so that
+        units meet in their words.
         """
         core = pc.utf8_rtrim(units, characters=PUNCTUATION)
         core = pc.if_else(pc.match_substring_regex(core, f"{LETTER}$"), core, units)
         tailed = pc.not_equal(pc.binary_length(core), pc.binary_length(units))
         tails = pc.replace_substring_regex(units.filter(tailed), f"(?s)^.*{LETTER}", "").dictionary_encode()
         coded = core.dictionary_encode()
-        # white space at an end would meet the next unit's blank
-        alone = pc.match_substring_regex(coded.dictionary, r"^$|^\s|\s$")
-        joined = coded.dictionary.filter(pc.invert(alone)).cast(pa.string())
-        groups = pa.ListArray.from_arrays(pa.array([*range(0, len(joined), GROUP), len(joined)], pa.int32()), joined)
-        found = self.tokenizer.encode_batch_fast([" " + g for g in pc.binary_join(groups, pa.scalar(" ")).to_pylist()], add_special_tokens=False)
-        many = np.concatenate([np.zeros(0, "<u2"), *(np.array(e.ids, "<u2") for e in found)])
-        starts = np.flatnonzero(self.starts_word[many])
-        if len(starts) != len(joined):
-            raise ValueError("a unit does not begin with one blank")
-        single = [np.array(self._ids(u), "<u2") for u in [*(" " + u for u in coded.dictionary.filter(alone).to_pylist()), *tails.dictionary.to_pylist(), ""]]
+        simple = pc.and_(pc.match_substring_regex(coded.dictionary, f"^{LETTER}+$"), self.joins)
+        many, counts = self._word_ids(coded.dictionary.filter(simple))
+        lead = " " if self.by_blank else ""
+        other = [*(lead + u for u in coded.dictionary.filter(pc.invert(simple)).to_pylist()), *tails.dictionary.to_pylist(), ""]
+        single = [np.array(e.ids, "<u2") for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
         flat = np.concatenate([many, *single])
-        sizes = np.concatenate([np.diff(starts, append=len(many)), np.fromiter(map(len, single), np.int64, len(single))])
+        sizes = np.concatenate([counts, np.fromiter(map(len, single), np.int64, len(single))])
         starts = np.cumsum(sizes) - sizes
         # each unit is its word, and what follows it (by default the last piece, which is empty)
-        mask, place = alone.to_numpy(zero_copy_only=False), np.empty(len(alone), np.int64)
-        place[~mask], place[mask] = np.arange(len(joined)), len(joined) + np.arange(mask.sum())
+        mask, place = simple.to_numpy(zero_copy_only=False), np.empty(len(simple), np.int64)
+        place[mask], place[~mask] = np.arange(len(counts)), len(counts) + np.arange(len(mask) - len(counts))
         pieces = np.full((len(units), 2), len(sizes) - 1)
         pieces[:, 0] = place[coded.indices.to_numpy(zero_copy_only=False)]
-        pieces[tailed.to_numpy(zero_copy_only=False), 1] = len(alone) + tails.indices.to_numpy(zero_copy_only=False)
+        pieces[tailed.to_numpy(zero_copy_only=False), 1] = len(place) + tails.indices.to_numpy(zero_copy_only=False)
         ids, ends = gathered(flat, starts, sizes, pieces.ravel())
         return ids, ends[:-1:2], np.diff(ends[::2])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.units) > CACHE_UNITS:
-            self.units, self.older = {}, self.units
-        if len(self.tails) > 10_000:
-            self.tails.clear()
         plain = [i for i, t in enumerate(texts) if self._plain(t)]
         if self.by_blank:
             split = [texts[i].partition(" ") for i in plain]
@@ -175,12 +148,7 @@ class CachedEncoder:
             listed = pc.ascii_split_whitespace(pa.array([texts[i].lower() for i in plain], pa.large_string()))
         coded = listed.flatten().dictionary_encode()
         index = coded.indices.to_numpy(zero_copy_only=False)
-        if self.by_blank:
-            flat, starts, sizes = self._byte_ids(coded.dictionary)
-        else:
-            ids = self._look(coded.dictionary.to_pylist())
-            sizes = np.fromiter(map(len, ids), np.int32, len(ids)) >> 1
-            flat, starts = np.frombuffer(b"".join(ids), "<u2"), np.cumsum(sizes) - sizes
+        flat, starts, sizes = self._unit_ids(coded.dictionary)
         ids, ends = gathered(flat, starts, sizes, index)
         whole = ids.tobytes()
         # a list of no words (null) has no place of its own

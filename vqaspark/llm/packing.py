@@ -127,7 +127,7 @@ def pack(df: DataFrame, vocabulary: str, size: int = 2048, id_col: str = "doc_id
 
     Sequences hold ``size`` ids, or a power of two at the end of a partition, so none needs padding.  A null or empty text
     is its end id alone; a null id stays null; repeated rows are packed each; further columns are not read; an empty table
-    gives no piece.  Memory: one document, one open sequence, the unit cache; the sort spills.
+    gives no piece.  Memory: one document, one open sequence, a batch's units; the sort spills.
     """
     encoded = common.staged(curve_documents(df, vocabulary, id_col, text_col), "curve")
     ordered = encoded.repartitionByRange("curve_key", "doc_id", "row_key").sortWithinPartitions("curve_key", "doc_id", "row_key")

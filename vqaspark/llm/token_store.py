@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -191,38 +192,36 @@ def reconstruct(spark: SparkSession, path: str) -> DataFrame:
     return whole.mapInArrow(run, "doc_id long, row_key binary, start long, n_tokens long, ids array<int>")
 
 
+def _mapped(table: np.ndarray, registers: np.ndarray) -> np.ndarray:
+    """A linear map of CRC-32 registers, given by what it makes of each of their four bytes."""
+    return table[0][registers & 255] ^ table[1][registers >> 8 & 255] ^ table[2][registers >> 16 & 255] ^ table[3][registers >> 24]
+
+
 @functools.cache
-def _zeros(n_bytes: int) -> tuple[int, ...]:
-    """The 32 columns of the linear map that n zero bytes apply to a CRC-32 register."""
-    one_bit = [0xEDB88320] + [1 << i for i in range(31)]
-
-    def times(m, v):
-        out, i = 0, 0
-        while v:
-            if v & 1:
-                out ^= m[i]
-            v >>= 1
-            i += 1
-        return out
-
-    result, power, n = [1 << i for i in range(32)], one_bit, 8 * n_bytes
-    while n:
-        if n & 1:
-            result = [times(power, c) for c in result]
-        power = [times(power, c) for c in power]
-        n >>= 1
-    return tuple(result)
+def _zeros() -> list[np.ndarray]:
+    """The linear maps that 1, 2, 4, ... zero bytes apply to a CRC-32 register."""
+    columns, found = np.uint32(1) << np.arange(32, dtype=np.uint32), []
+    for _ in range(8):
+        columns = columns >> 1 ^ (columns & 1) * np.uint32(0xEDB88320)
+    bits = np.arange(256)[:, None] >> np.arange(8) & 1 == 1
+    for _ in range(48):
+        found.append(np.stack([np.bitwise_xor.reduce(np.where(bits, c, np.uint32(0)), axis=1) for c in columns.reshape(4, 8)]))
+        columns = _mapped(found[-1], columns)
+    return found
+
+
+def after_zeros(crcs: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
+    """What each CRC-32 (unsigned, 32 bits) adds to that of a longer string in which n_bytes follow it."""
+    out = crcs.copy()
+    for k in range(int(n_bytes.max(initial=0)).bit_length()):
+        on = np.flatnonzero(n_bytes >> k & 1)
+        out[on] = _mapped(_zeros()[k], out[on])
+    return out
 
 
 def crc_join(first: int, second: int, n_bytes: int) -> int:
     """CRC-32 of two strings put together, from theirs and the second's length."""
-    m, out, i = _zeros(n_bytes), second, 0
-    while first:
-        if first & 1:
-            out ^= m[i]
-        first >>= 1
-        i += 1
-    return out
+    return int(after_zeros(np.array([first], np.uint32), np.array([n_bytes]))[0]) ^ second
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
@@ -251,17 +250,20 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches, 2000):
-            crcs, right, lists = [], [], b.column(6)
-            at = lists.offsets.to_pylist()
-            names, sizes, parts, well = (lists.values.field(i).to_pylist() for i in range(1, 5))
+            lists = b.column(6)
+            bounds = lists.offsets.to_numpy()  # no list is empty: a document has its end id
+            names, sizes, parts, well = (lists.values.field(i) for i in range(1, 5))
+            # the values of a document's parts add up, each moved by the bytes after it
+            ends = np.concatenate([[0], np.cumsum(sizes.to_numpy(), dtype=np.int64)])
+            after = np.repeat(ends[bounds[1:]], np.diff(bounds)) - ends[bounds[0] + 1 : bounds[-1] + 1]
+            parts = after_zeros(pc.fill_null(parts, 0).to_numpy()[bounds[0] : bounds[-1]].astype(np.uint32), 4 * after)
+            crcs = np.bitwise_xor.reduceat(parts, bounds[:-1] - bounds[0]).astype(np.int64)
+            found_sizes, right, at = np.diff(ends[bounds]).tolist(), [], bounds.tolist()
+            names, sizes, well = names.to_pylist(), sizes.to_pylist(), well.to_pylist()
             for i, (doc_id, part, place, start, n, told) in enumerate(zip(*(b.column(i).to_pylist() for i in range(6)), strict=True)):
                 mine = range(at[i], at[i + 1])
-                crc = 0
-                for j in mine:
-                    crc = crc_join(crc, parts[j] or 0, 4 * sizes[j])
-                crcs.append(crc)
-                packed = b"".join(names[j] + sizes[j].to_bytes(4, "little") for j in mine)
-                right.append(all(well[j] for j in mine) and sum(sizes[j] for j in mine) == n and leaf(doc_id, part, place, start, n, packed) == told)
+                packed = b"".join([names[j] + sizes[j].to_bytes(4, "little") for j in mine])
+                right.append(all(well[at[i] : at[i + 1]]) and found_sizes[i] == n and leaf(doc_id, part, place, start, n, packed) == told)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), b.column(4), pa.array(crcs, pa.int64()), pa.array(right, pa.bool_())], names=["doc_id", "part", "start_in_part", "n_tokens", "ids_crc32", "good"])
 
     found = whole.select("doc_id", "part", "place", "start_in_part", "n_tokens", "leaf", "found").mapInArrow(run, "doc_id long, part int, start_in_part long, n_tokens long, ids_crc32 long, good boolean")
