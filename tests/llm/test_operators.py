@@ -86,6 +86,17 @@ def test_packing_repeated_rows(spark):
     assert packing.pack(df, WORD).agg(F.sum("length")).first()[0] == 5 * (len(ids_of(WORD, "one two")) + 1)
 
 
+def test_packing_remembers_no_units(spark):
+    """What a worker holds does not grow with the words that it has met; pieces hold the library's ids."""
+    texts = [" ".join(f"{a}{b}ß{a}, {b}É" for a in "abcdéf" for b in ("x" * n, "Y", "1-z", "ū'")) for n in range(1, 40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check_pieces(packing.pack(df, WORD).collect(), {i: [*ids_of(WORD, t), 1] for i, t in enumerate(texts)}, 2048)
+    encoder = packing.encoder_of(WORD)
+    for t in texts:
+        assert np.frombuffer(encoder.encode([t])[0], "<u2").tolist() == ids_of(WORD, t)
+    assert not encoder.units and not encoder.older
+
+
 def test_hilbert_curve_is_a_walk():
     bits, n = 3, 1 << 9
     cells = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
