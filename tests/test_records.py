@@ -1,5 +1,8 @@
 """Records joined with payloads, and grounded in a corpus."""
 
+import hashlib
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +79,35 @@ def test_draws_by_blocks(spark, block, monkeypatch):
     assert plan.index("Aggregate [image") < plan.index("MapInArrow") < plan.index("Join Inner, (class")
 
 
+def test_second_draws_only_where_the_first_says_too_little(spark, monkeypatch):
+    made, least = [], grounding.least_tasks
+
+    def counted(images, *rest):
+        found = least(images, *rest)
+        made.append((found.columns[1:], images.count()))
+        assert "Repartition " in found._jdf.queryExecution().optimizedPlan().toString()  # by number: few bytes are not left to one task
+        return found
+
+    monkeypatch.setattr(grounding, "least_tasks", counted)
+    tasks = spark.createDataFrame([("Box", "lid", f"t{i}", f"do {i}", ["open['lid']"] if i % 4 else ["push['knob']"]) for i in range(8)], "category string, link string, task string, description string, actions array<string>")
+    links = spark.createDataFrame([(i, "Box", "lid", f"[{i}]") for i in range(60)] + [(60, "Box", "knob", "[k]"), (None, "Box", "lid", "[n]")], "image long, class string, name string, box string")
+    found = grounded_tasks(links, tasks, "rb")
+    said = {i: [int(min((hashlib.md5(f"{seed}:{i}:t{k}".encode()).hexdigest(), f"t{k}") for k in range(8))[1][1:]) for seed in (1, 2)] for i in range(60)}
+    want = {(i, f"do {k}", f"<rb>open</rb>[{i}]") for i, both in said.items() for k in [next((k for k in both if k % 4), None)] if k}
+    assert set(map(tuple, found.collect())) == want
+    assert made == [(["draw1"], 60), (["draw2"], sum(both[0] % 4 == 0 for both in said.values()))] and 0 < made[1][1] < 30
+
+
+@pytest.mark.parametrize("alike", [True, False])
+def test_first_bytes_of_digests(alike):
+    """Blocks of words that are one number for all, or differ, against hashlib."""
+    texts = [f"1:{k if not alike else 'x'}:{'t' * (5 if alike else k % 45)}{k}".encode() for k in range(300)]
+    words = np.stack([grounding._words([t], 0, True)[0] for t in texts])
+    given = [int(w[0]) if (w == w[0]).all() else w.copy() for w in words.T]
+    assert any(isinstance(w, int) for w in given) and any(not isinstance(w, int) for w in given)
+    assert [hashlib.md5(t).hexdigest()[:8] for t in texts] == [f"{v:08x}" for v in grounding.md5_firsts(given, len(texts)).tolist()]
+
+
 @pytest.mark.parametrize("name", ["metadata_walk", "two_image_records"])
 def test_files_of_rows_are_written_by_many_tasks(spark, name, tmp_path, monkeypatch):
     """Few bytes in many files are not left to one task."""
