@@ -43,6 +43,36 @@ def test_nearest_in_the_plane_of_doubles(spark):
     assert sorted(map(tuple, N.nearest(df, "g", "i", ["u", "v"], 4).collect())) == plain(rows, 4)
 
 
+@pytest.mark.parametrize("k, looking, seen, pairs", [(5, 3, 4, 8), (1, 512, 2, 1), (40, 7, 4096, 64)])
+def test_pieces_of_cells(spark, monkeypatch, k, looking, seen, pairs):
+    """Cells of many places are cut, and distances taken bit by bit; ties on a lattice are settled by keys in texts."""
+    monkeypatch.setattr(N, "LOOKING", looking), monkeypatch.setattr(N, "SEEN", seen), monkeypatch.setattr(N, "PAIRS", pairs)
+    rnd = random.Random(k)
+    rows = [("lattice", x, y) for x in range(6) for y in range(6)] + [("even", rnd.randrange(99), rnd.randrange(99)) for _ in range(60)] + [("place", 2, 2)] * 9
+    rows = [(g, f"{(i * 37) % 101}", *p) for i, (g, *p) in enumerate(rows)] + [("one", "x", 10**9, -(10**9))]
+    df = spark.createDataFrame(rows, "g string, i string, x int, y long")
+    assert sorted(map(tuple, N.nearest(df, "g", "i", ["x", "y"], k).collect())) == plain(rows, k)
+    with pytest.raises(Exception, match="too far apart"):
+        N.nearest(spark.createDataFrame([("a", "b", 0, 0), ("a", "c", 0, 2**32)], df.schema), "g", "i", ["x", "y"], 1).collect()
+
+
+def test_places_look_in_many_tasks(spark, monkeypatch):
+    """Few bytes of one cloud are not left to one task."""
+    staged, shares = N._staged, []
+
+    def counted(df, name):
+        found = staged(df, name)
+        if name == "near":
+            shares.append([r[0] for r in found.groupBy(F.input_file_name()).count().select("count").collect()])
+        return found
+
+    monkeypatch.setattr(N, "_staged", counted)
+    rnd = random.Random(5)
+    df = spark.createDataFrame([(1, i, *(rnd.randrange(1000) for _ in "xyz")) for i in range(1000)], "g int, i long, x long, y long, z long")
+    assert N.nearest(df, "g", "i", ["x", "y", "z"], 10).count() == 10_000
+    assert sum(shares[0]) >= 990 and max(shares[0]) < 500
+
+
 def test_a_hot_cloud_is_compared_in_cells(spark):
     """Pairs that meet grow with the points, not with their square."""
     met = []
