@@ -119,3 +119,32 @@ def test_files_of_rows_are_written_by_many_tasks(spark, name, tmp_path, monkeypa
     assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count()
     tasks = {f.rsplit("/part-", 1)[1][:5] for f in glob.glob(f"{tmp_path}/**/part-*.txt", recursive=True)}
     assert len(tasks) > 4
+
+
+def test_files_that_the_driver_does_not_list(spark, tmp_path):
+    from vqaspark.sources import many_files
+
+    rows = [(f"page={i}", bytes([i, 255, 10])) for i in range(200)] + [("a/b #1%", b"x"), ("é", b""), ("two", b"1\n"), ("two", b"2\n"), ("page=7.txt", b"7")]
+    df = spark.createDataFrame(rows, "name string, content binary").repartition(3)
+    base = f"file:{tmp_path}/x y"
+    (tmp_path / "x y" / "_temporary").mkdir(parents=True)
+    (tmp_path / "x y" / "_temporary" / "part-00000-lost.txt").write_bytes(b"of a lost task")
+    many_files.write_files(df.where("name != 'é'"), base, "name", "content", ".txt", 8)
+    (tmp_path / "x y" / "note.md").write_bytes(b"another file")
+    got = many_files.read_files(spark, base, ".txt", 5).collect()
+    assert all(len(r.content) == r.length for r in got) and len({r.path for r in got}) == len(got) == 203
+    two = [r.content for r in got if r.path.endswith("-two.txt")]
+    assert two in ([b"1\n2\n"], [b"2\n1\n"])
+    assert sorted(bytes(r.content) for r in got if not r.path.endswith("-two.txt")) == sorted(c for n, c in rows if n not in ("é", "two"))
+    many_files.write_files(df, base, "name", "content", ".txt", 8)  # a task that is through is not written over
+    assert sorted(r.path for r in many_files.read_files(spark, base, ".txt", 5).collect()) == sorted(r.path for r in got)
+    many_files.write_files(df.limit(0), f"{base}/none", "name", "content", ".txt", 2)
+    assert many_files.read_files(spark, f"{base}/none", ".txt", 5).count() == 0
+
+
+def test_two_images_keep_their_files_off_the_driver(spark):
+    from vqaspark.plans import catalog
+
+    found = catalog.QUERIES["two_image_records"](spark, "/root/testdata/sf0.001")
+    assert found.count() and not any(f.endswith(".txt") for f in found.inputFiles())
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("strategy=merge") == 2  # contents are never broadcast

@@ -36,12 +36,13 @@ def with_payloads(records: DataFrame, payloads: DataFrame, paths: list[str], pat
     asked = asked.join(hot, "_path", "left").select("_row", "_place", "_path", part.alias("_part"))
     held = payloads.select(F.col(path).alias("_path"), F.col(content).alias("_content"), F.lit(True).alias("_there")).join(hot, "_path", "left")
     held = held.select("_path", "_content", "_there", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)).alias("_part"))
-    met = asked.join(held, ["_path", "_part"], "left")
+    # contents are never broadcast: what a table that Python makes will hold is not known beforehand
+    met = asked.join(held.hint("merge"), ["_path", "_part"], "left")
     if missing == "error":
         lost = F.raise_error(F.concat(F.lit("no payload at "), "_path")).cast("boolean")
         met = met.where(F.coalesce(F.col("_there"), lost))
     found = met.groupBy("_row").agg(F.max(F.col("_there").isNull()).alias("_lost"), *(F.first(F.when(F.col("_place") == i, F.col("_content")), True).alias(f"{n}_content") for i, n in enumerate(paths)))
-    out = rows.join(found, "_row", "left")
+    out = rows.join(found.hint("merge"), "_row", "left")
     if missing == "drop":
         out = out.where(~F.coalesce("_lost", F.lit(False)))
     return out.select(*records.columns, *(f"{n}_content" for n in paths))
